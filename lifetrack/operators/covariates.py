@@ -247,24 +247,28 @@ def residence_periods(
 def with_exposure(
     movement: DataFrame, births: DataFrame, periods: DataFrame, *,
     events: Iterable = EXPOSURE_PERIODS, months: int = 5, overrides: DataFrame | None = None,
-    **join_options,
 ) -> DataFrame:
     """Number of event periods lived through at the origin, and Y/N; the number is null for N.
 
-    Only event periods enter the interval join. Entities without a birth record
-    get null for both. ``overrides`` (entity, exposures) sets counts by hand.
+    The listed event periods become one small array that every row counts over:
+    no pairs are formed and the movement table is read once. Entities without a
+    birth record get null for both. ``overrides`` (entity, exposures) sets counts
+    by hand.
     """
-    event_periods = periods.where(F.col("period").isin(list(events)))
-    lived = residence_periods(movement, births, event_periods, months, **join_options)
-    counts = lived.groupBy("entity").agg(F.count(F.lit(1)).alias("exposures"))
-    out = lookup(movement, counts, {"entity": "entity"}, {"exposures": "exposures"})
+    listed = periods.where(F.col("period").isin(list(events)))
+    spans = listed.agg(F.collect_list(F.struct("period_start", "period_end"))).scalar()
+    born = births.withColumn("_born", F.lit(True))
+    out = lookup(movement, born, {"entity": "entity"}, {"birth_date": "_birth", "_born": "_born"})
+    eligible = F.add_months("_birth", months)
+    overlap = lambda p: (p["period_end"] >= eligible) & (F.col("last_start") >= p["period_start"])
+    dated = F.col("_birth").isNotNull() & F.col("last_start").isNotNull()
+    out = out.withColumn("_spans", spans)
+    out = out.withColumn("exposures", F.when(dated, F.nullif(F.size(F.filter("_spans", overlap)), F.lit(0))))
     if overrides is not None:
         out = lookup(out, overrides, {"entity": "entity"}, {"exposures": "_set"})
         out = out.withColumn("exposures", F.coalesce("_set", "exposures")).drop("_set")
-    born = births.withColumn("_born", F.lit(True))
-    out = lookup(out, born, {"entity": "entity"}, {"_born": "_born"})
     code = F.when(F.col("exposures").isNotNull(), "Y").when(F.col("_born"), "N")
-    return out.withColumn("exposed", code).drop("_born")
+    return out.withColumn("exposed", code).drop("_birth", "_born", "_spans")
 
 
 # Places ------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import settle
 from .joins import merge
 from .ordered import first_by, nearest_known, running_total
 
@@ -55,8 +56,9 @@ def hpd_interval(
     counted = known.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
     ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", **limits)
     start = F.col("_upto") - F.col("_n") + 1
-    runs = ranked.select(*keys, "value", start.alias("_start"))
-    sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    # Ranked once and written: values, candidates and block limits all read it.
+    runs = settle(ranked.select(*keys, "value", "_n", start.alias("_start")))
+    sizes = runs.groupBy(*keys).agg(F.sum("_n").alias("n"))
     span = F.greatest(
         F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(prob)).cast("long"))
     )

@@ -590,39 +590,62 @@ _WIDE_SPEC = (
 )
 
 
+def _group_sizes(history):
+    return cov.group_sizes(history, vague=[], unseen="-", no_location="-")
+
+
+def _july_food(spark, folder):
+    july = read_table(spark, folder, "orders").where(F.month("o_orderdate") == 7)
+    return july.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("food_density"))
+
+
+def _sex(spark, folder):
+    return read_table(spark, folder, "customer").select(
+        F.col("c_custkey").alias("entity"), (F.col("c_acctbal") > 5000).cast("int").alias("sex")
+    )
+
+
 def wide_table(spark, folder):
-    """Every covariate of the movement table, collated by entity."""
+    """Every covariate added to the movement table in place, in one pass over it."""
+    history = star.home_residency(spark, folder)
+    births, calendar = star.births(spark, folder), star.months(spark, folder)
+    out = cov.age_at_event(home_movement(spark, folder), births).drop("birth_date")
+    out = cov.with_population(out, history)
+    out = cov.with_group_size(out, _group_sizes(history))
+    out = cov.with_exposure(out, births, calendar, events=FLAGGED)
+    out = cov.with_period_flag(out, FLAGGED)
+    out = cov.with_year_value(out, _july_food(spark, folder), "food_density")
+    return lookup(out, _sex(spark, folder), {"entity": "entity"}, {"sex": "sex"})
+
+
+@query(_WIDE_SPEC, _WIDE_SQL + " SELECT * FROM wide")
+def collate_wide(spark, folder):
+    return wide_table(spark, folder)
+
+
+@query(_WIDE_SPEC, _WIDE_SQL + " SELECT * FROM wide")
+def collate_by_entity(spark, folder):
+    """The same table from separate per-entity covariate tables, joined by entity."""
     movement = settle(home_movement(spark, folder))
     history = star.home_residency(spark, folder)
     births, calendar = star.births(spark, folder), star.months(spark, folder)
-    sizes = cov.group_sizes(history, vague=[], unseen="-", no_location="-")
-    july = read_table(spark, folder, "orders").where(F.month("o_orderdate") == 7)
-    food = july.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("food_density"))
-    sex = read_table(spark, folder, "customer").select(
-        F.col("c_custkey").alias("entity"), (F.col("c_acctbal") > 5000).cast("int").alias("sex")
-    )
     only = lambda df, *columns: df.select("entity", *columns)
     return collate(
         only(movement, "moved", "inherit", "event_date", "event_season"),
         [
             only(cov.age_at_event(movement, births), "age"),
             only(cov.with_population(movement, history), "population_all"),
-            only(cov.with_group_size(movement, sizes), "group_all"),
+            only(cov.with_group_size(movement, _group_sizes(history)), "group_all"),
         ],
         [
             only(cov.with_exposure(movement, births, calendar, events=FLAGGED), "exposures", "exposed"),
             only(cov.with_period_flag(movement, FLAGGED), "near_event"),
-            only(cov.with_year_value(movement, food, "food_density"), "food_density"),
-            sex,
+            only(cov.with_year_value(movement, _july_food(spark, folder), "food_density"), "food_density"),
+            _sex(spark, folder),
         ],
     )
 
 
-@query(_WIDE_SPEC, _WIDE_SQL + " SELECT * FROM wide")
-def collate_wide(spark, folder):
-    return wide_table(spark, folder)
-
-
 @query(
     "entity:l moved:s age:l event_id:l score:d",
     _WIDE_SQL + """
