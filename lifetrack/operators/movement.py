@@ -1,4 +1,9 @@
-"""Movement events: dating a move, status at origin, dominance, non-movers."""
+"""Movement events: dating a move, status at origin, dominance, non-movers.
+
+Rules start from ``residency.life_profile`` (one row per entity) and add columns
+to it; the history itself is read again only to find the last row at the origin
+and the row after floating.
+"""
 
 from __future__ import annotations
 
@@ -7,23 +12,29 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import recode, two_codes
+from ..functions.columns import two_codes
 from ..functions.dates import WIDE_WINTER, midpoint_date, month_abbr, season
-from .joins import anti, join_spread, lookup, merge, semi
+from .joins import anti, join_spread, lookup
 from .ordered import first_by, last_by
 from .periods import previous_period
-from .residency import (
-    DOMINANT, DOMINANT_AT_HOME, FLOATING, JUVENILE, SUBORDINATE, moves, non_movers,
-)
+from .residency import DOMINANT, DOMINANT_AT_HOME, FLOATING, SUBORDINATE
 
 EVENT_COLUMNS = (
     "entity", "origin", "dest_location", "dest_status", "dest_period", "dest_start", "dest_end",
-    "last_period", "last_start", "last_end", "origin_status", "event_date", "method",
+    "last_period", "last_start", "last_end", "origin_status", "home_status", "event_date", "method",
 )
+DESTINATION = {
+    "location": "dest_location", "status": "dest_status", "period": "dest_period",
+    "period_start": "dest_start", "period_end": "dest_end",
+}
+LAST_ROW = {
+    "period": "last_period", "period_start": "last_start", "period_end": "last_end",
+    "status": "origin_status",
+}
 
 
-def _is_floating(c: str, floating: Iterable[str]) -> Column:
-    return F.col(c).isin(list(floating))
+def _floats(floating: Iterable[str]) -> Column:
+    return F.coalesce(F.col("dest_status").isin(list(floating)), F.lit(False))
 
 
 def all_sightings(*tables: DataFrame) -> DataFrame:
@@ -38,108 +49,127 @@ def sighting_ranges(sightings: DataFrame) -> DataFrame:
     )
 
 
-def seen_at_origin(moved: DataFrame, sightings: DataFrame) -> DataFrame:
-    """Movers sighted at their origin in the destination period, with both boundary dates.
+def with_sightings(moved: DataFrame, sightings: DataFrame) -> DataFrame:
+    """Add the last sighting at the origin and the first at the destination, in the destination period.
 
     Sightings shrink to one row per entity, period and location before the
     joins, and both joins use that same partitioning.
     """
     seen = sighting_ranges(sightings)
     key = lambda place: {"entity": "entity", "dest_period": "period", place: "location"}
-    at_origin = lookup(
-        moved, seen.where(F.col("last_seen").isNotNull()), key("origin"),
-        {"last_seen": "last_at_origin"}, how="inner",
-    )
+    at_origin = lookup(moved, seen, key("origin"), {"last_seen": "last_at_origin"})
     return lookup(at_origin, seen, key("dest_location"), {"first_seen": "first_at_dest"})
 
 
-def precise_events(moved: DataFrame, sightings: DataFrame, floating=FLOATING) -> DataFrame:
-    """Method P: midpoint of the last sighting at the origin and the first at the destination."""
-    seen = seen_at_origin(moved, sightings)
-    settled = seen.where(~_is_floating("dest_status", floating))
-    return settled.select(
-        "*",
-        F.col("dest_period").alias("last_period"),
-        F.col("dest_start").alias("last_start"),
-        F.col("dest_end").alias("last_end"),
-        F.lit(None).cast("string").alias("origin_status"),
-        midpoint_date("last_at_origin", "first_at_dest").alias("event_date"),
-        F.lit("P").alias("method"),
-    ).select(*EVENT_COLUMNS)
-
-
-def _last_at_origin(moved: DataFrame, residency: DataFrame, in_time: Column) -> DataFrame:
-    """Moves with their latest-ending origin row among those in time.
+def with_last_at_origin(moved: DataFrame, residency: DataFrame, in_time: Column, how: str = "inner") -> DataFrame:
+    """Add the latest-ending origin row that meets ``in_time``.
 
     The join key includes the place, so picking one row per entity starts a new
     exchange and is done within each task before it.
     """
     rows = residency.select(
-        F.col("entity").alias("_e"), "location", "status", "period", "period_start", "period_end", "tie"
+        F.col("entity").alias("_e"), F.col("location").alias("_l"), F.col("tie").alias("_tie"),
+        *[F.col(c).alias(name) for c, name in LAST_ROW.items()],
+    ).where(F.col("last_end").isNotNull())
+    at_origin = (F.col("entity") == F.col("_e")) & (F.col("origin") == F.col("_l"))
+    joined = moved.join(rows, at_origin & in_time, how)
+    # A move without any such row keeps its single unmatched row in a left join.
+    ranked = joined.withColumn("_end", F.coalesce("last_end", F.lit("0001-01-01").cast("date")))
+    return last_by(ranked, ["entity"], "_end", "_tie").drop("_e", "_l", "_tie", "_end")
+
+
+def with_settled(floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Per floater: the end of its last floating period and the first row ending after it."""
+    float_end = residency.where(F.col("status").isin(list(floating))).groupBy("entity").agg(
+        F.max("period_end").alias("float_end")
     )
-    at_origin = moved.join(rows, (F.col("entity") == F.col("_e")) & (F.col("origin") == F.col("location")))
-    return last_by(at_origin.where(in_time), ["entity"], "period_end", "tie").withColumnsRenamed({
-        "period": "last_period", "period_start": "last_start", "period_end": "last_end",
-        "status": "origin_status",
-    }).drop("_e", "location", "tie")
+    ends = lookup(floaters.select("entity"), float_end, {"entity": "entity"}, {"float_end": "float_end"}, "inner")
+    after = join_spread(residency, ends, ["entity"], "tie").where(F.col("period_end") > F.col("float_end"))
+    settled = first_by(after, ["entity"], "period_end", "tie")
+    return settled.select("entity", "float_end", *[F.col(c).alias(n) for c, n in DESTINATION.items()])
 
 
-def between_events(moved: DataFrame, precise: DataFrame, residency: DataFrame, floating=FLOATING) -> DataFrame:
-    """Method E: midpoint of the last origin period's end and the destination period's start."""
-    undated = anti(moved, precise, ["entity"])
-    settled = undated.where(~_is_floating("dest_status", floating))
-    last = _last_at_origin(settled, residency, ~(F.col("period_start") > F.col("dest_end")))
-    return last.select(
-        "*",
-        midpoint_date("last_end", "dest_start").alias("event_date"),
-        F.lit("E").alias("method"),
-    ).select(*EVENT_COLUMNS)
-
-
-def settled_after_floating(residency: DataFrame, floating=FLOATING) -> DataFrame:
-    """Per entity: end of its last floating period, and the first row ending after it."""
-    float_end = residency.where(_is_floating("status", floating)).groupBy("entity").agg(
-        F.max("period_end").alias("float_end")
-    )
-    after = join_spread(residency, float_end, ["entity"], "tie").where(
-        F.col("period_end") > F.col("float_end")
-    )
-    return first_by(after, ["entity"], "period_end", "tie").select(
-        "entity", "float_end",
-        F.col("location").alias("dest_location"),
-        F.col("status").alias("dest_status"),
-        F.col("period").alias("dest_period"),
-        F.col("period_start").alias("dest_start"),
-        F.col("period_end").alias("dest_end"),
+def _in_time(method: Column) -> Column:
+    """Settled movers: the origin row must not start after the destination period ends.
+    Floaters: it must not end after the floating period."""
+    return F.when(method == "E", ~(F.col("last_start") > F.col("dest_end"))).when(
+        method == "EF", ~(F.col("dest_end") < F.col("last_end"))
     )
 
 
-def floating_events(moved: DataFrame, residency: DataFrame, floating=FLOATING) -> DataFrame:
+def precise_events(moved: DataFrame, sightings: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Method P: midpoint of the last sighting at the origin and the first at the destination.
+
+    Without a sighting at the destination the date stays null.
+    """
+    seen = with_sightings(moved, sightings)
+    settled = seen.where(F.col("last_at_origin").isNotNull() & ~_floats(floating))
+    return settled.withColumns({
+        "last_period": F.col("dest_period"), "last_start": F.col("dest_start"),
+        "last_end": F.col("dest_end"), "origin_status": F.lit(None).cast("string"),
+        "event_date": midpoint_date("last_at_origin", "first_at_dest"), "method": F.lit("P"),
+    }).select(*EVENT_COLUMNS)
+
+
+def between_events(
+    moved: DataFrame, precise: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING
+) -> DataFrame:
+    """Method E: midpoint of the last origin period's end and the destination period's start."""
+    settled = anti(moved, precise, ["entity"]).where(~_floats(floating))
+    last = with_last_at_origin(settled, residency, _in_time(F.lit("E")))
+    return last.withColumns({
+        "event_date": midpoint_date("last_end", "dest_start"), "method": F.lit("E"),
+    }).select(*EVENT_COLUMNS)
+
+
+def floating_events(moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
     """Method EF: midpoint of the last floating period's end and the next settled period's start.
 
     The settled row replaces the destination; entities that never settle drop out.
     """
-    floaters = moved.where(_is_floating("dest_status", floating))
-    last = _last_at_origin(floaters, residency, ~(F.col("dest_end") < F.col("period_end")))
-    last = last.select("entity", "origin", "last_period", "last_start", "last_end", "origin_status")
-    settled = settled_after_floating(residency, floating)
-    return merge(last, settled, ["entity"], null_safe=False).select(
-        "*",
-        midpoint_date("float_end", "dest_start").alias("event_date"),
-        F.lit("EF").alias("method"),
-    ).select(*EVENT_COLUMNS)
+    floaters = moved.where(_floats(floating))
+    last = with_last_at_origin(floaters, residency, _in_time(F.lit("EF"))).drop(*DESTINATION.values())
+    settled = with_settled(floaters, residency, floating)
+    values = {c: c for c in ("float_end", *DESTINATION.values())}
+    return lookup(last, settled, {"entity": "entity"}, values, "inner").withColumns({
+        "event_date": midpoint_date("float_end", "dest_start"), "method": F.lit("EF"),
+    }).select(*EVENT_COLUMNS)
 
 
 def movement_events(
-    residency: DataFrame, sightings: DataFrame, *, floating=FLOATING, winter: Iterable[int] = WIDE_WINTER
+    moved: DataFrame, residency: DataFrame, sightings: DataFrame, *,
+    floating: Iterable[str] = FLOATING, winter: Iterable[int] = WIDE_WINTER,
 ) -> DataFrame:
-    """All dated moves by the three methods, with month and season of the date."""
-    moved = moves(residency)
-    precise = precise_events(moved, sightings, floating)
-    events = precise.unionByName(between_events(moved, precise, residency, floating)).unionByName(
-        floating_events(moved, residency, floating)
+    """All dated moves by the three methods, with month and season of the date.
+
+    The same rules as the three operators above, applied in one pass: each mover
+    gets its method, then the last origin row and the settled row its method
+    asks for. The histories are joined once instead of once per method.
+    """
+    seen = with_sightings(moved, sightings)
+    method = F.when(_floats(floating), "EF").when(F.col("last_at_origin").isNotNull(), "P").otherwise("E")
+    chosen = seen.withColumn("method", method)
+    last = with_last_at_origin(chosen, residency, _in_time(F.col("method")), "left")
+    settled = with_settled(moved.where(_floats(floating)), residency, floating)
+    values = {c: "_" + c for c in ("float_end", *DESTINATION.values())}
+    both = lookup(last, settled, {"entity": "entity"}, values)
+
+    is_p, is_ef = F.col("method") == "P", F.col("method") == "EF"
+    dest = {c: F.when(is_ef, F.col("_" + c)).otherwise(F.col(c)) for c in DESTINATION.values()}
+    own = {"last_period": "dest_period", "last_start": "dest_start", "last_end": "dest_end"}
+    date = (
+        F.when(is_p, midpoint_date("last_at_origin", "first_at_dest"))
+        .when(is_ef, midpoint_date("_float_end", "_dest_start"))
+        .otherwise(midpoint_date("last_end", "dest_start"))
+    )
+    found = F.col("last_end").isNotNull() & (~is_ef | F.col("_float_end").isNotNull())
+    dated = both.where(is_p | found).select(
+        "entity", "origin", "home_status", "method", "origin_status",
+        *[F.when(is_p, F.col(d)).otherwise(F.col(c)).alias(c) for c, d in own.items()],
+        *[e.alias(c) for c, e in dest.items()],
+        date.alias("event_date"),
     )
-    return with_season(events, winter)
+    return with_season(dated, winter)
 
 
 def with_season(events: DataFrame, winter: Iterable[int] = WIDE_WINTER) -> DataFrame:
@@ -149,20 +179,13 @@ def with_season(events: DataFrame, winter: Iterable[int] = WIDE_WINTER) -> DataF
     })
 
 
-def origin_status_fill(events: DataFrame, residency: DataFrame, ladder: Iterable[str] = JUVENILE) -> DataFrame:
-    """Fill a missing origin status from the entity's latest row at the origin.
+def origin_status_fill(events: DataFrame) -> DataFrame:
+    """Fill a missing origin status with the entity's latest status at the origin.
 
-    Within a period the most advanced status counts: the ladder's codes in
-    order, any other code above them. Entities without such a row drop out.
+    Entities without any status there drop out.
     """
-    steps = {code: i for i, code in enumerate(ladder, start=1)}
-    graded = residency.withColumn("_grade", recode("status", steps, len(steps) + 1))
-    known = graded.where(F.col("_grade").isNotNull())
-    latest = last_by(known, ["entity", "location"], "period_end", "tie", then=[F.desc("_grade")])
-    found = lookup(
-        events, latest, {"entity": "entity", "origin": "location"}, {"status": "_found"}, how="inner"
-    )
-    return found.withColumn("origin_status", F.coalesce("origin_status", "_found")).drop("_found")
+    known = events.where(F.col("home_status").isNotNull())
+    return known.withColumn("origin_status", F.coalesce("origin_status", "home_status")).drop("home_status")
 
 
 def dominance(events: DataFrame, dominant: Iterable[str] = DOMINANT, subordinate: Iterable[str] = SUBORDINATE) -> DataFrame:
@@ -174,53 +197,42 @@ def dominance(events: DataFrame, dominant: Iterable[str] = DOMINANT, subordinate
     return coded.where(F.col("origin_dominance") == 2)
 
 
-def subordinate_non_movers(residency: DataFrame, dominant: Iterable[str] = DOMINANT_AT_HOME) -> DataFrame:
-    """Entities with one location whose first status there is not dominant."""
-    return non_movers(residency).where(~F.col("status").isin(list(dominant))).select("entity")
+def _stayers(life: DataFrame, chain: DataFrame, dominant: Iterable[str]) -> DataFrame:
+    """Non-movers whose first status is not dominant, with the periods before they became so.
+
+    The two periods are null for entities that never became dominant, or did so
+    within the first two periods.
+    """
+    home = life.where(~F.col("mover") & ~F.col("origin_status").isin(list(dominant)))
+    known = chain.where(F.col("prev2_period").isNotNull())
+    values = {c: "_" + c for c in chain.columns if c.startswith("prev")}
+    return lookup(home, known, {"dominant_period": "period"}, values)
 
 
-def _promoted(residency: DataFrame, chain: DataFrame, dominant) -> DataFrame:
-    """Non-movers that became dominant, with the two periods before they did.
+def inheritors(
+    life: DataFrame, chain: DataFrame, births: DataFrame, dominant: Iterable[str] = DOMINANT_AT_HOME
+) -> DataFrame:
+    """Non-movers that became dominant at home: their last two periods before.
 
-    One row per entity is picked before the join with the non-movers.
+    The last one must end after birth.
     """
-    first_dominant = first_by(
-        residency.where(F.col("status").isin(list(dominant))), ["entity"], "period_start", "tie"
+    promoted = _stayers(life, chain, dominant).where(F.col("_prev2_period").isNotNull())
+    born = lookup(promoted, births, {"entity": "entity"}, {"birth_date": "_birth"})
+    return born.where(F.col("_prev_end") > F.col("_birth")).select(
+        "entity", "origin",
+        *[F.col(f"_prev_{c}").alias(f"last_{c}") for c in ("period", "start", "end")],
+        *[F.col(f"_prev2_{c}").alias(f"second_last_{c}") for c in ("period", "start", "end")],
+        F.lit(1).alias("inherit"),
     )
-    home = semi(first_dominant, subordinate_non_movers(residency, dominant), ["entity"])
-    return lookup(
-        home.select("entity", F.col("location").alias("origin"), "period"),
-        chain.where(F.col("prev2_period").isNotNull()),
-        {"period": "period"},
-        {
-            "prev_period": "last_period", "prev_start": "last_start", "prev_end": "last_end",
-            "prev2_period": "second_last_period", "prev2_start": "second_last_start",
-            "prev2_end": "second_last_end",
-        },
-        how="inner",
-    ).drop("period")
-
-
-def inheritors(residency: DataFrame, chain: DataFrame, births: DataFrame, dominant=DOMINANT_AT_HOME) -> DataFrame:
-    """Non-movers that became dominant at home; their last subordinate period must end after birth."""
-    promoted = lookup(_promoted(residency, chain, dominant), births, {"entity": "entity"}, {"birth_date": "_birth"})
-    alive = promoted.where(F.col("last_end") > F.col("_birth")).drop("_birth")
-    return alive.withColumn("inherit", F.lit(1))
-
-
-def always_subordinate(residency: DataFrame, chain: DataFrame, dominant=DOMINANT_AT_HOME) -> DataFrame:
+
+
+def always_subordinate(life: DataFrame, chain: DataFrame, dominant: Iterable[str] = DOMINANT_AT_HOME) -> DataFrame:
     """The other non-movers: their latest row gives the last period.
 
     Entities that were promoted but fail the birth check belong to neither set.
     """
-    others = anti(
-        subordinate_non_movers(residency, dominant), _promoted(residency, chain, dominant), ["entity"]
-    )
-    latest = semi(last_by(residency, ["entity"], "period_start", "tie"), others, ["entity"]).select(
-        "entity",
-        F.col("location").alias("origin"),
-        F.col("period").alias("last_period"),
-        F.col("period_start").alias("last_start"),
-        F.col("period_end").alias("last_end"),
+    others = _stayers(life, chain, dominant).where(F.col("_prev2_period").isNull())
+    latest = others.where(F.col("last_start").isNotNull()).select(
+        "entity", "origin", "last_period", "last_start", "last_end"
     )
     return previous_period(latest, chain).withColumn("inherit", F.lit(0))

@@ -6,10 +6,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.columns import recode
 from .joins import anti, keep_groups
-from .ordered import drop_first_dup, first_by, first_n, last_by, nth_by
+from .ordered import drop_first_dup, first_by, last_by, nth_by
 
 # Status codes of the residency tables.
 CHICK = "CH"
@@ -151,23 +152,65 @@ def last_location(residency: DataFrame) -> DataFrame:
     return last_by(residency, ["entity"], "period_end", "tie")
 
 
-def moves(residency: DataFrame) -> DataFrame:
-    """One row per mover: origin, and the destination with its status and period."""
-    first_two = first_n(distinct_locations(residency), ["entity"], ["period_start"], "tie", 2)
-    at = lambda n, c: F.max(F.when(F.col("_rn") == n, F.col(c)))
-    both = first_two.groupBy("entity").agg(
-        F.max("_rn").alias("_places"),
-        at(1, "location").alias("origin"),
-        at(1, "period_start").alias("_origin_start"),
-        at(2, "location").alias("dest_location"),
-        at(2, "status").alias("dest_status"),
-        at(2, "period").alias("dest_period"),
-        at(2, "period_start").alias("dest_start"),
-        at(2, "period_end").alias("dest_end"),
+def place_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> DataFrame:
+    """What the movement rules need of each entity at each location, in one pass over the history.
+
+    Per entity and location: the earliest row, the latest-ending status (the
+    most advanced one within a period), the first dominant row and the
+    latest-starting row. All are smallest or largest structs, so each task sends
+    one row per key, however long a history is.
+    """
+    ladder = list(roles.ladder)
+    grade = recode("status", {code: i for i, code in enumerate(ladder, start=1)}, len(ladder) + 1)
+    start, end, tie = F.col("period_start"), F.col("period_end"), F.col("tie")
+    # Orders ties downward without the overflow of a plain minus.
+    untie = F.bitwise_not(tie).alias("untie")
+    dominant = F.col("status").isin(list(roles.dominant_at_home))
+    return residency.groupBy("entity", "location").agg(
+        F.min(F.struct(start.isNull().alias("undated"), start, tie, "status", "period", end)).alias("first"),
+        F.max(F.when(end.isNotNull() & grade.isNotNull(), F.struct(end, grade.alias("grade"), untie, "status")))
+        .alias("latest"),
+        F.min(F.when(dominant & start.isNotNull(), F.struct(start, tie, "period"))).alias("dominant"),
+        F.max(F.when(start.isNotNull(), F.struct(start, untie, "period", end))).alias("last"),
+    )
+
+
+def life_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> DataFrame:
+    """One row per entity: its first two locations and its milestones at the first.
+
+    ``origin*`` is the earliest row, ``home_status`` the latest status at the
+    origin, ``dominant_period`` the first dominant period there, ``last_*`` the
+    latest-starting row there, ``dest_*`` the earliest row at the second location,
+    null for entities that never moved (``mover`` false).
+    """
+    w = Window.partitionBy("entity").orderBy("first")
+    first_two = place_profile(residency, roles).withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+    at = lambda n, c, name: F.max(F.when(F.col("_rn") == n, F.col(c))).alias(name)
+    row = {"status": "status", "period": "period", "period_start": "start", "period_end": "end"}
+    return first_two.groupBy("entity").agg(
+        (F.max("_rn") == 2).alias("mover"),
+        at(1, "location", "origin"),
+        *[at(1, f"first.{c}", f"origin_{name}") for c, name in row.items()],
+        at(1, "latest.status", "home_status"),
+        at(1, "dominant.period", "dominant_period"),
+        at(1, "last.period", "last_period"),
+        at(1, "last.period_start", "last_start"),
+        at(1, "last.period_end", "last_end"),
+        at(2, "location", "dest_location"),
+        *[at(2, f"first.{c}", f"dest_{name}") for c, name in row.items()],
+    )
+
+
+def moves(life: DataFrame) -> DataFrame:
+    """One row per mover: origin with its latest status, and the destination row.
+
+    An entity whose first place carries no date has no known origin.
+    """
+    known = F.col("mover") & F.col("origin_start").isNotNull()
+    return life.where(known).select(
+        "entity", "origin", "home_status",
+        "dest_location", "dest_status", "dest_period", "dest_start", "dest_end",
     )
-    # An entity whose first place carries no date has no known origin.
-    known = (F.col("_places") == 2) & F.col("_origin_start").isNotNull()
-    return both.where(known).drop("_places", "_origin_start")
 
 
 def juvenile_destinations(residency: DataFrame, statuses: Iterable[str] = JUVENILE) -> DataFrame:

@@ -156,7 +156,8 @@ def orq_normalise(df: DataFrame, value: str, name: str, **limits) -> DataFrame:
     ranked = running_total(counts, [], "_v", "_n", F.col("_n"), "_upto", **limits)
     total = counts.agg(F.sum("_n")).scalar()
     average = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
-    scores = ranked.select("_v", norm_quantile((average - 0.5) / total).alias(name))
+    placed = ranked.select("_v", ((average - 0.5) / total).alias("_p"))
+    scores = placed.select("_v", norm_quantile("_p").alias(name))
     return df.join(scores, F.col(value) == F.col("_v"), "left").drop("_v")
 
 

@@ -11,7 +11,8 @@ from ..operators.movement import (
     always_subordinate, dominance, inheritors, movement_events, origin_status_fill,
 )
 from ..operators.periods import period_chain, previous_period
-from ..operators.residency import StatusRoles
+from ..operators.residency import StatusRoles, life_profile, moves
+from ..session import settle
 
 COLUMNS = (
     "entity", "origin", "last_period", "last_start", "last_end",
@@ -34,16 +35,20 @@ def movement_table(
 ) -> DataFrame:
     """Movers with their event, and non-movers with their last periods as subordinates.
 
-    ``births`` holds ``entity, birth_date``. Several covariates read this table:
-    write it, or pass it through ``session.settle``, before reusing it.
+    ``births`` holds ``entity, birth_date``. The per-entity profile is settled
+    because movers and non-movers both read it. Several covariates read the
+    result: write it, or settle it, before joining separate covariate tables.
     """
     chain = period_chain(periods, exclude_periods)
-    events = movement_events(residency, sightings, floating=roles.floating, winter=winter)
-    events = origin_status_fill(previous_period(events, chain), residency, roles.ladder)
+    life = settle(life_profile(residency, roles))
+    events = movement_events(
+        moves(life), residency, sightings, floating=roles.floating, winter=winter
+    )
+    events = origin_status_fill(previous_period(events, chain))
     moved = dominance(events, roles.dominant, roles.subordinate).withColumns({
         "moved": F.lit("1"), "tested_before": F.lit("UNK"),
     })
-    stayed = inheritors(residency, chain, births, roles.dominant_at_home).unionByName(
-        always_subordinate(residency, chain, roles.dominant_at_home)
+    stayed = inheritors(life, chain, births, roles.dominant_at_home).unionByName(
+        always_subordinate(life, chain, roles.dominant_at_home)
     ).withColumn("moved", F.lit("0"))
     return stayed.unionByName(moved, allowMissingColumns=True).select(*COLUMNS)

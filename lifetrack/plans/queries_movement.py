@@ -9,7 +9,7 @@ from ..operators import movement as move_ops
 from ..operators.covariates import summer_winter_split
 from ..operators.joins import lookup
 from ..operators.periods import period_chain, previous_period
-from ..operators.residency import lost_entities, moves, origin_location
+from ..operators.residency import life_profile, lost_entities, moves, origin_location
 from ..sources import star
 from ..sources.files import read_table
 from . import sql_parts as sql
@@ -24,7 +24,7 @@ EVENT_SPEC = (
 
 @query(EVENT_SPEC, f"WITH {sql.TWO_DAY}, {sql.FIRSTS}, {sql.MOVES}, {sql.PRECISE} SELECT * FROM p_events")
 def event_date_precise(spark, folder):
-    moved = moves(star.two_day_residency(spark, folder))
+    moved = moves(life_profile(star.two_day_residency(spark, folder), star.ROLES))
     return move_ops.precise_events(moved, star.two_day_sightings(spark, folder), ["P"])
 
 
@@ -34,7 +34,7 @@ def event_date_precise(spark, folder):
 )
 def event_date_between(spark, folder):
     residency = star.two_day_residency(spark, folder)
-    moved = moves(residency)
+    moved = moves(life_profile(residency, star.ROLES))
     precise = move_ops.precise_events(moved, star.two_day_sightings(spark, folder), ["P"])
     return move_ops.between_events(moved, precise, residency, ["P"])
 
@@ -42,7 +42,7 @@ def event_date_between(spark, folder):
 @query(EVENT_SPEC, f"WITH {sql.RES}, {sql.FIRSTS}, {sql.MOVES}, {sql.FLOATS} SELECT * FROM f_events")
 def event_date_floating(spark, folder):
     residency = star.residency(spark, folder)
-    return move_ops.floating_events(moves(residency), residency, ["P"])
+    return move_ops.floating_events(moves(life_profile(residency, star.ROLES)), residency, ["P"])
 
 
 _EVENTS_SQL = f"""
@@ -50,9 +50,13 @@ _EVENTS_SQL = f"""
     {sql.EVENTS}"""
 
 
+def _moves(spark, folder):
+    return moves(life_profile(star.residency(spark, folder), star.ROLES))
+
+
 def _events(spark, folder):
     return move_ops.movement_events(
-        star.residency(spark, folder), star.sightings(spark, folder), floating=["P"]
+        _moves(spark, folder), star.residency(spark, folder), star.sightings(spark, folder), floating=["P"]
     )
 
 
@@ -66,7 +70,7 @@ def movement_events(spark, folder):
     _EVENTS_SQL + " SELECT entity FROM moves WHERE entity NOT IN (SELECT entity FROM dated)",
 )
 def movers_without_date(spark, folder):
-    return lost_entities(moves(star.residency(spark, folder)), _events(spark, folder))
+    return lost_entities(_moves(spark, folder), _events(spark, folder))
 
 
 @query(
@@ -78,7 +82,7 @@ def movers_without_date(spark, folder):
     """,
 )
 def movers_without_sighting(spark, folder):
-    moved = moves(star.residency(spark, folder))
+    moved = _moves(spark, folder)
     seen = move_ops.sighting_ranges(star.sightings(spark, folder))
     seen = seen.select("entity", "period").distinct()
     return lost_entities(
@@ -124,9 +128,7 @@ _FILLED_SQL = _EVENTS_SQL + f", {sql.MONTHS}, {sql.STATUS_FILL}, {sql.DOMINANCE}
 
 def _filled(spark, folder):
     chain = period_chain(star.months(spark, folder))
-    return move_ops.origin_status_fill(
-        previous_period(_events(spark, folder), chain), star.residency(spark, folder), star.ROLES.ladder
-    )
+    return move_ops.origin_status_fill(previous_period(_events(spark, folder), chain))
 
 
 @query(
@@ -155,17 +157,15 @@ _STAY_SPEC = (
 @query(_STAY_SPEC, _STAY_SQL + " SELECT * FROM heirs")
 def nonmover_inherit(spark, folder):
     chain = period_chain(star.months(spark, folder))
-    return move_ops.inheritors(
-        star.home_residency(spark, folder), chain, star.births(spark, folder), star.ROLES.dominant_at_home
-    )
+    life = life_profile(star.home_residency(spark, folder), star.ROLES)
+    return move_ops.inheritors(life, chain, star.births(spark, folder), star.ROLES.dominant_at_home)
 
 
 @query(_STAY_SPEC, _STAY_SQL + " SELECT * FROM subs")
 def nonmover_subordinate(spark, folder):
     chain = period_chain(star.months(spark, folder))
-    return move_ops.always_subordinate(
-        star.home_residency(spark, folder), chain, star.ROLES.dominant_at_home
-    )
+    life = life_profile(star.home_residency(spark, folder), star.ROLES)
+    return move_ops.always_subordinate(life, chain, star.ROLES.dominant_at_home)
 
 
 def home_movement(spark, folder):

@@ -10,8 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import midpoint_date
-from ..operators.joins import lookup
-from ..operators.residency import StatusRoles, as_residency, moves, origin_location
+from ..operators.residency import StatusRoles, as_residency, life_profile
 from .files import read_table
 
 ROLES = StatusRoles(
@@ -90,11 +89,16 @@ def sightings(spark: SparkSession, folder: str, location: Column | None = None)
 
 def trips(spark: SparkSession, folder: str) -> DataFrame:
     """One row per moving customer: origin and destination rows and a date between them."""
-    history = residency(spark, folder)
-    names = {"period": "last_period", "period_start": "last_start", "period_end": "last_end",
-             "status": "origin_status"}
-    both = lookup(moves(history), origin_location(history), {"entity": "entity"}, names, how="inner")
-    return both.withColumn("event_date", midpoint_date("last_end", "dest_start"))
+    moved = life_profile(residency(spark, folder), ROLES).where("mover").drop(
+        "last_period", "last_start", "last_end"
+    ).withColumnsRenamed(
+        {"origin_period": "last_period", "origin_start": "last_start", "origin_end": "last_end"}
+    )
+    return moved.select(
+        "entity", "origin", "origin_status", "last_period", "last_start", "last_end", "dest_location",
+        "dest_status", "dest_period", "dest_start", "dest_end",
+        midpoint_date("last_end", "dest_start").alias("event_date"),
+    )
 
 
 def two_day_residency(spark: SparkSession, folder: str) -> DataFrame:
