@@ -31,6 +31,9 @@ LAST_ROW = {
     "period": "last_period", "period_start": "last_start", "period_end": "last_end",
     "status": "origin_status",
 }
+LAST = {c: c for c in LAST_ROW.values()}
+SEEN = {c: c for c in ("last_at_origin", "first_at_dest")}
+DEST_PERIOD = {"last_period": "dest_period", "last_start": "dest_start", "last_end": "dest_end"}
 
 
 def _floats(floating: Iterable[str]) -> Column:
@@ -49,33 +52,41 @@ def sighting_ranges(sightings: DataFrame) -> DataFrame:
     )
 
 
-def with_sightings(moved: DataFrame, sightings: DataFrame) -> DataFrame:
-    """Add the last sighting at the origin and the first at the destination, in the destination period.
+def sighting_dates(moved: DataFrame, sightings: DataFrame) -> DataFrame:
+    """Per mover: the last sighting at the origin and the first at the destination, in the destination period.
 
-    Sightings shrink to one row per entity, period and location before the
-    joins, and both joins use that same partitioning.
+    Sightings shrink to one row per entity, period and location and meet the two
+    places of each mover in a single join on that same partitioning.
     """
-    seen = sighting_ranges(sightings)
-    key = lambda place: {"entity": "entity", "dest_period": "period", place: "location"}
-    at_origin = lookup(moved, seen, key("origin"), {"last_seen": "last_at_origin"})
-    return lookup(at_origin, seen, key("dest_location"), {"first_seen": "first_at_dest"})
+    place = lambda role, c: F.struct(F.lit(role).alias("role"), F.col(c).alias("place"))
+    places = moved.select(
+        "entity", "dest_period", F.inline(F.array(place("origin", "origin"), place("dest", "dest_location")))
+    )
+    seen = lookup(
+        places, sighting_ranges(sightings),
+        {"entity": "entity", "dest_period": "period", "place": "location"},
+        {"first_seen": "first_seen", "last_seen": "last_seen"}, "inner",
+    )
+    return seen.groupBy("entity").agg(
+        F.max(F.when(F.col("role") == "origin", F.col("last_seen"))).alias("last_at_origin"),
+        F.min(F.when(F.col("role") == "dest", F.col("first_seen"))).alias("first_at_dest"),
+    )
 
 
-def with_last_at_origin(moved: DataFrame, residency: DataFrame, in_time: Column, how: str = "inner") -> DataFrame:
-    """Add the latest-ending origin row that meets ``in_time``.
+def last_at_origin(moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Per mover: the latest-ending row at the origin, and its status.
 
-    The join key includes the place, so picking one row per entity starts a new
-    exchange and is done within each task before it.
+    It must not start after the destination period ends; for floaters it must not
+    end after the floating period.
     """
-    rows = residency.select(
-        F.col("entity").alias("_e"), F.col("location").alias("_l"), F.col("tie").alias("_tie"),
-        *[F.col(c).alias(name) for c, name in LAST_ROW.items()],
-    ).where(F.col("last_end").isNotNull())
-    at_origin = (F.col("entity") == F.col("_e")) & (F.col("origin") == F.col("_l"))
-    joined = moved.join(rows, at_origin & in_time, how)
-    # A move without any such row keeps its single unmatched row in a left join.
-    ranked = joined.withColumn("_end", F.coalesce("last_end", F.lit("0001-01-01").cast("date")))
-    return last_by(ranked, ["entity"], "_end", "_tie").drop("_e", "_l", "_tie", "_end")
+    ends = moved.select("entity", F.col("origin").alias("location"), "dest_end", _floats(floating).alias("_floats"))
+    rows = residency.select("entity", "location", "tie", *LAST_ROW)
+    at_origin = join_spread(rows, ends, ["entity", "location"], "tie")
+    late = F.when(F.col("_floats"), F.col("dest_end") < F.col("period_end")).otherwise(
+        F.col("period_start") > F.col("dest_end")
+    )
+    last = last_by(at_origin.where(~late), ["entity"], "period_end", "tie")
+    return last.select("entity", *[F.col(c).alias(name) for c, name in LAST_ROW.items()])
 
 
 def with_settled(floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
@@ -89,24 +100,17 @@ def with_settled(floaters: DataFrame, residency: DataFrame, floating: Iterable[s
     return settled.select("entity", "float_end", *[F.col(c).alias(n) for c, n in DESTINATION.items()])
 
 
-def _in_time(method: Column) -> Column:
-    """Settled movers: the origin row must not start after the destination period ends.
-    Floaters: it must not end after the floating period."""
-    return F.when(method == "E", ~(F.col("last_start") > F.col("dest_end"))).when(
-        method == "EF", ~(F.col("dest_end") < F.col("last_end"))
-    )
-
-
 def precise_events(moved: DataFrame, sightings: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
     """Method P: midpoint of the last sighting at the origin and the first at the destination.
 
     Without a sighting at the destination the date stays null.
     """
-    seen = with_sightings(moved, sightings)
+    dates = sighting_dates(moved, sightings)
+    seen = lookup(moved, dates, {"entity": "entity"}, SEEN, "inner")
     settled = seen.where(F.col("last_at_origin").isNotNull() & ~_floats(floating))
     return settled.withColumns({
-        "last_period": F.col("dest_period"), "last_start": F.col("dest_start"),
-        "last_end": F.col("dest_end"), "origin_status": F.lit(None).cast("string"),
+        **{last: F.col(dest) for last, dest in DEST_PERIOD.items()},
+        "origin_status": F.lit(None).cast("string"),
         "event_date": midpoint_date("last_at_origin", "first_at_dest"), "method": F.lit("P"),
     }).select(*EVENT_COLUMNS)
 
@@ -116,8 +120,8 @@ def between_events(
 ) -> DataFrame:
     """Method E: midpoint of the last origin period's end and the destination period's start."""
     settled = anti(moved, precise, ["entity"]).where(~_floats(floating))
-    last = with_last_at_origin(settled, residency, _in_time(F.lit("E")))
-    return last.withColumns({
+    last = last_at_origin(settled, residency, floating)
+    return lookup(settled, last, {"entity": "entity"}, LAST, "inner").withColumns({
         "event_date": midpoint_date("last_end", "dest_start"), "method": F.lit("E"),
     }).select(*EVENT_COLUMNS)
 
@@ -128,10 +132,11 @@ def floating_events(moved: DataFrame, residency: DataFrame, floating: Iterable[s
     The settled row replaces the destination; entities that never settle drop out.
     """
     floaters = moved.where(_floats(floating))
-    last = with_last_at_origin(floaters, residency, _in_time(F.lit("EF"))).drop(*DESTINATION.values())
+    last = lookup(floaters, last_at_origin(floaters, residency, floating), {"entity": "entity"}, LAST, "inner")
     settled = with_settled(floaters, residency, floating)
     values = {c: c for c in ("float_end", *DESTINATION.values())}
-    return lookup(last, settled, {"entity": "entity"}, values, "inner").withColumns({
+    moved_on = lookup(last.drop(*DESTINATION.values()), settled, {"entity": "entity"}, values, "inner")
+    return moved_on.withColumns({
         "event_date": midpoint_date("float_end", "dest_start"), "method": F.lit("EF"),
     }).select(*EVENT_COLUMNS)
 
@@ -142,31 +147,31 @@ def movement_events(
 ) -> DataFrame:
     """All dated moves by the three methods, with month and season of the date.
 
-    The same rules as the three operators above, applied in one pass: each mover
-    gets its method, then the last origin row and the settled row its method
-    asks for. The histories are joined once instead of once per method.
+    The same rules as the three operators above in one plan: three per-entity
+    tables (sightings, last origin row, settled row) are attached to the movers,
+    and the method decides which of them count. ``moved`` is read four times, so
+    settle it first.
     """
-    seen = with_sightings(moved, sightings)
-    method = F.when(_floats(floating), "EF").when(F.col("last_at_origin").isNotNull(), "P").otherwise("E")
-    chosen = seen.withColumn("method", method)
-    last = with_last_at_origin(chosen, residency, _in_time(F.col("method")), "left")
+    key = {"entity": "entity"}
     settled = with_settled(moved.where(_floats(floating)), residency, floating)
-    values = {c: "_" + c for c in ("float_end", *DESTINATION.values())}
-    both = lookup(last, settled, {"entity": "entity"}, values)
+    both = lookup(moved, sighting_dates(moved, sightings), key, SEEN)
+    both = lookup(both, last_at_origin(moved, residency, floating), key, LAST)
+    both = lookup(both, settled, key, {c: "_" + c for c in ("float_end", *DESTINATION.values())})
 
-    is_p, is_ef = F.col("method") == "P", F.col("method") == "EF"
-    dest = {c: F.when(is_ef, F.col("_" + c)).otherwise(F.col(c)) for c in DESTINATION.values()}
-    own = {"last_period": "dest_period", "last_start": "dest_start", "last_end": "dest_end"}
+    is_ef = _floats(floating)
+    is_p = ~is_ef & F.col("last_at_origin").isNotNull()
+    found = F.col("last_end").isNotNull() & (~is_ef | F.col("_float_end").isNotNull())
     date = (
         F.when(is_p, midpoint_date("last_at_origin", "first_at_dest"))
         .when(is_ef, midpoint_date("_float_end", "_dest_start"))
         .otherwise(midpoint_date("last_end", "dest_start"))
     )
-    found = F.col("last_end").isNotNull() & (~is_ef | F.col("_float_end").isNotNull())
     dated = both.where(is_p | found).select(
-        "entity", "origin", "home_status", "method", "origin_status",
-        *[F.when(is_p, F.col(d)).otherwise(F.col(c)).alias(c) for c, d in own.items()],
-        *[e.alias(c) for c, e in dest.items()],
+        "entity", "origin", "home_status",
+        F.when(is_p, "P").when(is_ef, "EF").otherwise("E").alias("method"),
+        F.when(~is_p, F.col("origin_status")).alias("origin_status"),
+        *[F.when(is_p, F.col(dest)).otherwise(F.col(last)).alias(last) for last, dest in DEST_PERIOD.items()],
+        *[F.when(is_ef, F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in DESTINATION.values()],
         date.alias("event_date"),
     )
     return with_season(dated, winter)

@@ -10,6 +10,7 @@ from ..operators.covariates import summer_winter_split
 from ..operators.joins import lookup
 from ..operators.periods import period_chain, previous_period
 from ..operators.residency import life_profile, lost_entities, moves, origin_location
+from ..session import settle
 from ..sources import star
 from ..sources.files import read_table
 from . import sql_parts as sql
@@ -51,12 +52,12 @@ _EVENTS_SQL = f"""
 
 
 def _moves(spark, folder):
-    return moves(life_profile(star.residency(spark, folder), star.ROLES))
+    return settle(moves(life_profile(star.residency(spark, folder), star.ROLES)))
 
 
-def _events(spark, folder):
+def _events(spark, folder, moved=None):
     return move_ops.movement_events(
-        _moves(spark, folder), star.residency(spark, folder), star.sightings(spark, folder), floating=["P"]
+        _moves(spark, folder) if moved is None else moved, star.residency(spark, folder), star.sightings(spark, folder), floating=["P"]
     )
 
 
@@ -70,7 +71,8 @@ def movement_events(spark, folder):
     _EVENTS_SQL + " SELECT entity FROM moves WHERE entity NOT IN (SELECT entity FROM dated)",
 )
 def movers_without_date(spark, folder):
-    return lost_entities(_moves(spark, folder), _events(spark, folder))
+    moved = _moves(spark, folder)
+    return lost_entities(moved, _events(spark, folder, moved))
 
 
 @query(
