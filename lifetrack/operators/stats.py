@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable
 from itertools import combinations
 
@@ -161,39 +162,45 @@ def orq_normalise(df: DataFrame, value: str, name: str, **limits) -> DataFrame:
     return df.join(scores, F.col(value) == F.col("_v"), "left").drop("_v")
 
 
-def box_cox(x: Column, power: float) -> Column:
+def box_cox(x: Column, log_x: Column, power: Column) -> Column:
     """(x^power - 1) / power, and log x at power 0."""
-    return F.log(x) if power == 0 else (F.pow(x, F.lit(power)) - 1) / F.lit(power)
+    return F.when(power == 0, log_x).otherwise((F.pow(x, power) - 1) / power)
 
 
-def _best_power(df: DataFrame, value: str, powers: list[float]) -> float:
-    """The candidate with the largest profile likelihood, by one aggregate over the data.
+def _best_power(known: DataFrame, centre: float, powers: list[float]) -> float:
+    """The candidate with the largest profile likelihood; equal ones go to the smaller power.
 
-    Every candidate is its own variance aggregate: the rows are read once and
-    not multiplied by the grid. Equal likelihoods go to the smaller power.
+    Each row meets the few candidates inside its task and is aggregated there at
+    once, so one row per candidate and task is exchanged. Spreads are taken
+    around the transformed ``centre``, which keeps plain sums accurate.
     """
-    x = F.col(value)
-    spreads = [F.var_pop(box_cox(x, p)).alias(f"v{i}") for i, p in enumerate(powers)]
-    row = df.where(x > 0).agg(F.count(x).alias("n"), F.sum(F.log(x)).alias("logs"), *spreads)
-    options = F.array(*[
-        F.struct(
-            (-F.col("n") / 2 * F.log(F.col(f"v{i}")) + (p - 1) * F.col("logs")).alias("fit"),
-            F.lit(-p).alias("minus_power"),
-        )
-        for i, p in enumerate(powers)
-    ])
-    return -row.select(F.array_max(options)["minus_power"]).first()[0]
+    moved_centre = lambda p: math.log(centre) if p == 0 else (centre**p - 1) / p
+    options = [F.struct(F.lit(p).alias("power"), F.lit(moved_centre(p)).alias("_c")) for p in powers]
+    tried = known.select("_x", "_log", F.inline(F.array(*options)))
+    off = box_cox(F.col("_x"), F.col("_log"), F.col("power")) - F.col("_c")
+    fits = tried.select("power", "_log", off.alias("_off")).groupBy("power").agg(
+        F.count("_off").alias("n"), F.sum("_log").alias("logs"),
+        F.avg("_off").alias("mean"), F.avg(F.col("_off") * F.col("_off")).alias("square"),
+    )
+    spread = F.col("square") - F.col("mean") * F.col("mean")
+    likelihood = -F.col("n") / 2 * F.log(spread) + (F.col("power") - 1) * F.col("logs")
+    return fits.orderBy(likelihood.desc(), "power").first()["power"]
 
 
 def box_cox_power(df: DataFrame, value: str) -> float:
     """Maximum-likelihood power to three decimals: a coarse grid, then two finer ones around the best.
 
-    Runs three jobs; each returns a single number.
+    Runs four small jobs; each returns a single number.
     """
+    known = df.select(F.col(value).alias("_x"), F.log(value).alias("_log")).where(F.col("_x") > 0)
+    centre = known.agg(F.avg("_x")).first()[0]
+    if centre is None:
+        raise ValueError(f"no positive value in {value}")
     low, high = POWER_RANGE
-    power = _best_power(df, value, [round(low + i / 10, 1) for i in range(round((high - low) * 10) + 1)])
+    tenths = [round(low + i / 10, 1) for i in range(round((high - low) * 10) + 1)]
+    power = _best_power(known, centre, tenths)
     for step in (100, 1000):
-        power = _best_power(df, value, [round(power + k / step, 3) for k in range(-10, 11)])
+        power = _best_power(known, centre, [round(power + k / step, 3) for k in range(-10, 11)])
     return power
 
 
@@ -201,7 +208,7 @@ def boxcox_normalise(df: DataFrame, value: str, name: str) -> DataFrame:
     """Box-Cox transform at the best power, then z-scores. Values that are not positive give null."""
     power = box_cox_power(df, value)
     positive = F.when(F.col(value) > 0, F.col(value))
-    moved = df.withColumns({name + "_power": F.lit(power), "_raw": box_cox(positive, power)})
+    moved = df.withColumns({name + "_power": F.lit(power), "_raw": box_cox(positive, F.log(positive), F.lit(power))})
     return standardise(moved, ["_raw"], "_z").withColumnRenamed("_raw_z", name).drop("_raw")
 
 
