@@ -200,7 +200,8 @@ def box_cox_power(df: DataFrame, value: str) -> float:
     tenths = [round(low + i / 10, 1) for i in range(round((high - low) * 10) + 1)]
     power = _best_power(known, centre, tenths)
     for step in (100, 1000):
-        power = _best_power(known, centre, [round(power + k / step, 3) for k in range(-10, 11)])
+        around = [round(power + k / step, 3) for k in range(-10, 11)]
+        power = _best_power(known, centre, [p for p in around if low <= p <= high])
     return power
 
 

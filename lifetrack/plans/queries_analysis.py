@@ -222,10 +222,10 @@ def orq_in_blocks(spark, folder):
     g1 AS (SELECT round(cast(i AS double) / 10, 1) AS p FROM range(-10, 21) t(i)),
     b1 AS (SELECT p FROM (SELECT p, -count(*) / 2.0 * ln(var_pop(CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END))
              + (p - 1) * sum(lv) AS fit FROM x, g1 GROUP BY p) ORDER BY fit DESC, p LIMIT 1),
-    g2 AS (SELECT round(p + cast(i AS double) / 100, 3) AS p FROM b1, range(-10, 11) t(i)),
+    g2 AS (SELECT round(p + cast(i AS double) / 100, 3) AS p FROM b1, range(-10, 11) t(i) WHERE p + cast(i AS double) / 100 BETWEEN -1 AND 2),
     b2 AS (SELECT p FROM (SELECT p, -count(*) / 2.0 * ln(var_pop(CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END))
              + (p - 1) * sum(lv) AS fit FROM x, g2 GROUP BY p) ORDER BY fit DESC, p LIMIT 1),
-    g3 AS (SELECT round(p + cast(i AS double) / 1000, 3) AS p FROM b2, range(-10, 11) t(i)),
+    g3 AS (SELECT round(p + cast(i AS double) / 1000, 3) AS p FROM b2, range(-10, 11) t(i) WHERE p + cast(i AS double) / 1000 BETWEEN -1 AND 2),
     b3 AS (SELECT p FROM (SELECT p, -count(*) / 2.0 * ln(var_pop(CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END))
              + (p - 1) * sum(lv) AS fit FROM x, g3 GROUP BY p) ORDER BY fit DESC, p LIMIT 1),
     y AS (SELECT event_id, p, CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END AS t FROM x, b3)
