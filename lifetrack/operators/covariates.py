@@ -15,6 +15,7 @@ from ..functions.columns import contains_any, ifelse, sum_strict
 from ..functions.dates import (
     NARROW_WINTER, days_between, days_between_local, midpoint_days, season, season_from_index,
 )
+from ..session import settle
 from .joins import lookup, merge
 from .ordered import first_by, nearest_known
 from .periods import overlap_join
@@ -400,7 +401,8 @@ def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, **limits) -> Da
     placed = series.where(F.col("season").isNotNull()).withColumn(
         "midpoint", F.coalesce("midpoint", F.lit(UNDATED))
     )
-    near = nearest_known(placed, ["location", "season"], "midpoint", "period", "quality", **limits)
+    # Counted, perhaps split, then filled: the completed series is written once.
+    near = nearest_known(settle(placed), ["location", "season"], "midpoint", "period", "quality", **limits)
     ahead = F.coalesce("next_known", "prev_known")
     back = F.coalesce("prev_known", "next_known")
     return near.select("location", "period", "season", ((ahead + back) / 2).alias("quality"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .skew import spread_hot
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], null_safe: bool) -> Column:
     """Equality of paired columns, optionally with null equal to null."""
@@ -92,44 +93,46 @@ def lookup(
     return df.join(side, cond, how).drop(*["_k_" + k for k in on.values()])
 
 
-def join_spread(
-    rows: DataFrame, per_key: DataFrame, by: Iterable[str], spread_on: str, parts: int = 16
+def merge_hot(
+    rows: DataFrame,
+    per_key: DataFrame,
+    by: Iterable[str],
+    how: str = "inner",
+    *,
+    null_safe: bool = False,
+    spread_on: Iterable[str] | None = None,
+    **limits,
 ) -> DataFrame:
-    """Inner join of many rows per key with one row per key, hot keys spread over ``parts`` tasks.
+    """Join rows with a table of one row per key, a hot key's rows in several tasks.
 
-    Each row takes a part from a hash of ``spread_on``; the one-row side is
-    repeated once per part. Use it before a per-key selection: the next exchange
-    then sees rows of a hot key in several tasks and reduces them there first.
+    ``how`` is inner, left, left_semi or left_anti.
     """
-    by = list(by)
-    part = F.pmod(F.xxhash64(spread_on), F.lit(parts)).cast("int")
-    repeated = per_key.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    joined = merge(rows.withColumn("_part", part), repeated, [*by, "_part"], null_safe=False)
-    return joined.drop("_part")
+    rows, per_key, keys = spread_hot(rows, per_key, by, spread_on, **limits)
+    return merge(rows, per_key, keys, how, null_safe=null_safe).drop("_part")
 
 
-def keep_groups(df: DataFrame, keys: Iterable[str], test) -> DataFrame:
+def keep_groups(df: DataFrame, keys: Iterable[str], test, **limits) -> DataFrame:
     """Rows of the groups whose row count passes ``test(count)``.
 
     Counts are pre-aggregated, so the rows themselves are only filtered.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(test(F.col("_n")))
-    return semi(df, sizes, keys, null_safe=True)
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(test(F.col("_n"))).select(*keys)
+    return merge_hot(df, sizes, keys, "left_semi", null_safe=True, **limits)
 
 
-def keep_group_max(df: DataFrame, keys: Iterable[str], column: str) -> DataFrame:
+def keep_group_max(df: DataFrame, keys: Iterable[str], column: str, **limits) -> DataFrame:
     """Rows equal to their group's largest value, ties kept."""
     keys = list(keys)
-    top = df.groupBy(*keys).agg(F.max(column).alias(column)).where(F.col(column).isNotNull())
-    return semi(df, top, [*keys, column], null_safe=False)
+    top = df.groupBy(*keys).agg(F.max(column).alias("_top"))
+    return merge_hot(df, top, keys, null_safe=True, **limits).where(F.col(column) == F.col("_top")).drop("_top")
 
 
-def with_group_count(df: DataFrame, keys: Iterable[str], name: str) -> DataFrame:
+def with_group_count(df: DataFrame, keys: Iterable[str], name: str, **limits) -> DataFrame:
     """Add the row count of each row's group."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return merge(df, sizes, keys, null_safe=True)
+    return merge_hot(df, sizes, keys, null_safe=True, **limits)
 
 
 def equal_tables(left: DataFrame, right: DataFrame) -> DataFrame:

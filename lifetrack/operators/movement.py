@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import two_codes
 from ..functions.dates import WIDE_WINTER, midpoint_date, month_abbr, season
-from .joins import anti, join_spread, lookup
+from .joins import anti, lookup, merge_hot
 from .ordered import first_by, last_by
 from .periods import previous_period
 from .residency import DOMINANT, DOMINANT_AT_HOME, FLOATING, SUBORDINATE
@@ -73,7 +73,9 @@ def sighting_dates(moved: DataFrame, sightings: DataFrame) -> DataFrame:
     )
 
 
-def last_at_origin(moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+def last_at_origin(
+    moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING, **limits
+) -> DataFrame:
     """Per mover: the latest-ending row at the origin, and its status.
 
     It must not start after the destination period ends; for floaters it must not
@@ -81,7 +83,7 @@ def last_at_origin(moved: DataFrame, residency: DataFrame, floating: Iterable[st
     """
     ends = moved.select("entity", F.col("origin").alias("location"), "dest_end", _floats(floating).alias("_floats"))
     rows = residency.select("entity", "location", "tie", *LAST_ROW)
-    at_origin = join_spread(rows, ends, ["entity", "location"], "tie")
+    at_origin = merge_hot(rows, ends, ["entity", "location"], spread_on=["tie"], **limits)
     late = F.when(F.col("_floats"), F.col("dest_end") < F.col("period_end")).otherwise(
         F.col("period_start") > F.col("dest_end")
     )
@@ -89,13 +91,17 @@ def last_at_origin(moved: DataFrame, residency: DataFrame, floating: Iterable[st
     return last.select("entity", *[F.col(c).alias(name) for c, name in LAST_ROW.items()])
 
 
-def with_settled(floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+def with_settled(
+    floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING, **limits
+) -> DataFrame:
     """Per floater: the end of its last floating period and the first row ending after it."""
     float_end = residency.where(F.col("status").isin(list(floating))).groupBy("entity").agg(
         F.max("period_end").alias("float_end")
     )
     ends = lookup(floaters.select("entity"), float_end, {"entity": "entity"}, {"float_end": "float_end"}, "inner")
-    after = join_spread(residency, ends, ["entity"], "tie").where(F.col("period_end") > F.col("float_end"))
+    after = merge_hot(residency, ends, ["entity"], spread_on=["tie"], **limits).where(
+        F.col("period_end") > F.col("float_end")
+    )
     settled = first_by(after, ["entity"], "period_end", "tie")
     return settled.select("entity", "float_end", *[F.col(c).alias(n) for c, n in DESTINATION.items()])
 

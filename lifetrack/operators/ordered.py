@@ -1,9 +1,11 @@
 """First, last and n-th rows, running totals and gap filling inside groups.
 
-Picking a few rows per group filters on ``row_number() <= n``, which Spark
-limits on the map side before the exchange, so a hot group sends only n rows
-per task. Rules that need every row in order (running totals, fills) split hot
-groups into ordered blocks first: see ``split_hot_groups``.
+The first or last row of a group is the smallest or largest struct of its
+columns: an aggregate, so each task reduces a hot group to one row before the
+exchange, also behind a join that Spark splits for skew. The n-th row filters on
+``row_number() = n``, which Spark limits to n rows per group and task. Rules that
+need every row in order (running totals, fills) split hot groups into ordered
+blocks first: see ``split_hot_groups``.
 """
 
 from __future__ import annotations
@@ -14,56 +16,42 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import merge, semi
+from .skew import MIN_HOT_ROWS, block_count, hot_groups
 
-MIN_HOT_ROWS = 1_000_000
-MIN_BLOCKS = 256
 
-
-def _order(columns: Iterable[Column | str]) -> list[Column]:
-    return [F.asc_nulls_last(c) if isinstance(c, str) else c for c in columns]
-
-
-def _ranked(df: DataFrame, keys: Iterable[str], order, tie: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*_order(order), F.asc(tie))
-    return df.withColumn("_rn", F.row_number().over(w))
-
-
-def first_n(df: DataFrame, keys, order, tie: str, n: int) -> DataFrame:
-    """The first n rows of each group, numbered in ``_rn``; nulls order last."""
-    return _ranked(df, keys, order, tie).where(F.col("_rn") <= n)
-
-
-def nth_by(df: DataFrame, keys, order, tie: str, n: int) -> DataFrame:
-    """The n-th row of each group; smaller groups drop out."""
-    return _ranked(df, keys, order, tie).where(F.col("_rn") == n).drop("_rn")
+def _pick(df: DataFrame, keys: Iterable[str], place, best) -> DataFrame:
+    """One row per group: the one whose ``place`` columns are smallest or largest."""
+    keys = list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    row = F.struct(*[e.alias(f"_{i}") for i, e in enumerate(place)], *rest)
+    picked = df.groupBy(*keys).agg(best(row).alias("_row"))
+    return picked.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
 def first_by(df: DataFrame, keys, order: str, tie: str) -> DataFrame:
-    """The row with the smallest ``order`` per group, ties broken by ``tie``.
+    """The row with the smallest ``order`` per group, ties broken by the smallest ``tie``.
 
     Null values never win; a group holding only nulls disappears.
     """
-    return nth_by(df.where(F.col(order).isNotNull()), keys, [order], tie, 1)
+    return _pick(df.where(F.col(order).isNotNull()), keys, [F.col(order), F.col(tie)], F.min)
 
 
-def last_by(df: DataFrame, keys, order: str, tie: str, then: Iterable[Column] = ()) -> DataFrame:
-    """The row with the largest ``order`` per group; ties go to ``then``, then the smallest ``tie``."""
-    return nth_by(df.where(F.col(order).isNotNull()), keys, [F.desc(order), *then], tie, 1)
+def last_by(df: DataFrame, keys, order: str, tie: str) -> DataFrame:
+    """The row with the largest ``order`` per group, ties broken by the smallest ``tie``, a whole number."""
+    place = [F.col(order), F.bitwise_not(F.col(tie))]
+    return _pick(df.where(F.col(order).isNotNull()), keys, place, F.max)
 
 
-def drop_first_dup(df: DataFrame, keys, order, tie: str) -> DataFrame:
+def drop_first_dup(df: DataFrame, keys, order: str, tie: str) -> DataFrame:
     """Keep the earliest row per key; null order values come last but count."""
-    return nth_by(df, keys, order, tie, 1)
+    place = [F.col(order).isNull(), F.col(order), F.col(tie)]
+    return _pick(df, keys, place, F.min)
 
 
-def hot_groups(df: DataFrame, keys: list[str], min_rows: int, blocks: int) -> DataFrame:
-    """Keys of groups above ``min_rows`` and above 1/blocks of all rows.
-
-    At most ``blocks`` keys can qualify, whatever the size of the data.
-    """
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = sizes.agg(F.sum("_n")).scalar()
-    return sizes.where((F.col("_n") > min_rows) & (F.col("_n") * blocks > total)).select(*keys)
+def nth_by(df: DataFrame, keys, order: str, tie: str, n: int) -> DataFrame:
+    """The n-th row of each group, nulls ordered last; smaller groups drop out."""
+    w = Window.partitionBy(*keys).orderBy(F.asc_nulls_last(order), F.asc(tie))
+    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == n).drop("_rn")
 
 
 def _bucket(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
@@ -97,15 +85,14 @@ def split_hot_groups(
     cold = df.withColumn("_block", F.lit(0).cast("long"))
     if df.count() <= min_rows:
         return cold, False
-    if blocks is None:
-        blocks = max(MIN_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = block_count(df, blocks)
     keyed = keys or ["_all"]
     rows = df if keys else df.withColumn("_all", F.lit(0))
     ordinal = lambda c: (
         F.unix_date(c) if dict(df.dtypes)[c] == "date" else F.col(c)
     ).cast("double")
     rows = rows.withColumns({"_o": ordinal(order), "_t": ordinal(tie)})
-    hot = hot_groups(rows, keyed, min_rows, blocks)
+    hot = hot_groups(rows, keyed, min_rows, blocks).select(*keyed)
     hot_rows = semi(rows, F.broadcast(hot), keyed, null_safe=True)
     steps = [i / blocks for i in range(1, blocks)]
     by_order, by_tie = hot_rows.approxQuantile(["_o", "_t"], steps, 0.25 / blocks)

@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import lookup
 
-SMALL_ROWS = 100_000
-
 
 def period_chain(periods: DataFrame, exclude: Iterable = ()) -> DataFrame:
     """Each period with its ordinal and its previous and second-previous period.
@@ -46,11 +44,6 @@ def previous_period(
     )
 
 
-def is_small(df: DataFrame, limit: int = SMALL_ROWS) -> bool:
-    """Whether the table has at most ``limit`` rows."""
-    return df.count() <= limit
-
-
 def overlap_join(
     spans: DataFrame,
     periods: DataFrame,
@@ -58,20 +51,17 @@ def overlap_join(
     period: tuple[str, str],
     *,
     bucket_days: int = 90,
-    small_rows: int = SMALL_ROWS,
 ) -> DataFrame:
     """Pairs with ``period end >= span from`` and ``span to >= period start``.
 
-    A period table of checked size is broadcast. A larger one is joined on
-    fixed-width time buckets: every interval is listed under the buckets it
-    touches, from the smaller to the larger endpoint, because a span whose
-    ``from`` lies after its ``to`` can still match a period covering both. A
-    pair that shares several buckets is kept in the latest of the two first ones.
+    Both sides are listed under the fixed-width time buckets they touch and
+    joined on the bucket, an equality Spark can hash, broadcast by its own size
+    check, or split for skew. Buckets run from the smaller to the larger
+    endpoint, because a span whose ``from`` lies after its ``to`` still matches a
+    period covering both. A pair sharing several buckets is kept in the first
+    bucket both touch. Intervals with a missing end match nothing.
     """
     (lo, hi), (start, end) = span, period
-    exact = (F.col(end) >= F.col(lo)) & (F.col(hi) >= F.col(start))
-    if is_small(periods, small_rows):
-        return spans.join(F.broadcast(periods), exact)
 
     def listed(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
         number = lambda c: F.floor(F.unix_date(c) / F.lit(bucket_days))
@@ -79,8 +69,7 @@ def overlap_join(
         known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn(name, first)
         return known.withColumn("_bucket", F.explode(F.sequence(F.col(name), last)))
 
-    left = listed(spans, lo, hi, "_first_l")
-    right = listed(periods, start, end, "_first_r")
-    joined = left.join(right, "_bucket").where(exact)
-    once = joined.where(F.col("_bucket") == F.greatest("_first_l", "_first_r"))
-    return once.drop("_bucket", "_first_l", "_first_r")
+    joined = listed(spans, lo, hi, "_first_l").join(listed(periods, start, end, "_first_r"), "_bucket")
+    once = F.col("_bucket") == F.greatest("_first_l", "_first_r")
+    exact = (F.col(end) >= F.col(lo)) & (F.col(hi) >= F.col(start))
+    return joined.where(once & exact).drop("_bucket", "_first_l", "_first_r")

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .joins import merge
+from .joins import merge_hot
 from .ordered import first_by, nearest_known, running_total
 
 
@@ -63,7 +63,7 @@ def hpd_interval(
         F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(prob)).cast("long"))
     )
     spans = sizes.withColumn("_span", span)
-    candidates = merge(runs, spans, keys, null_safe=False).where(
+    candidates = merge_hot(runs, spans, keys, **limits).where(
         F.col("_start") + F.col("_span") <= F.col("n")
     )
     axis = runs.select(

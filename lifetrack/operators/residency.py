@@ -9,7 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import recode
-from .joins import anti, keep_groups
+from .joins import anti, keep_groups, merge_hot
 from .ordered import drop_first_dup, first_by, last_by, nth_by
 
 # Status codes of the residency tables.
@@ -73,7 +73,7 @@ def location_conflicts(residency: DataFrame, statuses: Iterable[str] = JUVENILE)
     return places.where(F.col("locations") > 1)
 
 
-def apply_corrections(residency: DataFrame, rules: DataFrame) -> DataFrame:
+def apply_corrections(residency: DataFrame, rules: DataFrame, **limits) -> DataFrame:
     """Replace locations by an ordered rule table.
 
     ``rules`` holds ``rule, entity, status, period, location, new_location``; a
@@ -82,7 +82,7 @@ def apply_corrections(residency: DataFrame, rules: DataFrame) -> DataFrame:
     ordered array, so rows are neither multiplied nor numbered.
     """
     fields = ("rule", "status", "period", "location", "new_location")
-    packed = rules.groupBy(F.col("entity").alias("_entity")).agg(
+    packed = rules.groupBy("entity").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("_rules")
     )
     packed = packed.withColumn(
@@ -97,11 +97,11 @@ def apply_corrections(residency: DataFrame, rules: DataFrame) -> DataFrame:
         match = fits("status", F.col("status")) & fits("period", F.col("period")) & fits("location", current)
         return F.when(match, rule["new_location"]).otherwise(current)
 
-    joined = residency.join(packed, F.col("entity") == F.col("_entity"), "left")
+    joined = merge_hot(residency, packed, ["entity"], "left", spread_on=["tie"], **limits)
     corrected = F.when(F.col("_rules").isNull(), F.col("location")).otherwise(
         F.aggregate("_rules", F.col("location"), step)
     )
-    return joined.withColumn("location", corrected).drop("_entity", "_rules")
+    return joined.withColumn("location", corrected).drop("_rules")
 
 
 def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity") -> DataFrame:
@@ -112,19 +112,23 @@ def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity") ->
     return df.join(side, reduce(lambda a, b: a & b, wild, F.col(key) == F.col("_p_" + key)), "left_anti")
 
 
-def resolve_fostered(residency: DataFrame, fostered: str = FOSTERED, young: str = CHICK) -> DataFrame:
+def resolve_fostered(
+    residency: DataFrame, fostered: str = FOSTERED, young: str = CHICK, **limits
+) -> DataFrame:
     """For entities moved as young: drop their rows at the old place, keep the new place as their own."""
-    moved = residency.where(F.col("status") == fostered).select(F.col("entity").alias("_moved")).distinct()
-    old_place = F.coalesce(F.col("status") == young, F.lit(True))
-    kept = residency.join(moved, (F.col("entity") == F.col("_moved")) & old_place, "left_anti")
-    return kept.withColumn(
+    ids = residency.where(F.col("status") == fostered).select("entity").distinct()
+    flagged = merge_hot(
+        residency, ids.withColumn("_moved", F.lit(True)), ["entity"], "left", spread_on=["tie"], **limits
+    )
+    old_place = F.col("_moved").isNotNull() & F.coalesce(F.col("status") == young, F.lit(True))
+    return flagged.where(~old_place).drop("_moved").withColumn(
         "status", F.when(F.col("status") == fostered, F.lit(young)).otherwise(F.col("status"))
     )
 
 
 def distinct_locations(residency: DataFrame) -> DataFrame:
     """The earliest row of each entity at each location."""
-    return drop_first_dup(residency, ["entity", "location"], ["period_start"], "tie")
+    return drop_first_dup(residency, ["entity", "location"], "period_start", "tie")
 
 
 def movers(residency: DataFrame) -> DataFrame:
@@ -139,7 +143,7 @@ def non_movers(residency: DataFrame) -> DataFrame:
 
 def second_location(residency: DataFrame) -> DataFrame:
     """The second distinct location of each mover in order of first residence: its destination."""
-    return nth_by(distinct_locations(residency), ["entity"], ["period_start"], "tie", 2)
+    return nth_by(distinct_locations(residency), ["entity"], "period_start", "tie", 2)
 
 
 def origin_location(residency: DataFrame) -> DataFrame:

@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normal import norm_quantile
-from .joins import merge
+from ..session import settle
+from .joins import merge_hot
 from .ordered import running_total
 
 # Search range of the Box-Cox power.
@@ -127,10 +128,15 @@ def vif(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return row.mapInPandas(invert, "variable string, vif double")
 
 
-def standardise(df: DataFrame, columns: Iterable[str], suffix: str = "_scaled") -> DataFrame:
-    """Add z-scores: centred on the mean, divided by the sample sd, nulls ignored."""
+def standardise(
+    df: DataFrame, columns: Iterable[str], suffix: str = "_scaled", over: DataFrame | None = None
+) -> DataFrame:
+    """Add z-scores: centred on the mean, divided by the sample sd, nulls ignored.
+
+    Mean and sd come from ``over``, by default the rows themselves.
+    """
     columns = list(columns)
-    moments = df.agg(F.struct(*[
+    moments = (df if over is None else over).agg(F.struct(*[
         F.struct(F.avg(c).alias("mean"), F.stddev_samp(c).alias("sd")).alias(c) for c in columns
     ])).scalar()
     z = lambda c: (F.col(c) - moments[c]["mean"]) / moments[c]["sd"]
@@ -138,11 +144,9 @@ def standardise(df: DataFrame, columns: Iterable[str], suffix: str = "_scaled")
 
 
 def standardise_entities(df: DataFrame, columns: Iterable[str], suffix: str = "_scaled") -> DataFrame:
-    """Z-scores over distinct entity rows, attached to every row of the entity."""
+    """Z-scores of repeated rows, with mean and sd over the distinct rows per entity."""
     columns = list(columns)
-    unique = df.select("entity", *columns).distinct()
-    scaled = standardise(unique, columns, suffix)
-    return merge(df, scaled, ["entity", *columns])
+    return standardise(df, columns, suffix, over=df.select("entity", *columns).distinct())
 
 
 def orq_normalise(df: DataFrame, value: str, name: str, **limits) -> DataFrame:
@@ -151,15 +155,15 @@ def orq_normalise(df: DataFrame, value: str, name: str, **limits) -> DataFrame:
     Equal values are counted together before ranking, so ties never meet in one
     task and the ranking works on distinct values only.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
+    known = df.where(F.col(value).isNotNull())
+    # Counted, perhaps split, then ranked: the distinct values are written once.
+    counts = settle(known.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
     ranked = running_total(counts, [], "_v", "_n", F.col("_n"), "_upto", **limits)
     total = counts.agg(F.sum("_n")).scalar()
     average = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
     placed = ranked.select("_v", ((average - 0.5) / total).alias("_p"))
-    scores = placed.select("_v", norm_quantile("_p").alias(name))
-    return df.join(scores, F.col(value) == F.col("_v"), "left").drop("_v")
+    scores = placed.select(F.col("_v").alias(value), norm_quantile("_p").alias(name))
+    return merge_hot(df, scores, [value], "left", **limits)
 
 
 def box_cox(x: Column, log_x: Column, power: Column) -> Column:

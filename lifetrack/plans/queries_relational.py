@@ -531,7 +531,7 @@ def range_join_exposure(spark, folder):
 def range_join_bucketed(spark, folder):
     trips = star.trips(spark, folder).withColumn("last_start", F.col("dest_start"))
     lived = residence_periods(
-        trips, star.births(spark, folder), star.months(spark, folder), 5, small_rows=0
+        trips, star.births(spark, folder), star.months(spark, folder), 5, bucket_days=7
     )
     return lived.groupBy("entity").agg(
         F.count(F.lit(1)).alias("periods"), F.min("period").alias("first_period")

@@ -54,11 +54,19 @@ def test_equal_tables_counts_duplicates(spark):
     assert (report.unmatched_rows, report.equal) == (1, False)
 
 
-def test_spread_join_equals_plain_join(spark):
+def test_hot_keys_do_not_change_joins(spark):
     facts = spark.range(5000).select(
-        F.when(F.col("id") % 3 > 0, 0).otherwise(F.col("id") % 50).alias("k"), F.col("id").alias("tie")
+        F.when(F.col("id") % 3 > 0, 0).when(F.col("id") % 30 == 0, None).otherwise(F.col("id") % 50).alias("k"),
+        F.col("id").alias("tie"), (F.col("id") % 11).alias("v"),
     )
-    keys = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
-    spread = joins.join_spread(facts, keys, ["k"], "tie", parts=8)
-    plain = facts.join(keys, "k")
-    assert joins.equal_tables(plain.select("k", "tie", "v"), spread.select("k", "tie", "v")).first().equal
+    keys = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
+    hot = {"min_rows": 50, "blocks": 16}
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        plain = joins.merge(facts, keys, ["k"], how, null_safe=False)
+        assert joins.equal_tables(plain, joins.merge_hot(facts, keys, ["k"], how, **hot)).first().equal
+    for run in (
+        lambda **x: joins.keep_groups(facts, ["k"], lambda n: n > 60, **x),
+        lambda **x: joins.with_group_count(facts, ["k"], "n", **x),
+        lambda **x: joins.keep_group_max(facts, ["k"], "v", **x),
+    ):
+        assert joins.equal_tables(run(), run(**hot)).first().equal

@@ -6,8 +6,12 @@ import re
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from lifetrack.operators.joins import equal_tables
+from lifetrack.operators.movement import with_settled
+from lifetrack.operators.skew import spread_hot
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(__file__).resolve().parent.parent / "lifetrack"
@@ -20,16 +24,45 @@ def plan(spark, name):
     return text.getvalue()
 
 
-PICKS = ["second_location", "origin_location", "last_location", "first_dup_kept", "preferred_measurement"]
+def test_nth_row_is_limited_before_the_exchange(spark):
+    text = plan(spark, "second_location")
+    assert re.findall(r"WindowGroupLimit", text) and "Partial" in text
 
 
-@pytest.mark.parametrize("name", PICKS)
-def test_picks_are_limited_before_the_exchange(spark, name):
+@pytest.mark.parametrize("name", ["origin_location", "last_location", "first_dup_kept", "preferred_measurement"])
+def test_picks_are_partial_aggregates(spark, name):
     text = plan(spark, name)
-    assert len(re.findall(r"WindowGroupLimit", text)) >= 2
+    assert "partial_min" in text or "partial_max" in text
+    assert "Window" not in text
+
+
+def test_hot_entity_is_dealt_to_parts_and_reduced_before_the_exchange(spark):
+    rows = spark.range(0, 60_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 4000).alias("entity"),
+        F.lit("A").alias("location"), F.when(F.col("id") % 50 == 0, "FLOAT").otherwise("H").alias("status"),
+        (F.col("id") % 100).cast("int").alias("period"),
+        F.date_from_unix_date((F.col("id") % 1000).cast("int")).alias("period_start"),
+        F.date_from_unix_date((F.col("id") % 1000 + 1).cast("int")).alias("period_end"),
+        F.col("id").alias("tie"),
+    )
+    entities = rows.select("entity").distinct()
+    plain = with_settled(entities, rows)
+    limits = {"min_rows": 100, "blocks": 64}
+    spread = with_settled(entities, rows, **limits)
+    assert equal_tables(plain, spread).first().equal
+    dealt, repeated, keys = spread_hot(rows, entities, ["entity"], ["tie"], **limits)
+    assert keys == ["entity", "_part"]
+    parts = [r["count"] for r in dealt.where("entity = 0").groupBy("_part").count().collect()]
+    hot = rows.where("entity = 0").count()
+    assert len(parts) > 15 and max(parts) < hot / 10
+    assert repeated.count() == entities.count() + len(parts) - 1
+    text = io.StringIO()
+    with contextlib.redirect_stdout(text):
+        spread.explain()
+    assert "partial_min" in text.getvalue()
 
 
-WHOLE = ["movement_events", "movement_table_full", "collate_wide", "group_size", "distance", "day_range_proximity", "orq", "hpd"]
+WHOLE = ["movement_events", "movement_table_full", "collate_wide", "group_size", "distance", "day_range_proximity", "orq", "hpd", "range_join_exposure"]
 
 
 @pytest.mark.parametrize("name", WHOLE)
