@@ -147,13 +147,14 @@ def nearest_known(
     """Add the last known value up to each row and the first known one from it on."""
     keys = list(keys)
     rows, split = split_hot_groups(df, keys, order, tie, **limits)
-    w = Window.partitionBy(*keys, "_block").orderBy(F.asc(order), F.asc(tie))
-    past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    future = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    out = rows.withColumns({
-        before: F.last(value, ignorenulls=True).over(past),
-        after: F.first(value, ignorenulls=True).over(future),
-    })
+    # Looking ahead is looking back in reverse order: a frame reaching forward to
+    # the end would be computed anew for every row.
+    w = Window.partitionBy(*keys, "_block")
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    past = w.orderBy(F.asc(order), F.asc(tie)).rowsBetween(*so_far)
+    future = w.orderBy(F.desc(order), F.desc(tie)).rowsBetween(*so_far)
+    known = F.last(value, ignorenulls=True)
+    out = rows.withColumns({before: known.over(past), after: known.over(future)})
     if split:
         place = F.struct(order, tie)
         known = rows.where((F.col("_block") > 0) & F.col(value).isNotNull())
@@ -166,14 +167,13 @@ def nearest_known(
             [*keys, "_block"],
             "left",
         )
-        b = Window.partitionBy(*keys).orderBy("_block")
+        b, others = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+        carry = lambda c, order: F.last(c, ignorenulls=True).over(b.orderBy(order).rowsBetween(*others))
         carried = ends.select(
             *keys,
             "_block",
-            F.last("_last", ignorenulls=True)
-            .over(b.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry_before"),
-            F.first("_first", ignorenulls=True)
-            .over(b.rowsBetween(1, Window.unboundedFollowing)).alias("_carry_after"),
+            carry("_last", F.asc("_block")).alias("_carry_before"),
+            carry("_first", F.desc("_block")).alias("_carry_after"),
         )
         out = merge(out, carried, [*keys, "_block"], "left").withColumns({
             before: F.coalesce(before, "_carry_before"),

@@ -74,5 +74,7 @@ def hpd_interval(
         F.lit(None).cast("double").alias("value"), F.col("value").alias("lower"), "n",
     ))
     placed = nearest_known(axis, keys, "_rank", "_side", "value", before="upper", **limits)
-    intervals = placed.where(F.col("_side") == 1).withColumn("width", F.col("upper") - F.col("lower"))
-    return first_by(intervals, keys, "width", "lower").select(*keys, "n", "lower", "upper", "width")
+    intervals = placed.where(F.col("_side") == 1).select(
+        *keys, "n", "lower", "upper", (F.col("upper") - F.col("lower")).alias("width")
+    )
+    return first_by(intervals, keys, "width", "lower")

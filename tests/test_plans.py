@@ -79,6 +79,12 @@ def test_filters_and_columns_reach_the_scan(spark):
         assert "props" not in schema
 
 
+@pytest.mark.parametrize("name", ["gap_fill_by_season", "gap_fill_hot_locations", "fill_directions", "hpd", "row_in_group"])
+def test_no_window_frame_reaches_forward_to_the_end(spark, name):
+    """Spark computes such frames anew for every row."""
+    assert "unboundedfollowing" not in plan(spark, name)
+
+
 def test_sources_hold_no_local_checkpoints_or_row_collects():
     for path in PACKAGE.rglob("*.py"):
         text = path.read_text()
