@@ -16,7 +16,7 @@ from ..functions.dates import (
     NARROW_WINTER, days_between, days_between_local, midpoint_days, season, season_from_index,
 )
 from ..session import settle
-from .joins import lookup, merge
+from .joins import lookup, merge, merge_hot
 from .ordered import first_by, nearest_known
 from .periods import overlap_join
 from .residency import NOT_SEEN, apply_exclusions
@@ -167,9 +167,13 @@ def population_by_period(statuses: DataFrame) -> DataFrame:
 
 
 def with_population(movement: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Population in the last origin period."""
+    """Population in the last origin period.
+
+    The counts are settled, so that Spark sees how small they are and does not
+    shuffle the movement rows by period.
+    """
     values = {"population_all": "population_all", "population_old": "population_old"}
-    return lookup(movement, population_by_period(statuses), {"last_period": "period"}, values)
+    return lookup(movement, settle(population_by_period(statuses)), {"last_period": "period"}, values)
 
 
 def group_sizes(
@@ -199,6 +203,7 @@ def group_sizes(
 def with_group_size(movement: DataFrame, sizes: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
     """Group size at the origin in the last period, else in the second-last one.
 
+    ``sizes`` is looked up twice: settle it if it was just aggregated.
     ``overrides`` holds ``entity, skip_last, blank, group_all, group_old``:
     ignore the last period, blank both sizes, or replace a size where given.
     """
@@ -286,7 +291,7 @@ def with_distance(movers: DataFrame, places: DataFrame) -> DataFrame:
 
     Each value is that of the destination period, else of the last origin
     period. ``places`` holds one row per location and period: easting,
-    northing, size.
+    northing, size. It is looked up four times: settle it if it was derived.
     """
     out = movers
     for place, side in (("origin", "_o"), ("dest_location", "_d")):
@@ -368,10 +373,10 @@ def tests_in_last_period(movement: DataFrame, tests: DataFrame) -> DataFrame:
     return tested.select("entity", "tests")
 
 
-def tests_near_event(movement: DataFrame, tests: DataFrame, days: int) -> DataFrame:
+def tests_near_event(movement: DataFrame, tests: DataFrame, days: int, **limits) -> DataFrame:
     """Tests within ``days`` whole days on either side of the entity's event."""
     dated = movement.where(F.col("event_date").isNotNull()).select("entity", "event_date")
-    pairs = merge(dated, test_records(tests), ["entity"], null_safe=False)
+    pairs = merge_hot(test_records(tests), dated, ["entity"], **limits)
     gap = days_between("date", "event_date")
     return pairs.withColumn("days_to_event", gap).where(F.col("days_to_event").between(-days, days))
 
@@ -409,7 +414,7 @@ def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, **limits) -> Da
 
 
 def with_quality(movement: DataFrame, quality: DataFrame) -> DataFrame:
-    """Quality of both places in both periods: four roles of one table."""
+    """Quality of both places in both periods: four roles of one table, settled if it was derived."""
     out = movement
     for place, place_name in (("dest_location", "dest"), ("origin", "origin")):
         for period, period_name in (("dest_period", "dest"), ("last_period", "last")):

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import cast_columns, ifelse
-from .joins import merge
+from .joins import merge, merge_hot
 from .ordered import numbered
 
 
@@ -25,9 +25,9 @@ def complete_for(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def attach_transformed(df: DataFrame, transformed: DataFrame) -> DataFrame:
+def attach_transformed(df: DataFrame, transformed: DataFrame, **limits) -> DataFrame:
     """Merge transformed per-entity responses back, by entity alone."""
-    return merge(df, transformed, ["entity"], "left", null_safe=False)
+    return merge_hot(df, transformed, ["entity"], "left", **limits)
 
 
 def align_repeats(

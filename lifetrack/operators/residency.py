@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import recode
 from .joins import anti, keep_groups, merge_hot
 from .ordered import drop_first_dup, first_by, last_by, nth_by
+from .skew import spread_hot
 
 # Status codes of the residency tables.
 CHICK = "CH"
@@ -104,12 +105,14 @@ def apply_corrections(residency: DataFrame, rules: DataFrame, **limits) -> DataF
     return joined.withColumn("location", corrected).drop("_rules")
 
 
-def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity") -> DataFrame:
+def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity", **limits) -> DataFrame:
     """Drop rows matching any pattern; a null pattern field matches anything but ``key`` must be set."""
     fields = [c for c in patterns.columns if c != key]
-    side = patterns.withColumnsRenamed({c: "_p_" + c for c in patterns.columns})
+    rows, side, keys = spread_hot(df, patterns, [key], **limits)
+    side = side.withColumnsRenamed({c: "_p_" + c for c in side.columns})
+    same = reduce(lambda a, b: a & b, [F.col(k) == F.col("_p_" + k) for k in keys])
     wild = [F.col("_p_" + c).isNull() | (F.col("_p_" + c) == F.col(c)) for c in fields]
-    return df.join(side, reduce(lambda a, b: a & b, wild, F.col(key) == F.col("_p_" + key)), "left_anti")
+    return rows.join(side, reduce(lambda a, b: a & b, wild, same), "left_anti").select(*df.columns)
 
 
 def resolve_fostered(

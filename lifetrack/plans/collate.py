@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from ..operators.joins import merge
+from ..operators.joins import merge, merge_hot
 
 
 def collate_wide(
@@ -23,6 +23,6 @@ def collate_wide(
     return out
 
 
-def with_assays(wide: DataFrame, assays: DataFrame) -> DataFrame:
+def with_assays(wide: DataFrame, assays: DataFrame, **limits) -> DataFrame:
     """One row per assay of the entities in the wide table."""
-    return merge(wide, assays, ["entity"], null_safe=False)
+    return merge_hot(assays, wide, ["entity"], **limits)

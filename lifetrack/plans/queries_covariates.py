@@ -247,7 +247,7 @@ def _with_group_size(spark, folder, base):
     statuses = star.residency(spark, folder).withColumn("status", status)
     chain = period_chain(star.months(spark, folder))
     trips = previous_period(star.trips(spark, folder), chain)
-    sizes = cov.group_sizes(statuses, base=base, no_location="5-LOW")
+    sizes = settle(cov.group_sizes(statuses, base=base, no_location="5-LOW"))
     return cov.with_group_size(trips, sizes)
 
 
@@ -351,7 +351,7 @@ def preferred_measurement(spark, folder):
 )
 def distance(spark, folder):
     places = cov.preferred_measurement(_measurements(spark, folder))
-    spots = places.where((F.col("method") == "A") & (F.col("easting") < 40))
+    spots = settle(places.where((F.col("method") == "A") & (F.col("easting") < 40)))
     return cov.with_distance(star.trips(spark, folder), spots)
 
 
@@ -391,7 +391,7 @@ def food_density(spark, folder):
     surveyed = means.where(
         ((month == 7) & ~F.col("year").isin(1997, 2001)) | ((month == 12) & (F.col("year").isin(1996, 1997)))
     )
-    by_year = cov.food_density_by_year(surveyed, star.months(spark, folder), stand_in_years=[1997])
+    by_year = settle(cov.food_density_by_year(surveyed, star.months(spark, folder), stand_in_years=[1997]))
     return cov.with_year_value(star.trips(spark, folder), by_year, "food_density")
 
 
@@ -417,7 +417,7 @@ def food_abundance(spark, folder):
         F.when(~((F.col("l_quantity") == 1) & (F.year("l_shipdate") == 1999)), F.col("l_extendedprice")).alias("food"),
     )
     calendar = star.months(spark, folder)
-    by_year = cov.food_abundance_by_year(quality, calendar)
+    by_year = settle(cov.food_abundance_by_year(quality, calendar))
     return cov.with_year_value(star.trips(spark, folder), by_year, "food_abundance", {1996: 757.7015})
 
 
@@ -555,7 +555,7 @@ def multi_lookup(spark, folder):
     quality = prices.groupBy(
         F.col("o_orderpriority").alias("location"), star.month_id("o_orderdate").alias("period")
     ).agg(F.max("o_totalprice").alias("quality")).where(F.col("quality") < 400000)
-    return cov.with_quality(star.trips(spark, folder), quality)
+    return cov.with_quality(star.trips(spark, folder), settle(quality))
 
 
 # Wide table --------------------------------------------------------------------------------------
@@ -591,12 +591,13 @@ _WIDE_SPEC = (
 
 
 def _group_sizes(history):
-    return cov.group_sizes(history, vague=[], unseen="-", no_location="-")
+    return settle(cov.group_sizes(history, vague=[], unseen="-", no_location="-"))
 
 
 def _july_food(spark, folder):
     july = read_table(spark, folder, "orders").where(F.month("o_orderdate") == 7)
-    return july.groupBy(F.year("o_orderdate").alias("year")).agg(F.max("o_totalprice").alias("food_density"))
+    by_year = july.groupBy(F.year("o_orderdate").alias("year"))
+    return settle(by_year.agg(F.max("o_totalprice").alias("food_density")))
 
 
 def _sex(spark, folder):
@@ -609,7 +610,7 @@ def wide_table(spark, folder):
     """Every covariate added to the movement table in place, in one pass over it."""
     history = star.home_residency(spark, folder)
     births, calendar = star.births(spark, folder), star.months(spark, folder)
-    out = cov.age_at_event(home_movement(spark, folder), births).drop("birth_date")
+    out = cov.age_at_event(home_movement(spark, folder, calendar), births).drop("birth_date")
     out = cov.with_population(out, history)
     out = cov.with_group_size(out, _group_sizes(history))
     out = cov.with_exposure(out, births, calendar, events=FLAGGED)
@@ -626,9 +627,9 @@ def collate_wide(spark, folder):
 @query(_WIDE_SPEC, _WIDE_SQL + " SELECT * FROM wide")
 def collate_by_entity(spark, folder):
     """The same table from separate per-entity covariate tables, joined by entity."""
-    movement = settle(home_movement(spark, folder))
     history = star.home_residency(spark, folder)
     births, calendar = star.births(spark, folder), star.months(spark, folder)
+    movement = settle(home_movement(spark, folder, calendar))
     only = lambda df, *columns: df.select("entity", *columns)
     return collate(
         only(movement, "moved", "inherit", "event_date", "event_season"),

@@ -170,12 +170,13 @@ def nonmover_subordinate(spark, folder):
     return move_ops.always_subordinate(life, chain, star.ROLES.dominant_at_home)
 
 
-def home_movement(spark, folder):
+def home_movement(spark, folder, calendar=None):
     """The movement table over the two-place history."""
     place = star.two_way_location()
     return movement_table(
         star.home_residency(spark, folder), star.sightings(spark, folder, place),
-        star.months(spark, folder), star.births(spark, folder), roles=star.ROLES,
+        star.months(spark, folder) if calendar is None else calendar,
+        star.births(spark, folder), roles=star.ROLES,
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,20 +24,28 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+_local_folders: list[tempfile.TemporaryDirectory] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for settled tables: the one the session names, else a temporary one in local mode."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    if not _local_folders:
+        _local_folders.append(tempfile.TemporaryDirectory(prefix="lifetrack-"))
+    return _local_folders[0].name
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the session's shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the session's shared folder and read it back.
 
-    For tables with several consumers. The folder is the one the cluster names
-    in ``spark.checkpoint.dir``; a temporary folder is used only when that is
-    unset and Spark runs inside one process.
+    For tables with several consumers, and for small tables derived from large
+    ones: read back, they are scanned by column and Spark knows their true size,
+    so it broadcasts those that fit its threshold without a hint.
     """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a shared folder")
-            folder = tempfile.mkdtemp(prefix="lifetrack-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{shared_folder(df.sparkSession)}/lifetrack-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

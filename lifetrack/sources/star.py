@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.dates import midpoint_date
 from ..operators.residency import StatusRoles, as_residency, life_profile
+from ..session import settle
 from .files import read_table
 
 ROLES = StatusRoles(
@@ -51,14 +52,14 @@ def home_residency(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def months(spark: SparkSession, folder: str) -> DataFrame:
-    """The period dimension: the months in which orders were placed."""
+    """The period dimension: the months in which orders were placed, as a small table of its own."""
     starts = read_table(spark, folder, "orders").select(
         month_start("o_orderdate").alias("period_start")
     ).distinct()
-    return starts.select(
+    return settle(starts.select(
         month_id("period_start").alias("period"), "period_start",
         F.last_day("period_start").alias("period_end"),
-    )
+    ))
 
 
 def births(spark: SparkSession, folder: str) -> DataFrame:

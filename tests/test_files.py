@@ -48,7 +48,11 @@ def test_write_then_read(spark, tmp_path):
         files.write_csv(df, target)
 
 
-def test_settle_uses_the_session_folder(spark):
-    df = settle(spark.range(10).selectExpr("id * 2 as x"))
-    assert spark.sparkContext.getCheckpointDir() is not None
+def test_settle_writes_into_the_named_folder(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
+    try:
+        df = settle(spark.range(10).selectExpr("id * 2 as x"))
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+    assert list(tmp_path.glob("lifetrack-*/*.parquet"))
     assert df.agg({"x": "sum"}).first()[0] == 90

@@ -53,6 +53,7 @@ def test_exclusions_match_wildcards(spark, history):
     left = r.apply_exclusions(history, patterns)
     assert history.count() - left.count() == 2
     assert [x.period for x in left.where("entity = 2").orderBy("tie").collect()] == [10, 3]
+    assert equal_tables(left, r.apply_exclusions(history, patterns, min_rows=1, blocks=64)).first().equal
 
 
 def test_movers_and_locations(history):
