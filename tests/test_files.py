@@ -1,4 +1,5 @@
 import datetime as dt
+from pathlib import Path
 
 import pytest
 
@@ -48,11 +49,9 @@ def test_write_then_read(spark, tmp_path):
         files.write_csv(df, target)
 
 
-def test_settle_writes_into_the_named_folder(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        df = settle(spark.range(10).selectExpr("id * 2 as x"))
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert list(tmp_path.glob("lifetrack-*/*.parquet"))
+def test_settle_writes_into_the_named_folder(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.glob("lifetrack-*/*.parquet"))
+    df = settle(spark.range(10).selectExpr("id * 2 as x"))
+    assert set(folder.glob("lifetrack-*/*.parquet")) - before
     assert df.agg({"x": "sum"}).first()[0] == 90
