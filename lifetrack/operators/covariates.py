@@ -374,11 +374,16 @@ def tests_in_last_period(movement: DataFrame, tests: DataFrame) -> DataFrame:
 
 
 def tests_near_event(movement: DataFrame, tests: DataFrame, days: int, **limits) -> DataFrame:
-    """Tests within ``days`` whole days on either side of the entity's event."""
+    """Distinct tests within ``days`` whole days on either side of the entity's event.
+
+    Duplicates are dropped among the few tests near an event, not among all.
+    """
     dated = movement.where(F.col("event_date").isNotNull()).select("entity", "event_date")
-    pairs = merge_hot(test_records(tests), dated, ["entity"], **limits)
+    rows = tests.select("entity", F.col("period").alias("test_period"), "result", "date")
+    pairs = merge_hot(rows, dated, ["entity"], **limits)
     gap = days_between("date", "event_date")
-    return pairs.withColumn("days_to_event", gap).where(F.col("days_to_event").between(-days, days))
+    near = pairs.withColumn("days_to_event", gap).where(F.col("days_to_event").between(-days, days))
+    return near.distinct()
 
 
 def frequency(df: DataFrame, column: str) -> DataFrame:
