@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import line_chunks, mixing, outliers, secrets, sharding
 from .common import SQL_CRC32, full_text, sql_crc32, sql_digest, sql_fraction
 from .registry import ORACLES, QUERIES, query, table
 
@@ -17,6 +17,20 @@ def _crc32(text):
     return F.crc32(full_text(text).cast("binary"))
 
 
+# 1: quality rules --------------------------------------------------------------------------------------------
+
+def _short_or_repeating(stats):
+    return (stats["n_words"] < 50) | (100 * stats["n_repeat_words"] > 50 * stats["n_words"])
+
+
+@query()
+def op1_robust_outliers(spark, folder):
+    judged = outliers.judge(table(spark, folder, "documents"), failed=_short_or_repeating)
+    shown = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select(
+        "doc_id", *[F.col("stats")[c].alias(c) for c in shown], "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
 # 2: mixing sources to target weights -------------------------------------------------------------------------
 
 _WHO = sql_digest(29, "doc_id", "md5(coalesce(text, ''))")
@@ -39,20 +53,125 @@ WITH sizes AS (
 ), tables AS (
   SELECT source, list(c ORDER BY k) AS cs FROM below GROUP BY source
 ), drawn AS (
-  SELECT doc_id, d.source, rate, who, sum(len(list_filter(cs, lambda c: c <= {_DRAW}))) AS times
-  FROM (SELECT doc_id, source, {_WHO} AS who FROM documents) d
+  SELECT d.*, rate, sum(len(list_filter(cs, lambda c: c <= {_DRAW}))) AS times
+  FROM (SELECT *, {_WHO} AS who FROM documents) d
   JOIN pieces p ON d.source IS NOT DISTINCT FROM p.source
   JOIN tables t ON d.source IS NOT DISTINCT FROM t.source,
   LATERAL (SELECT unnest(range(1, n + 1)) AS piece)
   GROUP BY ALL
 )
-SELECT doc_id, source, round(rate, 6) AS rate, copy, {sql_digest(30, "who", "copy")} AS order_key
+SELECT doc_id, text, lang, source, n_chars, round(rate, 6) AS rate, copy, {sql_digest(30, "who", "copy")} AS order_key
 FROM drawn, LATERAL (SELECT unnest(range(1, cast(times AS bigint) + 1)) AS copy)
 """)
 def op2_poisson_mix(spark, folder):
+    mixed = mixing.replicate(table(spark, folder, "documents"))
+    return mixed.withColumn("rate", F.round("rate", 6))
+
+
+# 5: secret scans ---------------------------------------------------------------------------------------------
+
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _sql_kind(number: int) -> str:
+    kind, pattern, group, shortest = secrets.KINDS[number]
+    re = _sql_text(pattern)
+    more = f"""AND regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]')
+      AND len(list_distinct(string_split(v, ''))) >= {secrets.MIN_LETTERS}""" if number >= secrets.BASE else ""
+    return f"""
+  SELECT id, {number} AS kind, s AS start, s + length(m) AS "end", v FROM (
+    SELECT id, ms[i] AS m, vs[i] AS v,
+      cast(list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i-1], lambda m: length(m))), 0) AS bigint) AS s
+    FROM (SELECT id, regexp_extract_all(body, {re}, 0) AS ms, regexp_extract_all(body, {re}, {group}) AS vs,
+        string_split_regex(body, {re}) AS gaps FROM rows),
+      LATERAL (SELECT unnest(range(1, len(ms) + 1)) AS i))
+  WHERE length(v) >= {shortest} {more}"""
+
+
+@query(f"""
+WITH rows AS (
+  SELECT row_number() OVER () AS id, doc_id, source, concat_ws('/', source, lang) AS repo, coalesce(text, '') AS body FROM documents
+), hits AS ({" UNION ALL ".join(map(_sql_kind, range(len(secrets.KINDS))))}
+), owned AS (
+  SELECT v, count(DISTINCT coalesce('=' || source, '-')) <= 1
+    AND count(DISTINCT (coalesce('=' || source, '-'), coalesce('=' || repo, '-'))) <= 3 AS live
+  FROM hits JOIN rows USING (id) GROUP BY v
+), judged AS (
+  SELECT id, kind, start, "end", live, max(cast(kind < {secrets.BASE} AS int)) OVER (PARTITION BY id, "end") = 1 AS covered
+  FROM hits JOIN owned USING (v)
+), spans AS (
+  SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || "end" AS s
+  FROM judged WHERE kind < {secrets.BASE} OR (live AND NOT covered)
+), per_row AS (
+  SELECT id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+    string_agg(s, ',' ORDER BY start, kind) FILTER (kind < {secrets.BASE}) AS base, string_agg(s, ',' ORDER BY start, kind) AS spans,
+    count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+  FROM spans GROUP BY id
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM rows LEFT JOIN per_row USING (id)
+""")
+def op5_owned_secrets(spark, folder):
     docs = table(spark, folder, "documents")
-    mixed = mixing.replicate(docs, keep=["doc_id", "source"])
-    return mixed.select("doc_id", "source", F.round("rate", 6).alias("rate"), "copy", "order_key")
+    found = secrets.scan(docs, owner=F.col("source"), repository=F.concat_ws("/", "source", "lang"))
+    base = F.filter("spans", lambda s: s["base"])
+    count = lambda test: F.size(F.filter("spans", test)).cast("bigint")
+    of = lambda kind: lambda s: s["kind"] == kind
+    return found.select(
+        "doc_id",
+        *[count(of(kind)).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(secrets.spans_text(base).cast("binary"), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"),
+        count(lambda s: s["live"]).alias("n_live"), count(lambda s: ~s["live"]).alias("n_copied"),
+    )
+
+
+# 6: line dedup -----------------------------------------------------------------------------------------------
+
+_POWERS = [pow(line_chunks.BASE, k, line_chunks.PRIME) for k in range(line_chunks.WINDOW)]
+_ROLL = " + ".join(
+    f"coalesce(lag(lh, {k}) OVER (PARTITION BY who ORDER BY i), 0) * {b} % {line_chunks.PRIME}" for k, b in enumerate(_POWERS))
+
+
+@query(f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body,
+    {sql_digest("line", "doc_id", "md5(coalesce(text, ''))")} AS who FROM documents
+), once AS (
+  SELECT who, any_value(doc_id) AS doc_id, any_value(body) AS body FROM docs GROUP BY who
+), lines AS (
+  SELECT who, doc_id, i, ls[i] AS line, cast('0x' || substr(md5(ls[i]), 1, 7) AS bigint) AS lh
+  FROM (SELECT who, doc_id, string_split(body, chr(10)) AS ls FROM once), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+), rolled AS (
+  SELECT who, doc_id, i, line, ({_ROLL}) % {line_chunks.PRIME} % {line_chunks.MODULUS} = 0 AS cut FROM lines
+), dealt AS (
+  SELECT *, coalesce(sum(cast(cut AS int)) OVER (PARTITION BY who ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
+  FROM rolled
+), chunks AS (
+  SELECT who, doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
+    count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= {line_chunks.MIN_LINES} AS worded
+  FROM dealt GROUP BY ALL
+), marked AS (
+  SELECT *, worded AND row_number() OVER (PARTITION BY body, worded ORDER BY doc_id NULLS FIRST, who, start) > 1 AS gone FROM chunks
+), sums AS (
+  SELECT who, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
+    coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines,
+    coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '') AS kept
+  FROM marked GROUP BY who
+)
+SELECT doc_id, cast(n_lines AS bigint) AS n_lines, n_chunks, n_removed_chunks, cast(n_removed_lines AS bigint) AS n_removed_lines,
+  strlen(kept) AS kept_bytes, sha256(kept) AS kept_sha256
+FROM docs JOIN sums USING (who)
+""")
+def op6_line_chunks(spark, folder):
+    left = line_chunks.remove_repeated(table(spark, folder, "documents"), keep=["doc_id", "text"])
+    counts = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    return left.select(
+        "doc_id", *[F.col(c).cast("bigint").alias(c) for c in counts],
+        F.octet_length("text").cast("bigint").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
 
 
 # 9: sharding -------------------------------------------------------------------------------------------------
