@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import line_chunks, mixing, outliers, secrets, sharding
+from . import decontamination, jaccard, lattice, line_chunks, mixing, neighbours, outliers, secrets, sharding, suffixes
 from .common import SQL_CRC32, full_text, sql_crc32, sql_digest, sql_fraction
 from .registry import ORACLES, QUERIES, query, table
 
@@ -68,6 +68,33 @@ def op2_poisson_mix(spark, folder):
     return mixed.withColumn("rate", F.round("rate", 6))
 
 
+# 3: suffix-array dedup ---------------------------------------------------------------------------------------
+
+@query()
+def op3_columnwise_repeats(spark, folder):
+    left = suffixes.remove_repeats(table(spark, folder, "documents"), keep=["doc_id"])
+    lost = F.aggregate("spans", F.lit(0).cast("bigint"), lambda n, s: n + (s["end"] - s["start"]))
+    return left.select(
+        "doc_id", F.col("n_bytes").cast("bigint").alias("n_bytes"), lost.alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+# 4: quality classifier ---------------------------------------------------------------------------------------
+
+def quality_scores(spark, docs, folder, keep):
+    """Scores of ``docs``, learned from the labels that are not held out."""
+    labels = table(spark, folder, "labels")
+    model = neighbours.fit(docs, labels.where(~neighbours.held_out(F.col("doc_id"))))
+    return neighbours.score(docs, model, keep=keep)
+
+
+@query()
+def op4_neighbour_quality(spark, folder):
+    scored = quality_scores(spark, table(spark, folder, "documents"), folder, ["doc_id"])
+    return scored.select(
+        "doc_id", neighbours.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 # 5: secret scans ---------------------------------------------------------------------------------------------
 
 def _sql_text(value: str) -> str:
@@ -174,6 +201,22 @@ def op6_line_chunks(spark, folder):
     )
 
 
+# 7: LM scoring -----------------------------------------------------------------------------------------------
+
+@query()
+def op7_lattice_likelihood(spark, folder):
+    return lattice.score(table(spark, folder, "documents"), keep=["doc_id"])
+
+
+# 8: benchmark decontamination --------------------------------------------------------------------------------
+
+@query()
+def op8_string_tiling(spark, folder):
+    marked = decontamination.mark(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark"), keep=["doc_id"])
+    return marked.withColumn("covered", F.round("covered", 6))
+
+
 # 9: sharding -------------------------------------------------------------------------------------------------
 
 @query(f"""
@@ -199,3 +242,11 @@ def op9_interleaved_shards(spark, folder):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", F.col("slot").cast("bigint").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+# 10: n-gram Jaccard join -------------------------------------------------------------------------------------
+
+@query()
+def op10_minhash_join(spark, folder):
+    found = jaccard.classes(table(spark, folder, "documents"))
+    return found.select(F.col("key").alias("doc_id"), "class_id", F.col("n_links").cast("bigint").alias("n_links"))
