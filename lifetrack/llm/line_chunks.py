@@ -96,7 +96,9 @@ def remove_repeated(
         F.array_sort(F.collect_set(F.struct(F.col("place.start").alias("start"), "n"))).alias(gone))
     removed = settle(removed)
 
-    out = docs.join(removed, docs[who]["digest"] == removed[who + "_r"], "left")
+    # Texts meet their removed lines by a shuffle at every size: the table of removed lines grows with the corpus.
+    passed = docs.select(*[docs[f"`{c}`"] for c in keep if c != text], who, body)
+    out = passed.join(removed.hint("merge"), passed[who]["digest"] == removed[who + "_r"], "left")
     out = out.withColumn(cut, let(F.split(F.col(body), "\n", -1), lambda lines: F.struct(
         F.size(lines).alias("lines"),
         F.when(F.col(gone).isNull(), F.col(body)).otherwise(_left(lines, F.col(gone))).alias("text"))))
