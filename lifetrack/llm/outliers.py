@@ -32,6 +32,8 @@ STEPS = 12
 GRID = 16
 #: A smaller group is judged with its language, a smaller language with the corpus.
 MIN_ROWS = 100
+#: Up to this many groups (of about 60 numbers, 10 MB in all) their estimates are broadcast; more are joined by a shuffle.
+BROADCAST_CELLS = 20_000
 #: Chance that a row of a normal group is rejected.
 TAIL = 1e-11
 
@@ -149,18 +151,20 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), *first, *second]
 
 
-def estimate(rows: DataFrame, *, support: float = SUPPORT, steps: int = STEPS) -> DataFrame:
+def estimate(rows: DataFrame, *, support: float = SUPPORT, steps: int = STEPS, few: bool = False) -> DataFrame:
     """Robust location and scatter of the columns in ``NAMES`` for each ``cell``.
 
     Deterministic starts as in Hubert, Rousseeuw and Verdonck (2012), three of their six: the raw distances from the
     medians, the covariance of hyperbolic tangents, and that of spatial signs. From each, concentration steps: the
     ``support`` share nearest to the estimate gives the next one, until no determinant falls. The lowest determinant
     wins and is reweighted once. Distances are counted on a logarithmic grid, so one aggregate over the rows yields
-    both the cut-off and the sums inside it; ties share a grid cell and are taken together.
+    both the cut-off and the sums inside it; ties share a grid cell and are taken together. ``few``: there are at most
+    ``BROADCAST_CELLS`` cells.
     """
+    joined_with = lambda df, small: _join(df, small, few)
     # Medians and median deviations: exact for up to 10,000 rows a cell, within a ten-thousandth of the ranks beyond.
     middle = settle(rows.groupBy("cell").agg(*[F.percentile_approx(x, 0.5, 10_000).alias(f"l_{j}") for j, x in enumerate(NAMES)]))
-    joined = _join(rows, middle)
+    joined = joined_with(rows, middle)
     off = [F.percentile_approx(F.abs(F.col(x) - F.col(f"l_{j}")), 0.5, 10_000).alias(f"d_{j}") for j, x in enumerate(NAMES)]
     scales = _join(middle, settle(joined.groupBy("cell").agg(*off)))
     floors = [floor for _, floor in FEATURES.values()]
@@ -170,7 +174,7 @@ def estimate(rows: DataFrame, *, support: float = SUPPORT, steps: int = STEPS) -
     scales = settle(scales)
     z = [((F.col(x) - F.col(f"l_{j}")) / F.col(f"c_{j}")).alias(f"z_{j}") for j, x in enumerate(NAMES)]
     f = [F.col(f"f_{j}") for j in range(P)]
-    zs = _join(rows, scales).select("cell", *z, *f)
+    zs = joined_with(rows, scales).select("cell", *z, *f)
 
     norm = F.sqrt(sum([F.col(f"z_{j}") ** 2 for j in range(1, P)], F.col("z_0") ** 2))
     zero = [F.lit(0.0).alias(f"z_{j}") for j in range(P)]
@@ -192,7 +196,7 @@ def estimate(rows: DataFrame, *, support: float = SUPPORT, steps: int = STEPS) -
 
     widen, before = F.lit(_widening(support)), None
     for _ in range(steps):
-        graded = _join(zs.drop(*fs), current)
+        graded = joined_with(zs.drop(*fs), current)
         grade = F.floor(GRID * F.log2(_distance() + 1e-6)).alias("grade")
         graded = graded.select("cell", "start", *fs, *[f"z_{j}" for j in range(P)], grade)
         counted = graded.groupBy("cell", "start", *fs, "grade").agg(*_sums())
@@ -210,15 +214,19 @@ def estimate(rows: DataFrame, *, support: float = SUPPORT, steps: int = STEPS) -
     best = current.groupBy("cell").agg(F.min_by(F.struct(*[c for c in current.columns if c != "cell"]), F.struct("det", "start")).alias("b"))
     best = settle(best.select("cell", "b.*"))
 
-    near = _join(zs.drop(*fs), best).where(_distance() <= chi2_quantile(0.975, P))
+    near = joined_with(zs.drop(*fs), best).where(_distance() <= chi2_quantile(0.975, P))
     near = near.groupBy("cell", *fs).agg(*_sums())
     final = _estimate(near, ["cell"], F.lit(_widening(0.975)))
     return settle(_join(scales.drop(*fs), final.drop(*fs)))
 
 
-def _join(rows: DataFrame, small: DataFrame) -> DataFrame:
-    """Rows with a settled table of one row (or one per start) for each cell; Spark splits hot cells."""
+def _join(rows: DataFrame, small: DataFrame, few: bool = False) -> DataFrame:
+    """Rows with a settled table of one row (or one per start) for each cell.
+
+    A few cells are broadcast; many are joined by a shuffle, where Spark splits hot cells.
+    """
     other = small.withColumnRenamed("cell", "cell_r")
+    other = F.broadcast(other) if few else other
     return rows.join(other, F.col("cell") == F.col("cell_r")).drop("cell_r")
 
 
@@ -266,10 +274,12 @@ def judge(
     feature = [build(F.col("stats")).alias(name) for name, (build, _) in FEATURES.items()]
     placed = usable.select(F.explode(F.array(*names)).alias("cell"), *feature)
     placed = placed.join(judged_by.withColumnRenamed("cell", "cell_r"), F.col("cell") == F.col("cell_r"), "left_semi")
-    table = estimate(placed, support=support)
+    few = judged_by.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS
+    table = estimate(placed, support=support, few=few)
 
     cells = cells.join(table.withColumnRenamed("cell", "cell_r"), F.col("cell") == F.col("cell_r"), "left").drop("cell_r", "cell")
     cells = settle(cells.withColumnsRenamed({own: own + "_r", src: src + "_r"}))
+    cells = F.broadcast(cells) if cells.limit(BROADCAST_CELLS + 1).count() <= BROADCAST_CELLS else cells
     out = rows.join(cells, (F.col(own) == F.col(own + "_r")) & (F.col(src) == F.col(src + "_r")), "left")
     z = {f"z_{j}": (build(F.col("stats")) - F.col(f"l_{j}")) / F.col(f"c_{j}") for j, (build, _) in enumerate(FEATURES.values())}
     out = out.withColumns(z).withColumn("distance", F.when(~F.col("base_failed"), _distance()))
