@@ -11,6 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from ..session import settle
 from .common import free_names, full_text
@@ -282,10 +283,9 @@ def score(
     rows = docs.select(
         *[docs[f"`{c}`"] for c in keep], F.monotonically_increasing_id().alias(row),
         docs[f"`{key}`"].cast("string").alias(own), full_text(docs[f"`{text}`"]).alias(body))
-    schema = rows.drop(own, body).schema
-    for name, kind in (("held_out", "boolean"), ("n_tokens", "bigint"), ("n_known", "bigint"), ("base_score", "double"), ("score", "double")):
-        schema = schema.add(name, kind)
-    schema = schema.add("rare", "array<struct<word:string,n:int>>")
+    found = StructType.fromDDL(
+        "held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double, rare array<struct<word:string,n:int>>")
+    schema = StructType([*rows.drop(own, body).schema, *found])
     rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int32())]))
 
     def looked_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

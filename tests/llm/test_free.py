@@ -31,8 +31,8 @@ def plain_repeats(texts, length):
         lost = bytearray(len(d))
         for i in range(len(d) - length + 1):
             if seen[d[i:i + length]] > 1:
-                lost[i:i + length] = b"\1" * length
-        out.append((len(re.findall(rb"\1+", bytes(lost))), sum(lost), bytes(b for b, x in zip(d, lost) if not x)))
+                lost[i:i + length] = b"\x01" * length
+        out.append((len(re.findall(b"\x01+", bytes(lost))), sum(lost), bytes(b for b, x in zip(d, lost) if not x)))
     return out
 
 
