@@ -16,10 +16,10 @@ from ..functions.dates import (
     NARROW_WINTER, days_between, days_between_local, midpoint_days, season, season_from_index,
 )
 from ..session import settle
-from .joins import lookup, merge, merge_hot
-from .ordered import first_by, nearest_known
-from .periods import overlap_join
-from .residency import NOT_SEEN, apply_exclusions
+from .joins import anti, lookup, merge, merge_settled
+from .ordered import first_by, nearest_known, running_total
+from .periods import overlap_calendar
+from .residency import NOT_SEEN
 
 # Status lists of the population and group-size rules.
 UNUSABLE_PARTS = ("U", "NS", "EGG", "XF")
@@ -73,40 +73,72 @@ def split_by_age(df: DataFrame, age: str = "age", days: int = 150) -> tuple[Data
 
 def refine_birth_date(
     origins: DataFrame, births: DataFrame, nests: DataFrame, chicks: DataFrame, catches: DataFrame,
-    exclusions: DataFrame | None = None, *, fledge_days: int = 14,
+    exclusions: DataFrame | None = None, *, fledge_days: int = 14, blocks: int | None = None,
 ) -> DataFrame:
-    """A second birth date for entities whose recorded one is an estimate.
-
-    It is the hatch date (or fledge date minus ``fledge_days``) of a nest that
-    fledged in the origin location and birth period, held no other known chick,
-    and hatched no later than the entity's first catch. Without such a nest the
-    recorded date stays. Several fitting nests give several rows: name the wrong
-    ones in ``exclusions``.
-
-    ``births``: entity, birth_date, birth_period, estimated. ``nests``: nest_id,
-    nest_number, location, period, hatch_date, fledge_date. ``chicks``: entity,
+    """A second birth date for entities whose recorded one is an estimate: one row per entity.
+
+    A nest fits if it fledged in the origin location and birth period, has the
+    entity as a known chick or no known chick, and hatched no later than the
+    entity's first catch; its hatch date may be the fledge date minus
+    ``fledge_days``. The latest fitting hatch date is the second birth date, and
+    ``fitting_nests`` says how many there were. Without one the recorded date
+    stays. ``exclusions`` (entity, nest_id) names nests that are wrong for an
+    entity.
+
+    Entities never meet all nests of their place: an entity's own nests are found
+    by its name, and nests without chicks are numbered by hatch date on one axis
+    with the entities' first catches, so an entity's running count is also the
+    number of the nest to take.
+
+    ``births``: entity, birth_date, birth_period, estimated. ``nests``: nest_id (a
+    number), location, period, hatch_date, fledge_date. ``chicks``: entity,
     nest_id. ``catches``: entity, date.
     """
+    cell = ["origin", "birth_period"]
+    first_catch = catches.groupBy("entity").agg(F.min("date").alias("first_catch"))
     known = merge(origins.select("entity", "origin"), births, ["entity"], null_safe=False)
+    known = settle(merge(known, first_catch, ["entity"], "left", null_safe=False))
+    unsure = known.where(F.col("estimated") & F.col("first_catch").isNotNull())
     fledged = nests.where(F.col("fledge_date").isNotNull()).select(
-        F.col("location").alias("origin"), F.col("period").alias("birth_period"),
-        "nest_id", "nest_number",
+        F.col("location").alias("origin"), F.col("period").alias("birth_period"), "nest_id",
         F.coalesce("hatch_date", F.date_sub("fledge_date", fledge_days)).alias("hatch_date"),
     )
-    candidates = merge(known.where("estimated"), fledged, ["origin", "birth_period"], null_safe=False)
-    candidates = lookup(candidates, chicks, {"nest_id": "nest_id"}, {"entity": "chick"})
-    candidates = candidates.where(F.col("chick").isNull() | (F.col("chick") == F.col("entity")))
-    first_catch = catches.groupBy("entity").agg(F.min("date").alias("first_catch"))
-    candidates = merge(candidates, first_catch, ["entity"], null_safe=False)
-    candidates = candidates.where(~(F.col("hatch_date") > F.col("first_catch")))
-    if exclusions is not None:
-        candidates = apply_exclusions(candidates, exclusions)
-    refined = candidates.select("entity", "hatch_date")
-    out = merge(known, refined, ["entity"], "left", null_safe=False)
+    chicks = chicks.select("entity", "nest_id").distinct()
+
+    own = merge(merge(fledged, chicks, ["nest_id"], null_safe=False), unsure, ["entity", *cell], null_safe=False)
+    own = own.where(F.col("hatch_date") <= F.col("first_catch"))
+    axis = anti(fledged, chicks, ["nest_id"]).select(
+        *cell, F.col("hatch_date").alias("day"), "nest_id", F.lit(None).cast("string").alias("entity")
+    ).unionByName(unsure.select(*cell, F.col("first_catch").alias("day"), "entity"), allowMissingColumns=True)
+    # On one day nests come before catches.
+    axis = axis.withColumn("_tie", F.coalesce(F.col("nest_id").cast("long"), F.lit(2**62)))
+    is_nest = F.col("nest_id").isNotNull().cast("long")
+    placed = settle(running_total(axis, cell, "day", "_tie", is_nest, "number", blocks=blocks))
+    free = placed.where(F.col("nest_id").isNotNull())
+    places = placed.where(F.col("nest_id").isNull()).select("entity", *cell, "number")
+    places = places.withColumn("entity", F.col("entity").cast(dict(unsure.dtypes)["entity"]))
+    none = F.expr("cast(array() as array<bigint>)")
+    if exclusions is None:
+        places = places.withColumn("_wrong", none)
+    else:
+        pairs = exclusions.select("entity", "nest_id").distinct()
+        own = anti(own, pairs, ["entity", "nest_id"])
+        wrong = merge(pairs, free.select("nest_id", *cell, F.col("number").alias("_n")), ["nest_id"], null_safe=False)
+        wrong = merge(places, wrong.drop("nest_id"), ["entity", *cell], null_safe=False).where("_n <= number")
+        wrong = wrong.groupBy("entity").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_wrong"))
+        places = merge_settled(places, wrong, ["entity"], "left").withColumn("_wrong", F.coalesce("_wrong", none))
+    step_down = F.aggregate("_wrong", F.col("number"), lambda n, wrong: F.when(n == wrong, n - 1).otherwise(n))
+    places = places.select("entity", *cell, step_down.alias("number"), (F.col("number") - F.size("_wrong")).alias("_free"))
+    taken = merge(places, free.select(*cell, "number", "day"), [*cell, "number"], null_safe=False)
+    fitting = taken.select("entity", F.col("day").alias("_hatch"), F.col("_free").alias("_fits")).unionByName(
+        own.select("entity", F.col("hatch_date").alias("_hatch"), F.lit(1).cast("long").alias("_fits"))
+    ).groupBy("entity").agg(F.max("_hatch").alias("_hatch"), F.sum("_fits").alias("_fits"))
+    out = merge(known, fitting, ["entity"], "left", null_safe=False)
     return out.select(
         "entity",
         F.col("birth_date").alias("birth_date_1"),
-        F.coalesce("hatch_date", "birth_date").alias("birth_date_2"),
+        F.coalesce("_hatch", "birth_date").alias("birth_date_2"),
+        F.coalesce("_fits", F.lit(0).cast("long")).alias("fitting_nests"),
     )
 
 
@@ -237,7 +269,7 @@ def with_period_flag(movement: DataFrame, flagged: Iterable = FLAGGED_PERIODS, n
 
 
 def residence_periods(
-    movement: DataFrame, births: DataFrame, periods: DataFrame, months: int, **join_options
+    movement: DataFrame, births: DataFrame, periods: DataFrame, months: int
 ) -> DataFrame:
     """Periods overlapping the time from birth plus ``months`` to the start of the last origin period."""
     spans = lookup(
@@ -245,9 +277,7 @@ def residence_periods(
         {"birth_date": "_birth"}, how="inner",
     ).withColumn("_eligible", F.add_months("_birth", months))
     calendar = periods.select("period", "period_start", "period_end")
-    return overlap_join(
-        spans, calendar, ("_eligible", "last_start"), ("period_start", "period_end"), **join_options
-    ).drop("_birth")
+    return overlap_calendar(spans, calendar, ("_eligible", "last_start"), ("period_start", "period_end")).drop("_birth")
 
 
 def with_exposure(
@@ -373,14 +403,14 @@ def tests_in_last_period(movement: DataFrame, tests: DataFrame) -> DataFrame:
     return tested.select("entity", "tests")
 
 
-def tests_near_event(movement: DataFrame, tests: DataFrame, days: int, **limits) -> DataFrame:
+def tests_near_event(movement: DataFrame, tests: DataFrame, days: int) -> DataFrame:
     """Distinct tests within ``days`` whole days on either side of the entity's event.
 
     Duplicates are dropped among the few tests near an event, not among all.
     """
     dated = movement.where(F.col("event_date").isNotNull()).select("entity", "event_date")
     rows = tests.select("entity", F.col("period").alias("test_period"), "result", "date")
-    pairs = merge_hot(rows, dated, ["entity"], **limits)
+    pairs = merge_settled(rows, dated, ["entity"])
     gap = days_between("date", "event_date")
     near = pairs.withColumn("days_to_event", gap).where(F.col("days_to_event").between(-days, days))
     return near.distinct()
@@ -394,7 +424,7 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
 # Quality series ----------------------------------------------------------------
 
 
-def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, **limits) -> DataFrame:
+def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, *, blocks: int | None = None) -> DataFrame:
     """Complete a quality series per location and season.
 
     ``measured``: location, period, quality. ``calendar``: location, period,
@@ -411,8 +441,7 @@ def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, **limits) -> Da
     placed = series.where(F.col("season").isNotNull()).withColumn(
         "midpoint", F.coalesce("midpoint", F.lit(UNDATED))
     )
-    # Counted, perhaps split, then filled: the completed series is written once.
-    near = nearest_known(settle(placed), ["location", "season"], "midpoint", "period", "quality", **limits)
+    near = nearest_known(placed, ["location", "season"], "midpoint", "period", "quality", blocks=blocks)
     ahead = F.coalesce("next_known", "prev_known")
     back = F.coalesce("prev_known", "next_known")
     return near.select("location", "period", "season", ((ahead + back) / 2).alias("quality"))

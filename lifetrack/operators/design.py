@@ -7,7 +7,7 @@ from collections.abc import Iterable, Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import cast_columns, ifelse
-from .joins import merge, merge_hot
+from .joins import merge, merge_settled
 from .ordered import numbered
 
 
@@ -25,22 +25,24 @@ def complete_for(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.dropna(how="any", subset=list(columns))
 
 
-def attach_transformed(df: DataFrame, transformed: DataFrame, **limits) -> DataFrame:
+def attach_transformed(df: DataFrame, transformed: DataFrame) -> DataFrame:
     """Merge transformed per-entity responses back, by entity alone."""
-    return merge_hot(df, transformed, ["entity"], "left", **limits)
+    return merge_settled(df, transformed, ["entity"], "left")
 
 
 def align_repeats(
-    responses: DataFrame, assays: DataFrame, order: str, tie: str, response_order: str, **limits
+    responses: DataFrame, assays: DataFrame, order: str, tie: str, response_order: str,
+    response_tie: str, *, blocks: int | None = None,
 ) -> DataFrame:
     """Pair the n-th distinct response row of an entity with its n-th assay.
 
-    A response that occurs once per entity so stands beside one assay only and
+    Responses with equal ``response_order`` follow ``response_tie``, a number that
+    tells the distinct rows of an entity apart. A response that occurs once per entity so stands beside one assay only and
     is null beside the others.
     """
     distinct = responses.distinct()
-    left = numbered(distinct, ["entity"], response_order, response_order, "assay_number", **limits)
-    right = numbered(assays, ["entity"], order, tie, "assay_number", **limits)
+    left = numbered(distinct, ["entity"], response_order, response_tie, "assay_number", blocks=blocks)
+    right = numbered(assays, ["entity"], order, tie, "assay_number", blocks=blocks)
     return merge(left, right, ["entity", "assay_number"], "full", null_safe=False)
 
 

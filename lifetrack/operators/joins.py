@@ -7,7 +7,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .skew import spread_hot
+from ..session import settle
+
 
 def same_keys(left: DataFrame, right: DataFrame, pairs: Mapping[str, str], null_safe: bool) -> Column:
     """Equality of paired columns, optionally with null equal to null."""
@@ -78,61 +79,59 @@ def lookup(
     on: Mapping[str, str],
     values: Mapping[str, str],
     how: str = "left",
+    *,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Attach columns of a keyed table under new names.
 
     ``on`` maps columns of ``df`` to key columns of ``dim``; ``values`` maps
     columns of ``dim`` to the names they get. One table can be attached several
-    times in different roles; Spark then reuses its exchange.
+    times in different roles; Spark then reuses its exchange. A null key finds the
+    row with the null key if ``null_safe``, as merges do, and nothing otherwise,
+    which is right for roles a row may not have (no destination, no period).
     """
     side = dim.select(
         *[F.col(k).alias("_k_" + k) for k in on.values()],
         *[F.col(v).alias(name) for v, name in values.items()],
     )
-    cond = same_keys(df, side, {a: "_k_" + b for a, b in on.items()}, False)
+    cond = same_keys(df, side, {a: "_k_" + b for a, b in on.items()}, null_safe)
     return df.join(side, cond, how).drop(*["_k_" + k for k in on.values()])
 
 
-def merge_hot(
-    rows: DataFrame,
-    per_key: DataFrame,
-    by: Iterable[str],
-    how: str = "inner",
-    *,
-    null_safe: bool = False,
-    spread_on: Iterable[str] | None = None,
-    **limits,
+def merge_settled(
+    rows: DataFrame, per_key: DataFrame, by: Iterable[str], how: str = "inner", *, null_safe: bool = False
 ) -> DataFrame:
-    """Join rows with a table of one row per key, a hot key's rows in several tasks.
+    """Join rows with a table of one row per key that was aggregated by that key.
 
-    ``how`` is inner, left, left_semi or left_anti.
+    Joined directly, an aggregate keeps the partitioning it was made with, and Spark cannot split a hot key. Settled,
+    it is a table like any other: small ones are broadcast by Spark's own size check, for large ones both sides are
+    shuffled for the join and hot keys are split at run time. ``how`` is inner, left, left_semi or left_anti.
     """
-    rows, per_key, keys = spread_hot(rows, per_key, by, spread_on, **limits)
-    return merge(rows, per_key, keys, how, null_safe=null_safe).drop("_part")
+    return merge(rows, settle(per_key), by, how, null_safe=null_safe)
 
 
-def keep_groups(df: DataFrame, keys: Iterable[str], test, **limits) -> DataFrame:
+def keep_groups(df: DataFrame, keys: Iterable[str], test) -> DataFrame:
     """Rows of the groups whose row count passes ``test(count)``.
 
     Counts are pre-aggregated, so the rows themselves are only filtered.
     """
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(test(F.col("_n"))).select(*keys)
-    return merge_hot(df, sizes, keys, "left_semi", null_safe=True, **limits)
+    return merge_settled(df, sizes, keys, "left_semi", null_safe=True)
 
 
-def keep_group_max(df: DataFrame, keys: Iterable[str], column: str, **limits) -> DataFrame:
+def keep_group_max(df: DataFrame, keys: Iterable[str], column: str) -> DataFrame:
     """Rows equal to their group's largest value, ties kept."""
     keys = list(keys)
     top = df.groupBy(*keys).agg(F.max(column).alias("_top"))
-    return merge_hot(df, top, keys, null_safe=True, **limits).where(F.col(column) == F.col("_top")).drop("_top")
+    return merge_settled(df, top, keys, null_safe=True).where(F.col(column) == F.col("_top")).drop("_top")
 
 
-def with_group_count(df: DataFrame, keys: Iterable[str], name: str, **limits) -> DataFrame:
+def with_group_count(df: DataFrame, keys: Iterable[str], name: str) -> DataFrame:
     """Add the row count of each row's group."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
-    return merge_hot(df, sizes, keys, null_safe=True, **limits)
+    return merge_settled(df, sizes, keys, null_safe=True)
 
 
 def equal_tables(left: DataFrame, right: DataFrame) -> DataFrame:

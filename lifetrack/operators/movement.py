@@ -1,8 +1,8 @@
 """Movement events: dating a move, status at origin, dominance, non-movers.
 
 Rules start from ``residency.life_profile`` (one row per entity) and add columns
-to it; the history itself is read again only to find the last row at the origin
-and the row after floating.
+to it; the history itself is read once more, for the last row at the origin and
+the row after floating.
 """
 
 from __future__ import annotations
@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.columns import two_codes
 from ..functions.dates import WIDE_WINTER, midpoint_date, month_abbr, season
-from .joins import anti, lookup, merge_hot
-from .ordered import first_by, last_by
+from .joins import anti, lookup, merge
 from .periods import previous_period
 from .residency import DOMINANT, DOMINANT_AT_HOME, FLOATING, SUBORDINATE
 
@@ -73,37 +72,52 @@ def sighting_dates(moved: DataFrame, sightings: DataFrame) -> DataFrame:
     )
 
 
-def last_at_origin(
-    moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING, **limits
-) -> DataFrame:
-    """Per mover: the latest-ending row at the origin, and its status.
+def later_rows(moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Per mover, from one pass over the history: the last row at the origin and the row that ends floating.
 
-    It must not start after the destination period ends; for floaters it must not
-    end after the floating period.
+    ``last_*`` and ``origin_status`` are of the latest-ending row at the origin; it must not start after the
+    destination period ends, and for floaters must not end after the floating period. ``settled_*`` is the first row
+    of a floater ending after its last floating period. Either is null where there is no such row. Both are largest or
+    smallest structs of one aggregate, so each task reduces a hot entity to one row before the exchange. Settle
+    ``moved``, or what it is derived from: Spark then splits a hot entity in the join as well.
     """
-    ends = moved.select("entity", F.col("origin").alias("location"), "dest_end", _floats(floating).alias("_floats"))
-    rows = residency.select("entity", "location", "tie", *LAST_ROW)
-    at_origin = merge_hot(rows, ends, ["entity", "location"], spread_on=["tie"], **limits)
-    late = F.when(F.col("_floats"), F.col("dest_end") < F.col("period_end")).otherwise(
-        F.col("period_start") > F.col("dest_end")
+    places = moved.select(
+        "entity", F.col("origin").alias("_origin"), F.col("dest_end").alias("_dest_end"),
+        F.col("float_end").alias("_float_end"), _floats(floating).alias("_floats"),
     )
-    last = last_by(at_origin.where(~late), ["entity"], "period_end", "tie")
-    return last.select("entity", *[F.col(c).alias(name) for c, name in LAST_ROW.items()])
-
-
-def with_settled(
-    floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING, **limits
-) -> DataFrame:
-    """Per floater: the end of its last floating period and the first row ending after it."""
-    float_end = residency.where(F.col("status").isin(list(floating))).groupBy("entity").agg(
-        F.max("period_end").alias("float_end")
+    rows = residency.select("entity", "location", "status", "period", "period_start", "period_end", "tie")
+    rows = merge(rows, places, ["entity"], null_safe=False)
+    late = F.when(F.col("_floats"), F.col("_dest_end") < F.col("period_end")).otherwise(
+        F.col("period_start") > F.col("_dest_end")
+    )
+    at_origin = (F.col("location") == F.col("_origin")) & ~late & F.col("period_end").isNotNull()
+    after = F.col("_floats") & (F.col("period_end") > F.col("_float_end"))
+    untie = F.bitwise_not("tie").alias("_untie")
+    picked = rows.groupBy("entity").agg(
+        F.max(F.when(at_origin, F.struct("period_end", untie, *[c for c in LAST_ROW if c != "period_end"]))).alias("_last"),
+        F.min(F.when(after, F.struct("period_end", "tie", *[c for c in DESTINATION if c != "period_end"]))).alias("_settled"),
+        F.max("_float_end").alias("float_end"),
     )
-    ends = lookup(floaters.select("entity"), float_end, {"entity": "entity"}, {"float_end": "float_end"}, "inner")
-    after = merge_hot(residency, ends, ["entity"], spread_on=["tie"], **limits).where(
-        F.col("period_end") > F.col("float_end")
+    return picked.select(
+        "entity", "float_end",
+        *[F.col("_last")[c].alias(name) for c, name in LAST_ROW.items()],
+        *[F.col("_settled")[c].alias("settled_" + name) for c, name in DESTINATION.items()],
     )
-    settled = first_by(after, ["entity"], "period_end", "tie")
-    return settled.select("entity", "float_end", *[F.col(c).alias(n) for c, n in DESTINATION.items()])
+
+
+SETTLED = {"settled_" + c: c for c in DESTINATION.values()}
+
+
+def last_at_origin(moved: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Per mover with one: the latest-ending row at the origin, and its status; see ``later_rows``."""
+    last = later_rows(moved, residency, floating).where(F.col("last_end").isNotNull())
+    return last.select("entity", *LAST)
+
+
+def with_settled(floaters: DataFrame, residency: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
+    """Per floater that settled: the end of its last floating period and the first row ending after it."""
+    rows = later_rows(floaters, residency, floating).where(F.col("settled_dest_end").isNotNull())
+    return rows.select("entity", "float_end", *[F.col(c).alias(name) for c, name in SETTLED.items()])
 
 
 def precise_events(moved: DataFrame, sightings: DataFrame, floating: Iterable[str] = FLOATING) -> DataFrame:
@@ -137,11 +151,10 @@ def floating_events(moved: DataFrame, residency: DataFrame, floating: Iterable[s
 
     The settled row replaces the destination; entities that never settle drop out.
     """
-    floaters = moved.where(_floats(floating))
-    last = lookup(floaters, last_at_origin(floaters, residency, floating), {"entity": "entity"}, LAST, "inner")
-    settled = with_settled(floaters, residency, floating)
-    values = {c: c for c in ("float_end", *DESTINATION.values())}
-    moved_on = lookup(last.drop(*DESTINATION.values()), settled, {"entity": "entity"}, values, "inner")
+    floaters = moved.where(_floats(floating)).drop("float_end", *DESTINATION.values())
+    rows = later_rows(moved.where(_floats(floating)), residency, floating)
+    rows = rows.where(F.col("last_end").isNotNull() & F.col("settled_dest_end").isNotNull())
+    moved_on = lookup(floaters, rows, {"entity": "entity"}, {**LAST, **SETTLED, "float_end": "float_end"}, "inner")
     return moved_on.withColumns({
         "event_date": midpoint_date("float_end", "dest_start"), "method": F.lit("EF"),
     }).select(*EVENT_COLUMNS)
@@ -153,23 +166,22 @@ def movement_events(
 ) -> DataFrame:
     """All dated moves by the three methods, with month and season of the date.
 
-    The same rules as the three operators above in one plan: three per-entity
-    tables (sightings, last origin row, settled row) are attached to the movers,
-    and the method decides which of them count. ``moved`` is read four times, so
-    settle it first.
+    The same rules as the three operators above in one plan: two per-entity
+    tables (sightings, later rows of the history) are attached to the movers, and
+    the method decides which of them count. ``moved`` is read three times, so
+    settle it, or what it is derived from, first.
     """
     key = {"entity": "entity"}
-    settled = with_settled(moved.where(_floats(floating)), residency, floating)
-    both = lookup(moved, sighting_dates(moved, sightings), key, SEEN)
-    both = lookup(both, last_at_origin(moved, residency, floating), key, LAST)
-    both = lookup(both, settled, key, {c: "_" + c for c in ("float_end", *DESTINATION.values())})
+    both = lookup(moved.drop("float_end"), sighting_dates(moved, sightings), key, SEEN)
+    later = {**LAST, "float_end": "float_end", **{c: c for c in SETTLED}}
+    both = lookup(both, later_rows(moved, residency, floating), key, later)
 
     is_ef = _floats(floating)
     is_p = ~is_ef & F.col("last_at_origin").isNotNull()
-    found = F.col("last_end").isNotNull() & (~is_ef | F.col("_float_end").isNotNull())
+    found = F.col("last_end").isNotNull() & (~is_ef | F.col("settled_dest_end").isNotNull())
     date = (
         F.when(is_p, midpoint_date("last_at_origin", "first_at_dest"))
-        .when(is_ef, midpoint_date("_float_end", "_dest_start"))
+        .when(is_ef, midpoint_date("float_end", "settled_dest_start"))
         .otherwise(midpoint_date("last_end", "dest_start"))
     )
     dated = both.where(is_p | found).select(
@@ -177,7 +189,7 @@ def movement_events(
         F.when(is_p, "P").when(is_ef, "EF").otherwise("E").alias("method"),
         F.when(~is_p, F.col("origin_status")).alias("origin_status"),
         *[F.when(is_p, F.col(dest)).otherwise(F.col(last)).alias(last) for last, dest in DEST_PERIOD.items()],
-        *[F.when(is_ef, F.col("_" + c)).otherwise(F.col(c)).alias(c) for c in DESTINATION.values()],
+        *[F.when(is_ef, F.col("settled_" + c)).otherwise(F.col(c)).alias(c) for c in DESTINATION.values()],
         date.alias("event_date"),
     )
     return with_season(dated, winter)

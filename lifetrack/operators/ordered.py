@@ -5,7 +5,7 @@ columns: an aggregate, so each task reduces a hot group to one row before the
 exchange, also behind a join that Spark splits for skew. The n-th row filters on
 ``row_number() = n``, which Spark limits to n rows per group and task. Rules that
 need every row in order (running totals, fills) split hot groups into ordered
-blocks first: see ``split_hot_groups``.
+blocks first: see ``ordered_blocks``.
 """
 
 from __future__ import annotations
@@ -15,8 +15,9 @@ from collections.abc import Iterable
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import settle
 from .joins import merge, semi
-from .skew import MIN_HOT_ROWS, block_count, hot_groups
+from .skew import block_count, hot_groups
 
 
 def _pick(df: DataFrame, keys: Iterable[str], place, best) -> DataFrame:
@@ -59,78 +60,77 @@ def _bucket(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFra
     return Bucketizer(splits=edges, inputCol=column, outputCol=name).transform(df)
 
 
-def split_hot_groups(
-    df: DataFrame,
-    keys: Iterable[str],
-    order: str,
-    tie: str,
-    *,
-    min_rows: int = MIN_HOT_ROWS,
-    blocks: int | None = None,
-) -> tuple[DataFrame, bool]:
-    """Add ``_block``: 0 in ordinary groups, 1, 2, ... in order inside hot ones.
-
-    Blocks follow ``(order, tie)``, so working block by block and carrying
-    totals across blocks equals working on the whole group. Block limits are
-    value quantiles over the hot rows, so a block is about one shuffle partition. A value so frequent that it fills a
-    whole quantile gets its own blocks by ``tie``. ``order`` and ``tie`` must be
-    numbers, dates or timestamps, and ``order`` must not be null.
-
-    The limits (about as many numbers as shuffle partitions) are found when this is called, by a
-    count and, for more than ``min_rows`` rows, one more job, and become constants of the plan: every later evaluation, also after
-    lost executors, sees the same blocks. Returns the rows and whether any group
-    is hot.
+def ordered_blocks(
+    df: DataFrame, keys: Iterable[str], order: str, tie: str, *, blocks: int | None = None
+) -> DataFrame:
+    """Add ``_block``: 0 in ordinary groups, 1, 2, ... in order inside groups above 1/blocks of all rows.
+
+    Blocks follow ``(order, tie)``, nulls last and NaN before them, so working
+    block by block and carrying totals across blocks equals working on the whole
+    group. Block limits are value quantiles over the rows of such groups, so a
+    block is about one of ``blocks`` equal parts. A value so frequent that it
+    fills a whole quantile, NaN and null get blocks of their own by ``tie``.
+    ``order`` and ``tie`` must be numbers, dates or timestamps; ``tie`` is never null.
+
+    The same plan holds for any number of rows. The rows are settled first; the
+    list of large groups (fewer than ``blocks``) and the limits (about as many
+    numbers) are found from them when this is called and become constants of the
+    plan: every later evaluation, also after lost executors, sees the same blocks.
     """
     keys = list(keys)
-    cold = df.withColumn("_block", F.lit(0).cast("long"))
-    if df.count() <= min_rows:
-        return cold, False
     blocks = block_count(df, blocks)
+    settled = settle(df)
     keyed = keys or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    ordinal = lambda c: (
-        F.unix_date(c) if dict(df.dtypes)[c] == "date" else F.col(c)
-    ).cast("double")
+    rows = settled if keys else settled.withColumn("_all", F.lit(0))
+    kinds = dict(df.dtypes)
+
+    def ordinal(c):
+        value = F.unix_date(c) if kinds[c] == "date" else F.col(c)
+        return value.cast("double")
+
     rows = rows.withColumns({"_o": ordinal(order), "_t": ordinal(tie)})
-    hot = hot_groups(rows, keyed, min_rows, blocks).select(*keyed)
+    hot = settle(hot_groups(rows, keyed, blocks))
     hot_rows = semi(rows, F.broadcast(hot), keyed, null_safe=True)
     steps = [i / blocks for i in range(1, blocks)]
-    by_order, by_tie = hot_rows.approxQuantile(["_o", "_t"], steps, 0.25 / blocks)
-    if not by_order:
-        return cold, False
+    by_order, by_tie = hot_rows.where(~F.isnan("_o")).approxQuantile(["_o", "_t"], steps, 0.25 / blocks)
     # Bucketizer intervals are [cut, next cut), so a repeated cut starts its bucket.
     repeated = sorted({a for a, b in zip(by_order, by_order[1:]) if a == b})
-    rows = _bucket(rows, "_o", by_order, "_outer")
+    last = len(set(by_order)) + 1
+    unknown, strange = F.col("_o").isNull(), F.isnan("_o")
+    rows = rows.withColumn("_place", F.when(unknown | strange, 0.0).otherwise(F.col("_o")))
+    rows = _bucket(rows, "_place", by_order, "_outer")
     rows = _bucket(rows, "_t", by_tie, "_inner")
     width = len(set(by_tie)) + 2
-    inner = F.when(F.col("_o").isin(repeated), F.col("_inner")).otherwise(F.lit(width - 1))
-    block = (F.col("_outer") * width + inner + 1).cast("long")
+    outer = F.when(unknown, last + 1).when(strange, last).otherwise(F.col("_outer"))
+    alone = unknown | strange | F.col("_o").isin(repeated)
+    inner = F.when(alone, F.col("_inner")).otherwise(F.lit(width - 1))
+    block = (outer * width + inner + 1).cast("long")
     marked = merge(rows, F.broadcast(hot.withColumn("_hot", F.lit(True))), keyed, "left")
     marked = marked.withColumn("_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)))
-    return marked.select(*df.columns, "_block"), True
+    return marked.select(*df.columns, "_block")
 
 
 def running_total(
-    df: DataFrame, keys: Iterable[str], order: str, tie: str, amount: Column, name: str, **limits
+    df: DataFrame, keys: Iterable[str], order: str, tie: str, amount: Column, name: str, *, blocks: int | None = None
 ) -> DataFrame:
-    """Running total of ``amount`` per group in (order, tie), current row included."""
+    """Running total of ``amount`` per group in (order, tie), current row included, null orders last."""
     keys = list(keys)
-    rows, split = split_hot_groups(df, keys, order, tie, **limits)
-    w = Window.partitionBy(*keys, "_block").orderBy(F.asc(order), F.asc(tie))
+    rows = ordered_blocks(df, keys, order, tie, blocks=blocks)
+    w = Window.partitionBy(*keys, "_block").orderBy(F.asc_nulls_last(order), F.asc(tie))
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.withColumn(name, F.sum(amount).over(upto))
-    if split:
-        totals = rows.where("_block > 0").groupBy(*keys, "_block").agg(F.sum(amount).alias("_sum"))
-        before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-        carried = totals.select(*keys, "_block", F.sum("_sum").over(before).alias("_carry"))
-        out = merge(out, carried, [*keys, "_block"], "left")
-        out = out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry")
-    return out.drop("_block")
+    totals = rows.where("_block > 0").groupBy(*keys, "_block").agg(F.sum(amount).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select(*keys, "_block", F.sum("_sum").over(before).alias("_carry"))
+    out = merge(out, carried, [*keys, "_block"], "left")
+    return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", "_block")
 
 
-def numbered(df: DataFrame, keys: Iterable[str], order: str, tie: str, name: str, **limits) -> DataFrame:
-    """Number the rows of each group from 1 in (order, tie)."""
-    return running_total(df, keys, order, tie, F.lit(1).cast("long"), name, **limits)
+def numbered(
+    df: DataFrame, keys: Iterable[str], order: str, tie: str, name: str, *, blocks: int | None = None
+) -> DataFrame:
+    """Number the rows of each group from 1 in (order, tie), null orders last."""
+    return running_total(df, keys, order, tie, F.lit(1).cast("long"), name, blocks=blocks)
 
 
 def nearest_known(
@@ -142,48 +142,43 @@ def nearest_known(
     *,
     before: str = "prev_known",
     after: str = "next_known",
-    **limits,
+    blocks: int | None = None,
 ) -> DataFrame:
-    """Add the last known value up to each row and the first known one from it on."""
+    """Add the last known value up to each row and the first known one from it on; null orders come last."""
     keys = list(keys)
-    rows, split = split_hot_groups(df, keys, order, tie, **limits)
+    rows = ordered_blocks(df, keys, order, tie, blocks=blocks)
     # Looking ahead is looking back in reverse order: a frame reaching forward to
     # the end would be computed anew for every row.
     w = Window.partitionBy(*keys, "_block")
     so_far = (Window.unboundedPreceding, Window.currentRow)
-    past = w.orderBy(F.asc(order), F.asc(tie)).rowsBetween(*so_far)
-    future = w.orderBy(F.desc(order), F.desc(tie)).rowsBetween(*so_far)
+    past = w.orderBy(F.asc_nulls_last(order), F.asc(tie)).rowsBetween(*so_far)
+    future = w.orderBy(F.desc_nulls_first(order), F.desc(tie)).rowsBetween(*so_far)
     known = F.last(value, ignorenulls=True)
     out = rows.withColumns({before: known.over(past), after: known.over(future)})
-    if split:
-        place = F.struct(order, tie)
-        known = rows.where((F.col("_block") > 0) & F.col(value).isNotNull())
-        ends = rows.where("_block > 0").select(*keys, "_block").distinct()
-        ends = merge(
-            ends,
-            known.groupBy(*keys, "_block").agg(
-                F.min_by(value, place).alias("_first"), F.max_by(value, place).alias("_last")
-            ),
-            [*keys, "_block"],
-            "left",
-        )
-        b, others = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
-        carry = lambda c, order: F.last(c, ignorenulls=True).over(b.orderBy(order).rowsBetween(*others))
-        carried = ends.select(
-            *keys,
-            "_block",
-            carry("_last", F.asc("_block")).alias("_carry_before"),
-            carry("_first", F.desc("_block")).alias("_carry_after"),
-        )
-        out = merge(out, carried, [*keys, "_block"], "left").withColumns({
-            before: F.coalesce(before, "_carry_before"),
-            after: F.coalesce(after, "_carry_after"),
-        }).drop("_carry_before", "_carry_after")
-    return out.drop("_block")
-
-
-def fill_nearest(df: DataFrame, keys, order: str, tie: str, value: str, direction: str, **limits) -> DataFrame:
+    place = F.struct(F.col(order).isNull(), order, tie)
+    known = F.col(value).isNotNull()
+    ends = rows.where("_block > 0").groupBy(*keys, "_block").agg(
+        F.min_by(F.when(known, F.col(value)), F.when(known, place)).alias("_first"),
+        F.max_by(F.when(known, F.col(value)), F.when(known, place)).alias("_last"),
+    )
+    b, others = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
+    carry = lambda c, order: F.last(c, ignorenulls=True).over(b.orderBy(order).rowsBetween(*others))
+    carried = ends.select(
+        *keys,
+        "_block",
+        carry("_last", F.asc("_block")).alias("_carry_before"),
+        carry("_first", F.desc("_block")).alias("_carry_after"),
+    )
+    return merge(out, carried, [*keys, "_block"], "left").withColumns({
+        before: F.coalesce(before, "_carry_before"),
+        after: F.coalesce(after, "_carry_after"),
+    }).drop("_carry_before", "_carry_after", "_block")
+
+
+def fill_nearest(
+    df: DataFrame, keys, order: str, tie: str, value: str, direction: str, *, blocks: int | None = None
+) -> DataFrame:
     """Fill nulls of ``value``: ``updown`` looks ahead first, ``downup`` looks back first."""
     pair = {"updown": ("_after", "_before"), "downup": ("_before", "_after")}[direction]
-    out = nearest_known(df, keys, order, tie, value, before="_before", after="_after", **limits)
+    out = nearest_known(df, keys, order, tie, value, before="_before", after="_after", blocks=blocks)
     return out.withColumn(value, F.coalesce(*pair)).drop("_before", "_after")

@@ -44,6 +44,27 @@ def previous_period(
     )
 
 
+def _overlaps(lo, hi, start, end):
+    return (end >= lo) & (hi >= start)
+
+
+def overlap_calendar(
+    spans: DataFrame, periods: DataFrame, span: tuple[str, str], period: tuple[str, str]
+) -> DataFrame:
+    """Pairs of spans and calendar periods with ``period end >= span from`` and ``span to >= period start``.
+
+    A calendar grows with time, not with the data: its rows become one array that
+    each span is held against where it stands, so spans are neither exchanged nor
+    copied into buckets. Intervals with a missing end match nothing.
+    """
+    (lo, hi), (start, end) = span, period
+    dated = periods.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    calendar = dated.agg(F.array_sort(F.collect_list(F.struct(start, end, *[c for c in periods.columns if c not in period])))).scalar()
+    near = F.filter("_calendar", lambda p: _overlaps(F.col(lo), F.col(hi), p[start], p[end]))
+    listed = spans.withColumn("_calendar", calendar).select(*spans.columns, F.explode(near).alias("_period"))
+    return listed.select(*spans.columns, *[F.col("_period")[c].alias(c) for c in periods.columns])
+
+
 def overlap_join(
     spans: DataFrame,
     periods: DataFrame,
@@ -51,25 +72,30 @@ def overlap_join(
     period: tuple[str, str],
     *,
     bucket_days: int = 90,
+    parts: int = 16,
 ) -> DataFrame:
-    """Pairs with ``period end >= span from`` and ``span to >= period start``.
+    """The same pairs where both sides are large.
 
     Both sides are listed under the fixed-width time buckets they touch and
-    joined on the bucket, an equality Spark can hash, broadcast by its own size
-    check, or split for skew. Buckets run from the smaller to the larger
-    endpoint, because a span whose ``from`` lies after its ``to`` still matches a
-    period covering both. A pair sharing several buckets is kept in the first
-    bucket both touch. Intervals with a missing end match nothing.
+    joined on the bucket. Buckets are few, so the spans of each are dealt to
+    ``parts`` by their content, and its periods are repeated for each part.
+    Buckets run from the smaller to the larger endpoint, because a span whose
+    ``from`` lies after its ``to`` still matches a period covering both. A pair
+    sharing several buckets is kept in the first bucket both touch. Intervals
+    with a missing end match nothing.
     """
     (lo, hi), (start, end) = span, period
 
-    def listed(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
+    def listed(df: DataFrame, a: str, b: str, name: str, part) -> DataFrame:
         number = lambda c: F.floor(F.unix_date(c) / F.lit(bucket_days))
         first, last = number(F.least(a, b)), number(F.greatest(a, b))
-        known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn(name, first)
+        known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_part", part).withColumn(name, first)
         return known.withColumn("_bucket", F.explode(F.sequence(F.col(name), last)))
 
-    joined = listed(spans, lo, hi, "_first_l").join(listed(periods, start, end, "_first_r"), "_bucket")
+    dealt = F.pmod(F.xxhash64(*spans.columns), F.lit(parts)).cast("int")
+    repeated = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    joined = listed(spans, lo, hi, "_first_l", dealt).join(
+        listed(periods, start, end, "_first_r", repeated), ["_bucket", "_part"])
     once = F.col("_bucket") == F.greatest("_first_l", "_first_r")
-    exact = (F.col(end) >= F.col(lo)) & (F.col(hi) >= F.col(start))
-    return joined.where(once & exact).drop("_bucket", "_first_l", "_first_r")
+    exact = _overlaps(F.col(lo), F.col(hi), F.col(start), F.col(end))
+    return joined.where(once & exact).drop("_bucket", "_part", "_first_l", "_first_r")

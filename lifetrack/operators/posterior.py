@@ -1,6 +1,6 @@
 """Summaries of a long table of posterior draws.
 
-A draw is ``model, iteration, parameter, value``.
+A draw is ``model, chain, iteration, parameter, value``.
 """
 
 from __future__ import annotations
@@ -10,25 +10,25 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import settle
-from .joins import merge_hot
+from .joins import merge_settled
 from .ordered import first_by, nearest_known, running_total
 
 
-def wide_draws(draws: DataFrame, parameters: Iterable[str], by=("model", "iteration")) -> DataFrame:
+def wide_draws(draws: DataFrame, parameters: Iterable[str], by=("model", "chain", "iteration")) -> DataFrame:
     """One row per draw with the named parameters as columns."""
     picks = [F.max(F.when(F.col("parameter") == p, F.col("value"))).alias(p) for p in parameters]
     wanted = draws.where(F.col("parameter").isin(list(parameters)))
     return wanted.groupBy(*by).agg(*picks)
 
 
-def posterior_ratio(draws: DataFrame, part: str, rest: str, by=("model", "iteration")) -> DataFrame:
+def posterior_ratio(draws: DataFrame, part: str, rest: str, by=("model", "chain", "iteration")) -> DataFrame:
     """Per draw: part / (part + rest), the share of variance between entities."""
     both = wide_draws(draws, [part, rest], by)
     return both.select(*by, (F.col(part) / (F.col(part) + F.col(rest))).alias("value"))
 
 
 def posterior_correlation(
-    draws: DataFrame, covariance: str, first: str, second: str, by=("model", "iteration")
+    draws: DataFrame, covariance: str, first: str, second: str, by=("model", "chain", "iteration")
 ) -> DataFrame:
     """Per draw: covariance over the product of both standard deviations."""
     all3 = wide_draws(draws, [covariance, first, second], by)
@@ -41,9 +41,9 @@ def posterior_mean(derived: DataFrame, by=("model",)) -> DataFrame:
 
 
 def hpd_interval(
-    draws: DataFrame, keys: Iterable[str] = ("parameter",), prob: float = 0.95, **limits
+    draws: DataFrame, keys: Iterable[str] = ("model", "parameter"), prob: float = 0.95, *, blocks: int | None = None
 ) -> DataFrame:
-    """Shortest interval holding ``prob`` of the draws per key; the lowest one on ties.
+    """Shortest interval holding ``prob`` of the draws per key, chains of a model pooled; the lowest one on ties.
 
     With n sorted draws it spans ``max(1, min(n - 1, round(prob * n)))`` steps.
     Equal draws are counted together first. An interval of least width always
@@ -54,7 +54,7 @@ def hpd_interval(
     keys = list(keys)
     known = draws.where(F.col("value").isNotNull())
     counted = known.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", **limits)
+    ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", blocks=blocks)
     start = F.col("_upto") - F.col("_n") + 1
     # Ranked once and written: values, candidates and block limits all read it.
     runs = settle(ranked.select(*keys, "value", "_n", start.alias("_start")))
@@ -63,7 +63,7 @@ def hpd_interval(
         F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(prob)).cast("long"))
     )
     spans = sizes.withColumn("_span", span)
-    candidates = merge_hot(runs, spans, keys, **limits).where(
+    candidates = merge_settled(runs, spans, keys, null_safe=True).where(
         F.col("_start") + F.col("_span") <= F.col("n")
     )
     axis = runs.select(
@@ -73,7 +73,7 @@ def hpd_interval(
         *keys, (F.col("_start") + F.col("_span")).alias("_rank"), F.lit(1).alias("_side"),
         F.lit(None).cast("double").alias("value"), F.col("value").alias("lower"), "n",
     ))
-    placed = nearest_known(axis, keys, "_rank", "_side", "value", before="upper", **limits)
+    placed = nearest_known(axis, keys, "_rank", "_side", "value", before="upper", blocks=blocks)
     intervals = placed.where(F.col("_side") == 1).select(
         *keys, "n", "lower", "upper", (F.col("upper") - F.col("lower")).alias("width")
     )

@@ -9,9 +9,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.columns import recode
-from .joins import anti, keep_groups, merge_hot
+from ..session import settle
+from .joins import anti, keep_groups, merge_settled
 from .ordered import drop_first_dup, first_by, last_by, nth_by
-from .skew import spread_hot
 
 # Status codes of the residency tables.
 CHICK = "CH"
@@ -24,7 +24,6 @@ SUBORDINATE = ("H", "AB", "ABX")
 NOT_SEEN = ("NS", "NSA")
 
 COLUMNS = ("entity", "location", "status", "period", "period_start", "period_end")
-MAX_RULES_PER_ENTITY = 10_000
 
 
 @dataclass(frozen=True)
@@ -74,55 +73,44 @@ def location_conflicts(residency: DataFrame, statuses: Iterable[str] = JUVENILE)
     return places.where(F.col("locations") > 1)
 
 
-def apply_corrections(residency: DataFrame, rules: DataFrame, **limits) -> DataFrame:
+def apply_corrections(residency: DataFrame, rules: DataFrame) -> DataFrame:
     """Replace locations by an ordered rule table.
 
     ``rules`` holds ``rule, entity, status, period, location, new_location``; a
     null status, period or location matches anything, and the location tested is
-    the one left by earlier rules. Each entity's rules travel as one short
-    ordered array, so rows are neither multiplied nor numbered.
+    the one left by earlier rules. Each entity's rules travel as one ordered
+    array, so rows are neither multiplied nor numbered. Rules are hand edits: an
+    entity has a few, and no number of them is refused.
     """
     fields = ("rule", "status", "period", "location", "new_location")
     packed = rules.groupBy("entity").agg(
         F.sort_array(F.collect_list(F.struct(*fields))).alias("_rules")
     )
-    packed = packed.withColumn(
-        "_rules",
-        F.when(F.size("_rules") <= MAX_RULES_PER_ENTITY, F.col("_rules")).otherwise(
-            F.raise_error(F.lit("too many correction rules for one entity"))
-        ),
-    )
 
     def step(current: Column, rule: Column) -> Column:
         fits = lambda field, value: rule[field].isNull() | (rule[field] == value)
         match = fits("status", F.col("status")) & fits("period", F.col("period")) & fits("location", current)
         return F.when(match, rule["new_location"]).otherwise(current)
 
-    joined = merge_hot(residency, packed, ["entity"], "left", spread_on=["tie"], **limits)
+    joined = merge_settled(residency, packed, ["entity"], "left")
     corrected = F.when(F.col("_rules").isNull(), F.col("location")).otherwise(
         F.aggregate("_rules", F.col("location"), step)
     )
     return joined.withColumn("location", corrected).drop("_rules")
 
 
-def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity", **limits) -> DataFrame:
+def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity") -> DataFrame:
     """Drop rows matching any pattern; a null pattern field matches anything but ``key`` must be set."""
     fields = [c for c in patterns.columns if c != key]
-    rows, side, keys = spread_hot(df, patterns, [key], **limits)
-    side = side.withColumnsRenamed({c: "_p_" + c for c in side.columns})
-    same = reduce(lambda a, b: a & b, [F.col(k) == F.col("_p_" + k) for k in keys])
+    side = settle(patterns.withColumnsRenamed({c: "_p_" + c for c in patterns.columns}))
     wild = [F.col("_p_" + c).isNull() | (F.col("_p_" + c) == F.col(c)) for c in fields]
-    return rows.join(side, reduce(lambda a, b: a & b, wild, same), "left_anti").select(*df.columns)
+    return df.join(side, reduce(lambda a, b: a & b, wild, F.col(key) == F.col("_p_" + key)), "left_anti")
 
 
-def resolve_fostered(
-    residency: DataFrame, fostered: str = FOSTERED, young: str = CHICK, **limits
-) -> DataFrame:
+def resolve_fostered(residency: DataFrame, fostered: str = FOSTERED, young: str = CHICK) -> DataFrame:
     """For entities moved as young: drop their rows at the old place, keep the new place as their own."""
     ids = residency.where(F.col("status") == fostered).select("entity").distinct()
-    flagged = merge_hot(
-        residency, ids.withColumn("_moved", F.lit(True)), ["entity"], "left", spread_on=["tie"], **limits
-    )
+    flagged = merge_settled(residency, ids.withColumn("_moved", F.lit(True)), ["entity"], "left")
     old_place = F.col("_moved").isNotNull() & F.coalesce(F.col("status") == young, F.lit(True))
     return flagged.where(~old_place).drop("_moved").withColumn(
         "status", F.when(F.col("status") == fostered, F.lit(young)).otherwise(F.col("status"))
@@ -163,8 +151,8 @@ def place_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> D
     """What the movement rules need of each entity at each location, in one pass over the history.
 
     Per entity and location: the earliest row, the latest-ending status (the
-    most advanced one within a period), the first dominant row and the
-    latest-starting row. All are smallest or largest structs, so each task sends
+    most advanced one within a period), the first dominant row, the
+    latest-starting row and the last floating period's end. All are smallest or largest structs, so each task sends
     one row per key, however long a history is.
     """
     ladder = list(roles.ladder)
@@ -179,6 +167,7 @@ def place_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> D
         .alias("latest"),
         F.min(F.when(dominant & start.isNotNull(), F.struct(start, tie, "period"))).alias("dominant"),
         F.max(F.when(start.isNotNull(), F.struct(start, untie, "period", end))).alias("last"),
+        F.max(F.when(F.col("status").isin(list(roles.floating)), end)).alias("float_end"),
     )
 
 
@@ -188,10 +177,13 @@ def life_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> Da
     ``origin*`` is the earliest row, ``home_status`` the latest status at the
     origin, ``dominant_period`` the first dominant period there, ``last_*`` the
     latest-starting row there, ``dest_*`` the earliest row at the second location,
-    null for entities that never moved (``mover`` false).
+    null for entities that never moved (``mover`` false). ``float_end`` is the end
+    of the last floating period anywhere.
     """
-    w = Window.partitionBy("entity").orderBy("first")
-    first_two = place_profile(residency, roles).withColumn("_rn", F.row_number().over(w)).where("_rn <= 2")
+    w = Window.partitionBy("entity")
+    first_two = place_profile(residency, roles).withColumns({
+        "_rn": F.row_number().over(w.orderBy("first")), "float_end": F.max("float_end").over(w),
+    }).where("_rn <= 2")
     at = lambda n, c, name: F.max(F.when(F.col("_rn") == n, F.col(c))).alias(name)
     row = {"status": "status", "period": "period", "period_start": "start", "period_end": "end"}
     return first_two.groupBy("entity").agg(
@@ -205,18 +197,19 @@ def life_profile(residency: DataFrame, roles: StatusRoles = StatusRoles()) -> Da
         at(1, "last.period_end", "last_end"),
         at(2, "location", "dest_location"),
         *[at(2, f"first.{c}", f"dest_{name}") for c, name in row.items()],
+        F.max("float_end").alias("float_end"),
     )
 
 
 def moves(life: DataFrame) -> DataFrame:
-    """One row per mover: origin with its latest status, and the destination row.
+    """One row per mover: origin with its latest status, the destination row, the end of floating.
 
     An entity whose first place carries no date has no known origin.
     """
     known = F.col("mover") & F.col("origin_start").isNotNull()
     return life.where(known).select(
         "entity", "origin", "home_status",
-        "dest_location", "dest_status", "dest_period", "dest_start", "dest_end",
+        "dest_location", "dest_status", "dest_period", "dest_start", "dest_end", "float_end",
     )
 
 

@@ -1,18 +1,11 @@
-"""Finding hot keys and spreading their rows over several tasks.
-
-Spark splits skewed joins at run time only where both sides were just shuffled
-for the join. A table aggregated by the same key is not, so joins of raw rows
-with per-key tables spread hot keys here.
-"""
+"""Finding groups that hold too many rows for one task."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-MIN_HOT_ROWS = 1_000_000
 MIN_BLOCKS = 256
 
 
@@ -23,38 +16,9 @@ def block_count(df: DataFrame, blocks: int | None) -> int:
     return max(MIN_BLOCKS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def hot_groups(df: DataFrame, keys: Iterable[str], min_rows: int, blocks: int) -> DataFrame:
-    """Keys of groups above ``min_rows`` and above 1/blocks of all rows, with ``_parts`` to cut each into.
-
-    Fewer than ``blocks`` keys can qualify, and their parts add up to less than
-    twice ``blocks``, whatever the size of the data: the result can be broadcast.
-    """
+def hot_groups(df: DataFrame, keys: Iterable[str], blocks: int) -> DataFrame:
+    """Keys of the groups above 1/blocks of all rows: fewer than ``blocks``, whatever the size of the data."""
     keys = list(keys)
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n")).scalar()
-    hot = sizes.where((F.col("_n") > min_rows) & (F.col("_n") * blocks > total))
-    return hot.select(*keys, F.ceil(F.col("_n") * blocks / total).cast("int").alias("_parts"))
-
-
-def spread_hot(
-    rows: DataFrame, per_key: DataFrame, by: Iterable[str], spread_on: Iterable[str] | None = None,
-    *, min_rows: int = MIN_HOT_ROWS, blocks: int | None = None,
-) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Prepare a join of many rows per key with a table of one row per key.
-
-    Rows of hot keys are dealt to parts by a hash of ``spread_on`` (by default
-    all columns), and the other side's row is repeated once per part. Returns
-    both sides and the columns to join on. Tables of at most ``min_rows`` rows
-    hold no hot key and come back unchanged.
-    """
-    by = list(by)
-    if rows.count() <= min_rows:
-        return rows, per_key, by
-    hot = hot_groups(rows, by, min_rows, block_count(rows, blocks))
-    hot = F.broadcast(hot.withColumnsRenamed({k: "_h_" + k for k in by}))
-    same = lambda df: reduce(lambda a, b: a & b, [df[k].eqNullSafe(hot["_h_" + k]) for k in by])
-    spread = F.pmod(F.xxhash64(*(spread_on or rows.columns)), F.col("_parts")).cast("int")
-    dealt = rows.join(hot, same(rows), "left").select(*rows.columns, F.coalesce(spread, F.lit(0)).alias("_part"))
-    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
-    repeated = per_key.join(hot, same(per_key), "left").select(*per_key.columns, F.explode(parts).alias("_part"))
-    return dealt, repeated, [*by, "_part"]
+    return sizes.where(F.col("_n") * blocks > total).select(*keys)

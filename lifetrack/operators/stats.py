@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 from itertools import combinations
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -12,41 +13,80 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.normal import norm_quantile
 from ..session import settle
-from .joins import merge_hot
+from .joins import merge_settled
 from .ordered import running_total
 
-# Search range of the Box-Cox power.
+#: Search range of the Box-Cox power, unless given.
 POWER_RANGE = (-1.0, 2.0)
+#: Degrees of freedom up to which t quantiles are solved for; the series beyond is exact to eight digits.
+EXACT_FREEDOM = 100
 
 
-def summary_se(df: DataFrame, value: str, keys: Iterable[str], confidence: float = 0.95) -> DataFrame:
-    """Count, mean, sd, standard error and t confidence half-width per group."""
+def summary_se(
+    df: DataFrame, value: str, keys: Iterable[str], confidence: float = 0.95, *, skip_nulls: bool = False
+) -> DataFrame:
+    """Count, mean, sd, standard error and t confidence half-width per group.
+
+    A group with a null has a null mean, sd, error and half-width, and its count
+    includes the null. With ``skip_nulls`` nulls are left out of all of them.
+    """
     keys = list(keys)
+    known = F.count(value)
+    whole = F.lit(True) if skip_nulls else known == F.count(F.lit(1))
     base = df.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")
+        (known if skip_nulls else F.count(F.lit(1))).alias("n"),
+        F.when(whole, F.avg(value)).alias("mean"), F.when(whole, F.stddev_samp(value)).alias("sd"),
     )
     se = base.withColumn("se", F.col("sd") / F.sqrt("n"))
-    p = F.lit(0.5 + confidence / 2)
-    return se.withColumn("ci", F.col("se") * t_quantile(p, F.col("n") - 1))
-
-
-def t_quantile(p: Column, freedom: Column) -> Column:
-    """Student t quantile by the Cornish-Fisher expansion; exact for 1 and 2 degrees of freedom."""
-    z, v = norm_quantile(p), freedom.cast("double")
+    return se.withColumn("ci", F.col("se") * t_quantile(0.5 + confidence / 2, F.col("n") - 1))
+
+
+def t_probability(t: float, freedom: int) -> float:
+    """Student's t distribution function for whole degrees of freedom, by its finite sum."""
+    angle = math.atan(t / math.sqrt(freedom))
+    sine, cosine2 = math.sin(angle), math.cos(angle) ** 2
+    if freedom % 2:
+        term, total = math.cos(angle), 0.0
+        for k in range(3, freedom + 1, 2):
+            total += term
+            term *= cosine2 * (k - 1) / k
+        area = 2 / math.pi * (angle + sine * total)
+    else:
+        term, total = 1.0, 0.0
+        for k in range(2, freedom + 1, 2):
+            total += term
+            term *= cosine2 * (k - 1) / k
+        area = sine * total
+    return 0.5 + area / 2
+
+
+def t_value(p: float, freedom: int) -> float:
+    """Student's t quantile, by halving the interval that holds it."""
+    if p < 0.5:
+        return -t_value(1 - p, freedom)
+    low, high = 0.0, 1.0
+    while t_probability(high, freedom) < p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if t_probability(mid, freedom) < p else (low, mid)
+    return high
+
+
+def t_quantile(p: float, freedom: Column) -> Column:
+    """Student's t quantile: solved for small degrees of freedom, by the Cornish-Fisher series for others."""
+    z, v = NormalDist().inv_cdf(p), freedom.cast("double")
     z2 = z * z
     series = (
-        z
+        F.lit(z)
         + z * (z2 + 1) / (v * 4)
         + z * ((z2 * 5 + 16) * z2 + 3) / (v * v * 96)
         + z * (((z2 * 3 + 19) * z2 + 17) * z2 - 15) / (v * v * v * 384)
         + z * ((((z2 * 79 + 776) * z2 + 1482) * z2 - 1920) * z2 - 945) / (v * v * v * v * 92160)
     )
-    centred = p * 2 - 1
-    return (
-        F.when(v == 1, F.tan((p - 0.5) * float(np.pi)))
-        .when(v == 2, centred * F.sqrt(F.lit(2.0) / (F.lit(1.0) - centred * centred)))
-        .when(v > 2, series)
-    )
+    solved = F.array(*[F.lit(t_value(p, k)) for k in range(1, EXACT_FREEDOM + 1)])
+    small = F.get(solved, freedom.cast("int") - 1)
+    return F.when(freedom.between(1, EXACT_FREEDOM), small).when(freedom > EXACT_FREEDOM, series)
 
 
 def overview(df: DataFrame, column: str) -> DataFrame:
@@ -70,8 +110,13 @@ def histogram(
     )
 
 
-def histogram_breaks(df: DataFrame, column: str, breaks: Iterable[float], *, closed: str = "right") -> DataFrame:
-    """Rows per interval between given breaks; the outer ends are included, other values left out."""
+def histogram_breaks(
+    df: DataFrame, column: str, breaks: Iterable[float], *, closed: str = "right", outside: str = "error"
+) -> DataFrame:
+    """Rows per interval between given breaks, the outer ends included.
+
+    Values outside are an error when the result is computed, or left out if ``outside`` is "drop".
+    """
     edges = sorted(float(b) for b in breaks)
     value = F.col(column)
     number = F.lit(None).cast("int")
@@ -83,6 +128,9 @@ def histogram_breaks(df: DataFrame, column: str, breaks: Iterable[float], *, clo
         else:
             inside = (value >= low) & ((value < high) | ((value == high) if i == last else F.lit(False)))
         number = F.when(inside, F.lit(i)).otherwise(number)
+    if outside != "drop":
+        beyond = value.isNotNull() & ((value < edges[0]) | (value > edges[-1]))
+        number = F.when(beyond, F.raise_error(F.lit(f"{column} has values outside the breaks"))).otherwise(number)
     counted = df.withColumn("bin", number).where(F.col("bin").isNotNull()).groupBy("bin")
     low = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 1)
     high = F.element_at(F.array(*[F.lit(e) for e in edges]), F.col("bin") + 2)
@@ -149,21 +197,22 @@ def standardise_entities(df: DataFrame, columns: Iterable[str], suffix: str = "_
     return standardise(df, columns, suffix, over=df.select("entity", *columns).distinct())
 
 
-def orq_normalise(df: DataFrame, value: str, name: str, **limits) -> DataFrame:
-    """Rank-based normal score: quantile of (average rank - 0.5) / n over the non-null values.
+def orq_normalise(df: DataFrame, value: str, name: str, *, blocks: int | None = None) -> DataFrame:
+    """Rank-based normal score: quantile of (average rank - 0.5) / n over the known values.
+
+    Null and NaN are unknown: they have no rank and no score.
 
     Equal values are counted together before ranking, so ties never meet in one
     task and the ranking works on distinct values only.
     """
-    known = df.where(F.col(value).isNotNull())
-    # Counted, perhaps split, then ranked: the distinct values are written once.
+    known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     counts = settle(known.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = running_total(counts, [], "_v", "_n", F.col("_n"), "_upto", **limits)
+    ranked = running_total(counts, [], "_v", "_n", F.col("_n"), "_upto", blocks=blocks)
     total = counts.agg(F.sum("_n")).scalar()
     average = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
     placed = ranked.select("_v", ((average - 0.5) / total).alias("_p"))
     scores = placed.select(F.col("_v").alias(value), norm_quantile("_p").alias(name))
-    return merge_hot(df, scores, [value], "left", **limits)
+    return merge_settled(df, scores, [value], "left")
 
 
 def box_cox(x: Column, log_x: Column, power: Column) -> Column:
@@ -174,33 +223,41 @@ def box_cox(x: Column, log_x: Column, power: Column) -> Column:
 def _best_power(known: DataFrame, centre: float, powers: list[float]) -> float:
     """The candidate with the largest profile likelihood; equal ones go to the smaller power.
 
-    Each row meets the few candidates inside its task and is aggregated there at
-    once, so one row per candidate and task is exchanged. Spreads are taken
-    around the transformed ``centre``, which keeps plain sums accurate.
+    One aggregate over the rows holds two averages for each candidate, so no row
+    is copied and one row per task is exchanged. Spreads are taken around the
+    transformed ``centre``, which keeps plain sums accurate.
     """
     moved_centre = lambda p: math.log(centre) if p == 0 else (centre**p - 1) / p
-    options = [F.struct(F.lit(p).alias("power"), F.lit(moved_centre(p)).alias("_c")) for p in powers]
-    tried = known.select("_x", "_log", F.inline(F.array(*options)))
-    off = box_cox(F.col("_x"), F.col("_log"), F.col("power")) - F.col("_c")
-    fits = tried.select("power", "_log", off.alias("_off")).groupBy("power").agg(
-        F.count("_off").alias("n"), F.sum("_log").alias("logs"),
-        F.avg("_off").alias("mean"), F.avg(F.col("_off") * F.col("_off")).alias("square"),
-    )
-    spread = F.col("square") - F.col("mean") * F.col("mean")
-    likelihood = -F.col("n") / 2 * F.log(spread) + (F.col("power") - 1) * F.col("logs")
-    return fits.orderBy(likelihood.desc(), "power").first()["power"]
+    averages = []
+    for p in powers:
+        off = box_cox(F.col("_x"), F.col("_log"), F.lit(p)) - F.lit(moved_centre(p))
+        averages.append(F.array(F.avg(off), F.avg(off * off)))
+    row = known.agg(F.count("_x").alias("n"), F.sum("_log").alias("logs"), F.array(*averages).alias("fits")).first()
+
+    def likelihood(p, fit):
+        spread = fit[1] - fit[0] * fit[0]
+        return -row["n"] / 2 * (math.log(spread) if spread > 0 else -math.inf) + (p - 1) * row["logs"]
 
+    return max(zip(powers, row["fits"]), key=lambda f: (likelihood(*f), -f[0]))[0]
 
-def box_cox_power(df: DataFrame, value: str) -> float:
+
+def box_cox_power(
+    df: DataFrame, value: str, power_range: tuple[float, float] = POWER_RANGE, *, not_positive: str = "error"
+) -> float:
     """Maximum-likelihood power to three decimals: a coarse grid, then two finer ones around the best.
 
-    Runs four small jobs; each returns a single number.
+    Runs four small jobs; each returns one row of numbers. Values of zero or less
+    have no transform: an error, unless ``not_positive`` is "null".
     """
-    known = df.select(F.col(value).alias("_x"), F.log(value).alias("_log")).where(F.col("_x") > 0)
-    centre = known.agg(F.avg("_x")).first()[0]
+    known = df.select(F.col(value).alias("_x"), F.log(F.when(F.col(value) > 0, F.col(value))).alias("_log"))
+    positive = F.col("_x") > 0
+    centre, others = known.agg(F.avg(F.when(positive, F.col("_x"))), F.count_if(~positive)).first()
     if centre is None:
         raise ValueError(f"no positive value in {value}")
-    low, high = POWER_RANGE
+    if others and not_positive != "null":
+        raise ValueError(f"{others} values of {value} are not positive")
+    known = known.where(positive)
+    low, high = power_range
     tenths = [round(low + i / 10, 1) for i in range(round((high - low) * 10) + 1)]
     power = _best_power(known, centre, tenths)
     for step in (100, 1000):
@@ -209,11 +266,20 @@ def box_cox_power(df: DataFrame, value: str) -> float:
     return power
 
 
-def boxcox_normalise(df: DataFrame, value: str, name: str) -> DataFrame:
-    """Box-Cox transform at the best power, then z-scores. Values that are not positive give null."""
-    power = box_cox_power(df, value)
+def boxcox_normalise(
+    df: DataFrame, value: str, name: str, power_range: tuple[float, float] = POWER_RANGE, *, not_positive: str = "error"
+) -> DataFrame:
+    """Box-Cox transform at the best power, then z-scores.
+
+    ``{name}_power`` is the power, ``{name}_at_edge`` whether it is an end of ``power_range``, so that a better one
+    may lie outside. Values of zero or less are an error, or give null if ``not_positive`` is "null".
+    """
+    power = box_cox_power(df, value, power_range, not_positive=not_positive)
     positive = F.when(F.col(value) > 0, F.col(value))
-    moved = df.withColumns({name + "_power": F.lit(power), "_raw": box_cox(positive, F.log(positive), F.lit(power))})
+    moved = df.withColumns({
+        name + "_power": F.lit(power), name + "_at_edge": F.lit(power in power_range),
+        "_raw": box_cox(positive, F.log(positive), F.lit(power)),
+    })
     return standardise(moved, ["_raw"], "_z").withColumnRenamed("_raw_z", name).drop("_raw")
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
-from ..operators.joins import merge, merge_hot
+from ..operators.joins import merge, merge_settled
 
 
 def collate_wide(
@@ -23,6 +23,6 @@ def collate_wide(
     return out
 
 
-def with_assays(wide: DataFrame, assays: DataFrame, **limits) -> DataFrame:
+def with_assays(wide: DataFrame, assays: DataFrame) -> DataFrame:
     """One row per assay of the entities in the wide table."""
-    return merge_hot(assays, wide, ["entity"], **limits)
+    return merge_settled(assays, wide, ["entity"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import mean_strict, sum_strict
 from ..operators import design, posterior, stats
 from ..operators.joins import lookup
+from ..session import settle
 from ..sources import star
 from ..sources.files import read_table
 from . import sql_parts as sql
@@ -21,16 +22,51 @@ def _events(spark, folder):
 # Summaries -----------------------------------------------------------------------------------
 
 
+_Z = "1.959963984540054e0"
+#: Half-widths over standard errors: exact for two degrees of freedom, the expansion for many.
+_T95 = f"""CASE WHEN n = 3 THEN 0.95 * sqrt(2 / (1 - 0.95 * 0.95)) WHEN n > 100 THEN
+      {_Z} + {_Z} * ({_Z}*{_Z} + 1) / (4.0 * (n - 1)) + {_Z} * ((5 * {_Z}*{_Z} + 16) * {_Z}*{_Z} + 3) / (96.0 * (n - 1) * (n - 1))
+      + {_Z} * (((3 * {_Z}*{_Z} + 19) * {_Z}*{_Z} + 17) * {_Z}*{_Z} - 15) / (384.0 * (n - 1) * (n - 1) * (n - 1)) END"""
+#: The three first events are a group of their own; views below 5 and clicks below 1 are unknown.
+_GROUPED = """(SELECT CASE WHEN event_id < (SELECT min(event_id) FROM events) + 3 THEN 'first' ELSE event_type END AS kind,
+      CASE WHEN event_type = 'view' AND value < 5 AND event_id >= (SELECT min(event_id) FROM events) + 3 THEN NULL ELSE value END AS value
+    FROM events)"""
+
+
+def _grouped_events(spark, folder):
+    events = _events(spark, folder)
+    early = F.col("event_id") < events.agg(F.min("event_id")).scalar() + 3
+    unknown = (F.col("event_type") == "view") & (F.col("value") < 5) & ~early
+    return events.select(
+        F.when(early, "first").otherwise(F.col("event_type")).alias("kind"),
+        F.when(~unknown, F.col("value")).alias("value"),
+    )
+
+
 @query(
-    "event_type:s n:l mean:d sd:d se:d",
-    """
-    SELECT event_type, count(*) AS n, avg(value) AS mean, stddev_samp(value) AS sd,
-           stddev_samp(value) / sqrt(count(*)) AS se
-    FROM events GROUP BY event_type
+    "kind:s n:l mean:d sd:d se:d ci:d",
+    f"""
+    SELECT *, se * {_T95} AS ci FROM (
+      SELECT kind, count(*) AS n, CASE WHEN count(value) = count(*) THEN avg(value) END AS mean,
+             CASE WHEN count(value) = count(*) THEN stddev_samp(value) END AS sd, sd / sqrt(n) AS se
+      FROM {_GROUPED} GROUP BY kind)
     """,
 )
 def summary_se(spark, folder):
-    return stats.summary_se(_events(spark, folder), "value", ["event_type"])
+    return stats.summary_se(_grouped_events(spark, folder), "value", ["kind"])
+
+
+@query(
+    "kind:s n:l mean:d sd:d se:d ci:d",
+    f"""
+    SELECT *, se * {_T95} AS ci FROM (
+      SELECT kind, count(value) AS n, avg(value) AS mean, stddev_samp(value) AS sd, sd / sqrt(n) AS se
+      FROM {_GROUPED} GROUP BY kind)
+    """,
+)
+def summary_se_known(spark, folder):
+    """The same over the known values alone."""
+    return stats.summary_se(_grouped_events(spark, folder), "value", ["kind"], skip_nulls=True)
 
 
 @query(
@@ -83,7 +119,7 @@ def histogram_right_closed(spark, folder):
     """,
 )
 def histogram_at_breaks(spark, folder):
-    return stats.histogram_breaks(read_table(spark, folder, "lineitem"), "l_quantity", range(10, 50, 10))
+    return stats.histogram_breaks(read_table(spark, folder, "lineitem"), "l_quantity", range(10, 50, 10), outside="drop")
 
 
 _SKEW = """
@@ -184,7 +220,7 @@ def _users(spark, folder):
 def standardise_entities(spark, folder):
     repeated = lookup(
         _events(spark, folder).select("event_id", F.col("user_id").alias("entity")),
-        _users(spark, folder), {"entity": "entity"}, {"top": "top", "busy": "busy"}, how="inner",
+        settle(_users(spark, folder)), {"entity": "entity"}, {"top": "top", "busy": "busy"}, how="inner",
     )
     return stats.standardise_entities(repeated, ["top", "busy"])
 
@@ -212,7 +248,7 @@ def orq(spark, folder):
 @query("entity:l value:d score:d", _ORQ_SQL)
 def orq_in_blocks(spark, folder):
     """The same scores with the ranking split into blocks, as for very many distinct values."""
-    return stats.orq_normalise(_orq_values(spark, folder), "value", "score", min_rows=1, blocks=64)
+    return stats.orq_normalise(_orq_values(spark, folder), "value", "score", blocks=64)
 
 
 @query(
@@ -281,7 +317,7 @@ def align_repeats(spark, folder):
     assays = events.where(F.col("event_type") == "signup").select(
         "entity", "event_id", F.col("value").alias("score"), F.col("ts").cast("date").alias("day")
     )
-    return design.align_repeats(responses, assays, "day", "event_id", "response")
+    return design.align_repeats(responses, assays, "day", "event_id", "response", "response")
 
 
 @query(
@@ -289,11 +325,12 @@ def align_repeats(spark, folder):
     f"""
     WITH u AS ({_USERS}), m AS (SELECT avg(top) AS mt, stddev_samp(top) AS st FROM u)
     SELECT event_id, user_id AS entity, (top - mt) / st AS top_scaled
-    FROM events LEFT JOIN (SELECT entity, top, mt, st FROM u, m WHERE busy > 60) ON user_id = entity
+    FROM events LEFT JOIN (SELECT CASE WHEN entity % 5 > 0 THEN entity END AS entity, top, mt, st FROM u, m) ON user_id = entity
     """,
 )
 def attach_transformed(spark, folder):
-    scaled = stats.standardise(_users(spark, folder), ["top"]).where(F.col("busy") > 60)
+    scaled = stats.standardise(_users(spark, folder), ["top"])
+    scaled = scaled.withColumn("entity", F.when(F.col("entity") % 5 > 0, F.col("entity")))
     rows = _events(spark, folder).select("event_id", F.col("user_id").alias("entity"))
     return design.attach_transformed(rows, scaled.select("entity", "top_scaled"))
 
@@ -317,7 +354,7 @@ def attach_transformed(spark, folder):
 )
 def design_table(spark, folder):
     base = lookup(
-        _events(spark, folder), _users(spark, folder), {"user_id": "entity"},
+        _events(spark, folder), settle(_users(spark, folder)), {"user_id": "entity"},
         {"top": "top", "busy": "busy"}, how="inner",
     ).select(
         F.col("event_id").alias("entity"), F.col("value").alias("score"),
@@ -337,16 +374,17 @@ def design_table(spark, folder):
 # Posterior draws -----------------------------------------------------------------------------
 
 _DRAWS = """
-    WITH draws AS (SELECT 'm' AS model, user_id * 100 + day(ts) AS iteration, event_type AS parameter,
-                          max(value) AS value FROM events GROUP BY ALL)"""
+    WITH draws AS (SELECT 'm' || (user_id % 2) AS model, user_id % 3 + 1 AS chain, user_id * 100 + day(ts) AS iteration,
+                          event_type AS parameter, max(value + 1000 * (user_id % 2)) AS value
+                   FROM events GROUP BY ALL)"""
 
 
 @query(
-    "model:s iteration:l value:d",
+    "model:s chain:l iteration:l value:d",
     _DRAWS + """
-    SELECT model, iteration, max(value) FILTER (parameter = 'click')
+    SELECT model, chain, iteration, max(value) FILTER (parameter = 'click')
            / (max(value) FILTER (parameter = 'click') + max(value) FILTER (parameter = 'view')) AS value
-    FROM draws WHERE parameter IN ('click', 'view') GROUP BY model, iteration
+    FROM draws WHERE parameter IN ('click', 'view') GROUP BY model, chain, iteration
     """,
 )
 def posterior_ratio(spark, folder):
@@ -354,12 +392,12 @@ def posterior_ratio(spark, folder):
 
 
 _CORR_DRAWS = _DRAWS + """, c AS (
-    SELECT model, iteration, max(value) FILTER (parameter = 'error')
+    SELECT model, chain, iteration, max(value) FILTER (parameter = 'error')
            / (sqrt(max(value) FILTER (parameter = 'click')) * sqrt(max(value) FILTER (parameter = 'view'))) AS value
-    FROM draws WHERE parameter IN ('click', 'view', 'error') GROUP BY model, iteration)"""
+    FROM draws WHERE parameter IN ('click', 'view', 'error') GROUP BY model, chain, iteration)"""
 
 
-@query("model:s iteration:l value:d", _CORR_DRAWS + " SELECT * FROM c")
+@query("model:s chain:l iteration:l value:d", _CORR_DRAWS + " SELECT * FROM c")
 def posterior_corr(spark, folder):
     return posterior.posterior_correlation(star.draws(spark, folder), "error", "click", "view")
 
@@ -372,22 +410,22 @@ def posterior_mean(spark, folder):
 
 
 _HPD_SQL = _DRAWS + """,
-    sorted AS (SELECT parameter, value, row_number() OVER w AS r, count(*) OVER (PARTITION BY parameter) AS n
-               FROM draws WINDOW w AS (PARTITION BY parameter ORDER BY value)),
+    sorted AS (SELECT model, parameter, value, row_number() OVER w AS r, count(*) OVER (PARTITION BY model, parameter) AS n
+               FROM draws WINDOW w AS (PARTITION BY model, parameter ORDER BY value)),
     spans AS (SELECT *, greatest(1, least(n - 1, cast(round_even(n * 0.95, 0) AS bigint))) AS span FROM sorted),
-    pairs AS (SELECT a.parameter, a.n, a.r, a.value AS lower, b.value AS upper, b.value - a.value AS width
-              FROM spans a JOIN spans b ON b.parameter = a.parameter AND b.r = a.r + a.span)
-    SELECT parameter, n, lower, upper, width FROM pairs
-    QUALIFY row_number() OVER (PARTITION BY parameter ORDER BY width, r) = 1
+    pairs AS (SELECT a.model, a.parameter, a.n, a.r, a.value AS lower, b.value AS upper, b.value - a.value AS width
+              FROM spans a JOIN spans b ON b.model = a.model AND b.parameter = a.parameter AND b.r = a.r + a.span)
+    SELECT model, parameter, n, lower, upper, width FROM pairs
+    QUALIFY row_number() OVER (PARTITION BY model, parameter ORDER BY width, r) = 1
 """
 
 
-@query("parameter:s n:l lower:d upper:d width:d", _HPD_SQL)
+@query("model:s parameter:s n:l lower:d upper:d width:d", _HPD_SQL)
 def hpd(spark, folder):
     return posterior.hpd_interval(star.draws(spark, folder))
 
 
-@query("parameter:s n:l lower:d upper:d width:d", _HPD_SQL)
+@query("model:s parameter:s n:l lower:d upper:d width:d", _HPD_SQL)
 def hpd_in_blocks(spark, folder):
     """The same intervals with every parameter's draws split into blocks."""
-    return posterior.hpd_interval(star.draws(spark, folder), min_rows=1, blocks=64)
+    return posterior.hpd_interval(star.draws(spark, folder), blocks=64)

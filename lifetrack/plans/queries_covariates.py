@@ -104,7 +104,7 @@ def age_at_event(spark, folder):
 
 
 @query(
-    "entity:l birth_date_1:s birth_date_2:s",
+    "entity:l birth_date_1:s birth_date_2:s fitting_nests:l",
     f"""
     WITH {sql.RES}, {sql.FIRSTS}, {sql.BIRTHS},
     nests AS (
@@ -120,13 +120,16 @@ def age_at_event(spark, folder):
       SELECT b.*, f.location AS origin, c_mktsegment <> 'BUILDING' AS estimated
       FROM births b JOIN firsts f ON f.entity = b.entity AND f.place = 1 JOIN customer ON c_custkey = b.entity),
     refined AS (
-      SELECT k.entity, coalesce(n.hatch_date, n.fledge_date - 14) AS hatch_date
+      SELECT k.entity, max(coalesce(n.hatch_date, n.fledge_date - 14)) AS hatch_date, count(*) AS fits
       FROM known k JOIN nests n ON n.location = k.origin AND n.period = k.birth_period
       LEFT JOIN chicks c ON c.nest_id = n.nest_id JOIN catches t ON t.entity = k.entity
       WHERE k.estimated AND n.fledge_date IS NOT NULL AND (c.chick IS NULL OR c.chick = k.entity)
         AND NOT (coalesce(n.hatch_date, n.fledge_date - 14) > t.first_catch)
-        AND n.nest_id NOT IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 450000))
-    SELECT k.entity, k.birth_date AS birth_date_1, coalesce(r.hatch_date, k.birth_date) AS birth_date_2
+        AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = k.entity AND o_orderkey + 1 = n.nest_id)
+        AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = k.entity AND o_orderkey = n.nest_id)
+      GROUP BY k.entity)
+    SELECT k.entity, k.birth_date AS birth_date_1, coalesce(r.hatch_date, k.birth_date) AS birth_date_2,
+           coalesce(r.fits, 0) AS fitting_nests
     FROM known k LEFT JOIN refined r USING (entity)
     """,
 )
@@ -134,14 +137,15 @@ def refined_start(spark, folder):
     orders = read_table(spark, folder, "orders")
     day = F.col("o_orderdate").cast("date")
     nests = orders.select(
-        F.col("o_orderkey").alias("nest_id"), F.lit(1).alias("nest_number"),
+        F.col("o_orderkey").alias("nest_id"),
         F.col("o_orderpriority").alias("location"), star.month_id("o_orderdate").alias("period"),
         F.when(F.col("o_orderstatus") != "P", day).alias("hatch_date"),
         F.when(F.col("o_totalprice") > 60000, F.date_add(day, 20)).alias("fledge_date"),
     )
-    kept = nests.join(
-        orders.where(F.col("o_totalprice") > 450000).select(F.col("o_orderkey").alias("_x")),
-        F.col("nest_id") == F.col("_x"), "left_anti",
+    # Each dear order names itself and the next nest as wrong for its customer.
+    wrong = orders.where(F.col("o_totalprice") > 300000).select(
+        F.col("o_custkey").alias("entity"),
+        F.explode(F.array(F.col("o_orderkey"), F.col("o_orderkey") + 1)).alias("nest_id"),
     )
     chicks = orders.where(F.col("o_orderstatus") == "F").select(
         F.col("o_orderkey").alias("nest_id"), F.col("o_custkey").alias("entity")
@@ -152,7 +156,7 @@ def refined_start(spark, folder):
     ).withColumn("estimated", F.col("_segment") != "BUILDING").drop("_segment")
     history = star.residency(spark, folder)
     origins = origin_location(history).withColumnRenamed("location", "origin")
-    return cov.refine_birth_date(origins, births, kept, chicks, star.sightings(spark, folder))
+    return cov.refine_birth_date(origins, births, nests, chicks, star.sightings(spark, folder), wrong)
 
 
 @query(
@@ -336,7 +340,7 @@ def preferred_measurement(spark, folder):
     "entity:l distance:d origin_size:d dest_size:d",
     f"""
     WITH {sql.TRIPS}, {_PLACES_SQL},
-    spots AS (SELECT * FROM places WHERE method = 'A' AND easting < 40),
+    spots AS (SELECT nullif(location, '5-LOW') AS location, period, easting, northing, size FROM places),
     found AS (
       SELECT t.entity, coalesce(o1.easting, o2.easting) AS oe, coalesce(o1.northing, o2.northing) AS ono,
              coalesce(o1.size, o2.size) AS origin_size, coalesce(d1.easting, d2.easting) AS de,
@@ -351,7 +355,7 @@ def preferred_measurement(spark, folder):
 )
 def distance(spark, folder):
     places = cov.preferred_measurement(_measurements(spark, folder))
-    spots = settle(places.where((F.col("method") == "A") & (F.col("easting") < 40)))
+    spots = settle(places.withColumn("location", F.nullif(F.col("location"), F.lit("5-LOW"))))
     return cov.with_distance(star.trips(spark, folder), spots)
 
 
@@ -359,7 +363,7 @@ def distance(spark, folder):
     "entity:l",
     f"""
     WITH {sql.TRIPS}, {_PLACES_SQL},
-    spots AS (SELECT * FROM places WHERE method = 'A' AND easting < 40)
+    spots AS (SELECT nullif(location, '5-LOW') AS location, period FROM places)
     SELECT t.entity FROM trips t
     WHERE NOT EXISTS (SELECT 1 FROM spots s WHERE s.location = t.origin AND s.period IN (t.dest_period, t.last_period))
        OR NOT EXISTS (SELECT 1 FROM spots s WHERE s.location = t.dest_location
@@ -374,24 +378,23 @@ def missing_distance(spark, folder):
     "entity:l last_year:l food_density:d",
     f"""
     WITH {sql.TRIPS},
-    means AS (SELECT year(o_orderdate) AS year, year(o_orderdate) * 100 + month(o_orderdate) AS period,
+    means AS (SELECT nullif(year(o_orderdate), 1995) AS year, year(o_orderdate) * 100 +
+                     CASE WHEN month(o_orderdate) BETWEEN 4 AND 9 AND year(o_orderdate) <> 1997 THEN 7 ELSE 12 END AS period,
                      max(o_totalprice) AS value FROM orders GROUP BY ALL),
-    kept AS (SELECT year, value FROM means
-             WHERE (period % 100 = 7 AND year NOT IN (1997, 2001)) OR (period = 199712))
+    kept AS (SELECT year, value FROM means WHERE period % 100 = 7 OR period = 199712)
     SELECT entity, year(last_start) AS last_year, value AS food_density
     FROM trips LEFT JOIN kept ON year = year(last_start)
     """,
 )
 def food_density(spark, folder):
     orders = read_table(spark, folder, "orders")
+    year = F.year("o_orderdate")
+    # Each half-year is surveyed once; 1997 has no summer survey, and that of 1995 names no year.
+    survey = F.when(F.month("o_orderdate").between(4, 9) & (year != 1997), 7).otherwise(12)
     means = orders.groupBy(
-        F.year("o_orderdate").alias("year"), star.month_id("o_orderdate").alias("period")
+        F.when(year != 1995, year).alias("year"), (year * 100 + survey).alias("period")
     ).agg(F.max("o_totalprice").alias("value"))
-    month = F.col("period") % 100
-    surveyed = means.where(
-        ((month == 7) & ~F.col("year").isin(1997, 2001)) | ((month == 12) & (F.col("year").isin(1996, 1997)))
-    )
-    by_year = settle(cov.food_density_by_year(surveyed, star.months(spark, folder), stand_in_years=[1997]))
+    by_year = settle(cov.food_density_by_year(means, star.months(spark, folder), stand_in_years=[1997]))
     return cov.with_year_value(star.trips(spark, folder), by_year, "food_density")
 
 
@@ -405,7 +408,7 @@ def food_density(spark, folder):
       FROM lineitem WHERE month(l_shipdate) IN (3, 4, 5, 6, 7, 8, 9, 10)),
     sums AS (SELECT year, CASE WHEN count(food) = count(*) THEN sum(food) END AS total
              FROM quality WHERE quality IS NOT NULL GROUP BY year)
-    SELECT entity, CASE WHEN year(last_start) = 1996 THEN 757.7015 ELSE total END AS food_abundance
+    SELECT entity, CASE WHEN year(last_start) = 1996 THEN 123.25 ELSE total END AS food_abundance
     FROM trips LEFT JOIN sums ON year = year(last_start)
     """,
 )
@@ -418,7 +421,7 @@ def food_abundance(spark, folder):
     )
     calendar = star.months(spark, folder)
     by_year = settle(cov.food_abundance_by_year(quality, calendar))
-    return cov.with_year_value(star.trips(spark, folder), by_year, "food_abundance", {1996: 757.7015})
+    return cov.with_year_value(star.trips(spark, folder), by_year, "food_abundance", {1996: 123.25})
 
 
 # Tests ---------------------------------------------------------------------------------------
@@ -464,12 +467,12 @@ def tests_in_last_period(spark, folder):
 _OVERVIEW_SQL = _TESTS_SQL + f""", {sql.MONTHS},
     kept AS (SELECT t.entity, n.n_tests, t.last_period, m.prev_period AS second_last_period, event_date
              FROM trips t JOIN months m ON m.period = t.last_period AND m.prev_period IS NOT NULL
-             LEFT JOIN (SELECT DISTINCT entity, n_tests FROM tests WHERE result = 'R' AND n_tests < 3) n
+             LEFT JOIN (SELECT DISTINCT entity, nullif(n_tests, 4) AS n_tests FROM tests) n
              ON n.entity = t.entity)"""
 
 
 def _test_overview(spark, folder):
-    tests = _tests(spark, folder).where((F.col("result") == "R") & (F.col("n_tests") < 3))
+    tests = _tests(spark, folder).withColumn("n_tests", F.nullif(F.col("n_tests"), F.lit(4)))
     trips = previous_period(star.trips(spark, folder), period_chain(star.months(spark, folder)))
     return cov.test_overview(trips, tests)
 
@@ -513,7 +516,7 @@ def gap_fill_by_season(spark, folder):
 @query("location:l period:l season:s quality:d", _SERIES_SQL + " SELECT * FROM complete")
 def gap_fill_hot_locations(spark, folder):
     """The same fill with every location treated as hot: series are split into blocks."""
-    return cov.gap_fill_by_season(*star.quality_series(spark, folder), min_rows=1, blocks=4096)
+    return cov.gap_fill_by_season(*star.quality_series(spark, folder), blocks=4096)
 
 
 @query(
@@ -538,9 +541,8 @@ def fill_directions(spark, folder):
     "quality_dest_place_last_period:d quality_origin_place_last_period:d",
     f"""
     WITH {sql.TRIPS},
-    q AS (SELECT o_orderpriority AS location, year(o_orderdate) * 100 + month(o_orderdate) AS period,
-                 max(o_totalprice) AS quality FROM orders WHERE o_orderstatus = 'F' GROUP BY ALL
-          HAVING max(o_totalprice) < 400000)
+    q AS (SELECT nullif(o_orderpriority, '5-LOW') AS location, year(o_orderdate) * 100 + month(o_orderdate) AS period,
+                 max(o_totalprice) AS quality FROM orders GROUP BY ALL)
     SELECT entity, a.quality AS quality_dest_place_dest_period, b.quality AS quality_origin_place_dest_period,
            c.quality AS quality_dest_place_last_period, d.quality AS quality_origin_place_last_period
     FROM trips
@@ -551,10 +553,10 @@ def fill_directions(spark, folder):
     """,
 )
 def multi_lookup(spark, folder):
-    prices = read_table(spark, folder, "orders").where(F.col("o_orderstatus") == "F")
-    quality = prices.groupBy(
-        F.col("o_orderpriority").alias("location"), star.month_id("o_orderdate").alias("period")
-    ).agg(F.max("o_totalprice").alias("quality")).where(F.col("quality") < 400000)
+    place = F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))
+    quality = read_table(spark, folder, "orders").groupBy(
+        place.alias("location"), star.month_id("o_orderdate").alias("period")
+    ).agg(F.max("o_totalprice").alias("quality"))
     return cov.with_quality(star.trips(spark, folder), settle(quality))
 
 
@@ -569,8 +571,7 @@ _WIDE_SQL = f"""
       SELECT m.entity, count(*) AS exposures FROM movement m JOIN births b USING (entity)
       JOIN months c ON c.period_end >= cast(b.birth_date + INTERVAL 5 MONTH AS date) AND m.last_start >= c.period_start
       WHERE c.period IN {FLAGGED} GROUP BY m.entity),
-    food AS (SELECT year(o_orderdate) AS year, max(o_totalprice) AS food_density FROM orders
-             WHERE month(o_orderdate) = 7 GROUP BY 1),
+    food AS (SELECT nullif(year(o_orderdate), 1995) AS year, max(o_totalprice) AS food_density FROM orders GROUP BY 1),
     wide AS (
       SELECT m.entity, m.moved, m.inherit, m.event_date, m.event_season, a.age, p.population_all,
              coalesce(s1.group_all, s2.group_all) AS group_all, h.exposures,
@@ -594,9 +595,9 @@ def _group_sizes(history):
     return settle(cov.group_sizes(history, vague=[], unseen="-", no_location="-"))
 
 
-def _july_food(spark, folder):
-    july = read_table(spark, folder, "orders").where(F.month("o_orderdate") == 7)
-    by_year = july.groupBy(F.year("o_orderdate").alias("year"))
+def _yearly_food(spark, folder):
+    year = F.year("o_orderdate")
+    by_year = read_table(spark, folder, "orders").groupBy(F.when(year != 1995, year).alias("year"))
     return settle(by_year.agg(F.max("o_totalprice").alias("food_density")))
 
 
@@ -615,7 +616,7 @@ def wide_table(spark, folder):
     out = cov.with_group_size(out, _group_sizes(history))
     out = cov.with_exposure(out, births, calendar, events=FLAGGED)
     out = cov.with_period_flag(out, FLAGGED)
-    out = cov.with_year_value(out, _july_food(spark, folder), "food_density")
+    out = cov.with_year_value(out, _yearly_food(spark, folder), "food_density")
     return lookup(out, _sex(spark, folder), {"entity": "entity"}, {"sex": "sex"})
 
 
@@ -641,7 +642,7 @@ def collate_by_entity(spark, folder):
         [
             only(cov.with_exposure(movement, births, calendar, events=FLAGGED), "exposures", "exposed"),
             only(cov.with_period_flag(movement, FLAGGED), "near_event"),
-            only(cov.with_year_value(movement, _july_food(spark, folder), "food_density"), "food_density"),
+            only(cov.with_year_value(movement, _yearly_food(spark, folder), "food_density"), "food_density"),
             _sex(spark, folder),
         ],
     )

@@ -35,7 +35,7 @@ def event_date_precise(spark, folder):
 )
 def event_date_between(spark, folder):
     residency = star.two_day_residency(spark, folder)
-    moved = moves(life_profile(residency, star.ROLES))
+    moved = settle(moves(life_profile(residency, star.ROLES)))
     precise = move_ops.precise_events(moved, star.two_day_sightings(spark, folder), ["P"])
     return move_ops.between_events(moved, precise, residency, ["P"])
 
@@ -43,7 +43,7 @@ def event_date_between(spark, folder):
 @query(EVENT_SPEC, f"WITH {sql.RES}, {sql.FIRSTS}, {sql.MOVES}, {sql.FLOATS} SELECT * FROM f_events")
 def event_date_floating(spark, folder):
     residency = star.residency(spark, folder)
-    return move_ops.floating_events(moves(life_profile(residency, star.ROLES)), residency, ["P"])
+    return move_ops.floating_events(_moves(spark, folder), residency, ["P"])
 
 
 _EVENTS_SQL = f"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import blank_to_null, cast_columns, contains_any, ifelse, recode
 from ..operators import joins, ordered, residency as res_ops
 from ..operators.covariates import last_seen as last_seen_of, residence_periods
-from ..operators.periods import period_chain, previous_period
+from ..operators.periods import overlap_join, period_chain, previous_period
 from ..sources import star
 from ..sources.files import read_table
 from . import sql_parts as sql
@@ -334,13 +334,14 @@ def join_multi_key(spark, folder):
     "n_nationkey:l n_name:s suppliers:l",
     """
     SELECT n_nationkey, n_name, suppliers FROM nation
-    LEFT JOIN (SELECT s_nationkey, count(*) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1)
+    LEFT JOIN (SELECT nullif(s_nationkey, 3) AS s_nationkey, count(*) AS suppliers FROM supplier GROUP BY 1)
     ON s_nationkey = n_nationkey
     """,
 )
 def join_left(spark, folder):
-    rich = read_table(spark, folder, "supplier").where(F.col("s_acctbal") > 5000)
-    counts = rich.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
+    nations = F.col("s_nationkey")
+    placed = read_table(spark, folder, "supplier").select(F.when(nations != 3, nations).alias("s_nationkey"))
+    counts = placed.groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("suppliers"))
     nation = read_table(spark, folder, "nation")
     return joins.lookup(nation, counts, {"n_nationkey": "s_nationkey"}, {"suppliers": "suppliers"})
 
@@ -349,13 +350,13 @@ def join_left(spark, folder):
     "entity:l segment:s spent:d",
     """
     SELECT c_custkey AS entity, c_mktsegment AS segment, spent
-    FROM (SELECT o_custkey, max(o_totalprice) AS spent FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)
+    FROM (SELECT o_custkey, max(o_totalprice) AS spent FROM orders GROUP BY 1)
     RIGHT JOIN customer ON o_custkey = c_custkey
     """,
 )
 def join_right(spark, folder):
-    finished = read_table(spark, folder, "orders").where(F.col("o_orderstatus") == "F")
-    spent = finished.groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_totalprice").alias("spent"))
+    orders = read_table(spark, folder, "orders")
+    spent = orders.groupBy(F.col("o_custkey").alias("entity")).agg(F.max("o_totalprice").alias("spent"))
     customer = read_table(spark, folder, "customer").select(
         F.col("c_custkey").alias("entity"), F.col("c_mktsegment").alias("segment")
     )
@@ -530,8 +531,13 @@ def range_join_exposure(spark, folder):
 """)
 def range_join_bucketed(spark, folder):
     trips = star.trips(spark, folder).withColumn("last_start", F.col("dest_start"))
-    lived = residence_periods(
-        trips, star.births(spark, folder), star.months(spark, folder), 5, bucket_days=7
+    spans = joins.lookup(
+        trips.select("entity", "last_start"), star.births(spark, folder), {"entity": "entity"},
+        {"birth_date": "birth"}, "inner",
+    ).withColumn("eligible", F.add_months("birth", 5))
+    lived = overlap_join(
+        spans, star.months(spark, folder), ("eligible", "last_start"), ("period_start", "period_end"),
+        bucket_days=7, parts=4,
     )
     return lived.groupBy("entity").agg(
         F.count(F.lit(1)).alias("periods"), F.min("period").alias("first_period")
@@ -569,4 +575,45 @@ def row_in_group(spark, folder):
 def row_in_hot_group(spark, folder):
     """The same numbering with every group treated as hot: rows are split into blocks."""
     history = star.residency(spark, folder)
-    return ordered.numbered(history, ["entity"], "period_start", "tie", "n", min_rows=1, blocks=4096)
+    return ordered.numbered(history, ["entity"], "period_start", "tie", "n", blocks=4096)
+
+
+_NULL_ORDER_SQL = f"""
+    WITH {sql.RES}, known AS (
+      SELECT tie, entity, nullif(location, '5-LOW') AS location, CASE WHEN status <> 'P' THEN period_start END AS since FROM res)
+"""
+
+
+def _unsure_history(spark, folder):
+    """The history with some start dates and locations unknown."""
+    return star.residency(spark, folder).select(
+        "tie", "entity", F.nullif(F.col("location"), F.lit("5-LOW")).alias("location"),
+        F.when(F.col("status") != "P", F.col("period_start")).alias("since"),
+    )
+
+
+_NULL_ROWS_SQL = _NULL_ORDER_SQL + """
+    SELECT tie, entity, row_number() OVER o AS n,
+           last_value(location IGNORE NULLS) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS before,
+           first_value(location IGNORE NULLS) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after
+    FROM known WINDOW o AS (PARTITION BY entity ORDER BY since NULLS LAST, tie)
+"""
+
+
+def _numbered_and_filled(spark, folder, blocks=None):
+    history = _unsure_history(spark, folder)
+    placed = ordered.numbered(history, ["entity"], "since", "tie", "n", blocks=blocks)
+    return ordered.nearest_known(
+        placed, ["entity"], "since", "tie", "location", before="before", after="after", blocks=blocks)
+
+
+@query("tie:l entity:l n:l before:s after:s", _NULL_ROWS_SQL)
+def unknown_order_last(spark, folder):
+    """Numbering and filling where some rows have no date: those come last."""
+    return _numbered_and_filled(spark, folder)
+
+
+@query("tie:l entity:l n:l before:s after:s", _NULL_ROWS_SQL)
+def unknown_order_in_blocks(spark, folder):
+    """The same with every entity split into blocks."""
+    return _numbered_and_filled(spark, folder, 8192)

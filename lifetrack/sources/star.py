@@ -127,12 +127,18 @@ def two_day_sightings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def draws(spark: SparkSession, folder: str) -> DataFrame:
-    """Posterior draws: one parameter per event type, one iteration per user and day."""
+    """Posterior draws: one parameter per event type, one iteration per user and day.
+
+    Two models by odd and even users, the odd one 1000 higher, of three chains each.
+    """
     events = read_table(spark, folder, "events")
+    odd = F.col("user_id") % 2
     iteration = F.col("user_id") * 100 + F.dayofmonth("ts")
     return events.groupBy(
-        F.lit("m").alias("model"), iteration.alias("iteration"), F.col("event_type").alias("parameter")
-    ).agg(F.max("value").alias("value"))
+        F.concat(F.lit("m"), odd).alias("model"), (F.col("user_id") % 3 + 1).alias("chain"),
+        iteration.alias("iteration"), F.col("event_type").alias("parameter"), odd.alias("odd"),
+    ).agg(F.max("value").alias("top")).select(
+        "model", "chain", "iteration", "parameter", (F.col("top") + F.col("odd") * 1000).alias("value"))
 
 
 def quality_series(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:

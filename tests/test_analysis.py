@@ -17,10 +17,28 @@ def test_summary_with_t_limits(spark):
     assert got["b"].sd is None and got["b"].ci is None
 
 
-@pytest.mark.parametrize("v, want", [(1, 12.7062047), (2, 4.3026527), (5, 2.5705818), (10, 2.2281389), (30, 2.0422725)])
-def test_t_quantile(spark, v, want):
-    got = spark.range(1).select(stats.t_quantile(F.lit(0.975), F.lit(v)).alias("t")).first().t
-    assert abs(got - want) < (2e-2 if v == 5 else 2e-3)
+T_VALUES = {  # published tables: 95 % and 99 % two-sided
+    1: (12.7062, 63.6567), 2: (4.30265, 9.92484), 3: (3.18245, 5.84091), 4: (2.77645, 4.60409), 5: (2.57058, 4.03214),
+    6: (2.44691, 3.70743), 7: (2.36462, 3.49948), 8: (2.30600, 3.35539), 9: (2.26216, 3.24984), 10: (2.22814, 3.16927),
+    30: (2.04227, 2.75000), 1000: (1.96234, 2.58075),
+}
+
+
+@pytest.mark.parametrize("p, place", [(0.975, 0), (0.995, 1)])
+def test_t_quantile(spark, p, place):
+    df = spark.createDataFrame([(v,) for v in T_VALUES], "v long")
+    got = {r.v: r.t for r in df.select("v", stats.t_quantile(p, F.col("v")).alias("t")).collect()}
+    for v, want in T_VALUES.items():
+        assert got[v] == pytest.approx(want[place], rel=3e-6), v
+    assert stats.t_value(p, 200) == pytest.approx(
+        spark.range(1).select(stats.t_quantile(p, F.lit(200))).first()[0], rel=1e-9)
+
+
+def test_summary_is_strict_about_nulls(spark):
+    df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None)], "k string, v double")
+    strict, known = stats.summary_se(df, "v", ["k"]).first(), stats.summary_se(df, "v", ["k"], skip_nulls=True).first()
+    assert (strict.n, strict["mean"], strict.sd, strict.ci) == (3, None, None, None)
+    assert (known.n, known["mean"]) == (2, 2.0) and abs(known.se - 1.0) < 1e-12 and abs(known.ci - 12.7062047) < 1e-5
 
 
 def test_histograms(spark):
@@ -29,6 +47,8 @@ def test_histograms(spark):
     assert left == {0.0: 2, 50.0: 1, 100.0: 1}
     right = {r.low: r.n for r in stats.histogram(df, "v", 50, closed="right").collect()}
     assert right == {-50.0: 1, 0.0: 2, 50.0: 1}
+    with pytest.raises(Exception, match="outside the breaks"):
+        stats.histogram_breaks(df, "v", [0, 50]).collect()
     breaks = {r.low: r.n for r in stats.histogram_breaks(df, "v", [0, 50, 100]).collect()}
     assert breaks == {0.0: 3, 50.0: 1}
     left_breaks = {r.low: r.n for r in stats.histogram_breaks(df, "v", [0, 50, 100], closed="left").collect()}
@@ -50,13 +70,13 @@ def test_vif_matches_regression(spark):
     assert stats.correlation(df, columns).count() == 6
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 3, "blocks": 8}])
+@pytest.mark.parametrize("limits", [{}, {"blocks": 8}])
 def test_normal_scores_average_ties(spark, limits):
-    data = [5.0, 1.0, 5.0, None, 9.0, 5.0, 2.0]
+    data = [5.0, 1.0, 5.0, None, 9.0, 5.0, 2.0, math.nan]
     df = spark.createDataFrame(list(enumerate(data)), "entity int, v double")
     got = {r.entity: r.z for r in stats.orq_normalise(df, "v", "z", **limits).collect()}
     ranks = {1: 1, 6: 2, 0: 4, 2: 4, 5: 4, 4: 6}
-    assert got[3] is None
+    assert got[3] is None and got[7] is None
     for e, rank in ranks.items():
         assert abs(got[e] - NormalDist().inv_cdf((rank - 0.5) / 6)) < 1e-7
 
@@ -66,7 +86,9 @@ def test_box_cox_finds_the_likelihood_maximum(spark, power_of_normal, edge):
     rng = np.random.default_rng(5)
     x = rng.normal(10.0, 1.0, 500) ** (1 / power_of_normal)
     df = spark.createDataFrame([(float(v),) for v in x] + [(-1.0,), (None,)], "v double")
-    power = stats.box_cox_power(df, "v")
+    with pytest.raises(ValueError, match="not positive"):
+        stats.box_cox_power(df, "v")
+    power = stats.box_cox_power(df, "v", not_positive="null")
 
     def fit(p):
         y = np.log(x) if p == 0 else (x**p - 1) / p
@@ -75,8 +97,11 @@ def test_box_cox_finds_the_likelihood_maximum(spark, power_of_normal, edge):
     grid = np.round(np.arange(-1, 2.0005, 0.001), 3)
     assert power == pytest.approx(max(grid, key=fit), abs=1e-9)
     assert (power == -1.0) == edge
-    out = stats.boxcox_normalise(df, "v", "z").agg(F.avg("z"), F.stddev_samp("z"), F.count("z")).first()
-    assert abs(out[0]) < 1e-9 and abs(out[1] - 1) < 1e-9 and out[2] == 500
+    made = stats.boxcox_normalise(df, "v", "z", not_positive="null")
+    out = made.agg(F.avg("z"), F.stddev_samp("z"), F.count("z"), F.max("z_at_edge")).first()
+    assert abs(out[0]) < 1e-9 and abs(out[1] - 1) < 1e-9 and out[2] == 500 and out[3] == edge
+    if edge:
+        assert stats.box_cox_power(df, "v", (-5.0, 2.0), not_positive="null") < -1
 
 
 def test_scaling_ignores_nulls_and_repeats(spark):
@@ -94,7 +119,7 @@ def brute_hpd(values, prob=0.95):
     return n, v[i], v[i + span]
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 5, "blocks": 8}, {"min_rows": 1, "blocks": 512}])
+@pytest.mark.parametrize("limits", [{}, {"blocks": 8}, {"blocks": 512}])
 def test_shortest_interval(spark, limits):
     rng = random.Random(2)
     draws = {
@@ -106,18 +131,22 @@ def test_shortest_interval(spark, limits):
     }
     rows = [(p, float(x)) for p, xs in draws.items() for x in xs] + [("smooth", None)]
     rng.shuffle(rows)
-    df = spark.createDataFrame(rows, "parameter string, value double")
-    got = {r.parameter: (r.n, r.lower, r.upper) for r in posterior.hpd_interval(df, **limits).collect()}
-    assert got == {p: brute_hpd(xs) for p, xs in draws.items()}
+    rows = [("m", *r) for r in rows] + [("other", "ten", float(i + 1000)) for i in range(10)]
+    df = spark.createDataFrame(rows, "model string, parameter string, value double")
+    got = {(r.model, r.parameter): (r.n, r.lower, r.upper) for r in posterior.hpd_interval(df, **limits).collect()}
+    want = {("m", p): brute_hpd(xs) for p, xs in draws.items()}
+    assert got == {**want, ("other", "ten"): brute_hpd([i + 1000.0 for i in range(10)])}
 
 
 def test_draw_ratios_and_correlations(spark):
     draws = spark.createDataFrame(
-        [("m", i, p, v) for i in (1, 2) for p, v in (("id", 1.0 * i), ("units", 3.0), ("cov", 0.5), ("v2", 4.0))],
-        "model string, iteration int, parameter string, value double",
+        [("m", 1, i, p, v) for i in (1, 2) for p, v in (("id", 1.0 * i), ("units", 3.0), ("cov", 0.5), ("v2", 4.0))]
+        + [("m", 2, 1, "id", 1.0), ("m", 2, 1, "units", 1.0)],
+        "model string, chain int, iteration int, parameter string, value double",
     )
-    ratio = {r.iteration: r.value for r in posterior.posterior_ratio(draws, "id", "units").collect()}
-    assert ratio == {1: 0.25, 2: 0.4}
+    ratio = {(r.chain, r.iteration): r.value for r in posterior.posterior_ratio(draws, "id", "units").collect()}
+    assert ratio == {(1, 1): 0.25, (1, 2): 0.4, (2, 1): 0.5}
+    draws = draws.where("chain = 1")
     r = {x.iteration: x.value for x in posterior.posterior_correlation(draws, "cov", "id", "v2").collect()}
     assert r[1] == 0.25 and abs(r[2] - 0.5 / (math.sqrt(2) * 2)) < 1e-12
     assert posterior.posterior_mean(posterior.posterior_ratio(draws, "id", "units")).first().mean == 0.325
@@ -126,7 +155,7 @@ def test_draw_ratios_and_correlations(spark):
 def test_align_repeats(spark):
     responses = spark.createDataFrame([(1, 7.0), (1, 7.0), (2, 3.0)], "entity int, response double")
     assays = spark.createDataFrame([(1, 2, 0.2), (1, 1, 0.1), (3, 1, 0.3)], "entity int, test int, score double")
-    got = sorted(tuple(r) for r in design.align_repeats(responses, assays, "test", "test", "response").select(
+    got = sorted(tuple(r) for r in design.align_repeats(responses, assays, "test", "test", "response", "response").select(
         "entity", "assay_number", "response", "score").collect())
     assert got == [(1, 1, 7.0, 0.1), (1, 2, None, 0.2), (2, 1, 3.0, None), (3, 1, None, 0.3)]
 

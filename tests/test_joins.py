@@ -60,13 +60,22 @@ def test_hot_keys_do_not_change_joins(spark):
         F.col("id").alias("tie"), (F.col("id") % 11).alias("v"),
     )
     keys = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("w"))
-    hot = {"min_rows": 50, "blocks": 16}
     for how in ("inner", "left", "left_semi", "left_anti"):
         plain = joins.merge(facts, keys, ["k"], how, null_safe=False)
-        assert joins.equal_tables(plain, joins.merge_hot(facts, keys, ["k"], how, **hot)).first().equal
-    for run in (
-        lambda **x: joins.keep_groups(facts, ["k"], lambda n: n > 60, **x),
-        lambda **x: joins.with_group_count(facts, ["k"], "n", **x),
-        lambda **x: joins.keep_group_max(facts, ["k"], "v", **x),
-    ):
-        assert joins.equal_tables(run(), run(**hot)).first().equal
+        assert joins.equal_tables(plain, joins.merge_settled(facts, keys, ["k"], how)).first().equal
+    sizes = facts.groupBy("k").count()
+    kept = {r["k"]: r["count"] for r in sizes.collect() if r["count"] > 60}
+    assert {r["k"]: r["count"] for r in joins.keep_groups(facts, ["k"], lambda n: n > 60).groupBy("k").count().collect()} == kept
+    counted = joins.with_group_count(facts, ["k"], "n").select("k", "n").distinct()
+    assert joins.equal_tables(counted, sizes.withColumnRenamed("count", "n")).first().equal
+    top = joins.keep_group_max(facts, ["k"], "v")
+    assert {(r.k, r.v) for r in top.collect()} == {(r[0], r[1]) for r in facts.groupBy("k").agg(F.max("v")).collect()}
+
+
+def test_null_key_lookup(spark):
+    facts = spark.createDataFrame([(1,), (None,)], "k int")
+    dim = spark.createDataFrame([(1, "a"), (None, "b")], "d int, v string")
+    plain = {r.k: r.v for r in joins.lookup(facts, dim, {"k": "d"}, {"v": "v"}).collect()}
+    assert plain == {1: "a", None: None}
+    safe = {r.k: r.v for r in joins.lookup(facts, dim, {"k": "d"}, {"v": "v"}, null_safe=True).collect()}
+    assert safe == {1: "a", None: "b"}

@@ -53,7 +53,6 @@ def test_exclusions_match_wildcards(spark, history):
     left = r.apply_exclusions(history, patterns)
     assert history.count() - left.count() == 2
     assert [x.period for x in left.where("entity = 2").orderBy("tie").collect()] == [10, 3]
-    assert equal_tables(left, r.apply_exclusions(history, patterns, min_rows=1, blocks=64)).first().equal
 
 
 def test_movers_and_locations(history):
@@ -160,10 +159,3 @@ def test_collated_residency(spark, history):
     seen = history.where("entity = 5 and status = 'CH'")
     total = r.collate_residency([parentage, parentage, weak], seen)
     assert total.count() == 4 and entities(total) == [5, 5, 5, 5]
-
-
-def test_hot_entities_do_not_change_results(spark, moved):
-    history, hot = h.residency(spark), {"min_rows": 2, "blocks": 64}
-    assert equal_tables(r.resolve_fostered(history), r.resolve_fostered(history, **hot)).first().equal
-    assert equal_tables(m.last_at_origin(moved, history), m.last_at_origin(moved, history, **hot)).first().equal
-    assert equal_tables(m.with_settled(moved, history), m.with_settled(moved, history, **hot)).first().equal

@@ -1,10 +1,11 @@
+import math
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from lifetrack.operators import ordered
-from lifetrack.operators.periods import overlap_join, period_chain
+from lifetrack.operators.periods import overlap_calendar, overlap_join, period_chain
 
 
 def rows(df):
@@ -26,23 +27,25 @@ def test_first_duplicate_kept_orders_nulls_last(spark):
 
 
 def skewed(spark, n=3000, seed=3):
-    """A third of all rows under one key, and a third of its order values equal."""
+    """A third of all rows under one key, and a third of its order values equal; some null, some NaN."""
     rng = random.Random(seed)
     data = []
     for i in range(n):
         key = 0 if rng.random() < 0.4 else rng.randrange(1, 200)
         order = 50.0 if rng.random() < 0.35 else float(rng.randrange(100))
+        order = None if i % 9 == 0 else math.nan if i % 23 == 0 else order
         value = rng.random() if rng.random() < 0.2 else None
         data.append((key, order, i, value))
     rng.shuffle(data)
     return data, spark.createDataFrame(data, "k int, o double, tie int, v double").repartition(4)
 
 
-@pytest.mark.parametrize("limits", [{}, {"min_rows": 20, "blocks": 16}, {"min_rows": 1, "blocks": 4096}])
+@pytest.mark.parametrize("limits", [{}, {"blocks": 16}, {"blocks": 4096}])
 def test_numbering_and_fills_do_not_depend_on_blocks(spark, limits):
     data, df = skewed(spark)
     groups = {}
-    for row in sorted(data, key=lambda r: (r[0], r[1], r[2])):
+    place = lambda o: (2, 0) if o is None else (1, 0) if math.isnan(o) else (0, o)
+    for row in sorted(data, key=lambda r: (r[0], place(r[1]), r[2])):
         groups.setdefault(row[0], []).append(row)
     want_n, want_before, want_after, running = {}, {}, {}, {}
     for members in groups.values():
@@ -66,8 +69,7 @@ def test_numbering_and_fills_do_not_depend_on_blocks(spark, limits):
 
 def test_hot_group_is_really_split(spark):
     _, df = skewed(spark)
-    blocked, split = ordered.split_hot_groups(df, ["k"], "o", "tie", min_rows=100, blocks=16)
-    assert split
+    blocked = ordered.ordered_blocks(df, ["k"], "o", "tie", blocks=16)
     sizes = blocked.where("k = 0").groupBy("_block").count().collect()
     hot = df.where("k = 0").count()
     # The value holding a third of the hot rows is split by tie as well.
@@ -78,8 +80,10 @@ def test_hot_group_is_really_split(spark):
 def test_whole_table_as_one_group(spark):
     df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("o"), F.col("id").alias("tie"))
     plain = ordered.numbered(df, [], "o", "tie", "n")
-    split = ordered.numbered(df, [], "o", "tie", "n", min_rows=10, blocks=32)
+    split = ordered.numbered(df, [], "o", "tie", "n", blocks=32)
     assert rows(plain) == rows(split)
+    want = sorted((r.o, r.tie) for r in df.collect())
+    assert [(r.o, r.tie) for r in sorted(plain.collect(), key=lambda r: r.n)] == want
 
 
 def test_fill_directions(spark):
@@ -111,6 +115,9 @@ def test_overlap_join_agrees_with_brute_force(spark, bucket_days):
     left = spark.createDataFrame(spans, "e int, lo int, hi int").select("e", day("lo"), day("hi"))
     right = spark.createDataFrame(periods, "p int, s int, t int").select("p", day("s"), day("t"))
     want = {(e, p) for e, lo, hi in spans for p, s, t in periods if lo is not None and t >= lo and hi >= s}
-    joined = overlap_join(left, right, ("lo", "hi"), ("s", "t"), bucket_days=bucket_days)
-    pairs = [(r.e, r.p) for r in joined.collect()]
-    assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    for joined in (
+        overlap_join(left, right, ("lo", "hi"), ("s", "t"), bucket_days=bucket_days, parts=3),
+        overlap_calendar(left, right, ("lo", "hi"), ("s", "t")),
+    ):
+        pairs = [(r.e, r.p) for r in joined.collect()]
+        assert len(pairs) == len(set(pairs)) and set(pairs) == want
