@@ -17,7 +17,7 @@ BETWEEN = r"[^\p{L}\p{N}]+"
 #: Tokens of a seed, and of the shortest tile.
 MATCH = 5
 #: Share of an item's tokens that tiles must cover.
-COVERAGE = 0.6
+COVERAGE = 0.5
 #: Seeds of the benchmark up to this number (24 bytes each) are broadcast; more are joined by a shuffle.
 BROADCAST_SEEDS = 200_000
 
