@@ -7,6 +7,7 @@ without joining the movement table to itself.
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -56,6 +57,12 @@ def tested_before_event(
     return both.withColumn("tested_before", ifelse(F.col(date) > F.col(event), 0, 1))
 
 
+def stack_assays(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Several assay types below one another, labelled in ``assay``; columns that a type lacks are null."""
+    labelled = [df.withColumn("assay", F.lit(name)) for name, df in tables.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), labelled)
+
+
 def age_at_event(
     movement: DataFrame, births: DataFrame, *, birth: str = "birth_date", name: str = "age",
     zone: str | None = None,
@@ -403,6 +410,14 @@ def tests_in_last_period(movement: DataFrame, tests: DataFrame) -> DataFrame:
     return tested.select("entity", "tests")
 
 
+def last_period_gaps(movement: DataFrame, tests: DataFrame) -> DataFrame:
+    """Each distinct test in an entity's last origin period, with the days from the test to the event."""
+    places = movement.where(F.col("event_date").isNotNull()).select(
+        "entity", F.col("last_period").alias("test_period"), "event_date")
+    records = merge_settled(test_records(tests), places, ["entity", "test_period"])
+    return records.withColumn("days_to_event", days_between("date", "event_date"))
+
+
 def tests_near_event(movement: DataFrame, tests: DataFrame, days: int) -> DataFrame:
     """Distinct tests within ``days`` whole days on either side of the entity's event.
 

@@ -276,15 +276,24 @@ def boxcox(spark, folder):
 # Model tables --------------------------------------------------------------------------------
 
 
+_FRAME_TYPES = {
+    "entity": "int", "moved": "string", "event_season": "string", "event_date": "date", "birth_date_1": "date", "birth_date_2": "date",
+    "age": "int", "age_2": "int", "reached_min_age": "string", "distance": "double", "origin_size": "double", "dest_size": "double",
+    "food_abundance": "double", "food_density": "double", "population_all": "int", "group_all": "int", "exposures": "int",
+    "exposed": "string", "near_event": "string", "sex": "int", "origin_dominance": "string", "dest_dominance": "string",
+    "last_period": "string", "dest_period": "string",
+}
+
+
 @query(
-    "entity:l sex:s age:l exposed:s",
+    "entity:l sex:s age:l age_2:l exposed:s near_event:s event_season:s distance:d origin_size:d food_abundance:d food_density:d "
+    "population_all:l group_all:l exposures:l",
     _WIDE_SQL + """
-    SELECT entity, CASE WHEN sex = 1 THEN 'M' ELSE 'F' END AS sex, age, exposed FROM wide WHERE moved = '1'
+    SELECT * REPLACE (CASE WHEN sex = 1 THEN 'M' ELSE 'F' END AS sex) FROM wide WHERE moved = '1'
     """,
 )
 def model_frame(spark, folder):
-    typed = design.typed_model_frame(wide_table(spark, folder), {"age": "int", "sex": "int", "exposed": "string"})
-    return design.movers_only(typed)
+    return design.movers_only(design.typed_model_frame(wide_table(spark, folder), _FRAME_TYPES))
 
 
 @query(

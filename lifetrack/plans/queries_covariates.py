@@ -89,6 +89,40 @@ def tested_before_event(spark, folder):
     return cov.tested_before_event(bought, cov.first_assay(assays, "score"))
 
 
+_ASSAY_SQL = """
+    bought AS (
+      SELECT user_id AS entity, cast(min(ts) AS date) AS event_date FROM events
+      WHERE event_type = 'purchase' GROUP BY 1),
+    firsts AS (
+      SELECT event_type AS assay, user_id AS entity, value AS score, cast(ts AS date) AS date FROM events
+      WHERE event_type IN ('signup', 'view')
+      QUALIFY row_number() OVER (PARTITION BY event_type, user_id ORDER BY cast(ts AS date), event_id) = 1)"""
+
+
+@query(
+    "entity:l assay:s score:d date:s event_date:s tested_before:l",
+    f"""
+    WITH {_ASSAY_SQL}
+    SELECT entity, assay, score, date, event_date,
+           CASE WHEN date > event_date THEN 0 WHEN date <= event_date THEN 1 END AS tested_before
+    FROM firsts JOIN bought USING (entity)
+    """,
+)
+def tested_before_in_either(spark, folder):
+    """Both assay types below one another, each entity's first of each type."""
+    events = read_table(spark, folder, "events")
+    bought = settle(events.where(F.col("event_type") == "purchase").groupBy(F.col("user_id").alias("entity")).agg(
+        F.min("ts").cast("date").alias("event_date")
+    ))
+    def one(kind):
+        assays = events.where(F.col("event_type") == kind).select(
+            F.col("user_id").alias("entity"), F.col("value").alias("score"),
+            F.col("ts").cast("date").alias("date"), F.col("event_id").alias("tie"),
+        )
+        return cov.tested_before_event(bought, cov.first_assay(assays, "score"))
+    return cov.stack_assays({kind: one(kind) for kind in ("signup", "view")})
+
+
 @query(
     "entity:l age:l young:l",
     f"""
@@ -103,12 +137,11 @@ def age_at_event(spark, folder):
     return young.withColumn("young", F.lit(1)).unionByName(old.withColumn("young", F.lit(0)))
 
 
-@query(
-    "entity:l birth_date_1:s birth_date_2:s fitting_nests:l",
-    f"""
-    WITH {sql.RES}, {sql.FIRSTS}, {sql.BIRTHS},
+def _refined_sql(location: str = "o_orderpriority") -> str:
+    """Tables up to ``refined_births``; needs ``firsts`` and ``births``."""
+    return f"""
     nests AS (
-      SELECT o_orderkey AS nest_id, o_orderpriority AS location,
+      SELECT o_orderkey AS nest_id, {location} AS location,
              year(o_orderdate) * 100 + month(o_orderdate) AS period,
              CASE WHEN o_orderstatus <> 'P' THEN cast(o_orderdate AS date) END AS hatch_date,
              CASE WHEN o_totalprice > 60000 THEN cast(o_orderdate AS date) + 20 END AS fledge_date
@@ -119,7 +152,7 @@ def age_at_event(spark, folder):
     known AS (
       SELECT b.*, f.location AS origin, c_mktsegment <> 'BUILDING' AS estimated
       FROM births b JOIN firsts f ON f.entity = b.entity AND f.place = 1 JOIN customer ON c_custkey = b.entity),
-    refined AS (
+    fitting AS (
       SELECT k.entity, max(coalesce(n.hatch_date, n.fledge_date - 14)) AS hatch_date, count(*) AS fits
       FROM known k JOIN nests n ON n.location = k.origin AND n.period = k.birth_period
       LEFT JOIN chicks c ON c.nest_id = n.nest_id JOIN catches t ON t.entity = k.entity
@@ -127,18 +160,19 @@ def age_at_event(spark, folder):
         AND NOT (coalesce(n.hatch_date, n.fledge_date - 14) > t.first_catch)
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = k.entity AND o_orderkey + 1 = n.nest_id)
         AND NOT EXISTS (SELECT 1 FROM orders WHERE o_totalprice > 300000 AND o_custkey = k.entity AND o_orderkey = n.nest_id)
-      GROUP BY k.entity)
-    SELECT k.entity, k.birth_date AS birth_date_1, coalesce(r.hatch_date, k.birth_date) AS birth_date_2,
-           coalesce(r.fits, 0) AS fitting_nests
-    FROM known k LEFT JOIN refined r USING (entity)
-    """,
-)
-def refined_start(spark, folder):
+      GROUP BY k.entity),
+    refined_births AS (
+      SELECT k.entity, k.birth_date AS birth_date_1, coalesce(r.hatch_date, k.birth_date) AS birth_date_2,
+             coalesce(r.fits, 0) AS fitting_nests
+      FROM known k LEFT JOIN fitting r USING (entity))"""
+
+
+def _refined(spark, folder, history, births, place=None):
     orders = read_table(spark, folder, "orders")
     day = F.col("o_orderdate").cast("date")
     nests = orders.select(
         F.col("o_orderkey").alias("nest_id"),
-        F.col("o_orderpriority").alias("location"), star.month_id("o_orderdate").alias("period"),
+        (F.col("o_orderpriority") if place is None else place).alias("location"), star.month_id("o_orderdate").alias("period"),
         F.when(F.col("o_orderstatus") != "P", day).alias("hatch_date"),
         F.when(F.col("o_totalprice") > 60000, F.date_add(day, 20)).alias("fledge_date"),
     )
@@ -152,13 +186,20 @@ def refined_start(spark, folder):
     )
     segments = read_table(spark, folder, "customer")
     births = lookup(
-        star.births(spark, folder), segments, {"entity": "c_custkey"}, {"c_mktsegment": "_segment"}, how="inner"
+        births, segments, {"entity": "c_custkey"}, {"c_mktsegment": "_segment"}, how="inner"
     ).withColumn("estimated", F.col("_segment") != "BUILDING").drop("_segment")
-    history = star.residency(spark, folder)
     origins = origin_location(history).withColumnRenamed("location", "origin")
     return cov.refine_birth_date(origins, births, nests, chicks, star.sightings(spark, folder), wrong)
 
 
+@query(
+    "entity:l birth_date_1:s birth_date_2:s fitting_nests:l",
+    f"WITH {sql.RES}, {sql.FIRSTS}, {sql.BIRTHS}, {_refined_sql()} SELECT * FROM refined_births",
+)
+def refined_start(spark, folder):
+    return _refined(spark, folder, star.residency(spark, folder), star.births(spark, folder))
+
+
 @query(
     "mean:d sd:d n:l lower:d upper:d",
     """
@@ -300,9 +341,9 @@ def exposure_count(spark, folder):
     )
 
 
-def _measurements(spark, folder):
+def _measurements(spark, folder, location=None):
     """Parts shipped from each place and month: size as easting, price as northing."""
-    shipped = star.shipments(spark, folder)
+    shipped = star.shipments(spark, folder, location)
     items = shipped.select(
         "location", star.month_id("l_shipdate").alias("period"), "l_partkey",
         F.col("l_returnflag").alias("method"),
@@ -318,8 +359,9 @@ def _measurements(spark, folder):
     )
 
 
-_PLACES_SQL = f"""
-    items AS (SELECT DISTINCT o_orderpriority AS location, year(l_shipdate) * 100 + month(l_shipdate) AS period,
+def _places_sql(location: str = "o_orderpriority") -> str:
+    return f"""
+    items AS (SELECT DISTINCT {location} AS location, year(l_shipdate) * 100 + month(l_shipdate) AS period,
                      l_partkey, l_returnflag AS method FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
     places AS (
       SELECT location, period, method, l_partkey AS tie, cast(p_size AS double) AS easting,
@@ -328,6 +370,9 @@ _PLACES_SQL = f"""
       QUALIFY row_number() OVER (PARTITION BY location, period ORDER BY method, l_partkey) = 1)"""
 
 
+_PLACES_SQL = _places_sql()
+
+
 @query(
     "location:s period:l method:s easting:d northing:d size:d",
     f"WITH {_PLACES_SQL} SELECT * FROM places",
@@ -398,30 +443,36 @@ def food_density(spark, folder):
     return cov.with_year_value(star.trips(spark, folder), by_year, "food_density")
 
 
-@query(
-    "entity:l food_abundance:d",
-    f"""
-    WITH {sql.TRIPS},
+_ABUNDANCE_SQL = """
     quality AS (
       SELECT year(l_shipdate) AS year, nullif(l_quantity, 50) AS quality,
              CASE WHEN l_quantity = 1 AND year(l_shipdate) = 1999 THEN NULL ELSE l_extendedprice END AS food
       FROM lineitem WHERE month(l_shipdate) IN (3, 4, 5, 6, 7, 8, 9, 10)),
     sums AS (SELECT year, CASE WHEN count(food) = count(*) THEN sum(food) END AS total
-             FROM quality WHERE quality IS NOT NULL GROUP BY year)
+             FROM quality WHERE quality IS NOT NULL GROUP BY year)"""
+
+
+@query(
+    "entity:l food_abundance:d",
+    f"""
+    WITH {sql.TRIPS}, {_ABUNDANCE_SQL}
     SELECT entity, CASE WHEN year(last_start) = 1996 THEN 123.25 ELSE total END AS food_abundance
     FROM trips LEFT JOIN sums ON year = year(last_start)
     """,
 )
 def food_abundance(spark, folder):
+    return _with_abundance(spark, folder, star.trips(spark, folder), star.months(spark, folder))
+
+
+def _with_abundance(spark, folder, movement, calendar):
     items = read_table(spark, folder, "lineitem")
     quality = items.select(
         F.year("l_shipdate").alias("year"), star.month_id("l_shipdate").alias("period"),
         F.nullif(F.col("l_quantity"), F.lit(50.0)).alias("quality"),
         F.when(~((F.col("l_quantity") == 1) & (F.year("l_shipdate") == 1999)), F.col("l_extendedprice")).alias("food"),
     )
-    calendar = star.months(spark, folder)
     by_year = settle(cov.food_abundance_by_year(quality, calendar))
-    return cov.with_year_value(star.trips(spark, folder), by_year, "food_abundance", {1996: 123.25})
+    return cov.with_year_value(movement, by_year, "food_abundance", {1996: 123.25})
 
 
 # Tests ---------------------------------------------------------------------------------------
@@ -453,6 +504,28 @@ def day_range_proximity(spark, folder):
     return cov.tests_near_event(star.trips(spark, folder), _tests(spark, folder), 14)
 
 
+@query(
+    "entity:l test_period:l result:s date:s days_to_event:l",
+    _TESTS_SQL + """
+    SELECT entity, period AS test_period, result, date, event_date - date AS days_to_event
+    FROM trips JOIN records USING (entity) WHERE abs(event_date - date) <= 21
+    """,
+)
+def three_week_proximity(spark, folder):
+    return cov.tests_near_event(star.trips(spark, folder), _tests(spark, folder), 21)
+
+
+@query(
+    "entity:l test_period:l result:s date:s days_to_event:l",
+    _TESTS_SQL + """
+    SELECT entity, period AS test_period, result, date, event_date - date AS days_to_event
+    FROM trips JOIN records USING (entity) WHERE period = last_period
+    """,
+)
+def last_period_gaps(spark, folder):
+    return cov.last_period_gaps(star.trips(spark, folder), _tests(spark, folder))
+
+
 @query(
     "entity:l tests:l",
     _TESTS_SQL + """
@@ -563,8 +636,27 @@ def multi_lookup(spark, folder):
 # Wide table --------------------------------------------------------------------------------------
 
 _WIDE_SQL = f"""
-    WITH {sql.MOVEMENT},
-    aged AS (SELECT entity, event_date - birth_date AS age FROM movement JOIN births USING (entity)),
+    WITH {sql.MOVEMENT}, {_refined_sql(sql.TWO_WAY)}, {_places_sql(sql.TWO_WAY)}, {_ABUNDANCE_SQL},
+    aged AS (SELECT entity, birth_date_1, birth_date_2, event_date - birth_date_1 AS age, event_date - birth_date_2 AS age_2
+             FROM movement JOIN refined_births USING (entity)),
+    limits AS (SELECT avg(age) FILTER (moved = '1') + 1.959963984540054e0 * stddev_samp(age) FILTER (moved = '1')
+                      / sqrt(count(age) FILTER (moved = '1')) AS upper_1,
+                      avg(age_2) FILTER (moved = '1') + 1.959963984540054e0 * stddev_samp(age_2) FILTER (moved = '1')
+                      / sqrt(count(age_2) FILTER (moved = '1')) AS upper_2 FROM movement JOIN aged USING (entity)),
+    seen AS (SELECT entity, max(period_end) AS last_day FROM res WHERE status <> 'P' GROUP BY entity),
+    old AS (SELECT m.entity,
+                   CASE WHEN m.moved = '0' THEN cast(coalesce(last_day - birth_date_1 > upper_1, false) AS int) END AS reached_min_age,
+                   CASE WHEN m.moved = '0' THEN cast(coalesce(last_day - birth_date_2 > upper_2, false) AS int) END AS reached_min_age_2
+            FROM movement m JOIN aged USING (entity) LEFT JOIN seen USING (entity), limits),
+    apart AS (
+      SELECT t.entity, coalesce(o1.easting, o2.easting) AS oe, coalesce(o1.northing, o2.northing) AS ono,
+             coalesce(o1.size, o2.size) AS origin_size, coalesce(d1.easting, d2.easting) AS de,
+             coalesce(d1.northing, d2.northing) AS dn, coalesce(d1.size, d2.size) AS dest_size
+      FROM movement t
+      LEFT JOIN places o1 ON o1.location = t.origin AND o1.period = t.dest_period
+      LEFT JOIN places o2 ON o2.location = t.origin AND o2.period = t.last_period
+      LEFT JOIN places d1 ON d1.location = t.dest_location AND d1.period = t.dest_period
+      LEFT JOIN places d2 ON d2.location = t.dest_location AND d2.period = t.last_period),
     pops AS (SELECT period, count(DISTINCT entity) AS population_all FROM res GROUP BY period),
     sizes AS (SELECT period, location, count(*) AS group_all FROM res GROUP BY period, location),
     hits AS (
@@ -573,12 +665,15 @@ _WIDE_SQL = f"""
       WHERE c.period IN {FLAGGED} GROUP BY m.entity),
     food AS (SELECT nullif(year(o_orderdate), 1995) AS year, max(o_totalprice) AS food_density FROM orders GROUP BY 1),
     wide AS (
-      SELECT m.entity, m.moved, m.inherit, m.event_date, m.event_season, a.age, p.population_all,
+      SELECT m.entity, m.moved, m.inherit, m.event_date, m.event_season, a.birth_date_1, a.birth_date_2, a.age, a.age_2,
+             reached_min_age, reached_min_age_2, sqrt(power(de - oe, 2) + power(dn - ono, 2)) AS distance, origin_size, dest_size,
+             CASE WHEN year(m.last_start) = 1996 THEN 123.25 ELSE total END AS food_abundance, p.population_all,
              coalesce(s1.group_all, s2.group_all) AS group_all, h.exposures,
              CASE WHEN h.exposures IS NULL THEN 'N' ELSE 'Y' END AS exposed,
              CASE WHEN m.last_period IN {FLAGGED} THEN 1 ELSE 0 END AS near_event,
              f.food_density, CASE WHEN c_acctbal > 5000 THEN 1 ELSE 0 END AS sex
-      FROM movement m JOIN aged a USING (entity)
+      FROM movement m JOIN aged a USING (entity) JOIN old USING (entity) JOIN apart USING (entity)
+      LEFT JOIN sums ON sums.year = year(m.last_start)
       LEFT JOIN pops p ON p.period = m.last_period
       LEFT JOIN sizes s1 ON s1.period = m.last_period AND s1.location = m.origin
       LEFT JOIN sizes s2 ON s2.period = m.second_last_period AND s2.location = m.origin
@@ -586,7 +681,8 @@ _WIDE_SQL = f"""
       LEFT JOIN food f ON f.year = year(m.last_start)
       LEFT JOIN customer ON c_custkey = m.entity)"""
 _WIDE_SPEC = (
-    "entity:l moved:s inherit:l event_date:s event_season:s age:l population_all:l group_all:l "
+    "entity:l moved:s inherit:l event_date:s event_season:s birth_date_1:s birth_date_2:s age:l age_2:l "
+    "reached_min_age:l reached_min_age_2:l distance:d origin_size:d dest_size:d food_abundance:d population_all:l group_all:l "
     "exposures:l exposed:s near_event:l food_density:d sex:l"
 )
 
@@ -607,11 +703,29 @@ def _sex(spark, folder):
     )
 
 
+def _aged(spark, folder, movement, history, births):
+    """Both birth dates with the ages they give, and for non-movers whether they reached the movers' age."""
+    refined = settle(_refined(spark, folder, history, births, star.two_way_location()))
+    seen = cov.last_seen(history, ("P",))
+    out = movement
+    for birth, name in (("birth_date_1", "reached_min_age"), ("birth_date_2", "reached_min_age_2")):
+        out = cov.reached_min_age(out, refined, seen, birth=birth, name=name)
+    for birth, name in (("birth_date_1", "age"), ("birth_date_2", "age_2")):
+        out = cov.age_at_event(out, refined, birth=birth, name=name)
+    return out
+
+
+def _places(spark, folder):
+    return settle(cov.preferred_measurement(_measurements(spark, folder, star.two_way_location())))
+
+
 def wide_table(spark, folder):
-    """Every covariate added to the movement table in place, in one pass over it."""
+    """Every covariate added to the movement table in place."""
     history = star.home_residency(spark, folder)
     births, calendar = star.births(spark, folder), star.months(spark, folder)
-    out = cov.age_at_event(home_movement(spark, folder, calendar), births).drop("birth_date")
+    out = _aged(spark, folder, settle(home_movement(spark, folder, calendar)), history, births)
+    out = cov.with_distance(out, _places(spark, folder))
+    out = _with_abundance(spark, folder, out, calendar).drop("last_year")
     out = cov.with_population(out, history)
     out = cov.with_group_size(out, _group_sizes(history))
     out = cov.with_exposure(out, births, calendar, events=FLAGGED)
@@ -635,7 +749,10 @@ def collate_by_entity(spark, folder):
     return collate(
         only(movement, "moved", "inherit", "event_date", "event_season"),
         [
-            only(cov.age_at_event(movement, births), "age"),
+            only(_aged(spark, folder, movement, history, births), "birth_date_1", "birth_date_2", "age", "age_2",
+                 "reached_min_age", "reached_min_age_2"),
+            only(cov.with_distance(movement, _places(spark, folder)), "distance", "origin_size", "dest_size"),
+            only(_with_abundance(spark, folder, movement, calendar), "food_abundance"),
             only(cov.with_population(movement, history), "population_all"),
             only(cov.with_group_size(movement, _group_sizes(history)), "group_all"),
         ],

@@ -9,6 +9,7 @@ from ..operators import joins, ordered, residency as res_ops
 from ..operators.covariates import last_seen as last_seen_of, residence_periods
 from ..operators.periods import overlap_join, period_chain, previous_period
 from ..sources import star
+from ..sources import files
 from ..sources.files import read_table
 from . import sql_parts as sql
 from .registry import query
@@ -17,6 +18,26 @@ from .registry import query
 # Scans and projections -----------------------------------------------------------
 
 
+@query(
+    "tie:l number:l day:s label:s",
+    """
+    SELECT o_orderkey AS tie, CASE o_orderstatus WHEN 'F' THEN NULL WHEN 'P' THEN NULL ELSE o_custkey END AS number,
+           CASE WHEN o_orderstatus = 'F' THEN NULL WHEN o_orderpriority = '5-LOW' THEN NULL ELSE cast(o_orderdate AS date) END AS day,
+           CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_clerk END AS label
+    FROM (SELECT *, o_orderpriority AS o_clerk FROM orders)
+    """,
+)
+def csv_rules(spark, folder):
+    """The rules of the file reader on lines of text: NA and blanks are null, dates are dd/MM/yyyy, bad values null."""
+    orders = read_table(spark, folder, "orders")
+    status, low = F.col("o_orderstatus"), F.col("o_orderpriority") == "5-LOW"
+    number = F.when(status == "F", "NA").when(status == "P", "twelve").otherwise(F.col("o_custkey").cast("string"))
+    day = F.when(status == "F", "").when(low, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
+    label = F.when(status == "P", "NA").otherwise(F.col("o_orderpriority"))
+    line = orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), number, day, label).alias("line"))
+    return files.parse_csv(line, "line", "tie bigint, number bigint, day date, label string")
+
+
 @query(
     "entity:l segment:s code:l bad_code:l balance:d copy:d source:s nothing:l",
     """

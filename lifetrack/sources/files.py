@@ -7,12 +7,22 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .layouts import MOVEMENT_FILE_COLUMNS
 
 
+#: How files spell unknown values and dates.
+OPTIONS = {"nullValue": "NA", "dateFormat": "dd/MM/yyyy"}
+
+
+def parse_csv(lines: DataFrame, column: str, schema: str) -> DataFrame:
+    """Lines of text under a declared schema by the rules of the file reader."""
+    parsed = F.from_csv(column, schema, {**OPTIONS, "mode": "PERMISSIVE"})
+    return lines.select(parsed.alias("row")).select("row.*")
+
+
 def read_csv(
     spark: SparkSession,
     path: str,
     schema: str,
     *,
-    date_format: str = "dd/MM/yyyy",
+    date_format: str = OPTIONS["dateFormat"],
     leading_index: bool = False,
 ) -> DataFrame:
     """Read a headed CSV under a declared schema; ``NA`` and blanks are null.
@@ -21,7 +31,7 @@ def read_csv(
     fails instead of shifting columns. ``leading_index`` skips an unnamed
     row-number column at the front.
     """
-    reader = spark.read.option("header", True).option("nullValue", "NA")
+    reader = spark.read.option("header", True).option("nullValue", OPTIONS["nullValue"])
     reader = reader.option("dateFormat", date_format)
     if leading_index:
         return reader.schema(f"row_index string, {schema}").csv(path).drop("row_index")
