@@ -35,7 +35,7 @@ MIN_ROWS = 100
 #: Up to this many groups (of about 60 numbers, 10 MB in all) their estimates are broadcast; more are joined by a shuffle.
 BROADCAST_CELLS = 20_000
 #: Chance that a row of a normal group is rejected.
-TAIL = 1e-11
+TAIL = 1e-12
 
 
 def _chi2_cdf(x: float, df: int) -> float:
