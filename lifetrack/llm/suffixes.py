@@ -303,6 +303,7 @@ def remove_repeats(
     only the pieces around anchors that occur twice are compared, and equal pieces once. The pieces of many anchors
     form a collection, sorted column by column; see ``repeated_windows``. An anchor with more than ``largest_group``
     different pieces is not sorted in one task: its windows are counted by hash instead, with the same result.
+    All tables joined on the way grow with the corpus, so every join is a shuffle at every size.
 
     Returns ``keep`` (default: all columns), ``n_bytes``, ``spans`` (removed runs of bytes, end exclusive) and
     ``kept`` (the other bytes), in place of columns of those names. Null and empty texts have no bytes; an empty
@@ -315,15 +316,15 @@ def remove_repeats(
     kinds = settle(places.groupBy("h", "s").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("row", "place")).alias("at")))
     anchors_ = kinds.groupBy("h").agg(F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")).where("`all` > 1")
     anchors_ = settle(anchors_.select(F.col("h").alias("h_r"), "kinds"))
-    kinds = settle(kinds.join(anchors_, F.col("h") == F.col("h_r")).select("h", "s", "times", "at.row", "at.place", "kinds"))
+    kinds = settle(kinds.join(anchors_.hint("merge"), F.col("h") == F.col("h_r")).select("h", "s", "times", "at.row", "at.place", "kinds"))
 
     digests = sketches.select(F.col("row").alias("row_r"), "tk")
     wanted = kinds.where("kinds > 1").groupBy("row").agg(F.collect_list(F.struct("place", "h", "s", "times", "kinds")).alias("wanted"))
-    wanted = wanted.join(digests, F.col("row") == F.col("row_r")).select(F.col("tk").alias("tk_r"), "wanted")
+    wanted = wanted.join(digests.hint("merge"), F.col("row") == F.col("row_r")).select(F.col("tk").alias("tk_r"), "wanted")
     wanted = settle(wanted)
     bodies = docs.select(full_text(docs[f"`{text}`"]).cast("binary").alias("body"))
-    bodies = bodies.withColumn("tk", F.md5("body")).join(wanted.select("tk_r"), F.col("tk") == F.col("tk_r"), "left_semi")
-    bodies = bodies.groupBy("tk").agg(F.any_value("body").alias("body")).join(wanted, F.col("tk") == F.col("tk_r"))
+    bodies = bodies.withColumn("tk", F.md5("body")).join(wanted.select("tk_r").hint("merge"), F.col("tk") == F.col("tk_r"), "left_semi")
+    bodies = bodies.groupBy("tk").agg(F.any_value("body").alias("body")).join(wanted.hint("merge"), F.col("tk") == F.col("tk_r"))
 
     large = lambda yes: F.filter("wanted", lambda w: (w["kinds"] > largest_group) == F.lit(yes))
     some = _pieces(bodies.select("body", large(False).alias("wanted")).where(F.size("wanted") > 0), length, anchor)
@@ -336,9 +337,9 @@ def remove_repeats(
     found = settle(found.unionByName(alone).withColumnsRenamed({"h": "h_r", "s": "s_r"}))
 
     first = settle(sketches.groupBy("tk").agg(F.min("row").alias("row_r")).select("row_r"))
-    once = sketches.join(first, F.col("row") == F.col("row_r"), "left_semi")
+    once = sketches.join(first.hint("merge"), F.col("row") == F.col("row_r"), "left_semi")
     hits = once.select("tk", F.explode(F.arrays_zip("place", "h", "s")).alias("x")).select("tk", "x.*")
-    hits = hits.join(found, (F.col("h") == F.col("h_r")) & (F.col("s") == F.col("s_r")))
+    hits = hits.join(found.hint("merge"), (F.col("h") == F.col("h_r")) & (F.col("s") == F.col("s_r")))
     # The ends of the text cut the reach of a whole piece; they are known when the text is.
     around = F.array(F.struct(F.lit(-(length - anchor)).alias("a"), F.lit(length).alias("b")))
     runs = F.transform(F.coalesce("runs", around), lambda r: F.struct(
@@ -349,7 +350,7 @@ def remove_repeats(
     body, tk, size = free_names([*keep, *made], "_body", "_tk", "_size")
     rows = docs.select(*[docs[f"`{c}`"] for c in keep], full_text(docs[f"`{text}`"]).cast("binary").alias(body))
     rows = rows.withColumn(tk, F.md5(body))
-    rows = rows.join(spans, F.col(tk) == F.col("tk_r"), "left").withColumn(size, F.octet_length(body))
+    rows = rows.join(spans.hint("merge"), F.col(tk) == F.col("tk_r"), "left").withColumn(size, F.octet_length(body))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     clipped = F.transform(F.coalesce("spans", none), lambda s: F.struct(
         s["start"].alias("start"), F.least(s["end"], F.col(size)).alias("end")))
