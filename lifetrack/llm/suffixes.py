@@ -323,8 +323,9 @@ def remove_repeats(
     wanted = wanted.join(digests.hint("merge"), F.col("row") == F.col("row_r")).select(F.col("tk").alias("tk_r"), "wanted")
     wanted = settle(wanted)
     bodies = docs.select(full_text(docs[f"`{text}`"]).cast("binary").alias("body"))
-    bodies = bodies.withColumn("tk", F.md5("body")).join(wanted.select("tk_r").hint("merge"), F.col("tk") == F.col("tk_r"), "left_semi")
-    bodies = bodies.groupBy("tk").agg(F.any_value("body").alias("body")).join(wanted.hint("merge"), F.col("tk") == F.col("tk_r"))
+    # Copies become one text before the join: no hot digest is left that would be split and dealt once more.
+    bodies = bodies.withColumn("tk", F.md5("body")).groupBy("tk").agg(F.any_value("body").alias("body"))
+    bodies = bodies.join(wanted.hint("merge"), F.col("tk") == F.col("tk_r"))
 
     large = lambda yes: F.filter("wanted", lambda w: (w["kinds"] > largest_group) == F.lit(yes))
     some = _pieces(bodies.select("body", large(False).alias("wanted")).where(F.size("wanted") > 0), length, anchor)
