@@ -127,3 +127,107 @@ def _left(lines: Column, gone: Column) -> Column:
             s["runs"], F.array(F.struct(s["at"].alias("start"), (F.size(lines) - s["at"]).alias("n"))))).otherwise(s["runs"]),
     )
     return F.array_join(F.flatten(F.transform(inner, lambda r: F.slice(lines, r["start"] + 1, r["n"]))), "\n")
+
+
+def windows(text: Column, *, min_lines: int) -> Column:
+    """Every run from a line with a word to the ``min_lines``-th such line: ``start`` line, lines ``n`` and ``hash``."""
+
+    def cut(lines):
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(HAS_WORD))
+
+        def one(at, start, k):
+            n = F.get(at, k + (min_lines - 1)) - start + 1
+            return F.struct(
+                start.alias("start"), n.alias("n"), F.xxhash64(F.array_join(F.slice(lines, start + 1, n), "\n")).alias("hash"))
+
+        return let(worded, lambda at: F.transform(
+            F.slice(at, 1, F.greatest(F.size(at) - (min_lines - 1), F.lit(0))), lambda start, k: one(at, start, k)))
+
+    return let(F.split(text, "\n", -1), cut)
+
+
+def remove_passages(
+    docs: DataFrame,
+    *,
+    key: str = "doc_id",
+    text: str = "text",
+    keep: list[str] | None = None,
+    min_lines: int = MIN_LINES,
+) -> DataFrame:
+    """Drop every line inside a run of ``min_lines`` worded lines that stands earlier in the corpus, whatever is around it.
+
+    A chunking whose boundaries depend on the two lines beside them finds a run when it cuts before and after it; the
+    runs that any such chunking can find are all runs of ``min_lines`` lines with a word (and the blank lines between
+    them), so those are compared, first by hash, then byte by byte. Longer passages are unions of such runs: none is
+    missed, and a single line is never enough. Order is by key (null first), text digest and line. A run that overlaps
+    its first occurrence is not a repeat. Every line that goes still stands at an earlier place. Rows with the same key
+    and text are one document and get the same result.
+
+    Returns ``keep`` (default: all columns, the text as it is left), ``n_lines``, ``n_removed_runs`` (touching runs are
+    one) and ``n_removed_lines``, in place of columns of those names. What is left of a text are its other lines,
+    joined by line feeds; a null or empty text stays empty.
+    """
+    made = ("n_lines", "n_removed_runs", "n_removed_lines")
+    keep = [c for c in (keep or docs.columns) if c.lower() not in made]
+    who, body, cut, gone = free_names([*docs.columns, *made], "_who", "_body", "_cut", "_gone")
+    docs = docs.withColumn(body, full_text(docs[f"`{text}`"]))
+    docs = docs.withColumn(who, F.struct(
+        docs[f"`{key}`"].alias("key"), digest("line", docs[f"`{key}`"], F.md5(F.col(body).cast("binary"))).alias("digest")))
+
+    runs = docs.select(who, F.explode(windows(F.col(body), min_lines=min_lines)).alias("w"))
+    runs = settle(runs.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash"))
+    twice = lambda df: df.where(F.col("first") != F.col("last"))
+    hashes = runs.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    hashes = settle(twice(hashes).select(F.col("hash").alias("hash_r")))
+    wanted = runs.join(hashes.hint("merge"), F.col("hash") == F.col("hash_r"), "left_semi")
+    wanted = wanted.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
+        F.collect_set(F.struct("place.start", "n", "hash")).alias("wanted"))
+    wanted = settle(wanted)
+
+    # Only the texts of runs whose hash recurs are compared; whole texts meet their places by a shuffle at every size.
+    seen = docs.select(who, body).join(wanted.hint("merge"), docs[who]["digest"] == wanted[who + "_r"])
+    found = let(F.split(F.col(body), "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(
+        w["start"].alias("start"), w["n"].alias("n"), w["hash"].alias("hash"),
+        F.array_join(F.slice(lines, w["start"] + 1, w["n"]), "\n").alias("piece"))))
+    seen = seen.select(who, F.explode(found).alias("w"))
+    seen = settle(seen.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash", "w.piece"))
+    same = seen.groupBy("hash", "piece").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    same = settle(twice(same).select(F.col("hash").alias("hash_r"), F.col("piece").alias("piece_r"), "first"))
+    removed = seen.join(same.hint("merge"), (F.col("hash") == F.col("hash_r")) & (F.col("piece") == F.col("piece_r")))
+    own = F.col("place")[who]["digest"] == F.col("first")[who]["digest"]
+    removed = removed.where(~(own & (F.col("place.start") < F.col("first.start") + F.col("n"))))
+    removed = removed.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
+        _joined(F.array_sort(F.collect_set(F.struct("place.start", "n")))).alias(gone))
+    removed = settle(removed)
+
+    passed = docs.select(*[docs[f"`{c}`"] for c in keep if c != text], who, body)
+    out = passed.join(removed.hint("merge"), passed[who]["digest"] == removed[who + "_r"], "left")
+    out = out.withColumn(cut, let(F.split(F.col(body), "\n", -1), lambda lines: F.struct(
+        F.size(lines).alias("lines"),
+        F.when(F.col(gone).isNull(), F.col(body)).otherwise(_outside(lines, F.col(gone))).alias("text"))))
+    lost = F.coalesce(F.col(gone), F.expr("cast(array() as array<struct<start:int,n:int>>)"))
+    values = [F.col(cut)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in keep]
+    return out.select(
+        *values, F.col(cut)["lines"].alias("n_lines"), F.size(lost).alias("n_removed_runs"),
+        F.aggregate(lost, F.lit(0), lambda s, g: s + g["n"]).alias("n_removed_lines"),
+    )
+
+
+def _joined(runs: Column) -> Column:
+    """Overlapping and touching runs as one; starts and ends both rise."""
+    end = lambda r: r["start"] + r["n"]
+
+    def join(all_):
+        firsts = F.filter(all_, lambda r, i: (i == 0) | (r["start"] > end(F.get(all_, i - 1))))
+        lasts = F.filter(all_, lambda r, i: (i == F.size(all_) - 1) | (F.get(all_, i + 1)["start"] > end(r)))
+        return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), (end(b) - a["start"]).alias("n")))
+
+    return let(runs, join)
+
+
+def _outside(lines: Column, gone: Column) -> Column:
+    """The lines outside the removed runs, which are in order and apart."""
+    begin = lambda k: F.when(k == 0, 0).otherwise(F.get(gone, k - 1)["start"] + F.get(gone, k - 1)["n"])
+    starts = F.concat(F.transform(gone, lambda r: r["start"]), F.array(F.size(lines)))
+    parts = F.transform(starts, lambda start, k: F.slice(lines, begin(k) + 1, start - begin(k)))
+    return F.array_join(F.flatten(parts), "\n")

@@ -201,6 +201,44 @@ def op6_line_chunks(spark, folder):
     )
 
 
+@query(f"""
+WITH docs AS (
+  SELECT doc_id, coalesce(text, '') AS body, {sql_digest("line", "doc_id", "md5(coalesce(text, ''))")} AS who FROM documents
+), once AS (
+  SELECT who, any_value(doc_id) AS doc_id, string_split(any_value(body), chr(10)) AS ls FROM docs GROUP BY who
+), lines AS (
+  SELECT who, doc_id, ls, i, ls[i] AS line FROM once, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+), worded AS (
+  SELECT who, doc_id, ls, i AS start, lead(i, {line_chunks.MIN_LINES - 1}) OVER (PARTITION BY who ORDER BY i) AS stop
+  FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), runs AS (
+  SELECT who, doc_id, start, stop, array_to_string(ls[start:stop], chr(10)) AS body FROM worded WHERE stop IS NOT NULL
+), marked AS (
+  SELECT *, first_value(who) OVER w AS first_who, first_value(stop) OVER w AS first_stop FROM runs
+  WINDOW w AS (PARTITION BY body ORDER BY doc_id NULLS FIRST, who, start)
+), gone AS (
+  SELECT DISTINCT who, unnest(range(start, stop + 1)) AS i FROM marked WHERE NOT (who = first_who AND start <= first_stop)
+), left_over AS (
+  SELECT lines.*, gone.i IS NOT NULL AS gone,
+    gone.i IS NOT NULL AND lag(gone.i) OVER (PARTITION BY lines.who ORDER BY lines.i) IS NULL AS opens
+  FROM lines LEFT JOIN gone ON lines.who = gone.who AND lines.i = gone.i
+), sums AS (
+  SELECT who, count(*) AS n_lines, count(*) FILTER (opens) AS n_removed_runs, count(*) FILTER (gone) AS n_removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
+  FROM left_over GROUP BY who
+)
+SELECT doc_id, n_lines, n_removed_runs, n_removed_lines, strlen(kept) AS kept_bytes, sha256(kept) AS kept_sha256
+FROM docs JOIN sums USING (who)
+""")
+def op6_line_passages(spark, folder):
+    left = line_chunks.remove_passages(table(spark, folder, "documents"), keep=["doc_id", "text"])
+    counts = ("n_lines", "n_removed_runs", "n_removed_lines")
+    return left.select(
+        "doc_id", *[F.col(c).cast("bigint").alias(c) for c in counts],
+        F.octet_length("text").cast("bigint").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 # 7: LM scoring -----------------------------------------------------------------------------------------------
 
 @query()

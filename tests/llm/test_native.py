@@ -152,6 +152,54 @@ def test_line_chunks_keep_the_first(spark):
         assert f"own start {i}" in got[i].text and f"own end {i}" in got[i].text
 
 
+def plain_passages(rows, min_lines=2):
+    """Lines that are left of each (key, text), by comparing every run with its first occurrence."""
+    order = lambda r: (r[0] is not None, r[0] or 0, hashlib.md5(f"line\x1f{'-' if r[0] is None else f'={r[0]}'}\x1f={hashlib.md5(r[1].encode()).hexdigest()}".encode()).hexdigest())
+    first, out = {}, {}
+    for who in sorted(set(rows), key=order):
+        lines = who[1].split("\n")
+        worded = [i for i, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for a, b in zip(worded, worded[min_lines - 1:]):
+            at = first.setdefault(tuple(lines[a:b + 1]), (who, b))
+            if at[0] != who or a > at[1]:
+                gone |= set(range(a, b + 1))
+        out[who] = [x for i, x in enumerate(lines) if i not in gone]
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, *range(60)]), "\n".join(rng.choice(["a", "b", "c c", "d", "", " "]) for _ in range(rng.randrange(9))))
+            for _ in range(150)]
+    for min_lines in (1, 2, 3):
+        plain = plain_passages(rows, min_lines)
+        got = line_chunks.remove_passages(docs(spark, rows).withColumn("was", F.col("text")), min_lines=min_lines).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            kept = plain[r.doc_id, r.was]
+            assert r.text == "\n".join(kept), r
+            assert (r.n_lines, r.n_removed_lines) == (r.was.count("\n") + 1, r.was.count("\n") + 1 - len(kept)), r
+
+
+def test_every_planted_passage_goes(spark):
+    rng = random.Random(6)
+    line = lambda kind, *at: f"{kind} {'-'.join(map(str, at))} {rng.random()}"
+    rows, planted = [], {}
+    for n in (1, 2, 3, 5, 8, 10):
+        for p in range(30):
+            passage = [line("shared", n, p, k) for k in range(n)]
+            for copy in range(2):
+                own = [[line("own", n, p, copy, side, k) for k in range(rng.randrange(4))] for side in "ab"]
+                planted[len(rows)] = n, copy, own[0] + own[1]
+                rows.append((len(rows), "\n".join(own[0] + passage + own[1]), "en", "s"))
+    got = {r.doc_id: r for r in line_chunks.remove_passages(docs(spark, rows)).collect()}
+    for i, (n, copy, own) in planted.items():
+        repeated = copy == 1 and n >= line_chunks.MIN_LINES  # single lines stay
+        assert got[i].n_removed_lines == (n if repeated else 0), rows[i]
+        assert got[i].text == ("\n".join(own) if repeated else rows[i][1])
+
+
 def test_shards_hold_the_mixture(spark):
     rows = [(i, f"text {i}", "en", "abbcccc"[i % 7]) for i in range(1000)]
     out = sharding.interleave(docs(spark, rows), shards=8, rows_per_cell=50).collect()
@@ -172,6 +220,7 @@ NATIVE = {
     "mixing": lambda d: mixing.replicate(d),
     "secrets": lambda d: secrets.scan(d, owner=d["source"], repository=d["lang"], keep=["doc_id", "text"]),
     "line_chunks": lambda d: line_chunks.remove_repeated(d),
+    "line_passages": lambda d: line_chunks.remove_passages(d),
     "sharding": lambda d: sharding.interleave(d, shards=3),
 }
 
