@@ -80,7 +80,7 @@ def split_by_age(df: DataFrame, age: str = "age", days: int = 150) -> tuple[Data
 
 def refine_birth_date(
     origins: DataFrame, births: DataFrame, nests: DataFrame, chicks: DataFrame, catches: DataFrame,
-    exclusions: DataFrame | None = None, *, fledge_days: int = 14, blocks: int | None = None,
+    exclusions: DataFrame | None = None, *, fledge_days: int = 14, parts: int | None = None,
 ) -> DataFrame:
     """A second birth date for entities whose recorded one is an estimate: one row per entity.
 
@@ -120,7 +120,7 @@ def refine_birth_date(
     # On one day nests come before catches.
     axis = axis.withColumn("_tie", F.coalesce(F.col("nest_id").cast("long"), F.lit(2**62)))
     is_nest = F.col("nest_id").isNotNull().cast("long")
-    placed = settle(running_total(axis, cell, "day", "_tie", is_nest, "number", blocks=blocks))
+    placed = settle(running_total(axis, cell, "day", "_tie", is_nest, "number", parts=parts))
     free = placed.where(F.col("nest_id").isNotNull())
     places = placed.where(F.col("nest_id").isNull()).select("entity", *cell, "number")
     places = places.withColumn("entity", F.col("entity").cast(dict(unsure.dtypes)["entity"]))
@@ -439,7 +439,7 @@ def frequency(df: DataFrame, column: str) -> DataFrame:
 # Quality series ----------------------------------------------------------------
 
 
-def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, *, blocks: int | None = None) -> DataFrame:
+def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, *, parts: int | None = None) -> DataFrame:
     """Complete a quality series per location and season.
 
     ``measured``: location, period, quality. ``calendar``: location, period,
@@ -456,7 +456,7 @@ def gap_fill_by_season(measured: DataFrame, calendar: DataFrame, *, blocks: int
     placed = series.where(F.col("season").isNotNull()).withColumn(
         "midpoint", F.coalesce("midpoint", F.lit(UNDATED))
     )
-    near = nearest_known(placed, ["location", "season"], "midpoint", "period", "quality", blocks=blocks)
+    near = nearest_known(placed, ["location", "season"], "midpoint", "period", "quality", parts=parts)
     ahead = F.coalesce("next_known", "prev_known")
     back = F.coalesce("prev_known", "next_known")
     return near.select("location", "period", "season", ((ahead + back) / 2).alias("quality"))

@@ -32,7 +32,7 @@ def attach_transformed(df: DataFrame, transformed: DataFrame) -> DataFrame:
 
 def align_repeats(
     responses: DataFrame, assays: DataFrame, order: str, tie: str, response_order: str,
-    response_tie: str, *, blocks: int | None = None,
+    response_tie: str, *, parts: int | None = None,
 ) -> DataFrame:
     """Pair the n-th distinct response row of an entity with its n-th assay.
 
@@ -41,8 +41,8 @@ def align_repeats(
     is null beside the others.
     """
     distinct = responses.distinct()
-    left = numbered(distinct, ["entity"], response_order, response_tie, "assay_number", blocks=blocks)
-    right = numbered(assays, ["entity"], order, tie, "assay_number", blocks=blocks)
+    left = numbered(distinct, ["entity"], response_order, response_tie, "assay_number", parts=parts)
+    right = numbered(assays, ["entity"], order, tie, "assay_number", parts=parts)
     return merge(left, right, ["entity", "assay_number"], "full", null_safe=False)
 
 

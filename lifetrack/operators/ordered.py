@@ -4,20 +4,18 @@ The first or last row of a group is the smallest or largest struct of its
 columns: an aggregate, so each task reduces a hot group to one row before the
 exchange, also behind a join that Spark splits for skew. The n-th row filters on
 ``row_number() = n``, which Spark limits to n rows per group and task. Rules that
-need every row in order (running totals, fills) split hot groups into ordered
-blocks first: see ``ordered_blocks``.
+need every row in order (running totals, fills) are scans over parts of one
+order, with what a group brings along from earlier parts added: see ``Scan``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import settle
-from .joins import merge, semi
-from .skew import block_count, hot_groups
+from ..session import settle_by
+from .joins import same_keys
 
 
 def _pick(df: DataFrame, keys: Iterable[str], place, best) -> DataFrame:
@@ -55,82 +53,84 @@ def nth_by(df: DataFrame, keys, order: str, tie: str, n: int) -> DataFrame:
     return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == n).drop("_rn")
 
 
-def _bucket(df: DataFrame, column: str, cuts: list[float], name: str) -> DataFrame:
-    edges = [float("-inf"), *sorted(set(cuts)), float("inf")]
-    return Bucketizer(splits=edges, inputCol=column, outputCol=name).transform(df)
+class Scan:
+    """Rows in the order of (keys, order, tie), cut into parts of like size, wherever groups begin or end.
 
+    Rows are dealt by ranges of that order, nulls of ``order`` last and NaN before them, and written once, bucketed by
+    their part: a hot group, or one value that most rows share, is spread over as many parts as it needs, the windows
+    inside a part need no further exchange, and a recomputed task sees the same parts. ``tie`` tells the rows of a
+    group apart; rows with equal ties stand in any order. Parts and groups meet in at most two rows per part, the
+    first and the last group in it: only these can reach into another part, so what earlier or later parts bring along
+    is one small table. The same plan holds for any number of rows, also for none.
 
-def ordered_blocks(
-    df: DataFrame, keys: Iterable[str], order: str, tie: str, *, blocks: int | None = None
-) -> DataFrame:
-    """Add ``_block``: 0 in ordinary groups, 1, 2, ... in order inside groups above 1/blocks of all rows.
-
-    Blocks follow ``(order, tie)``, nulls last and NaN before them, so working
-    block by block and carrying totals across blocks equals working on the whole
-    group. Block limits are value quantiles over the rows of such groups, so a
-    block is about one of ``blocks`` equal parts. A value so frequent that it
-    fills a whole quantile, NaN and null get blocks of their own by ``tie``.
-    ``order`` and ``tie`` must be numbers, dates or timestamps; ``tie`` is never null.
-
-    The same plan holds for any number of rows. The rows are settled first; the
-    list of large groups (fewer than ``blocks``) and the limits (about as many
-    numbers) are found from them when this is called and become constants of the
-    plan: every later evaluation, also after lost executors, sees the same blocks.
+    ``parts`` is the number of parts, by default what Spark makes of the size of the rows.
     """
-    keys = list(keys)
-    blocks = block_count(df, blocks)
-    settled = settle(df)
-    keyed = keys or ["_all"]
-    rows = settled if keys else settled.withColumn("_all", F.lit(0))
-    kinds = dict(df.dtypes)
-
-    def ordinal(c):
-        value = F.unix_date(c) if kinds[c] == "date" else F.col(c)
-        return value.cast("double")
-
-    rows = rows.withColumns({"_o": ordinal(order), "_t": ordinal(tie)})
-    hot = settle(hot_groups(rows, keyed, blocks))
-    hot_rows = semi(rows, F.broadcast(hot), keyed, null_safe=True)
-    steps = [i / blocks for i in range(1, blocks)]
-    by_order, by_tie = hot_rows.where(~F.isnan("_o")).approxQuantile(["_o", "_t"], steps, 0.25 / blocks)
-    # Bucketizer intervals are [cut, next cut), so a repeated cut starts its bucket.
-    repeated = sorted({a for a, b in zip(by_order, by_order[1:]) if a == b})
-    last = len(set(by_order)) + 1
-    unknown, strange = F.col("_o").isNull(), F.isnan("_o")
-    rows = rows.withColumn("_place", F.when(unknown | strange, 0.0).otherwise(F.col("_o")))
-    rows = _bucket(rows, "_place", by_order, "_outer")
-    rows = _bucket(rows, "_t", by_tie, "_inner")
-    width = len(set(by_tie)) + 2
-    outer = F.when(unknown, last + 1).when(strange, last).otherwise(F.col("_outer"))
-    alone = unknown | strange | F.col("_o").isin(repeated)
-    inner = F.when(alone, F.col("_inner")).otherwise(F.lit(width - 1))
-    block = (outer * width + inner + 1).cast("long")
-    marked = merge(rows, F.broadcast(hot.withColumn("_hot", F.lit(True))), keyed, "left")
-    marked = marked.withColumn("_block", F.when(F.col("_hot"), block).otherwise(F.lit(0)))
-    return marked.select(*df.columns, "_block")
+
+    def __init__(self, df: DataFrame, keys: Iterable[str], order: str, tie: str, *, parts: int | None = None):
+        self.keys, self.order, self.tie, self.columns = list(keys), order, tie, df.columns
+        place = [*[F.asc_nulls_first(k) for k in self.keys], F.asc_nulls_last(order), F.asc(tie)]
+        dealt = df.repartitionByRange(parts, *place) if parts else df.repartitionByRange(*place)
+        self.rows = settle_by(dealt.withColumn("_part", F.spark_partition_id()), "_part")
+        self.inside = Window.partitionBy("_part", *self.keys)
+
+    def upto(self):
+        """The rows of a group in this part up to the current one."""
+        w = self.inside.orderBy(F.asc_nulls_last(self.order), F.asc(self.tie))
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def onward(self):
+        """The rows from the current one on: a frame in reverse order, as one reaching forward is computed anew for every row."""
+        w = self.inside.orderBy(F.desc_nulls_first(self.order), F.desc(self.tie))
+        return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+    def place(self) -> Column:
+        """A value that orders the rows of a group."""
+        return F.struct(F.col(self.order).isNull(), self.order, self.tie)
+
+    def brought(self, parts: dict[str, Column], carries: Callable[[Window, Window], dict[str, Column]]) -> DataFrame:
+        """What other parts bring to the groups at the borders: a row per part and such group, two per part at most.
+
+        ``parts`` are aggregates over a group's rows in one part; ``carries`` makes columns of them, given windows over
+        the same group's earlier and later parts.
+        """
+        per_group = self.rows.groupBy("_part", *self.keys).agg(*[e.alias(name) for name, e in parts.items()])
+        if self.keys:
+            key = F.struct(*self.keys)
+            ends = per_group.groupBy("_part").agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+            ends = ends.withColumnRenamed("_part", "_p")
+            at_end = (F.col("_part") == F.col("_p")) & (key.eqNullSafe(F.col("_low")) | key.eqNullSafe(F.col("_high")))
+            per_group = per_group.join(F.broadcast(ends), at_end).drop("_p", "_low", "_high")
+        group = Window.partitionBy(*self.keys)
+        others = (Window.unboundedPreceding, -1)
+        earlier = group.orderBy(F.asc("_part")).rowsBetween(*others)
+        later = group.orderBy(F.desc("_part")).rowsBetween(*others)
+        columns = carries(earlier, later)
+        return per_group.select("_part", *self.keys, *[e.alias(name) for name, e in columns.items()])
+
+    def add(self, rows: DataFrame, brought: DataFrame) -> DataFrame:
+        """Attach what was brought; rows of other groups get nulls."""
+        side = brought.withColumnsRenamed({c: "_b_" + c for c in ["_part", *self.keys]})
+        same = (rows["_part"] == side["_b__part"]) & same_keys(rows, side, {k: "_b_" + k for k in self.keys}, True) \
+            if self.keys else rows["_part"] == side["_b__part"]
+        return rows.join(F.broadcast(side), same, "left").drop(*["_b_" + c for c in ["_part", *self.keys]])
 
 
 def running_total(
-    df: DataFrame, keys: Iterable[str], order: str, tie: str, amount: Column, name: str, *, blocks: int | None = None
+    df: DataFrame, keys: Iterable[str], order: str, tie: str, amount: Column, name: str, *, parts: int | None = None
 ) -> DataFrame:
     """Running total of ``amount`` per group in (order, tie), current row included, null orders last."""
-    keys = list(keys)
-    rows = ordered_blocks(df, keys, order, tie, blocks=blocks)
-    w = Window.partitionBy(*keys, "_block").orderBy(F.asc_nulls_last(order), F.asc(tie))
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = rows.withColumn(name, F.sum(amount).over(upto))
-    totals = rows.where("_block > 0").groupBy(*keys, "_block").agg(F.sum(amount).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, "_block", F.sum("_sum").over(before).alias("_carry"))
-    out = merge(out, carried, [*keys, "_block"], "left")
-    return out.withColumn(name, F.col(name) + F.coalesce("_carry", F.lit(0))).drop("_carry", "_block")
+    scan = Scan(df, keys, order, tie, parts=parts)
+    brought = scan.brought({"_sum": F.sum(amount)}, lambda earlier, later: {"_carry": F.sum("_sum").over(earlier)})
+    out = scan.add(scan.rows.withColumn(name, F.sum(amount).over(scan.upto())), brought)
+    total = F.coalesce(F.col(name) + F.col("_carry"), F.col(name), F.col("_carry"))
+    return out.withColumn(name, total).drop("_carry", "_part")
 
 
 def numbered(
-    df: DataFrame, keys: Iterable[str], order: str, tie: str, name: str, *, blocks: int | None = None
+    df: DataFrame, keys: Iterable[str], order: str, tie: str, name: str, *, parts: int | None = None
 ) -> DataFrame:
     """Number the rows of each group from 1 in (order, tie), null orders last."""
-    return running_total(df, keys, order, tie, F.lit(1).cast("long"), name, blocks=blocks)
+    return running_total(df, keys, order, tie, F.lit(1).cast("long"), name, parts=parts)
 
 
 def nearest_known(
@@ -142,43 +142,30 @@ def nearest_known(
     *,
     before: str = "prev_known",
     after: str = "next_known",
-    blocks: int | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add the last known value up to each row and the first known one from it on; null orders come last."""
-    keys = list(keys)
-    rows = ordered_blocks(df, keys, order, tie, blocks=blocks)
-    # Looking ahead is looking back in reverse order: a frame reaching forward to
-    # the end would be computed anew for every row.
-    w = Window.partitionBy(*keys, "_block")
-    so_far = (Window.unboundedPreceding, Window.currentRow)
-    past = w.orderBy(F.asc_nulls_last(order), F.asc(tie)).rowsBetween(*so_far)
-    future = w.orderBy(F.desc_nulls_first(order), F.desc(tie)).rowsBetween(*so_far)
+    scan = Scan(df, keys, order, tie, parts=parts)
     known = F.last(value, ignorenulls=True)
-    out = rows.withColumns({before: known.over(past), after: known.over(future)})
-    place = F.struct(F.col(order).isNull(), order, tie)
-    known = F.col(value).isNotNull()
-    ends = rows.where("_block > 0").groupBy(*keys, "_block").agg(
-        F.min_by(F.when(known, F.col(value)), F.when(known, place)).alias("_first"),
-        F.max_by(F.when(known, F.col(value)), F.when(known, place)).alias("_last"),
-    )
-    b, others = Window.partitionBy(*keys), (Window.unboundedPreceding, -1)
-    carry = lambda c, order: F.last(c, ignorenulls=True).over(b.orderBy(order).rowsBetween(*others))
-    carried = ends.select(
-        *keys,
-        "_block",
-        carry("_last", F.asc("_block")).alias("_carry_before"),
-        carry("_first", F.desc("_block")).alias("_carry_after"),
-    )
-    return merge(out, carried, [*keys, "_block"], "left").withColumns({
+    out = scan.rows.withColumns({before: known.over(scan.upto()), after: known.over(scan.onward())})
+    there = F.col(value).isNotNull()
+    ends = {
+        "_first": F.min_by(F.when(there, F.col(value)), F.when(there, scan.place())),
+        "_last": F.max_by(F.when(there, F.col(value)), F.when(there, scan.place())),
+    }
+    carry = lambda c, w: F.last(c, ignorenulls=True).over(w)
+    brought = scan.brought(ends, lambda earlier, later: {
+        "_carry_before": carry("_last", earlier), "_carry_after": carry("_first", later)})
+    return scan.add(out, brought).withColumns({
         before: F.coalesce(before, "_carry_before"),
         after: F.coalesce(after, "_carry_after"),
-    }).drop("_carry_before", "_carry_after", "_block")
+    }).drop("_carry_before", "_carry_after", "_part")
 
 
 def fill_nearest(
-    df: DataFrame, keys, order: str, tie: str, value: str, direction: str, *, blocks: int | None = None
+    df: DataFrame, keys, order: str, tie: str, value: str, direction: str, *, parts: int | None = None
 ) -> DataFrame:
     """Fill nulls of ``value``: ``updown`` looks ahead first, ``downup`` looks back first."""
     pair = {"updown": ("_after", "_before"), "downup": ("_before", "_after")}[direction]
-    out = nearest_known(df, keys, order, tie, value, before="_before", after="_after", blocks=blocks)
+    out = nearest_known(df, keys, order, tie, value, before="_before", after="_after", parts=parts)
     return out.withColumn(value, F.coalesce(*pair)).drop("_before", "_after")

@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import settle
 from .joins import merge_settled
-from .ordered import first_by, nearest_known, running_total
+from .ordered import first_by, running_total
 
 
 def wide_draws(draws: DataFrame, parameters: Iterable[str], by=("model", "chain", "iteration")) -> DataFrame:
@@ -41,40 +40,45 @@ def posterior_mean(derived: DataFrame, by=("model",)) -> DataFrame:
 
 
 def hpd_interval(
-    draws: DataFrame, keys: Iterable[str] = ("model", "parameter"), prob: float = 0.95, *, blocks: int | None = None
+    draws: DataFrame, keys: Iterable[str] = ("model", "parameter"), prob: float = 0.95, *,
+    parts: int | None = None, rank_blocks: int = 1024,
 ) -> DataFrame:
     """Shortest interval holding ``prob`` of the draws per key, chains of a model pooled; the lowest one on ties.
 
     With n sorted draws it spans ``max(1, min(n - 1, round(prob * n)))`` steps.
-    Equal draws are counted together first. An interval of least width always
-    starts at the first of several equal draws, so each distinct value is one
-    candidate; its upper end is the distinct value whose ranks cover start plus
-    span, found by placing candidates and values on one rank axis.
+    Equal draws are counted together first and ranked in one ordered scan. An
+    interval of least width always starts at the first of several equal draws, so
+    each distinct value whose span still fits is one candidate; its upper end is
+    the distinct value whose ranks cover start plus span. Ranks are known exactly
+    by then, so candidates and the values that can be upper ends, both tails only,
+    meet in blocks of equal numbers of ranks (``rank_blocks`` per key): a value of
+    many equal draws stands in every block that its ranks touch.
     """
     keys = list(keys)
     known = draws.where(F.col("value").isNotNull())
     counted = known.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", blocks=blocks)
-    start = F.col("_upto") - F.col("_n") + 1
-    # Ranked once and written: values, candidates and block limits all read it.
-    runs = settle(ranked.select(*keys, "value", "_n", start.alias("_start")))
-    sizes = runs.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", parts=parts)
+    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("n"))
     span = F.greatest(
         F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(prob)).cast("long"))
     )
-    spans = sizes.withColumn("_span", span)
-    candidates = merge_settled(runs, spans, keys, null_safe=True).where(
-        F.col("_start") + F.col("_span") <= F.col("n")
-    )
-    axis = runs.select(
-        *keys, F.col("_start").alias("_rank"), F.lit(0).alias("_side"), "value",
+    sizes = sizes.withColumns({"_span": span, "_width": F.ceil(F.col("n") / rank_blocks)})
+    runs = merge_settled(ranked, sizes, keys, null_safe=True).withColumn("_start", F.col("_upto") - F.col("_n") + 1)
+    block = lambda rank: F.floor(rank / F.col("_width"))
+    first_end = F.greatest(F.col("_start"), F.col("_span") + 1)
+    ends = runs.where(F.col("_upto") > F.col("_span")).select(
+        *keys, F.explode(F.sequence(block(first_end), block(F.col("_upto")))).alias("_block"),
+        first_end.alias("_rank"), F.lit(0).alias("_side"), "value",
         F.lit(None).cast("double").alias("lower"), F.lit(None).cast("long").alias("n"),
-    ).unionByName(candidates.select(
-        *keys, (F.col("_start") + F.col("_span")).alias("_rank"), F.lit(1).alias("_side"),
+    )
+    target = F.col("_start") + F.col("_span")
+    candidates = runs.where(target <= F.col("n")).select(
+        *keys, block(target).alias("_block"), target.alias("_rank"), F.lit(1).alias("_side"),
         F.lit(None).cast("double").alias("value"), F.col("value").alias("lower"), "n",
-    ))
-    placed = nearest_known(axis, keys, "_rank", "_side", "value", before="upper", blocks=blocks)
-    intervals = placed.where(F.col("_side") == 1).select(
+    )
+    w = Window.partitionBy(*keys, "_block").orderBy("_rank", "_side")
+    upper = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    intervals = ends.unionByName(candidates).withColumn("upper", upper).where(F.col("_side") == 1).select(
         *keys, "n", "lower", "upper", (F.col("upper") - F.col("lower")).alias("width")
     )
     return first_by(intervals, keys, "width", "lower")

@@ -9,12 +9,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.normal import norm_quantile
 from ..session import settle
-from .joins import merge_settled
-from .ordered import running_total
+from .joins import merge
+from .ordered import Scan
 
 #: Search range of the Box-Cox power, unless given.
 POWER_RANGE = (-1.0, 2.0)
@@ -197,22 +197,25 @@ def standardise_entities(df: DataFrame, columns: Iterable[str], suffix: str = "_
     return standardise(df, columns, suffix, over=df.select("entity", *columns).distinct())
 
 
-def orq_normalise(df: DataFrame, value: str, name: str, *, blocks: int | None = None) -> DataFrame:
+def orq_normalise(df: DataFrame, value: str, name: str, *, parts: int | None = None) -> DataFrame:
     """Rank-based normal score: quantile of (average rank - 0.5) / n over the known values.
 
     Null and NaN are unknown: they have no rank and no score.
 
-    Equal values are counted together before ranking, so ties never meet in one
-    task and the ranking works on distinct values only.
+    Equal values are counted together first, so ties never meet in one task. The
+    distinct values are sorted once, by ranges; a rank is the running count inside
+    a range and the counts of the ranges before it.
     """
     known = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    counts = settle(known.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n")))
-    ranked = running_total(counts, [], "_v", "_n", F.col("_n"), "_upto", blocks=blocks)
-    total = counts.agg(F.sum("_n")).scalar()
-    average = F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
-    placed = ranked.select("_v", ((average - 0.5) / total).alias("_p"))
+    counts = known.groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    scan = Scan(counts, [], "_v", "_n", parts=parts)
+    brought = scan.brought({"_sum": F.sum("_n")}, lambda earlier, later: {
+        "_before": F.coalesce(F.sum("_sum").over(earlier), F.lit(0)), "_total": F.sum("_sum").over(Window.partitionBy())})
+    ranked = scan.add(scan.rows.withColumn("_upto", F.sum("_n").over(scan.upto())), brought)
+    average = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / F.lit(2.0)
+    placed = ranked.select("_v", ((average - 0.5) / F.col("_total")).alias("_p"))
     scores = placed.select(F.col("_v").alias(value), norm_quantile("_p").alias(name))
-    return merge_settled(df, scores, [value], "left")
+    return merge(df, scores, [value], "left", null_safe=False)
 
 
 def box_cox(x: Column, log_x: Column, power: Column) -> Column:

@@ -248,11 +248,11 @@ def orq(spark, folder):
 @query("entity:l value:d score:d", _ORQ_SQL)
 def orq_in_blocks(spark, folder):
     """The same scores with the ranking split into blocks, as for very many distinct values."""
-    return stats.orq_normalise(_orq_values(spark, folder), "value", "score", blocks=64)
+    return stats.orq_normalise(_orq_values(spark, folder), "value", "score", parts=64)
 
 
 @query(
-    "event_id:l power:d score:d",
+    "event_id:l power:d score:d others:l",
     """
     WITH x AS (SELECT event_id, value AS v, ln(value) AS lv FROM events WHERE value > 0),
     g1 AS (SELECT round(cast(i AS double) / 10, 1) AS p FROM range(-10, 21) t(i)),
@@ -265,12 +265,16 @@ def orq_in_blocks(spark, folder):
     b3 AS (SELECT p FROM (SELECT p, -count(*) / 2.0 * ln(var_pop(CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END))
              + (p - 1) * sum(lv) AS fit FROM x, g3 GROUP BY p) ORDER BY fit DESC, p LIMIT 1),
     y AS (SELECT event_id, p, CASE WHEN p = 0 THEN lv ELSE (power(v, p) - 1) / p END AS t FROM x, b3)
-    SELECT event_id, p AS power, (t - (SELECT avg(t) FROM y)) / (SELECT stddev_samp(t) FROM y) AS score FROM y
+    SELECT event_id, (SELECT p FROM b3) AS power, (t - (SELECT avg(t) FROM y)) / (SELECT stddev_samp(t) FROM y) AS score,
+           (SELECT count(*) FROM events WHERE value <= 0) AS others
+    FROM events LEFT JOIN y USING (event_id)
     """,
 )
 def boxcox(spark, folder):
-    out = stats.boxcox_normalise(_events(spark, folder), "value", "score")
-    return out.withColumnRenamed("score_power", "power")
+    """Scores of the positive values; ``others`` counts the values that have none."""
+    events = _events(spark, folder)
+    out = stats.boxcox_normalise(events, "value", "score", not_positive="null")
+    return out.withColumnRenamed("score_power", "power").withColumn("others", events.agg(F.count_if(F.col("value") <= 0)).scalar())
 
 
 # Model tables --------------------------------------------------------------------------------
@@ -437,4 +441,4 @@ def hpd(spark, folder):
 @query("model:s parameter:s n:l lower:d upper:d width:d", _HPD_SQL)
 def hpd_in_blocks(spark, folder):
     """The same intervals with every parameter's draws split into blocks."""
-    return posterior.hpd_interval(star.draws(spark, folder), blocks=64)
+    return posterior.hpd_interval(star.draws(spark, folder), parts=64)

@@ -446,22 +446,27 @@ def food_density(spark, folder):
 _ABUNDANCE_SQL = """
     quality AS (
       SELECT year(l_shipdate) AS year, nullif(l_quantity, 50) AS quality,
-             CASE WHEN l_quantity = 1 AND year(l_shipdate) = 1999 THEN NULL ELSE l_extendedprice END AS food
-      FROM lineitem WHERE month(l_shipdate) IN (3, 4, 5, 6, 7, 8, 9, 10)),
+             CASE WHEN l_quantity = 1 AND year(l_shipdate) = 1999 THEN NULL ELSE cast(l_extendedprice AS decimal(18, 2)) END AS food
+      FROM lineitem WHERE month(l_shipdate) IN (3, 4, 5, 6, 7, 8, 9, 10)
+        AND year(l_shipdate) * 100 + month(l_shipdate) IN (SELECT year(o_orderdate) * 100 + month(o_orderdate) FROM orders)),
     sums AS (SELECT year, CASE WHEN count(food) = count(*) THEN sum(food) END AS total
              FROM quality WHERE quality IS NOT NULL GROUP BY year)"""
 
 
 @query(
-    "entity:l food_abundance:d",
+    "entity:l last_year:l food_abundance:d",
     f"""
-    WITH {sql.TRIPS}, {_ABUNDANCE_SQL}
-    SELECT entity, CASE WHEN year(last_start) = 1996 THEN 123.25 ELSE total END AS food_abundance
-    FROM trips LEFT JOIN sums ON year = year(last_start)
+    WITH {sql.TRIPS}, {_ABUNDANCE_SQL},
+    latest AS (SELECT o_custkey AS entity, max(date_trunc('month', o_orderdate)) AS last_start FROM orders GROUP BY o_custkey)
+    SELECT entity, year(last_start) AS last_year, CASE WHEN year(last_start) = 1996 THEN 123.25 ELSE total END AS food_abundance
+    FROM (SELECT entity, last_start FROM trips UNION ALL SELECT entity, last_start FROM latest) LEFT JOIN sums ON year = year(last_start)
     """,
 )
 def food_abundance(spark, folder):
-    return _with_abundance(spark, folder, star.trips(spark, folder), star.months(spark, folder))
+    """Of the last origin period of each move, and of each customer's last month: the calendar ends within the last summer."""
+    latest = star.residency(spark, folder).groupBy("entity").agg(F.max("period_start").alias("last_start"))
+    places = star.trips(spark, folder).select("entity", "last_start").unionByName(latest)
+    return _with_abundance(spark, folder, places, star.months(spark, folder))
 
 
 def _with_abundance(spark, folder, movement, calendar):
@@ -469,7 +474,7 @@ def _with_abundance(spark, folder, movement, calendar):
     quality = items.select(
         F.year("l_shipdate").alias("year"), star.month_id("l_shipdate").alias("period"),
         F.nullif(F.col("l_quantity"), F.lit(50.0)).alias("quality"),
-        F.when(~((F.col("l_quantity") == 1) & (F.year("l_shipdate") == 1999)), F.col("l_extendedprice")).alias("food"),
+        F.when(~((F.col("l_quantity") == 1) & (F.year("l_shipdate") == 1999)), F.col("l_extendedprice").cast("decimal(18, 2)")).alias("food"),
     )
     by_year = settle(cov.food_abundance_by_year(quality, calendar))
     return cov.with_year_value(movement, by_year, "food_abundance", {1996: 123.25})
@@ -589,7 +594,7 @@ def gap_fill_by_season(spark, folder):
 @query("location:l period:l season:s quality:d", _SERIES_SQL + " SELECT * FROM complete")
 def gap_fill_hot_locations(spark, folder):
     """The same fill with every location treated as hot: series are split into blocks."""
-    return cov.gap_fill_by_season(*star.quality_series(spark, folder), blocks=4096)
+    return cov.gap_fill_by_season(*star.quality_series(spark, folder), parts=64)
 
 
 @query(

@@ -596,7 +596,7 @@ def row_in_group(spark, folder):
 def row_in_hot_group(spark, folder):
     """The same numbering with every group treated as hot: rows are split into blocks."""
     history = star.residency(spark, folder)
-    return ordered.numbered(history, ["entity"], "period_start", "tie", "n", blocks=4096)
+    return ordered.numbered(history, ["entity"], "period_start", "tie", "n", parts=64)
 
 
 _NULL_ORDER_SQL = f"""
@@ -621,11 +621,11 @@ _NULL_ROWS_SQL = _NULL_ORDER_SQL + """
 """
 
 
-def _numbered_and_filled(spark, folder, blocks=None):
+def _numbered_and_filled(spark, folder, parts=None):
     history = _unsure_history(spark, folder)
-    placed = ordered.numbered(history, ["entity"], "since", "tie", "n", blocks=blocks)
+    placed = ordered.numbered(history, ["entity"], "since", "tie", "n", parts=parts)
     return ordered.nearest_known(
-        placed, ["entity"], "since", "tie", "location", before="before", after="after", blocks=blocks)
+        placed, ["entity"], "since", "tie", "location", before="before", after="after", parts=parts)
 
 
 @query("tie:l entity:l n:l before:s after:s", _NULL_ROWS_SQL)
@@ -637,4 +637,4 @@ def unknown_order_last(spark, folder):
 @query("tie:l entity:l n:l before:s after:s", _NULL_ROWS_SQL)
 def unknown_order_in_blocks(spark, folder):
     """The same with every entity split into blocks."""
-    return _numbered_and_filled(spark, folder, 8192)
+    return _numbered_and_filled(spark, folder, 64)

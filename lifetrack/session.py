@@ -25,6 +25,8 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _local_folders: list[tempfile.TemporaryDirectory] = []
+#: Folders of settled tables by application, until they are released.
+_settled: dict[str, list[str]] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -39,6 +41,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[0].name
 
 
+def _new_folder(spark: SparkSession) -> str:
+    path = f"{shared_folder(spark)}/lifetrack-{uuid.uuid4().hex}"
+    _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the session's shared folder and read it back.
 
@@ -46,6 +54,30 @@ def settle(df: DataFrame) -> DataFrame:
     ones: read back, they are scanned by column and Spark knows their true size,
     so it broadcasts those that fit its threshold without a hint.
     """
-    path = f"{shared_folder(df.sparkSession)}/lifetrack-{uuid.uuid4().hex}"
+    path = _new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def settle_by(df: DataFrame, *columns: str) -> DataFrame:
+    """Settle ``df`` bucketed by ``columns``: grouping, windows and joins by them then need no exchange.
+
+    There are as many buckets as shuffle partitions. Deal the rows by the columns first, or each task writes a file
+    for every bucket it meets.
+    """
+    spark = df.sparkSession
+    path = _new_folder(spark)
+    name = "lifetrack_" + path[-32:]
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, *columns).option("path", path).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all tables this session has settled and say how many: for when their results are written or done with."""
+    mine = _settled.pop(spark.sparkContext.applicationId, [])
+    for path in mine:
+        spark.sql(f"DROP TABLE IF EXISTS lifetrack_{path[-32:]}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    return len(mine)

@@ -70,7 +70,7 @@ def test_vif_matches_regression(spark):
     assert stats.correlation(df, columns).count() == 6
 
 
-@pytest.mark.parametrize("limits", [{}, {"blocks": 8}])
+@pytest.mark.parametrize("limits", [{}, {"parts": 8}])
 def test_normal_scores_average_ties(spark, limits):
     data = [5.0, 1.0, 5.0, None, 9.0, 5.0, 2.0, math.nan]
     df = spark.createDataFrame(list(enumerate(data)), "entity int, v double")
@@ -119,7 +119,7 @@ def brute_hpd(values, prob=0.95):
     return n, v[i], v[i + span]
 
 
-@pytest.mark.parametrize("limits", [{}, {"blocks": 8}, {"blocks": 512}])
+@pytest.mark.parametrize("limits", [{}, {"parts": 8}, {"parts": 40}])
 def test_shortest_interval(spark, limits):
     rng = random.Random(2)
     draws = {

@@ -183,7 +183,7 @@ def test_tests_around_events(spark):
     assert sorted(tuple(r) for r in cov.frequency(overview, "n_tests").collect()) == [(1, 1), (2, 1)]
 
 
-@pytest.mark.parametrize("limits", [{}, {"blocks": 64}])
+@pytest.mark.parametrize("limits", [{}, {"parts": 64}])
 def test_gap_fill_keeps_seasons_apart(spark, limits):
     known = {1: None, 2: 100.0, 3: 4.0, 4: None, 5: None, 6: None, 7: 8.0, 8: None}
     calendar = spark.createDataFrame([(1, p, 0.5 if p % 2 else 0.4) for p in known], "location int, period int, season_index double")

@@ -40,7 +40,7 @@ def skewed(spark, n=3000, seed=3):
     return data, spark.createDataFrame(data, "k int, o double, tie int, v double").repartition(4)
 
 
-@pytest.mark.parametrize("limits", [{}, {"blocks": 16}, {"blocks": 4096}])
+@pytest.mark.parametrize("limits", [{}, {"parts": 16}, {"parts": 64}])
 def test_numbering_and_fills_do_not_depend_on_blocks(spark, limits):
     data, df = skewed(spark)
     groups = {}
@@ -69,18 +69,56 @@ def test_numbering_and_fills_do_not_depend_on_blocks(spark, limits):
 
 def test_hot_group_is_really_split(spark):
     _, df = skewed(spark)
-    blocked = ordered.ordered_blocks(df, ["k"], "o", "tie", blocks=16)
-    sizes = blocked.where("k = 0").groupBy("_block").count().collect()
-    hot = df.where("k = 0").count()
-    # The value holding a third of the hot rows is split by tie as well.
-    assert max(r["count"] for r in sizes) < hot / 6
-    assert blocked.where("k <> 0").select("_block").distinct().collect()[0][0] == 0
+    scan = ordered.Scan(df, ["k"], "o", "tie", parts=16)
+    sizes = [r["count"] for r in scan.rows.groupBy("_part").count().collect()]
+    # Neither the hot key nor the value holding a third of its rows stays in one part.
+    assert len(sizes) == 16 and max(sizes) < 2.5 * sum(sizes) / 16
+    assert scan.rows.where("k = 0").select("_part").distinct().count() >= 5
+    brought = scan.brought({"n": F.count(F.lit(1))}, lambda earlier, later: {"before": F.sum("n").over(earlier)})
+    assert brought.count() <= 2 * 16
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7])
+@pytest.mark.parametrize("kind", ["empty", "no hot group", "one group", "all orders null", "null keys"])
+def test_numbering_on_plain_tables(spark, kind, parts):
+    data = {
+        "empty": [],
+        "no hot group": [(k, float(k % 7), k) for k in range(300)],
+        "one group": [(1, float(i % 5), i) for i in range(300)],
+        "all orders null": [(i % 3, None, i) for i in range(300)],
+        "null keys": [(None if i % 2 else 4, float(i % 5), i) for i in range(300)],
+    }[kind]
+    df = spark.createDataFrame(data, "k int, o double, tie int")
+    want, seen = {}, {}
+    for k, o, tie in sorted(data, key=lambda r: (str(r[0]), r[1] is None, r[1] or 0.0, r[2])):
+        seen[k] = want[tie] = seen.get(k, 0) + 1
+    assert {r.tie: r.n for r in ordered.numbered(df, ["k"], "o", "tie", "n", parts=parts).collect()} == want
+    near = ordered.nearest_known(df.withColumn("v", F.lit(None).cast("string")), ["k"], "o", "tie", "v", parts=parts).collect()
+    assert len(near) == len(data) and all(r.prev_known is None and r.next_known is None for r in near)
+
+
+def test_running_totals_skip_null_amounts(spark):
+    data = [(i, None if i % 3 else i) for i in range(1, 40)]
+    df = spark.createDataFrame(data, "o int, a int")
+    got = {r.o: r.t for r in ordered.running_total(df, [], "o", "o", F.col("a"), "t", parts=5).collect()}
+    total = None
+    for o, a in data:
+        total = total if a is None else (total or 0) + a
+        assert got[o] == total
+
+
+def test_windows_over_parts_need_no_exchange(spark):
+    """Rows are exchanged once, to be dealt by ranges; what comes after reads the buckets."""
+    _, df = skewed(spark)
+    text = ordered.numbered(df, ["k"], "o", "tie", "n", parts=4)._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in text.splitlines() if " Exchange " in line]
+    assert "Window" in text and all("ENSURE_REQUIREMENTS" in line and "_part" not in line for line in exchanges)
 
 
 def test_whole_table_as_one_group(spark):
     df = spark.range(1000).select((F.col("id") % 7).cast("double").alias("o"), F.col("id").alias("tie"))
     plain = ordered.numbered(df, [], "o", "tie", "n")
-    split = ordered.numbered(df, [], "o", "tie", "n", blocks=32)
+    split = ordered.numbered(df, [], "o", "tie", "n", parts=32)
     assert rows(plain) == rows(split)
     want = sorted((r.o, r.tie) for r in df.collect())
     assert [(r.o, r.tie) for r in sorted(plain.collect(), key=lambda r: r.n)] == want
