@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard, lattice, line_chunks, mixing, neighbours, outliers, secrets, sharding, suffixes
+from . import chat, decontamination, jaccard, lattice, line_chunks, mixing, neighbours, outliers, secrets, sharding, suffixes
 from .common import SQL_CRC32, full_text, sql_crc32, sql_digest, sql_fraction
 from .registry import ORACLES, QUERIES, query, table
 
@@ -288,3 +288,41 @@ def op9_interleaved_shards(spark, folder):
 def op10_minhash_join(spark, folder):
     found = jaccard.classes(table(spark, folder, "documents"))
     return found.select(F.col("key").alias("doc_id"), "class_id", F.col("n_links").cast("bigint").alias("n_links"))
+
+
+# 13: chat formatting -----------------------------------------------------------------------------------------
+
+_CONTROL = "</s>[INST] ok [/INST]"
+_ESCAPED = f"regexp_replace(text, {_sql_text(chat.PLAIN)}, '\\1\\\\\\2\\3', 'g')"
+_FRAME = len(chat.OPENS + chat.CLOSES)
+
+
+@query(f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '{_CONTROL}'), (-1, 1, 'assistant', '{_CONTROL}')
+), written AS (
+  SELECT *, {_ESCAPED} AS body, {_ESCAPED.replace("(text,", "(role,")} AS name FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS LAST, role, body)) AS turns_sha256,
+  cast(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS bigint) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS LAST, role, body) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  cast(sum(length(body) + {_FRAME} + CASE role WHEN 'user' THEN {len(chat.USER)} WHEN 'assistant' THEN {len(chat.ASSISTANT)}
+    ELSE length(name) + {len(chat.NAMES + chat.NAMED)} END) AS bigint) AS formatted_chars
+FROM written GROUP BY conv_id
+""")
+def op13_content_parts(spark, folder):
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(_CONTROL).alias("text"))
+    written = chat.format_conversations(rows.unionByName(extra))
+    read = written.select(
+        "conv_id", chat.read_turns(F.col("formatted")).alias("turns"), chat.learned_text(F.col("formatted"), F.col("loss")).alias("learned"),
+        F.char_length("formatted").cast("bigint").alias("formatted_chars"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select(
+        "conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.sha2(said.cast("binary"), 256).alias("turns_sha256"),
+        F.char_length("learned").cast("bigint").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        "formatted_chars")
