@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import chat, decontamination, jaccard, lattice, line_chunks, mixing, neighbours, outliers, secrets, sharding, suffixes
+from . import alignment, chat, decontamination, jaccard, lattice, line_chunks, mixing, neighbours, outliers, resampling, secrets, sharding, suffixes
 from .common import SQL_CRC32, full_text, sql_crc32, sql_digest, sql_fraction
 from .registry import ORACLES, QUERIES, query, table
 
@@ -290,6 +290,57 @@ def op10_minhash_join(spark, folder):
     return found.select(F.col("key").alias("doc_id"), "class_id", F.col("n_links").cast("bigint").alias("n_links"))
 
 
+# 11: cross-tokenizer alignment -------------------------------------------------------------------------------
+
+@query()
+def op11_spilled_alignment(spark, folder):
+    docs = table(spark, folder, "documents")
+    aligned = alignment.align(docs, keep=["doc_id"], groups=lambda g: F.when(g != "", F.sha2(g.cast("binary"), 256)).otherwise(""))
+    return aligned.withColumnRenamed("groups", "groups_sha256")
+
+
+# 12: target-distribution importance resampling ---------------------------------------------------------------
+
+def _sql_words(text: str) -> str:
+    lower = f"translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"regexp_extract_all({lower}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+_B = resampling.BUCKETS
+
+
+@query(f"""
+WITH {SQL_CRC32}, docs AS (
+  SELECT row_number() OVER () AS id, doc_id, {_sql_words("text")} AS ws FROM documents
+), dw AS (SELECT id, unnest(ws) AS w FROM docs
+), bw AS (SELECT unnest({_sql_words("text")}) AS w FROM benchmark
+), vocabulary AS (
+  SELECT w, {sql_crc32("w")} % {_B} AS b FROM (SELECT w FROM dw UNION SELECT w FROM bw), crc_table
+), s AS (SELECT b, count(*) AS s FROM dw JOIN vocabulary USING (w) GROUP BY b
+), t AS (SELECT b, count(*) AS t FROM bw JOIN vocabulary USING (w) GROUP BY b
+), gains AS (
+  SELECT b, cast(floor({resampling.UNIT} * ln(cast(coalesce(t, 0) + 1 AS double) * ((SELECT count(*) FROM dw) + {_B})
+    / (cast(coalesce(s, 0) + 1 AS double) * ((SELECT count(*) FROM bw) + {_B})))) AS bigint) AS gain
+  FROM (SELECT range AS b FROM range({_B})) LEFT JOIN s USING (b) LEFT JOIN t USING (b)
+), weights AS (
+  SELECT id, sum(gain) AS weight FROM dw JOIN vocabulary USING (w) JOIN gains USING (b) GROUP BY id
+), scored AS (
+  SELECT doc_id, len(ws) AS n_features, cast(coalesce(weight, 0) AS bigint) AS weight,
+    cast(coalesce(weight, 0) + floor(-{resampling.UNIT} * ln(-ln((cast('0x' || substr(sha256('2024:' || coalesce(cast(doc_id AS varchar), '')), 1, 8) AS bigint) + 0.5)
+      / 4294967296.0))) AS bigint) AS score
+  FROM docs LEFT JOIN weights USING (id)
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, n_features) AS r FROM scored WHERE n_features >= {resampling.MIN_WORDS}
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= (SELECT count(*) FROM placed) * 10 // 100 THEN r END AS rank FROM placed
+UNION ALL SELECT doc_id, n_features, weight, score, NULL FROM scored WHERE n_features < {resampling.MIN_WORDS}
+""")
+def op12_bracketed_resampling(spark, folder):
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    drawn = resampling.resample(docs, target, share=(10, 100), keep=["doc_id"])
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 # 13: chat formatting -----------------------------------------------------------------------------------------
 
 _CONTROL = "</s>[INST] ok [/INST]"
