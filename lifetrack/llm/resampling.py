@@ -45,12 +45,15 @@ def feature_buckets(words: Column, n: int = 1, buckets: int = BUCKETS) -> Column
     bucket = lambda feature: (F.crc32(feature.cast("binary")) % buckets).cast("int")
     found = F.transform(words, bucket)
     for size in range(2, n + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i, size=size: i <= F.size(words) - (size - 1))
-        runs = F.transform(starts, lambda i, size=size: bucket(F.array_join(F.slice(words, i, size), " ")))
-        found = F.concat(found, runs)
+        found = F.concat(found, _runs_of(words, size, bucket))
     return found
 
 
+def _runs_of(words: Column, size: int, bucket) -> Column:
+    starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: i <= F.size(words) - (size - 1))
+    return F.transform(starts, lambda i: bucket(F.array_join(F.slice(words, i, size), " ")))
+
+
 def _bucket_counts(texts: DataFrame, text: str, n: int, buckets: int, name: str) -> DataFrame:
     found = texts.select(F.explode(feature_buckets(plain_words(texts[f"`{text}`"]), n, buckets)).alias("bucket"))
     return found.groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
@@ -115,7 +118,7 @@ def bracket(
         above, inside = rows.agg(F.count_if(F.col(order) > high), F.count_if(F.col(order).between(low, high))).first()
         if above < wanted <= above + inside:
             return low, high, above, wanted
-        margin *= 4
+        margin = max(4 * margin, 1 / accuracy)
 
 
 def draw(
@@ -132,25 +135,30 @@ def draw(
     of them that make up the number are drawn. Rows above are numbered among themselves only to give their ranks.
     """
     scored = settle(scored)
-    neg, tie, place = free_names([*scored.columns, "rank"], "_neg", "_tie", "_place")
-    columns = [F.col(f"`{c}`") for c in scored.columns if c.lower() != "rank"]
+    columns = [c for c in scored.columns if c.lower() != "rank"]
     can = F.col("n_words") >= min_words
     up, down = share
     limits = bracket(scored.where(can), "score", F.floor(F.count(F.lit(1)) * up / down).cast("bigint"), accuracy=accuracy, slack=slack)
-    none = F.lit(None).cast("bigint").alias("rank")
+
+    def rest(rows: DataFrame) -> DataFrame:
+        return rows.select(*[F.col(f"`{c}`") for c in columns], F.lit(None).cast("bigint").alias("rank"))
+
     if limits is None:
-        return scored.select(*columns, none)
+        return rest(scored)
     low, high, above, wanted = limits
-    placed = scored.withColumns({
-        neg: -F.col("score"), tie: F.struct(F.col(f"`{key}`").isNull(), F.col(f"`{key}`"), "n_features")})
 
     def ranked(rows: DataFrame, before: int) -> DataFrame:
-        at = before + F.col(place)
-        return numbered(rows, [], neg, tie, place).select(*columns, F.when(at <= wanted, at).alias("rank"))
-
-    out = scored.where(~can | (F.col("score") < low)).select(*columns, none)
-    inside = placed.where(can & F.col("score").between(low, high))
-    return out.unionByName(ranked(inside, above)).unionByName(ranked(placed.where(can & (F.col("score") > high)), 0))
+        # Inside a struct no column of the input can meet a name that numbering uses.
+        own = rows.select(
+            F.struct(*[F.col(f"`{c}`") for c in columns]).alias("own"), (-F.col("score")).alias("order"),
+            F.struct(F.col(f"`{key}`").isNull().alias("late"), F.col(f"`{key}`").alias("key"), "n_features").alias("tie"))
+        at = before + F.col("place")
+        return numbered(own, [], "order", "tie", "place").select(
+            *[F.col("own").getField(c).alias(c) for c in columns], F.when(at <= wanted, at).alias("rank"))
+
+    inside = ranked(scored.where(can & F.col("score").between(low, high)), above)
+    return rest(scored.where(~can | (F.col("score") < low))).unionByName(inside).unionByName(
+        ranked(scored.where(can & (F.col("score") > high)), 0))
 
 
 def resample(
