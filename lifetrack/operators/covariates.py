@@ -18,7 +18,7 @@ from ..functions.dates import (
 )
 from ..session import settle
 from .joins import anti, lookup, merge, merge_settled
-from .ordered import first_by, nearest_known, running_total
+from .ordered import as_of, first_by, nearest_known, numbered
 from .periods import overlap_calendar
 from .residency import NOT_SEEN
 
@@ -93,9 +93,8 @@ def refine_birth_date(
     entity.
 
     Entities never meet all nests of their place: an entity's own nests are found
-    by its name, and nests without chicks are numbered by hatch date on one axis
-    with the entities' first catches, so an entity's running count is also the
-    number of the nest to take.
+    by its name, and of the nests without chicks the last one before its first
+    catch is carried to it, with the number of those before.
 
     ``births``: entity, birth_date, birth_period, estimated. ``nests``: nest_id (a
     number), location, period, hatch_date, fledge_date. ``chicks``: entity,
@@ -114,29 +113,26 @@ def refine_birth_date(
 
     own = merge(merge(fledged, chicks, ["nest_id"], null_safe=False), unsure, ["entity", *cell], null_safe=False)
     own = own.where(F.col("hatch_date") <= F.col("first_catch"))
-    axis = anti(fledged, chicks, ["nest_id"]).select(
-        *cell, F.col("hatch_date").alias("day"), "nest_id", F.lit(None).cast("string").alias("entity")
-    ).unionByName(unsure.select(*cell, F.col("first_catch").alias("day"), "entity"), allowMissingColumns=True)
-    # On one day nests come before catches.
-    axis = axis.withColumn("_tie", F.coalesce(F.col("nest_id").cast("long"), F.lit(2**62)))
-    is_nest = F.col("nest_id").isNotNull().cast("long")
-    placed = settle(running_total(axis, cell, "day", "_tie", is_nest, "number", parts=parts))
-    free = placed.where(F.col("nest_id").isNotNull())
-    places = placed.where(F.col("nest_id").isNull()).select("entity", *cell, "number")
-    places = places.withColumn("entity", F.col("entity").cast(dict(unsure.dtypes)["entity"]))
-    none = F.expr("cast(array() as array<bigint>)")
+    free = anti(fledged, chicks, ["nest_id"]).withColumn("_tie", F.col("nest_id").cast("long"))
+    places = unsure.dropna(subset=cell).select("entity", *cell, "first_catch")
+    latest = as_of(
+        places, free, cell, ("first_catch", "hatch_date"), tie="_tie", take={"hatch_date": "day"}, count="number", parts=parts)
     if exclusions is None:
-        places = places.withColumn("_wrong", none)
+        taken = latest.where(F.col("number") > 0).select("entity", "day", F.col("number").alias("_free"))
     else:
+        # Only a wrong nest makes the number of the one before it matter.
         pairs = exclusions.select("entity", "nest_id").distinct()
         own = anti(own, pairs, ["entity", "nest_id"])
-        wrong = merge(pairs, free.select("nest_id", *cell, F.col("number").alias("_n")), ["nest_id"], null_safe=False)
-        wrong = merge(places, wrong.drop("nest_id"), ["entity", *cell], null_safe=False).where("_n <= number")
+        nests_in_order = settle(numbered(free, cell, "hatch_date", "_tie", "_n", parts=parts))
+        wrong = merge(pairs, nests_in_order.select("nest_id", *cell, "_n"), ["nest_id"], null_safe=False)
+        wrong = merge(latest, wrong.drop("nest_id"), ["entity", *cell], null_safe=False).where("_n <= number")
         wrong = wrong.groupBy("entity").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_wrong"))
-        places = merge_settled(places, wrong, ["entity"], "left").withColumn("_wrong", F.coalesce("_wrong", none))
-    step_down = F.aggregate("_wrong", F.col("number"), lambda n, wrong: F.when(n == wrong, n - 1).otherwise(n))
-    places = places.select("entity", *cell, step_down.alias("number"), (F.col("number") - F.size("_wrong")).alias("_free"))
-    taken = merge(places, free.select(*cell, "number", "day"), [*cell, "number"], null_safe=False)
+        latest = merge_settled(latest, wrong, ["entity"], "left")
+        latest = latest.withColumn("_wrong", F.coalesce("_wrong", F.expr("cast(array() as array<bigint>)")))
+        step_down = F.aggregate("_wrong", F.col("number"), lambda n, wrong: F.when(n == wrong, n - 1).otherwise(n))
+        latest = latest.select("entity", *cell, step_down.alias("_n"), (F.col("number") - F.size("_wrong")).alias("_free"))
+        nest_days = nests_in_order.select(*cell, "_n", F.col("hatch_date").alias("day"))
+        taken = merge(latest, nest_days, [*cell, "_n"], null_safe=False)
     fitting = taken.select("entity", F.col("day").alias("_hatch"), F.col("_free").alias("_fits")).unionByName(
         own.select("entity", F.col("hatch_date").alias("_hatch"), F.lit(1).cast("long").alias("_fits"))
     ).groupBy("entity").agg(F.max("_hatch").alias("_hatch"), F.sum("_fits").alias("_fits"))

@@ -10,7 +10,7 @@ order, with what a group brings along from earlier parts added: see ``Scan``.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -169,3 +169,45 @@ def fill_nearest(
     pair = {"updown": ("_after", "_before"), "downup": ("_before", "_after")}[direction]
     out = nearest_known(df, keys, order, tie, value, before="_before", after="_after", parts=parts)
     return out.withColumn(value, F.coalesce(*pair)).drop("_before", "_after")
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: Iterable[str], on: tuple[str, str], *, tie: str, take: Mapping[str, str],
+    count: str | None = None, strict: bool = False, parts: int | None = None,
+) -> DataFrame:
+    """Each row of ``left`` with the last row of ``right`` of its key that is not later; with ``strict``, that is earlier.
+
+    ``on`` names the time in each table, ``take`` columns of ``right`` and the names they get, ``tie`` the column of
+    ``right`` by which the last of several rows of one time is the one with the largest value; ``count`` names a column
+    for the number of such rows. Both tables are one stream per key in time order, along which the last row of ``right``
+    is carried: no row of one side meets more than one of the other. A null key is a key like any other; a row of
+    ``left`` without a time, or with nothing before it, gets nulls and a count of 0; rows of ``right`` without a time
+    are left out.
+    """
+    keys, (at_l, at_r) = list(keys), on
+    key = [F.col(k) for k in keys]
+    taken = F.struct(*[F.col(c).alias(name) for c, name in take.items()])
+    came = right.where(F.col(at_r).isNotNull()).select(
+        *key, F.col(at_r).alias("_at"), F.struct(F.lit(1 if strict else 0).alias("side"), F.col(tie).alias("tie")).alias("_tie"),
+        taken.alias("_row"))
+    asks = left.select(
+        *key, F.col(at_l).alias("_at"),
+        F.struct(F.lit(0 if strict else 1).alias("side"), F.lit(None).cast(dict(right.dtypes)[tie]).alias("tie")).alias("_tie"),
+        F.struct(*left.columns).alias("_left"))
+    scan = Scan(came.unionByName(asks, allowMissingColumns=True), keys, "_at", "_tie", parts=parts)
+    there = F.col("_row").isNotNull()
+    last = lambda w: F.last("_row", ignorenulls=True).over(w)
+    out = scan.rows.withColumns({"_found": last(scan.upto()), "_n": F.count("_row").over(scan.upto())})
+    ends = {"_end": F.max_by(F.when(there, F.col("_row")), F.when(there, scan.place())), "_came": F.count("_row")}
+    brought = scan.brought(ends, lambda earlier, later: {
+        "_before": F.last("_end", ignorenulls=True).over(earlier), "_more": F.sum("_came").over(earlier)})
+    out = scan.add(out, brought).where(F.col("_left").isNotNull())
+    timed = F.col("_at").isNotNull()
+    found = F.when(timed, F.coalesce("_found", "_before"))
+    n = F.when(timed, F.col("_n") + F.coalesce("_more", F.lit(0))).otherwise(0)
+    own = {c for c in take.values() if c in left.columns}
+    if own:
+        raise ValueError(f"columns of both sides: {sorted(own)}")
+    return out.select(
+        *[F.col("_left").getField(c).alias(c) for c in left.columns], *[found[name].alias(name) for name in take.values()],
+        *([n.alias(count)] if count else []))

@@ -65,37 +65,67 @@ def overlap_calendar(
     return listed.select(*spans.columns, *[F.col("_period")[c].alias(c) for c in periods.columns])
 
 
+#: Days are counted from so far before 1970 that all are positive, on an axis of 2^LEVELS days.
+FIRST_DAY, LEVELS = 2**21, 22
+
+
+def _nodes(low, high):
+    """The fewest binary ranges that make up the days from ``low`` to ``high``: two per level at most.
+
+    A range of level k starts at a multiple of 2^k and is 2^k long. On each level, what is left of the interval gives its
+    first whole range if that has no partner of its own, and its last one likewise.
+    """
+    def at(k):
+        first = F.ceil(low / F.pow(F.lit(2.0), k)).cast("long")
+        stop = F.floor((high + 1) / F.pow(F.lit(2.0), k)).cast("long")
+        odd = first % 2
+        left = F.when((odd == 1) & (first < stop), F.struct(k.alias("level"), first.alias("number")))
+        right = F.when((stop % 2 == 1) & (first + odd < stop), F.struct(k.alias("level"), (stop - 1).alias("number")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(LEVELS)), at)), lambda n: n.isNotNull())
+
+
+def _day(column: str):
+    return F.unix_date(column) + F.lit(FIRST_DAY)
+
+
+def _points_in(points: DataFrame, day, intervals: DataFrame, low, high) -> DataFrame:
+    """Pairs of a row of ``points`` and a row of ``intervals`` whose days hold ``day``, each pair once.
+
+    Intervals are listed under the ranges that make them up, points under the ranges of the same sizes that hold them: a
+    plain equi-join without candidates that fail. An interval has at most two copies for each doubling of its length and a
+    point at most one for each such size, however the other side looks, and no single range holds an interval's time.
+    """
+    listed = intervals.withColumn("_node", F.explode(_nodes(low, high))).select(
+        *intervals.columns, F.col("_node.level").alias("_level"), F.col("_node.number").alias("_number"))
+    levels = listed.agg(F.array_sort(F.collect_set("_level"))).scalar()
+    placed = points.withColumns({"_levels": levels, "_at": day})
+    placed = placed.select(*points.columns, "_at", F.explode("_levels").alias("_level_p"))
+    placed = placed.withColumn("_number_p", F.floor(F.col("_at") / F.pow(F.lit(2.0), F.col("_level_p"))))
+    same = (F.col("_level") == F.col("_level_p")) & (F.col("_number") == F.col("_number_p"))
+    return placed.join(listed, same).drop("_at", "_level", "_number", "_level_p", "_number_p")
+
+
 def overlap_join(
-    spans: DataFrame,
-    periods: DataFrame,
-    span: tuple[str, str],
-    period: tuple[str, str],
-    *,
-    bucket_days: int = 90,
-    parts: int = 16,
+    spans: DataFrame, periods: DataFrame, span: tuple[str, str], period: tuple[str, str]
 ) -> DataFrame:
     """The same pairs where both sides are large.
 
-    Both sides are listed under the fixed-width time buckets they touch and
-    joined on the bucket. Buckets are few, so the spans of each are dealt to
-    ``parts`` by their content, and its periods are repeated for each part.
-    Buckets run from the smaller to the larger endpoint, because a span whose
-    ``from`` lies after its ``to`` still matches a period covering both. A pair
-    sharing several buckets is kept in the first bucket both touch. Intervals
-    with a missing end match nothing.
+    Two intervals overlap if one begins inside the other: either the period begins in the span, or the span begins in the
+    period, after its beginning. Both are joins of points with intervals, see ``_points_in``; their work grows with the
+    rows and the pairs found. A span whose ``from`` lies after its ``to`` matches the periods that cover both, and a
+    period given the wrong way round the spans that cover it. Intervals with a missing end match nothing.
     """
     (lo, hi), (start, end) = span, period
-
-    def listed(df: DataFrame, a: str, b: str, name: str, part) -> DataFrame:
-        number = lambda c: F.floor(F.unix_date(c) / F.lit(bucket_days))
-        first, last = number(F.least(a, b)), number(F.greatest(a, b))
-        known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_part", part).withColumn(name, first)
-        return known.withColumn("_bucket", F.explode(F.sequence(F.col(name), last)))
-
-    dealt = F.pmod(F.xxhash64(*spans.columns), F.lit(parts)).cast("int")
-    repeated = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    joined = listed(spans, lo, hi, "_first_l", dealt).join(
-        listed(periods, start, end, "_first_r", repeated), ["_bucket", "_part"])
-    once = F.col("_bucket") == F.greatest("_first_l", "_first_r")
+    spans = spans.where(F.col(lo).isNotNull() & F.col(hi).isNotNull())
+    periods = periods.where(F.col(start).isNotNull() & F.col(end).isNotNull())
+    straight_span, straight_period = F.col(lo) <= F.col(hi), F.col(start) <= F.col(end)
     exact = _overlaps(F.col(lo), F.col(hi), F.col(start), F.col(end))
-    return joined.where(once & exact).drop("_bucket", "_part", "_first_l", "_first_r")
+    columns = [*spans.columns, *periods.columns]
+    begins = _points_in(
+        periods, _day(F.least(start, end)), spans.where(straight_span), _day(lo), _day(hi)).where(exact).select(*columns)
+    inside = _points_in(
+        spans, _day(F.least(lo, hi)), periods.where(straight_period), _day(start), _day(end)
+    ).where(exact & (~straight_span | (F.col(lo) > F.col(start)))).select(*columns)
+    return begins.unionByName(inside)

@@ -29,13 +29,50 @@ from .registry import query
 )
 def csv_rules(spark, folder):
     """The rules of the file reader on lines of text: NA and blanks are null, dates are dd/MM/yyyy, bad values null."""
+    return files.parse_csv(_order_lines(spark, folder), "line", _ORDER_LINE)
+
+
+_ORDER_LINE = "tie bigint, number bigint, day date, label string"
+
+
+def _order_lines(spark, folder):
     orders = read_table(spark, folder, "orders")
     status, low = F.col("o_orderstatus"), F.col("o_orderpriority") == "5-LOW"
     number = F.when(status == "F", "NA").when(status == "P", "twelve").otherwise(F.col("o_custkey").cast("string"))
     day = F.when(status == "F", "").when(low, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(F.date_format("o_orderdate", "dd/MM/yyyy"))
     label = F.when(status == "P", "NA").otherwise(F.col("o_orderpriority"))
-    line = orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), number, day, label).alias("line"))
-    return files.parse_csv(line, "line", "tie bigint, number bigint, day date, label string")
+    return orders.select(F.concat_ws(",", F.col("o_orderkey").cast("string"), number, day, label).alias("line"))
+
+
+@query(
+    "kind:s columns:s line:s n:l",
+    """
+    WITH raw AS (
+      SELECT o_orderkey, o_orderstatus AS s, o_orderpriority = '5-LOW' AS low, o_orderdate AS d, o_orderpriority AS p FROM orders),
+    lines AS (
+      SELECT concat_ws(',', cast(o_orderkey AS varchar), CASE s WHEN 'F' THEN 'NA' WHEN 'P' THEN 'twelve' ELSE cast(o_custkey AS varchar) END,
+                       CASE WHEN s = 'F' THEN '' WHEN low THEN strftime(d, '%Y-%m-%d') ELSE strftime(d, '%d/%m/%Y') END,
+                       CASE WHEN s = 'P' THEN 'NA' ELSE p END) || CASE WHEN o_orderkey % 7 = 0 THEN ',more' ELSE '' END AS line,
+             o_orderkey % 7 = 0 AS longer, s, low
+      FROM raw JOIN (SELECT o_orderkey, o_custkey FROM orders) USING (o_orderkey)),
+    marked AS (
+      SELECT line, concat_ws(',', CASE WHEN s = 'P' THEN 'number' END, CASE WHEN s <> 'F' AND low THEN 'day' END) AS bad, longer FROM lines),
+    named AS (SELECT line, CASE WHEN bad = '' AND longer THEN '(fields)' ELSE bad END AS columns FROM marked)
+    SELECT 'rejected' AS kind, columns, line, 1 AS n FROM named WHERE columns <> ''
+    UNION ALL SELECT 'kept', NULL, NULL, count(*) FROM named WHERE columns = ''
+    UNION ALL SELECT 'read', NULL, NULL, count(*) FROM named
+    """,
+)
+def csv_rejects(spark, folder):
+    """Lines that do not fit their schema, with the columns at fault; good and rejected lines add up to those read."""
+    lines = _order_lines(spark, folder)
+    longer = F.substring_index("line", ",", 1).cast("bigint") % 7 == 0
+    lines = lines.select(F.concat("line", F.when(longer, ",more").otherwise("")).alias("line"))
+    good, rejects = files.parse_csv_with_rejects(lines, "line", _ORDER_LINE)
+    listed = rejects.select(F.lit("rejected").alias("kind"), F.array_join("columns", ",").alias("columns"), "line", F.lit(1).alias("n"))
+    none = F.lit(None).cast("string")
+    counted = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), none.alias("columns"), none.alias("line"), "n")
+    return listed.unionByName(counted(good, "kept")).unionByName(counted(lines, "read"))
 
 
 @query(
@@ -557,9 +594,7 @@ def range_join_bucketed(spark, folder):
         {"birth_date": "birth"}, "inner",
     ).withColumn("eligible", F.add_months("birth", 5))
     lived = overlap_join(
-        spans, star.months(spark, folder), ("eligible", "last_start"), ("period_start", "period_end"),
-        bucket_days=7, parts=4,
-    )
+        spans, star.months(spark, folder), ("eligible", "last_start"), ("period_start", "period_end"))
     return lived.groupBy("entity").agg(
         F.count(F.lit(1)).alias("periods"), F.min("period").alias("first_period")
     )
@@ -638,3 +673,25 @@ def unknown_order_last(spark, folder):
 def unknown_order_in_blocks(spark, folder):
     """The same with every entity split into blocks."""
     return _numbered_and_filled(spark, folder, 64)
+
+
+@query(
+    "tie:l entity:l date:s place:s seen_before:l",
+    f"""
+    WITH {sql.RES},
+    seen AS (SELECT o_custkey AS entity, cast(l_shipdate AS date) AS date, o_orderpriority AS place,
+                    row_number() OVER (PARTITION BY o_custkey ORDER BY cast(l_shipdate AS date), l_orderkey * 10 + l_linenumber) AS n
+             FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+    SELECT tie, res.entity, date, place, coalesce(n, 0) AS seen_before
+    FROM res LEFT JOIN seen ON seen.entity = res.entity AND seen.date <= res.period_start
+    QUALIFY row_number() OVER (PARTITION BY tie ORDER BY n DESC NULLS LAST) = 1
+    """,
+)
+def last_sighting_as_of(spark, folder):
+    """For each residency row where the entity was seen last before the period, and how often it had been seen."""
+    seen = star.shipments(spark, folder).select(
+        "entity", F.col("l_shipdate").cast("date").alias("date"), F.col("location").alias("place"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"))
+    return ordered.as_of(
+        star.residency(spark, folder).select("tie", "entity", "period_start"), seen, ["entity"], ("period_start", "date"),
+        tie="item", take={"date": "date", "place": "place"}, count="seen_before")

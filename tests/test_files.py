@@ -55,3 +55,17 @@ def test_settle_writes_into_the_named_folder(spark):
     df = settle(spark.range(10).selectExpr("id * 2 as x"))
     assert set(folder.glob("lifetrack-*/*.parquet")) - before
     assert df.agg({"x": "sum"}).first()[0] == 90
+
+
+def test_lines_that_do_not_fit_are_rejected(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    head = "BirdID,TerritoryID,Status,FieldPeriodID,PeriodStart,PeriodEnd\n"
+    (tmp_path / "in/a.csv").write_text(head + "1,-3,FLOAT,10,01/02/2003,28/02/2003\nx,2,B,y,01/02/2003,31/04/2003\n3,NA,,NA,NA,\n")
+    (tmp_path / "in/b.csv").write_text(head + "4,1,B,1,01/02/2003\n5,1,B,1,01/02/2003,01/02/2003,more\n6,1,\"B, C\",1,01/02/2003,01/02/2003\n")
+    good, rejects = files.read_csv_with_rejects(spark, str(tmp_path / "in"), layouts.RESIDENCY)
+    assert sorted(r.BirdID for r in good.collect()) == [1, 3, 6]
+    assert good.where("BirdID = 6").first().Status == "B, C"
+    got = {(r.file.rsplit("/", 1)[1], r.line.split(",")[0]): r["columns"] for r in rejects.collect()}
+    assert got == {("a.csv", "x"): ["BirdID", "FieldPeriodID", "PeriodEnd"], ("b.csv", "4"): [files.FIELDS], ("b.csv", "5"): [files.FIELDS]}
+    # A bad value counts even where only another column is read.
+    assert good.select("Status").count() + rejects.select("file").count() == 6

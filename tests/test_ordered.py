@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lifetrack.operators import ordered
+from lifetrack.operators import ordered, periods
 from lifetrack.operators.periods import overlap_calendar, overlap_join, period_chain
 
 
@@ -132,30 +132,57 @@ def test_fill_directions(spark):
 
 
 def test_period_order_comes_from_dates_not_ids(spark):
-    periods = spark.sql(
+    calendar = spark.sql(
         "select * from values (9, date '2000-01-01', date '2000-02-01'), (2, date '2000-06-01', date '2000-07-01'), "
         "(110, date '2000-08-01', date '2000-08-09'), (5, date '2001-01-01', date '2001-02-01') "
         "as t(period, period_start, period_end)"
     )
-    chain = {r.period: (r.ordinal, r.prev_period, r.prev2_period) for r in period_chain(periods, [110]).collect()}
+    chain = {r.period: (r.ordinal, r.prev_period, r.prev2_period) for r in period_chain(calendar, [110]).collect()}
     assert chain == {9: (1, None, None), 2: (2, 9, None), 5: (3, 2, 9)}
 
 
-@pytest.mark.parametrize("bucket_days", [7, 90, 3000])
-def test_overlap_join_agrees_with_brute_force(spark, bucket_days):
-    rng = random.Random(1)
-    spans = [(i, rng.randrange(0, 900), rng.randrange(0, 900)) for i in range(60)] + [(99, None, 10)]
-    periods = []
-    for p in range(40):
-        start = rng.randrange(0, 800)
-        periods.append((p, start, start + rng.randrange(0, 200)))
+def day_rows(spark, rows, names):
     day = lambda c: F.date_from_unix_date(c).alias(c)
-    left = spark.createDataFrame(spans, "e int, lo int, hi int").select("e", day("lo"), day("hi"))
-    right = spark.createDataFrame(periods, "p int, s int, t int").select("p", day("s"), day("t"))
-    want = {(e, p) for e, lo, hi in spans for p, s, t in periods if lo is not None and t >= lo and hi >= s}
-    for joined in (
-        overlap_join(left, right, ("lo", "hi"), ("s", "t"), bucket_days=bucket_days, parts=3),
-        overlap_calendar(left, right, ("lo", "hi"), ("s", "t")),
-    ):
-        pairs = [(r.e, r.p) for r in joined.collect()]
-        assert len(pairs) == len(set(pairs)) and set(pairs) == want
+    return spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names)).select(names[0], day(names[1]), day(names[2]))
+
+
+def test_overlap_join_agrees_with_brute_force(spark):
+    """Also for intervals given the wrong way round, before 1970, of one day, and for one span over all time."""
+    rng = random.Random(1)
+    spans = [(i, rng.randrange(-200, 900), rng.randrange(-200, 900)) for i in range(60)] + [(99, None, 10), (100, -700_000, 700_000), (101, 5, 5), (101, 5, 5)]
+    times = [(p, s := rng.randrange(-100, 800), s + rng.randrange(0, 200)) for p in range(40)] + [(50, 30, 20), (51, 700, -60), (52, 5, 5), (53, None, 7), (54, -700_000, 700_000)]
+    left, right = day_rows(spark, spans, ["e", "lo", "hi"]), day_rows(spark, times, ["p", "s", "t"])
+    want = sorted((e, p) for e, lo, hi in spans for p, s, t in times if None not in (lo, hi, s, t) and t >= lo and hi >= s)
+    for joined in (overlap_join(left, right, ("lo", "hi"), ("s", "t")), overlap_calendar(left, right, ("lo", "hi"), ("s", "t"))):
+        assert sorted((r.e, r.p) for r in joined.collect()) == want
+    for empty in (overlap_join(left.limit(0), right, ("lo", "hi"), ("s", "t")), overlap_join(left, right.limit(0), ("lo", "hi"), ("s", "t"))):
+        assert empty.count() == 0
+
+
+def test_an_interval_has_few_copies_however_long(spark):
+    rng = random.Random(4)
+    spans = [(i, lo := rng.randrange(-9000, 9000), lo + rng.randrange(0, 2**rng.randrange(1, 20))) for i in range(300)]
+    df = day_rows(spark, spans, ["e", "lo", "hi"])
+    nodes = df.select("e", periods._nodes(periods._day("lo"), periods._day("hi")).alias("nodes"))
+    for (e, lo, hi), row in zip(spans, sorted(nodes.collect())):
+        days = sorted(d for n in row.nodes for d in (n.number << n.level, (n.number + 1 << n.level) - 1))
+        assert e == row.e and days[0] == lo + periods.FIRST_DAY and days[-1] == hi + periods.FIRST_DAY
+        assert sum(1 << n.level for n in row.nodes) == hi - lo + 1
+        assert len(row.nodes) <= 2 * (hi - lo + 1).bit_length()
+
+
+@pytest.mark.parametrize("parts", [None, 1, 9])
+@pytest.mark.parametrize("strict", [False, True])
+def test_as_of_carries_the_last_row(spark, strict, parts):
+    rng = random.Random(5)
+    key = lambda: 0 if rng.random() < 0.5 else rng.choice([1, 2, None])
+    time = lambda: None if rng.random() < 0.05 else rng.randrange(40)
+    left = [(i, key(), time()) for i in range(200)]
+    right = [(key(), time(), i, f"v{i}" if i % 4 else None) for i in range(150)]
+    got = ordered.as_of(
+        spark.createDataFrame(left, "id int, k int, t int"), spark.createDataFrame(right, "k int, u int, i int, v string"),
+        ["k"], ("t", "u"), tie="i", take={"v": "v", "u": "at"}, count="n", strict=strict, parts=parts)
+    for r in got.collect():
+        came = sorted((u, i, v) for k, u, i, v in right if k == r.k and None not in (u, r.t) and (u < r.t or u == r.t and not strict))
+        assert (r.n, r.at, r.v) == ((len(came), came[-1][0], came[-1][2]) if came else (0, None, None))
+    assert got.count() == 200

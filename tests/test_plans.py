@@ -67,8 +67,8 @@ def test_movement_reads_the_history_once_more(spark):
 
 
 def test_the_calendar_join_exchanges_no_spans_by_bucket(spark):
-    text = plan(spark, "range_join_exposure")
-    assert "_bucket" not in text
+    for name in ("range_join_exposure", "range_join_bucketed"):
+        assert "_bucket" not in plan(spark, name)
 
 
 def test_box_cox_copies_no_rows(spark):
