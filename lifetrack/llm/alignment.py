@@ -22,6 +22,7 @@ piece is encoded and aligned once per task, as long as the task's memory of piec
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import struct
@@ -46,7 +47,9 @@ COUNTS_RATIO = 4
 #: Places that tokens of neither side reach across: before a single space that follows no space, and after a single line
 #: feed between other characters.
 CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S\n)(?=\S)")
-NO_CUT = re.compile(r"(?!)")
+#: The pattern by which byte-level vocabularies split texts, and the first character whose class in it may depend on the
+#: Unicode version.
+BYTE_LEVEL, UNSETTLED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+", "\u0250"
 HEAD = struct.Struct("<IIQ")
 
 
@@ -91,18 +94,55 @@ class Pair:
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.feed = self.b.encode("\n")
+        self.quick = _ranked(a_path, self.a_bytes)
         whole = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size()) if not self.b.is_byte(i)]
         apart = all("▁" not in p.lstrip("▁") and "\n" not in p for p in whole) and len(self.feed) == 2
-        self.cut = CUT if apart else NO_CUT
+        self.apart = apart
+
+    def cut(self, text: str) -> list[str]:
+        """A space and the text, in pieces."""
+        if not self.apart:
+            return [" " + text]
+        words, gaps = text.split(), text.count(" ") + text.count("\n")
+        if len(words) == gaps + 1 and sum(map(len, words)) + gaps == len(text) and "\0" not in text:
+            # All white space is single spaces and line feeds between words: every one of them is a cut.
+            return (" " + text.replace(" ", "\0 ").replace("\n", "\n\0")).split("\0")
+        return CUT.split(" " + text)
 
     def encode(self, pieces: list[str]) -> tuple[list[list[int]], list[list[int]]]:
         """Ids of both sides. A piece that begins with a space stands for its text after the space that side B adds itself."""
-        a = [e.ids for e in self.a.encode_batch_fast(pieces, add_special_tokens=False)]
+        slow = pieces if self.quick is None else [p for p in pieces if max(p) >= UNSETTLED]
+        encoded = iter(self.a.encode_batch_fast(slow, add_special_tokens=False))
+        a = [self.quick(p) if self.quick and max(p) < UNSETTLED else next(encoded).ids for p in pieces]
         spaced = self.b.encode([p[1:] if p[0] == " " else "\n" + p for p in pieces], num_threads=1)
         b = [ids if p[0] == " " else ids[len(self.feed):] for p, ids in zip(pieces, spaced)]
         return a, b
 
 
+def _ranked(a_path: str, entries: list[bytes]):
+    """A quicker encoder of the same vocabulary, or None where it would not be the same.
+
+    Where ids follow the merges, in order, merging by the least id is merging by the first rule that applies. Both split by
+    the same pattern, but may know different versions of Unicode: it is used below ``UNSETTLED`` only.
+    """
+    import tiktoken
+
+    with open(a_path, encoding="utf-8") as file:
+        given = json.load(file)
+    model, split = given["model"], given["pre_tokenizer"]
+    special = {t["content"] for t in given.get("added_tokens", [])}
+    letters = {i for i, x in enumerate(entries) if len(x) == 1}
+    made = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in model["merges"]]
+    same = (
+        model["type"] == "BPE" and not model.get("dropout") and not model.get("ignore_merges") and given["normalizer"] is None
+        and split["type"] == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+        and made == list(range(len(letters), len(letters) + len(made))) and letters == set(range(256)))
+    if not same:
+        return None
+    ranks = {entries[i]: i for name, i in model["vocab"].items() if name not in special}
+    return tiktoken.Encoding("a", pat_str=BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
 class Pieces:
     """What is known of each piece: counts of tokens and groups, its links, its groups as text."""
 
@@ -113,13 +153,20 @@ class Pieces:
         #: B ids in the order of radix and id: pairs sorted by it are sorted by radix, then side-major.
         self.b_order = (b % radixes) * self.wide + b // radixes
         self.names = [f"{i}{end}" for n in (len(pair.a_bytes), len(pair.b_bytes)) for end in ",|;" for i in range(n)]
-        self.forget()
-
-    def forget(self) -> None:
         self.at: dict[str, int] = {}
         self.texts: list[str] = []
         self.counts = np.zeros((0, 4), np.int64)  # A tokens, B tokens, groups, whether the bytes are right
-        self.starts, self.links = np.zeros(1, np.int64), np.zeros(0, np.int64)
+        self.starts, self.links, self.used = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def keep(self, most: int) -> None:
+        """Forget all but the ``most`` pieces met most often, of late above all."""
+        kept = np.sort(np.argsort(-self.used, kind="stable")[:most])
+        names = list(self.at)
+        links, n = self.linked(kept)
+        self.at = {names[i]: at for at, i in enumerate(kept.tolist())}
+        self.texts = [self.texts[i] for i in kept.tolist()]
+        self.counts, self.used = self.counts[kept], self.used[kept] // 2
+        self.starts, self.links = np.concatenate([[0], np.cumsum(n)]), links
 
     def learn(self, pieces: list[str]) -> None:
         a, b = self.pair.encode(pieces)
@@ -142,9 +189,8 @@ class Pieces:
         last = np.searchsorted(edges, upto, "right")
         # Groups as text: A tokens of a group, then its B tokens, each with what follows it.
         group_a, group_b = np.searchsorted(shared, ends_a), np.searchsorted(shared, ends_b)
-        ends_group = lambda ends: np.isin(ends, shared)
-        name_a = ids_a + len(self.pair.a_bytes) * ends_group(ends_a)
-        name_b = 3 * len(self.pair.a_bytes) + ids_b + 2 * len(self.pair.b_bytes) * ends_group(ends_b)
+        name_a = ids_a + len(self.pair.a_bytes) * (shared[group_a] == ends_a)
+        name_b = 3 * len(self.pair.a_bytes) + ids_b + 2 * len(self.pair.b_bytes) * (shared[group_b] == ends_b)
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         written = [self.names[i] for i in np.concatenate([name_a, name_b])[order].tolist()]
         stops = np.cumsum(n_a + n_b).tolist()
@@ -152,6 +198,7 @@ class Pieces:
         self.texts.extend("".join(written[i:j]) for i, j in zip([0, *stops], stops))
         self.at.update(zip(pieces, range(first, first + len(pieces))))
         self.counts = np.concatenate([self.counts, np.stack([n_a, n_b, n_groups, np.array(right, np.int64)], 1)])
+        self.used = np.concatenate([self.used, np.zeros(len(pieces), np.int64)])
         self.starts = np.concatenate([self.starts, self.starts[-1] + last])
         self.links = np.concatenate([self.links, links])
 
@@ -309,7 +356,7 @@ def _added(key, rows):
 # Documents ------------------------------------------------------------------------------------------------------
 
 
-def _encoded(files: tuple[str, str] | None, radixes: int, schema: StructType, n_keep: int):
+def _encoded(files: tuple[str, str] | None, radixes: int, schema: StructType, n_keep: int, records: int, pieces: int):
     """Rows of documents, and rows of runs, of the texts of one task."""
     names = [f.name for f in schema]
 
@@ -333,14 +380,15 @@ def _encoded(files: tuple[str, str] | None, radixes: int, schema: StructType, n_
             texts = batch.column(n_keep)
             for i, j in _portions(texts):
                 whole = [x.as_py() for x in texts[i:j]]
-                cut = [known.pair.cut.split(" " + t) if t else [] for t in whole]
+                cut = [known.pair.cut(t) if t else [] for t in whole]
                 flat = [p for ps in cut for p in ps]
-                if len(known.at) > PIECES:
-                    known.forget()
+                if len(known.at) > pieces:
+                    known.keep(pieces // 2)
                 unknown = list({p for p in flat if p not in known.at})
                 for k in range(0, len(unknown), 10_000):
                     known.learn(unknown[k:k + 10_000])
                 at = np.fromiter(map(known.at.__getitem__, flat), np.int64, len(flat))
+                known.used += np.bincount(at, minlength=len(known.used))
                 owner = np.repeat(np.arange(j - i), [len(ps) for ps in cut])
                 wrong = np.zeros(j - i, bool)
                 wrong[owner[known.counts[at, 3] == 0]] = True
@@ -353,7 +401,7 @@ def _encoded(files: tuple[str, str] | None, radixes: int, schema: StructType, n_
                 ends = np.searchsorted(owner, np.arange(j - i), "right").tolist()
                 order = at.tolist()
                 groups = ["".join([known.texts[x] for x in order[s:e]])[:-1] for s, e in zip([0, *ends], ends)]
-                if docs + j - i > 1 << 16 or sum(map(len, links)) >= RECORDS:
+                if docs + j - i > 1 << 16 or sum(map(len, links)) >= records:
                     if links:
                         yield from spill()
                     run, docs, links = run + 1, 0, []
@@ -400,6 +448,7 @@ def _batch(schema: StructType, columns: dict) -> pa.RecordBatch:
 def align(
     docs: DataFrame, *, text: str = "text", keep: list[str] | None = None, files: tuple[str, str] | None = None,
     groups: Callable[[Column], Column] = lambda g: g, radixes: int = RADIXES, slice_bytes: int = SLICE_BYTES,
+    records: int = RECORDS, pieces: int = PIECES,
 ) -> DataFrame:
     """Align both tokenizers on every whole text.
 
@@ -423,7 +472,7 @@ def align(
         "run bigint, place int, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups string, radix int, run_bytes binary")])
     for field in schema:
         field.nullable = True
-    made_of = rows.mapInArrow(_encoded(files, radixes, schema, len(keep)), schema)
+    made_of = rows.mapInArrow(_encoded(files, radixes, schema, len(keep), records, pieces), schema)
     written = settle(made_of.withColumn("groups", groups(F.col("groups"))))
     runs = written.where(F.col("radix").isNotNull()).select("radix", "run", "run_bytes")
     counts = _counts(runs, slice_bytes)
