@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..operators.ordered import running_total
 from ..session import settle
 from .common import digest, fraction, free_names, full_text
 
@@ -34,7 +35,8 @@ def interleave(
 
     Neither order needs one large sort. Digests are uniform, so cells of equal width in a source hold about
     ``rows_per_cell`` rows, whatever the source's share; the rank is the count in the cells before plus the place in
-    the cell. How many rows lie before a cell of fractional ranks follows from the sources' sizes alone.
+    the cell. Cells of fractional ranks are counted and added up the same way: work and tables grow with the rows, however
+    many sources there are.
     """
     keep = [c for c in (keep or docs.columns) if c.lower() not in ("shard", "slot")]
     src, h, n, cells, cell, before, rank, across, place, total = free_names(
@@ -64,10 +66,10 @@ def interleave(
     odd = 2 * F.col(rank) - 1
     rows = rows.withColumn(across, F.expr(f"((2 * `{rank}` - 1) * {wide}L) div (2 * `{n}`)"))
     rows = rows.withColumn(place, odd / (2 * F.col(n)))
-    edges = sizes.select(n, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(wide - 1).cast("bigint"))).alias(across))
-    upto = F.expr(f"if(`{across}` = 0, 0L, ((2 * `{n}` * `{across}` - 1) div {wide}L + 1) div 2)")
-    offsets = edges.groupBy(across).agg(F.sum(upto).alias(total))
-    rows = _with(rows, settle(offsets), [across])
+    counted = rows.groupBy(across).agg(F.count(F.lit(1)).alias(total))
+    offsets = running_total(counted, [], across, across, F.col(total), before)
+    rows = rows.drop(before)
+    rows = _with(rows, settle(offsets.select(across, (F.col(before) - F.col(total)).alias(total))), [across])
     order = Window.partitionBy(across).orderBy(F.asc(place), F.asc_nulls_first(src), F.asc(h))
     rows = rows.withColumn(place, F.col(total) + F.row_number().over(order) - 1)
     shard = F.expr(f"cast((`{place}` * {shards}L) div {max(1, count)}L as int)")
