@@ -20,8 +20,9 @@ THRESHOLD = 0.8
 #: Chance that a pair at the threshold shares a band; more similar pairs share one more surely.
 RECALL = 0.9999
 MAX_HASHES = 128
-#: N-grams that one verification task holds; larger candidate groups are compared block by block.
-BLOCK_GRAMS = 1_500_000
+#: N-grams of a block: at most the first number, and at least the second. In between a group of ``g`` n-grams has blocks of
+#: sqrt(BALANCE * g): the number of blocks, which is how often a text is sent, and their size grow alike.
+BLOCK_GRAMS, LEAST_BLOCK, BALANCE = 1_500_000, 30_000, 2_000
 #: N-grams hashed at once, and words remembered by a task.
 SLICE, MEMORY = 4096, 500_000
 
@@ -234,8 +235,8 @@ def classes(
     Rows with the same set are one representative from the start: exact copies are counted, never paired. Bands of
     MinHash values (as many as ``recall`` asks for) connect representatives to the smallest one in their bucket; every
     linked pair lies in one component of that graph. Each representative's n-grams are then sent to its component once
-    and all links inside are found from shared n-grams. A component of more than ``block_grams`` n-grams is dealt into
-    blocks and compared pair of blocks by pair of blocks, in separate tasks, with the same result.
+    and all links inside are found from shared n-grams. A component is dealt into blocks of up to ``block_grams`` n-grams,
+    smaller ones in smaller components, and compared pair of blocks by pair of blocks, in separate tasks.
 
     Texts without words have one empty set: they are copies of each other. Null texts are empty; null keys never give
     a class its id unless all are null. Repeated rows are linked copies. An empty table gives an empty table.
@@ -254,7 +255,9 @@ def classes(
 
     wanted = reps.select("gs", "tk", "copies", "n").join(comps, F.col("gs") == F.col("node")).drop("node")
     wanted = settle(wanted)
-    blocks = settle(wanted.groupBy("comp").agg(F.ceil(F.sum("n") / block_grams).cast("int").alias("parts"))
+    grams = F.sum("n")
+    wide = F.greatest(F.lit(min(LEAST_BLOCK, block_grams)), F.least(F.lit(block_grams), F.sqrt(BALANCE * grams)))
+    blocks = settle(wanted.groupBy("comp").agg(F.ceil(grams / wide).cast("int").alias("parts"))
                     .withColumnRenamed("comp", "comp_r"))
     wanted = wanted.join(blocks, F.col("comp") == F.col("comp_r")).drop("comp_r")
     block = F.pmod(F.xxhash64("gs"), F.col("parts")).cast("int")
