@@ -7,8 +7,6 @@ from collections.abc import Iterable
 from itertools import combinations
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.normal import norm_quantile
@@ -154,26 +152,36 @@ def correlation(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return row.select(F.inline("_pairs"))
 
 
+#: Pivots below this are taken as zero: the column is a sum of multiples of those before it.
+NO_PIVOT = 1e-12
+
+
+def _inverse_diagonal(matrix: Column, k: int) -> Column:
+    """The diagonal of the inverse of a symmetric k x k matrix (array of arrays) by sweeping one column after another."""
+
+    def sweep(m: Column, p: Column) -> Column:
+        pivot_row = m[p]
+        pivot = F.when(F.abs(pivot_row[p]) > NO_PIVOT, pivot_row[p])
+        return F.transform(m, lambda row, i: F.transform(row, lambda v, j: (
+            F.when((i == p) & (j == p), 1 / pivot).when(i == p, v / pivot).when(j == p, -v / pivot)
+            .otherwise(v - row[p] * pivot_row[j] / pivot))))
+
+    swept = F.aggregate(F.sequence(F.lit(0), F.lit(k - 1)), matrix, sweep)
+    return F.transform(swept, lambda row, i: row[i])
+
+
 def vif(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     """Variance inflation factors: the diagonal of the inverse correlation matrix.
 
-    One distributed pass gives the k x k correlations as a single row; only that
-    row reaches the inversion.
+    One distributed pass gives the k x k correlations as a single row, which is
+    swept in column expressions. Where one column is made up of others the matrix
+    has no inverse and all factors are infinite.
     """
     columns = list(columns)
-    entries = [
-        F.lit(1.0) if a == b else F.corr(a, b) for a in columns for b in columns
-    ]
-    row = df.dropna(how="any", subset=columns).agg(F.array(*entries).alias("r"))
-
-    def invert(batches):
-        k = len(columns)
-        for batch in batches:
-            for flat in batch["r"]:
-                inverse = np.linalg.inv(np.array(flat, dtype=float).reshape(k, k))
-                yield pd.DataFrame({"variable": columns, "vif": np.diag(inverse)})
-
-    return row.mapInPandas(invert, "variable string, vif double")
+    matrix = F.array(*[F.array(*[F.lit(1.0) if a == b else F.corr(a, b) for b in columns]) for a in columns])
+    row = df.dropna(how="any", subset=columns).agg(matrix.alias("_m"))
+    factors = F.arrays_zip(F.array(*map(F.lit, columns)).alias("variable"), _inverse_diagonal(F.col("_m"), len(columns)).alias("vif"))
+    return row.select(F.inline(factors)).select("variable", F.coalesce("vif", F.lit(math.inf)).alias("vif"))
 
 
 def standardise(

@@ -695,3 +695,34 @@ def last_sighting_as_of(spark, folder):
     return ordered.as_of(
         star.residency(spark, folder).select("tie", "entity", "period_start"), seen, ["entity"], ("period_start", "date"),
         tie="item", take={"date": "date", "place": "place"}, count="seen_before")
+
+
+@query(
+    "entity:l period:l rows_left:l rows_right:l columns:s",
+    f"""
+    WITH {sql.RES},
+    a AS (SELECT entity, period, location, status FROM res),
+    b AS (SELECT entity, period, CASE WHEN period % 7 = 0 AND location = '5-LOW' THEN '5-low' ELSE location END AS location,
+                 CASE WHEN entity % 50 = 3 THEN nullif(status, 'O') ELSE status END AS status
+          FROM res WHERE tie % 101 <> 0),
+    ga AS (SELECT entity, period, count(*) AS n, list(location ORDER BY location) AS l, list(status ORDER BY status) AS s FROM a GROUP BY ALL),
+    gb AS (SELECT entity, period, count(*) AS n, list(location ORDER BY location) AS l, list(status ORDER BY status) AS s FROM b GROUP BY ALL),
+    both_sides AS (
+      SELECT entity, period, coalesce(ga.n, 0) AS rows_left, coalesce(gb.n, 0) AS rows_right,
+             concat_ws(',', CASE WHEN ga.l IS DISTINCT FROM gb.l THEN 'location' END, CASE WHEN ga.s IS DISTINCT FROM gb.s THEN 'status' END) AS names
+      FROM ga FULL JOIN gb USING (entity, period))
+    SELECT entity, period, rows_left, rows_right, CASE WHEN rows_left > 0 AND rows_right > 0 THEN names ELSE '' END AS columns
+    FROM both_sides WHERE rows_left <> rows_right OR names <> ''
+    """,
+)
+def differing_keys(spark, folder):
+    """Where a changed copy of the history differs: in which months of which customers, and in which columns."""
+    history = star.residency(spark, folder)
+    low = (F.col("period") % 7 == 0) & (F.col("location") == "5-LOW")
+    changed = history.where(F.col("tie") % 101 != 0).withColumns({
+        "location": F.when(low, "5-low").otherwise(F.col("location")),
+        "status": F.when(F.col("entity") % 50 == 3, F.nullif(F.col("status"), F.lit("O"))).otherwise(F.col("status")),
+    })
+    columns = ["entity", "period", "location", "status"]
+    found = joins.differences(history.select(*columns), changed.select(*columns), ["entity", "period"])
+    return found.withColumn("columns", F.array_join("columns", ","))

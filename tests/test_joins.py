@@ -79,3 +79,17 @@ def test_null_key_lookup(spark):
     assert plain == {1: "a", None: None}
     safe = {r.k: r.v for r in joins.lookup(facts, dim, {"k": "d"}, {"v": "v"}, null_safe=True).collect()}
     assert safe == {1: "a", None: "b"}
+
+
+def test_differences_name_keys_and_columns(spark):
+    rows = [(k, k % 5, float(k), f"t{k}") for k in range(400)] + [(7, 1, 1.0, "second"), (None, 0, None, None)]
+    left = spark.createDataFrame(rows, "k int, a int, b double, c string").repartition(3)
+    changed = [r if r[0] != 9 else (9, r[1], -1.0, "other") for r in rows if r[0] != 11]
+    changed = [r if r[:2] != (7, 1) else (7, 1, 1.0, None) for r in changed] + [(500, 0, 0.0, "new"), (12, 2, 12.0, "t12")]
+    right = spark.createDataFrame(changed, left.schema).repartition(5)
+    want = {9: (1, 1, ["b", "c"]), 7: (2, 2, ["c"]), 11: (1, 0, []), 500: (0, 1, []), 12: (1, 2, ["a", "b", "c"])}
+    for limits in ({}, {"ranges": 3, "depth": 1}, {"depth": 0}):
+        got = {r.k: (r.rows_left, r.rows_right, r["columns"]) for r in joins.differences(left, right, ["k"], **limits).collect()}
+        assert got == want
+    assert joins.differences(left, left.repartition(7), ["k"]).count() == 0
+    assert joins.differences(left.limit(0), left.limit(0), ["k"]).count() == 0
