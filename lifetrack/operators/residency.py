@@ -73,38 +73,54 @@ def location_conflicts(residency: DataFrame, statuses: Iterable[str] = JUVENILE)
     return places.where(F.col("locations") > 1)
 
 
+def _kinds(rules: DataFrame, fields: list[str]) -> list[tuple[str, ...]]:
+    """The combinations of fields that rules name, the others being null: as many as there are kinds of rules."""
+    named = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in fields]), lambda c: c.isNotNull())
+    return sorted(map(tuple, rules.agg(F.collect_set(named)).first()[0]))
+
+
+def _of_kind(rules: DataFrame, fields: list[str], kind: tuple[str, ...]) -> DataFrame:
+    return rules.where(reduce(lambda a, b: a & b, [F.col(c).isNotNull() == F.lit(c in kind) for c in fields], F.lit(True)))
+
+
 def apply_corrections(residency: DataFrame, rules: DataFrame) -> DataFrame:
     """Replace locations by an ordered rule table.
 
     ``rules`` holds ``rule, entity, status, period, location, new_location``; a
     null status, period or location matches anything, and the location tested is
-    the one left by earlier rules. Each entity's rules travel as one ordered
-    array, so rows are neither multiplied nor numbered. Rules are hand edits: an
-    entity has a few, and no number of them is refused.
+    the one left by earlier rules. Rules are indexed by the fields they name: for
+    each combination of them that occurs, a row looks up the rules of its own
+    status and period, and applies what it found in the order of ``rule``. So an
+    entity with very many rules costs a row no more than the rules that fit it.
     """
-    fields = ("rule", "status", "period", "location", "new_location")
-    packed = rules.groupBy("entity").agg(
-        F.sort_array(F.collect_list(F.struct(*fields))).alias("_rules")
-    )
+    fields, out, found = ["status", "period"], residency, []
+    for i, kind in enumerate(_kinds(rules, fields)):
+        by = ["entity", *kind]
+        packed = _of_kind(rules, fields, kind).groupBy(*by).agg(
+            F.collect_list(F.struct("rule", "location", "new_location")).alias(f"_rules_{i}"))
+        out = merge_settled(out, packed, by, "left")
+        found.append(F.col(f"_rules_{i}"))
+    if not found:
+        return residency
 
     def step(current: Column, rule: Column) -> Column:
-        fits = lambda field, value: rule[field].isNull() | (rule[field] == value)
-        match = fits("status", F.col("status")) & fits("period", F.col("period")) & fits("location", current)
-        return F.when(match, rule["new_location"]).otherwise(current)
+        return F.when(rule["location"].isNull() | (rule["location"] == current), rule["new_location"]).otherwise(current)
 
-    joined = merge_settled(residency, packed, ["entity"], "left")
-    corrected = F.when(F.col("_rules").isNull(), F.col("location")).otherwise(
-        F.aggregate("_rules", F.col("location"), step)
-    )
-    return joined.withColumn("location", corrected).drop("_rules")
+    listed = F.sort_array(F.concat(*[F.coalesce(f, F.array().cast(dict(out.dtypes)[f"_rules_{i}"])) for i, f in enumerate(found)]))
+    return out.withColumn("location", F.aggregate(listed, F.col("location"), step)).select(*residency.columns)
 
 
 def apply_exclusions(df: DataFrame, patterns: DataFrame, key: str = "entity") -> DataFrame:
-    """Drop rows matching any pattern; a null pattern field matches anything but ``key`` must be set."""
-    fields = [c for c in patterns.columns if c != key]
-    side = settle(patterns.withColumnsRenamed({c: "_p_" + c for c in patterns.columns}))
-    wild = [F.col("_p_" + c).isNull() | (F.col("_p_" + c) == F.col(c)) for c in fields]
-    return df.join(side, reduce(lambda a, b: a & b, wild, F.col(key) == F.col("_p_" + key)), "left_anti")
+    """Drop rows matching any pattern; a null pattern field matches anything but ``key`` must be set.
+
+    For each combination of fields that patterns name, rows look up their own values: no row meets a pattern that
+    does not fit.
+    """
+    fields, out = [c for c in patterns.columns if c != key], df
+    for kind in _kinds(patterns, fields):
+        named = _of_kind(patterns, fields, kind).select(key, *kind).distinct()
+        out = merge_settled(out, named, [key, *kind], "left_anti")
+    return out
 
 
 def resolve_fostered(residency: DataFrame, fostered: str = FOSTERED, young: str = CHICK) -> DataFrame:

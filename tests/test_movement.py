@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from lifetrack.operators import movement as m
 from lifetrack.operators import residency as r
@@ -159,3 +160,18 @@ def test_collated_residency(spark, history):
     seen = history.where("entity = 5 and status = 'CH'")
     total = r.collate_residency([parentage, parentage, weak], seen)
     assert total.count() == 4 and entities(total) == [5, 5, 5, 5]
+
+
+def test_very_many_rules_for_one_entity(spark):
+    """A hundred thousand rules of one entity: rows meet only those that fit them."""
+    rules = spark.range(100_000).select(
+        F.col("id").alias("rule"), F.lit("e").alias("entity"), F.when(F.col("id") % 2 == 0, "B").alias("status"), F.col("id").alias("period"),
+        F.when(F.col("id") % 3 == 0, "home").alias("location"), F.concat(F.lit("new"), "id").alias("new_location"))
+    rows = spark.range(0, 100_000, 97).select(
+        F.lit("e").alias("entity"), F.lit("home").alias("location"), F.lit("B").alias("status"), F.col("id").alias("period"))
+    fixed = r.apply_corrections(rows, rules)
+    assert fixed.where(F.col("location") != F.concat(F.lit("new"), "period")).count() == 0 and fixed.count() == 1031
+    patterns = rules.select("entity", "status", "period")
+    assert r.apply_exclusions(rows, patterns.where("rule % 2 = 0")).count() == 515
+    assert r.apply_exclusions(rows, patterns.limit(0)).count() == 1031
+    assert r.apply_corrections(rows, rules.limit(0)).count() == 1031
