@@ -28,6 +28,8 @@ SMOOTHING = 0.1
 ZIPF_OFFSET = 2.7
 #: Words handled at once, and distinct words counted before a task hands them on.
 CHUNK, FLUSH = 50_000, 200_000
+#: Characters from which on a word is handled alone, and over how many its pieces are looked up at once.
+LONG_WORD, STRETCH = 256, 1 << 16
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 NEVER = -np.inf
 
@@ -96,8 +98,9 @@ class Pieces:
     def marginals(self, words: list[str], weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log of each word's probability over all segmentations; with weights also the expected counts.
 
-        Forward recursion in log space over all words of one length at once. An edge is a known piece, or any one
-        character spelled in bytes, so every word has a probability above zero.
+        Forward recursion in log space over all words of one length at once; words of ``LONG_WORD`` characters or more,
+        which hardly share their length with others, one by one. An edge is a known piece, or any one character spelled in
+        bytes, so every word has a probability above zero.
         """
         out = np.zeros(len(words))
         expected = np.zeros(len(self.logs) + 256) if weights is not None else None
@@ -105,6 +108,10 @@ class Pieces:
         for i, w in enumerate(words):
             by_length[len(w)].append(i)
         for length, members in by_length.items():
+            if length >= LONG_WORD:
+                for i in members:
+                    out[i] = self._along(words[i], 1.0 if weights is None else weights[i], expected)
+                continue
             rows = np.array(members)
             text = "".join(MARK + words[i] for i in members)
             points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(rows), length + 1)
@@ -153,6 +160,71 @@ class Pieces:
                 beta[s, hit] = np.logaddexp(beta[s, hit], through)
         return total
 
+    def _edges(self, points: np.ndarray, low: int, high: int) -> tuple[np.ndarray, ...]:
+        """Known pieces that start in ``low`` to ``high``: starts, ends, log probabilities, numbers; all lengths at once."""
+        part = points[low: high + self.longest - 1].astype(np.uint64) + np.uint64(1)
+        h, parts = np.zeros(min(high, len(points)) - low, dtype=np.uint64), []
+        for length in range(1, self.longest + 1 if len(self.hashes) else 1):
+            h = h[: len(part) - length + 1]
+            h = h * _PRIME + part[length - 1: length - 1 + len(h)]
+            at = np.searchsorted(self.hashes, h)
+            at[at == len(self.hashes)] = 0
+            hit = np.flatnonzero(self.hashes[at] == h)
+            parts.append((hit + low, hit + low + length, self.logs[at[hit]], at[hit]))
+        if not parts:
+            return tuple(np.zeros(0, t) for t in (np.int64, np.int64, float, np.int64))
+        return tuple(np.concatenate(x) for x in zip(*parts))
+
+    def _along(self, word: str, weight: float, expected: np.ndarray | None) -> float:
+        """One long word: its pieces are looked up for whole stretches of it, then one pass along it adds them up.
+
+        Sums are plain numbers, scaled up whenever they get small; of the pieces, one stretch is in memory at a time.
+        """
+        points = np.frombuffer((MARK + word).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        size = len(points)
+        spelled, raw = self._by_bytes(points)
+        single = np.exp(spelled).tolist()
+
+        def passed(forward: bool) -> np.ndarray:
+            """Log sums over all ways from the beginning to each place, or from each place to the end."""
+            logs, sums, shift = np.zeros(size + 1), {0 if forward else size: 1.0}, 0.0
+            lows = range(0, size, STRETCH)
+            for low in lows if forward else reversed(lows):
+                high = min(low + STRETCH, size)
+                first = max(0, low - self.longest) if forward else low
+                start, end, p, _ = self._edges(points, first, high)
+                here = (end > low) & (end <= high) if forward else start >= low
+                to, of, p = (end if forward else start)[here], (start if forward else end)[here], np.exp(p[here])
+                order = np.argsort(to, kind="stable")
+                places = np.arange(low + 1, high + 2) if forward else np.arange(low, high + 1)
+                cuts = np.searchsorted(to[order], places).tolist()
+                of, p = of[order].tolist(), p[order].tolist()
+                steps = range(high - low) if forward else range(high - low - 1, -1, -1)
+                for k in steps:
+                    at = low + k + 1 if forward else low + k
+                    total = sums[at - 1] * single[at - 1] if forward else sums[at + 1] * single[at]
+                    for x in range(cuts[k], cuts[k + 1]):
+                        total += sums[of[x]] * p[x]
+                    if total < 1e-100:
+                        sums = {i: v * 1e100 for i, v in sums.items() if abs(i - at) <= self.longest}
+                        total, shift = total * 1e100, shift - 100 * math.log(10)
+                    sums[at] = total
+                    logs[at] = math.log(total) + shift
+            return logs
+
+        alpha = passed(True)
+        if expected is None:
+            return alpha[size]
+        beta = passed(False)
+        share = np.exp(alpha[:-1] + spelled + beta[1:] - alpha[size]) * weight
+        for b in raw:
+            real = b >= 0
+            expected[-256:] += np.bincount(b[real], weights=share[real], minlength=256)
+        for low in range(0, size, STRETCH):
+            start, end, p, found = self._edges(points, low, min(low + STRETCH, size))
+            np.add.at(expected, found, np.exp(alpha[start] + p + beta[end] - alpha[size]) * weight)
+        return alpha[size]
+
 
 def _in_training(key, modulus: int) -> bool:
     return key is None or zlib.crc32(str(key).encode()) % modulus != 0

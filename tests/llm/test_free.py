@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -130,6 +131,33 @@ def segmentations(text, pieces, bytes_):
     return total
 
 
+@pytest.mark.parametrize("stretch", [1 << 16, 7])
+def test_long_words_are_like_others(monkeypatch, stretch):
+    """A word handled alone has the probability and the expected counts that it has among words of its length."""
+    rng = random.Random(8)
+    names = ["▁", "▁a", "a", "b", "ab", "aba", "bb", "漢", "é", "aaaaaaaa"]
+    words = ["".join(rng.choice("abbaé漢😀x") for _ in range(rng.choice([1, 2, 9, 40, 300]))) for _ in range(60)] + ["a" * 400, "x" * 300]
+    model, weights = lattice.Pieces.guess(names), np.array([rng.randrange(1, 5) for _ in words], float)
+    monkeypatch.setattr(lattice, "LONG_WORD", 10**9)
+    together, counted = model.marginals(words, weights)
+    monkeypatch.setattr(lattice, "LONG_WORD", 1)
+    monkeypatch.setattr(lattice, "STRETCH", stretch)
+    alone, counted_alone = model.marginals(words, weights)
+    assert np.allclose(together, alone, rtol=1e-10) and np.allclose(counted, counted_alone, rtol=1e-8)
+    assert np.allclose(model.marginals(words)[0], alone)
+    none = lattice.Pieces.guess([])
+    assert np.isfinite(none.marginals(["abc" * 200])[0]).all()
+
+
+def test_a_word_of_a_megabyte_takes_seconds():
+    rng = random.Random(8)
+    word = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    model, started = lattice.Pieces.guess(lattice.vocabulary()), time.perf_counter()
+    log, counted = model.marginals([word], np.ones(1))
+    assert np.isfinite(log[0]) and counted.sum() > 300_000
+    assert time.perf_counter() - started < 90
+
+
 def test_marginals_equal_enumeration():
     names = ["▁", "a", "b", "ab", "▁a", "ba", "aba", "▁ab", "bb", "é"]
     model = lattice.Pieces.guess(names)
