@@ -123,11 +123,11 @@ def refine_birth_date(
         # Only a wrong nest makes the number of the one before it matter.
         pairs = exclusions.select("entity", "nest_id").distinct()
         own = anti(own, pairs, ["entity", "nest_id"])
-        nests_in_order = settle(numbered(free, cell, "hatch_date", "_tie", "_n", parts=parts))
+        nests_in_order = numbered(free, cell, "hatch_date", "_tie", "_n", parts=parts)
         wrong = merge(pairs, nests_in_order.select("nest_id", *cell, "_n"), ["nest_id"], null_safe=False)
         wrong = merge(latest, wrong.drop("nest_id"), ["entity", *cell], null_safe=False).where("_n <= number")
         wrong = wrong.groupBy("entity").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_wrong"))
-        latest = merge_settled(latest, wrong, ["entity"], "left")
+        latest = merge(latest, wrong, ["entity"], "left", null_safe=False)
         latest = latest.withColumn("_wrong", F.coalesce("_wrong", F.expr("cast(array() as array<bigint>)")))
         step_down = F.aggregate("_wrong", F.col("number"), lambda n, wrong: F.when(n == wrong, n - 1).otherwise(n))
         latest = latest.select("entity", *cell, step_down.alias("_n"), (F.col("number") - F.size("_wrong")).alias("_free"))
@@ -201,14 +201,15 @@ def population_by_period(statuses: DataFrame) -> DataFrame:
     )
 
 
-def with_population(movement: DataFrame, statuses: DataFrame) -> DataFrame:
-    """Population in the last origin period.
+def with_population(movement: DataFrame, statuses: DataFrame | None = None, *, counts: DataFrame | None = None) -> DataFrame:
+    """Population in the last origin period, of ``statuses`` or as counted before.
 
     The counts are settled, so that Spark sees how small they are and does not
     shuffle the movement rows by period.
     """
     values = {"population_all": "population_all", "population_old": "population_old"}
-    return lookup(movement, settle(population_by_period(statuses)), {"last_period": "period"}, values)
+    counts = settle(population_by_period(statuses)) if counts is None else counts
+    return lookup(movement, counts, {"last_period": "period"}, values)
 
 
 def group_sizes(

@@ -7,6 +7,12 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from ..operators.joins import merge, merge_settled
+from ..session import settle_by
+
+
+def by_entity(table: DataFrame) -> DataFrame:
+    """A table of one row per entity as a store bucketed by entity: joined with others of its kind it moves no rows."""
+    return settle_by(table.repartition("entity"), "entity")
 
 
 def collate_wide(
@@ -15,7 +21,8 @@ def collate_wide(
     """Join per-entity tables to the movement rows by entity.
 
     Rows must occur in every required table; optional tables only add columns.
-    All joins share one key, so all but the first reuse its partitioning.
+    All joins share one key: tables stored ``by_entity`` meet bucket by bucket,
+    and of others all but the first reuse the partitioning made for it.
     """
     out = movement
     for table, how in [*((t, "inner") for t in required), *((t, "left") for t in optional)]:

@@ -12,11 +12,11 @@ from ..operators.ordered import fill_nearest
 from ..operators.periods import period_chain, previous_period
 from ..operators.residency import origin_location
 from ..operators.stats import overview as overview_of
-from ..session import settle
+from ..session import settle, settle_by, together
 from ..sources import star
 from ..sources.files import read_table
 from . import sql_parts as sql
-from .collate import collate_wide as collate
+from .collate import by_entity, collate_wide as collate
 from .collate import with_assays
 from .queries_movement import home_movement
 from .registry import query
@@ -470,14 +470,17 @@ def food_abundance(spark, folder):
 
 
 def _with_abundance(spark, folder, movement, calendar):
+    return cov.with_year_value(movement, _abundance(spark, folder, calendar), "food_abundance", {1996: 123.25})
+
+
+def _abundance(spark, folder, calendar):
     items = read_table(spark, folder, "lineitem")
     quality = items.select(
         F.year("l_shipdate").alias("year"), star.month_id("l_shipdate").alias("period"),
         F.nullif(F.col("l_quantity"), F.lit(50.0)).alias("quality"),
         F.when(~((F.col("l_quantity") == 1) & (F.year("l_shipdate") == 1999)), F.col("l_extendedprice").cast("decimal(18, 2)")).alias("food"),
     )
-    by_year = settle(cov.food_abundance_by_year(quality, calendar))
-    return cov.with_year_value(movement, by_year, "food_abundance", {1996: 123.25})
+    return settle(cov.food_abundance_by_year(quality, calendar))
 
 
 # Tests ---------------------------------------------------------------------------------------
@@ -708,10 +711,8 @@ def _sex(spark, folder):
     )
 
 
-def _aged(spark, folder, movement, history, births):
+def _aged(movement, refined, seen):
     """Both birth dates with the ages they give, and for non-movers whether they reached the movers' age."""
-    refined = settle(_refined(spark, folder, history, births, star.two_way_location()))
-    seen = cov.last_seen(history, ("P",))
     out = movement
     for birth, name in (("birth_date_1", "reached_min_age"), ("birth_date_2", "reached_min_age_2")):
         out = cov.reached_min_age(out, refined, seen, birth=birth, name=name)
@@ -724,18 +725,43 @@ def _places(spark, folder):
     return settle(cov.preferred_measurement(_measurements(spark, folder, star.two_way_location())))
 
 
+class _Parts:
+    """The movement table and all tables that its covariates come from, made side by side."""
+
+    def __init__(self, spark, folder):
+        self.history = star.home_residency(spark, folder)
+        self.births, self.calendar = star.births(spark, folder), star.months(spark, folder)
+        self.seen = cov.last_seen(self.history, ("P",))
+        self.movement, self.refined, self.places, self.abundance, self.population, self.sizes, self.food = together(
+            lambda: settle(home_movement(spark, folder, self.calendar)),
+            lambda: settle(_refined(spark, folder, self.history, self.births, star.two_way_location())),
+            lambda: _places(spark, folder),
+            lambda: _abundance(spark, folder, self.calendar),
+            lambda: settle(cov.population_by_period(self.history)),
+            lambda: _group_sizes(self.history),
+            lambda: _yearly_food(spark, folder),
+        )
+
+    def with_abundance(self, movement):
+        return cov.with_year_value(movement, self.abundance, "food_abundance", {1996: 123.25})
+
+    def with_food(self, movement):
+        return cov.with_year_value(movement, self.food, "food_density")
+
+    def with_exposure(self, movement):
+        return cov.with_exposure(movement, self.births, self.calendar, events=FLAGGED)
+
+
 def wide_table(spark, folder):
     """Every covariate added to the movement table in place."""
-    history = star.home_residency(spark, folder)
-    births, calendar = star.births(spark, folder), star.months(spark, folder)
-    out = _aged(spark, folder, settle(home_movement(spark, folder, calendar)), history, births)
-    out = cov.with_distance(out, _places(spark, folder))
-    out = _with_abundance(spark, folder, out, calendar).drop("last_year")
-    out = cov.with_population(out, history)
-    out = cov.with_group_size(out, _group_sizes(history))
-    out = cov.with_exposure(out, births, calendar, events=FLAGGED)
-    out = cov.with_period_flag(out, FLAGGED)
-    out = cov.with_year_value(out, _yearly_food(spark, folder), "food_density")
+    parts = _Parts(spark, folder)
+    out = _aged(parts.movement, parts.refined, parts.seen)
+    out = cov.with_distance(out, parts.places)
+    out = parts.with_abundance(out).drop("last_year")
+    out = cov.with_population(out, counts=parts.population)
+    out = cov.with_group_size(out, parts.sizes)
+    out = cov.with_period_flag(parts.with_exposure(out), FLAGGED)
+    out = parts.with_food(out)
     return lookup(out, _sex(spark, folder), {"entity": "entity"}, {"sex": "sex"})
 
 
@@ -746,28 +772,23 @@ def collate_wide(spark, folder):
 
 @query(_WIDE_SPEC, _WIDE_SQL + " SELECT * FROM wide")
 def collate_by_entity(spark, folder):
-    """The same table from separate per-entity covariate tables, joined by entity."""
-    history = star.home_residency(spark, folder)
-    births, calendar = star.births(spark, folder), star.months(spark, folder)
-    movement = settle(home_movement(spark, folder, calendar))
+    """The same table from separate per-entity covariate tables, each a store bucketed by entity, joined by entity."""
+    parts = _Parts(spark, folder)
+    movement = settle_by(parts.movement.repartition("entity"), "entity")
     only = lambda df, *columns: df.select("entity", *columns)
-    return collate(
-        only(movement, "moved", "inherit", "event_date", "event_season"),
-        [
-            only(_aged(spark, folder, movement, history, births), "birth_date_1", "birth_date_2", "age", "age_2",
-                 "reached_min_age", "reached_min_age_2"),
-            only(cov.with_distance(movement, _places(spark, folder)), "distance", "origin_size", "dest_size"),
-            only(_with_abundance(spark, folder, movement, calendar), "food_abundance"),
-            only(cov.with_population(movement, history), "population_all"),
-            only(cov.with_group_size(movement, _group_sizes(history)), "group_all"),
-        ],
-        [
-            only(cov.with_exposure(movement, births, calendar, events=FLAGGED), "exposures", "exposed"),
-            only(cov.with_period_flag(movement, FLAGGED), "near_event"),
-            only(cov.with_year_value(movement, _yearly_food(spark, folder), "food_density"), "food_density"),
-            _sex(spark, folder),
-        ],
+    stored = lambda df, *columns: lambda: by_entity(only(df, *columns))
+    tables = together(
+        stored(_aged(movement, parts.refined, parts.seen), "birth_date_1", "birth_date_2", "age", "age_2", "reached_min_age", "reached_min_age_2"),
+        stored(cov.with_distance(movement, parts.places), "distance", "origin_size", "dest_size"),
+        stored(parts.with_abundance(movement), "food_abundance"),
+        stored(cov.with_population(movement, counts=parts.population), "population_all"),
+        stored(cov.with_group_size(movement, parts.sizes), "group_all"),
+        stored(parts.with_exposure(movement), "exposures", "exposed"),
+        stored(cov.with_period_flag(movement, FLAGGED), "near_event"),
+        stored(parts.with_food(movement), "food_density"),
+        lambda: by_entity(_sex(spark, folder)),
     )
+    return collate(only(movement, "moved", "inherit", "event_date", "event_season"), tables[:5], tables[5:])
 
 
 @query(

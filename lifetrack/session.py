@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -73,6 +75,16 @@ def settle_by(df: DataFrame, *columns: str) -> DataFrame:
     return spark.table(name)
 
 
+def together(*builds: Callable[[], DataFrame]) -> list[DataFrame]:
+    """The tables that the functions build, which run side by side.
+
+    For tables that do not depend on one another and are settled while they are built: their jobs share the cluster
+    instead of waiting in line.
+    """
+    with ThreadPoolExecutor(len(builds)) as pool:
+        return [done.result() for done in [pool.submit(build) for build in builds]]
+
+
 def release(spark: SparkSession) -> int:
     """Delete all tables this session has settled and say how many: for when their results are written or done with."""
     mine = _settled.pop(spark.sparkContext.applicationId, [])

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from lifetrack.operators.joins import merge, merge_settled
+from lifetrack.plans.collate import by_entity, collate_wide
 
 FOLDER = "/root/testdata/sf0.001"
 PACKAGE = Path(__file__).resolve().parent.parent / "lifetrack"
@@ -71,6 +72,24 @@ def test_the_calendar_join_exchanges_no_spans_by_bucket(spark):
         assert "_bucket" not in plan(spark, name)
 
 
+def test_tables_stored_by_entity_are_joined_in_place(spark):
+    """Also where none is small enough to be broadcast: every join reads matching buckets."""
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(limit)
+    try:
+        stored = plan(spark, "collate_by_entity")
+        spark.conf.set(limit, "-1")
+        tables = [by_entity(spark.range(100).select(F.col("id").alias("entity"), (F.col("id") * k).alias(f"v{k}"))) for k in range(4)]
+        joined = collate_wide(tables[0], tables[1:3], tables[3:])
+        assert joined.count() == 100
+        text = joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(limit, before)
+    assert "SortMergeJoin" in text
+    for found in (text, stored):
+        assert "Exchange hashpartitioning" not in found and "Exchange rangepartitioning" not in found
+
+
 def test_box_cox_copies_no_rows(spark):
     assert "Generate" not in plan(spark, "boxcox")
 
