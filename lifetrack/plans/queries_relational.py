@@ -8,6 +8,7 @@ from ..functions.columns import blank_to_null, cast_columns, contains_any, ifels
 from ..operators import joins, ordered, residency as res_ops
 from ..operators.covariates import last_seen as last_seen_of, residence_periods
 from ..operators.periods import overlap_join, period_chain, previous_period
+from ..session import new_folder
 from ..sources import star
 from ..sources import files
 from ..sources.files import read_table
@@ -75,6 +76,35 @@ def csv_rejects(spark, folder):
     return listed.unionByName(counted(good, "kept")).unionByName(counted(lines, "read"))
 
 
+@query(
+    "layout:s tie:l entity:l location:s status:s period:l period_start:s",
+    f"""
+    WITH {sql.RES},
+    rows AS (SELECT tie, entity, CASE WHEN location = '5-LOW' THEN 'LOW, "5"' ELSE location END AS location, nullif(status, 'P') AS status,
+                    period, CASE WHEN status <> 'F' THEN period_start END AS period_start FROM res)
+    SELECT 'plain' AS layout, * FROM rows UNION ALL SELECT 'numbered' AS layout, * FROM rows
+    """,
+)
+def csv_files(spark, folder):
+    """The history written to CSV files and read again: once as written, once with row numbers in front and d/m/y dates."""
+    names = ["tie", "entity", "location", "status", "period", "period_start"]
+    low = F.col("location") == "5-LOW"
+    rows = star.residency(spark, folder).select(*names).withColumns({
+        "location": F.when(low, 'LOW, "5"').otherwise(F.col("location")),
+        "period_start": F.when(F.col("status") != "F", F.col("period_start")), "status": F.nullif(F.col("status"), F.lit("P")),
+    })
+    kinds = "tie bigint, entity bigint, location string, status string, period int, period_start date"
+    plain, numbered = new_folder(spark), new_folder(spark)
+    files.write_csv(rows, plain)
+    day = F.date_format("period_start", "dd/MM/yyyy").alias("period_start")
+    files.write_csv(rows.select(F.col("tie").alias("row_index"), *names[:-1], day), numbered)
+    read = [
+        files.read_csv(spark, plain, kinds, date_format="yyyy-MM-dd").withColumn("layout", F.lit("plain")),
+        files.read_csv(spark, numbered, kinds, leading_index=True).withColumn("layout", F.lit("numbered")),
+    ]
+    return read[0].unionByName(read[1])
+
+
 @query(
     "entity:l segment:s code:l bad_code:l balance:d copy:d source:s nothing:l",
     """

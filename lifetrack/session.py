@@ -43,7 +43,8 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[0].name
 
 
-def _new_folder(spark: SparkSession) -> str:
+def new_folder(spark: SparkSession) -> str:
+    """A path for files of its own in the shared folder; ``release`` deletes it with the settled tables."""
     path = f"{shared_folder(spark)}/lifetrack-{uuid.uuid4().hex}"
     _settled.setdefault(spark.sparkContext.applicationId, []).append(path)
     return path
@@ -56,7 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     ones: read back, they are scanned by column and Spark knows their true size,
     so it broadcasts those that fit its threshold without a hint.
     """
-    path = _new_folder(df.sparkSession)
+    path = new_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -68,7 +69,7 @@ def settle_by(df: DataFrame, *columns: str) -> DataFrame:
     for every bucket it meets.
     """
     spark = df.sparkSession
-    path = _new_folder(spark)
+    path = new_folder(spark)
     name = "lifetrack_" + path[-32:]
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.write.bucketBy(buckets, *columns).option("path", path).format("parquet").saveAsTable(name)
