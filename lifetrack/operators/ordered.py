@@ -114,16 +114,19 @@ class Scan:
             if self.keys else rows["_part"] == side["_b__part"]
         return rows.join(F.broadcast(side), same, "left").drop(*["_b_" + c for c in ["_part", *self.keys]])
 
+    def total(self, amount: Column, name: str) -> DataFrame:
+        """The rows with the running total of ``amount``, current row included, and the part they are in."""
+        brought = self.brought({"_sum": F.sum(amount)}, lambda earlier, later: {"_carry": F.sum("_sum").over(earlier)})
+        out = self.add(self.rows.withColumn(name, F.sum(amount).over(self.upto())), brought)
+        total = F.coalesce(F.col(name) + F.col("_carry"), F.col(name), F.col("_carry"))
+        return out.withColumn(name, total).drop("_carry")
+
 
 def running_total(
     df: DataFrame, keys: Iterable[str], order: str, tie: str, amount: Column, name: str, *, parts: int | None = None
 ) -> DataFrame:
     """Running total of ``amount`` per group in (order, tie), current row included, null orders last."""
-    scan = Scan(df, keys, order, tie, parts=parts)
-    brought = scan.brought({"_sum": F.sum(amount)}, lambda earlier, later: {"_carry": F.sum("_sum").over(earlier)})
-    out = scan.add(scan.rows.withColumn(name, F.sum(amount).over(scan.upto())), brought)
-    total = F.coalesce(F.col(name) + F.col("_carry"), F.col(name), F.col("_carry"))
-    return out.withColumn(name, total).drop("_carry", "_part")
+    return Scan(df, keys, order, tie, parts=parts).total(amount, name).drop("_part")
 
 
 def numbered(

@@ -10,7 +10,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .joins import merge_settled
-from .ordered import first_by, running_total
+from .ordered import Scan, first_by
 
 
 def wide_draws(draws: DataFrame, parameters: Iterable[str], by=("model", "chain", "iteration")) -> DataFrame:
@@ -57,28 +57,33 @@ def hpd_interval(
     keys = list(keys)
     known = draws.where(F.col("value").isNotNull())
     counted = known.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    ranked = running_total(counted, keys, "value", "_n", F.col("_n"), "_upto", parts=parts)
-    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("n"))
+    scan = Scan(counted, keys, "value", "_n", parts=parts)
+    sizes = scan.rows.groupBy(*keys).agg(F.sum("_n").alias("n"))
     span = F.greatest(
         F.lit(1), F.least(F.col("n") - 1, F.bround(F.col("n") * F.lit(prob)).cast("long"))
     )
     sizes = sizes.withColumns({"_span": span, "_width": F.ceil(F.col("n") / rank_blocks)})
-    runs = merge_settled(ranked, sizes, keys, null_safe=True).withColumn("_start", F.col("_upto") - F.col("_n") + 1)
+    ranked = merge_settled(scan.total(F.col("_n"), "_upto"), sizes, keys, null_safe=True)
+    start = F.col("_upto") - F.col("_n") + 1
     block = lambda rank: F.floor(rank / F.col("_width"))
-    first_end = F.greatest(F.col("_start"), F.col("_span") + 1)
-    ends = runs.where(F.col("_upto") > F.col("_span")).select(
-        *keys, F.explode(F.sequence(block(first_end), block(F.col("_upto")))).alias("_block"),
-        first_end.alias("_rank"), F.lit(0).alias("_side"), "value",
-        F.lit(None).cast("double").alias("lower"), F.lit(None).cast("long").alias("n"),
-    )
-    target = F.col("_start") + F.col("_span")
-    candidates = runs.where(target <= F.col("n")).select(
-        *keys, block(target).alias("_block"), target.alias("_rank"), F.lit(1).alias("_side"),
-        F.lit(None).cast("double").alias("value"), F.col("value").alias("lower"), "n",
-    )
+
+    def mark(block, rank, side, value, lower):
+        null = F.lit(None).cast("double")
+        return F.struct(
+            block.alias("_block"), rank.alias("_rank"), F.lit(side).alias("_side"),
+            (null if value is None else value).alias("value"), (null if lower is None else lower).alias("lower"))
+
+    first_end, target = F.greatest(start, F.col("_span") + 1), start + F.col("_span")
+    ends = F.transform(
+        F.sequence(block(first_end), block(F.col("_upto"))), lambda b: mark(b, first_end, 0, F.col("value"), None))
+    asks = F.array(mark(block(target), target, 1, None, F.col("value")))
+    none = F.array()
+    marks = F.concat(
+        F.when(F.col("_upto") > F.col("_span"), ends).otherwise(none), F.when(target <= F.col("n"), asks).otherwise(none))
     w = Window.partitionBy(*keys, "_block").orderBy("_rank", "_side")
     upper = F.last("value", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    intervals = ends.unionByName(candidates).withColumn("upper", upper).where(F.col("_side") == 1).select(
+    placed = ranked.select(*keys, "n", F.inline(marks)).withColumn("upper", upper)
+    intervals = placed.where(F.col("_side") == 1).select(
         *keys, "n", "lower", "upper", (F.col("upper") - F.col("lower")).alias("width")
     )
     return first_by(intervals, keys, "width", "lower")
