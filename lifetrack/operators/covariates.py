@@ -16,7 +16,7 @@ from ..functions.columns import contains_any, ifelse, sum_strict
 from ..functions.dates import (
     NARROW_WINTER, days_between, days_between_local, midpoint_days, season, season_from_index,
 )
-from ..session import settle
+from ..session import settle, together
 from .joins import anti, lookup, merge, merge_settled
 from .ordered import as_of, first_by, nearest_known, numbered
 from .periods import overlap_calendar
@@ -115,15 +115,16 @@ def refine_birth_date(
     own = own.where(F.col("hatch_date") <= F.col("first_catch"))
     free = anti(fledged, chicks, ["nest_id"]).withColumn("_tie", F.col("nest_id").cast("long"))
     places = unsure.dropna(subset=cell).select("entity", *cell, "first_catch")
-    latest = as_of(
+    asked = as_of(
         places, free, cell, ("first_catch", "hatch_date"), tie="_tie", take={"hatch_date": "day"}, count="number", parts=parts)
     if exclusions is None:
-        taken = latest.where(F.col("number") > 0).select("entity", "day", F.col("number").alias("_free"))
+        taken = asked.where(F.col("number") > 0).select("entity", "day", F.col("number").alias("_free"))
     else:
         # Only a wrong nest makes the number of the one before it matter.
         pairs = exclusions.select("entity", "nest_id").distinct()
         own = anti(own, pairs, ["entity", "nest_id"])
-        nests_in_order = numbered(free, cell, "hatch_date", "_tie", "_n", parts=parts)
+        latest, nests_in_order = together(
+            lambda: settle(asked), lambda: settle(numbered(free, cell, "hatch_date", "_tie", "_n", parts=parts)))
         wrong = merge(pairs, nests_in_order.select("nest_id", *cell, "_n"), ["nest_id"], null_safe=False)
         wrong = merge(latest, wrong.drop("nest_id"), ["entity", *cell], null_safe=False).where("_n <= number")
         wrong = wrong.groupBy("entity").agg(F.sort_array(F.collect_list("_n"), asc=False).alias("_wrong"))
