@@ -7,126 +7,157 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..session import settle
 from .common import digest, free_names, full_text, let
 
-#: Lines that the rolling hash covers, and one boundary in so many lines on average.
-WINDOW = 3
-MODULUS = 4
+#: Chunkings of each text, lines that the rolling hash covers, and the classes into which it sorts lines.
+SEEDS = 16
+WINDOW = 1
+MODULUS = 2
 BASE = 1_000_003
 PRIME = 2_147_483_647
 #: Lines with a word that a chunk must have to be removed.
 MIN_LINES = 2
 HAS_WORD = r"[^\x20\x09-\x0D]"
+_RUNS = "cast(array() as array<struct<start:int,n:int>>)"
 
 
-def _rolling(lines: Column, window: int) -> Column:
-    """A polynomial hash of each line's hash and those of the ``window - 1`` lines before it, no line counting as 0."""
-    hashes = F.transform(lines, lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 7), 16, 10).cast("bigint"))
+def bases(seeds: int) -> list[int]:
+    """The base of each chunking's rolling hash."""
+    return [pow(BASE, seed + 1, PRIME) for seed in range(seeds)]
 
-    def at(all_, i):
-        terms = [F.coalesce(F.get(all_, i - k), F.lit(0)) * F.lit(pow(BASE, k, PRIME)) % PRIME for k in range(window)]
-        return sum(terms[1:], terms[0]) % PRIME
 
-    return let(hashes, lambda all_: F.transform(all_, lambda _, i: at(all_, i)))
+def _rolling(hashes: Column, base: Column, window: int, step: int) -> Column:
+    """A polynomial hash of each line's hash and those of the next ``window - 1`` lines, back or ahead; no line is 0."""
 
+    def at(i):
+        value = F.lit(0).cast("bigint")
+        for k in reversed(range(window)):
+            value = (value + F.coalesce(F.get(hashes, i + step * k), F.lit(0))) * base % PRIME
+        return value
 
-def chunks(text: Column, *, window: int, modulus: int, bodies: bool = True) -> Column:
-    """Chunks in order: ``start`` line, number of lines ``n``, ``worded`` lines, ``hash`` and ``body``."""
+    return F.transform(hashes, lambda _, i: at(i))
 
-    def one(lines, ends, end, k):
-        start = F.when(k == 0, F.lit(0)).otherwise(ends[k - 1] + 1)
-        part = F.slice(lines, start + 1, end - start + 1)
-        body = F.array_join(part, "\n")
-        return F.struct(
-            start.cast("int").alias("start"), (end - start + 1).cast("int").alias("n"),
-            F.size(F.filter(part, lambda x: x.rlike(HAS_WORD))).alias("worded"),
-            F.xxhash64(body).alias("hash"), *([body.alias("body")] if bodies else []),
-        )
+
+def chunks(text: Column, *, seeds: int, window: int, modulus: int, min_lines: int) -> Column:
+    """The different chunks of a text in all its chunkings: ``start`` line, lines ``n`` and ``hash``."""
+
+    def limits(at, hashes, base):
+        def part(behind, ahead):
+            cut = lambda k: (k == 0) | ((hashes[k] != F.get(hashes, k - 1)) & (
+                (F.get(behind, k - 1) % modulus == 1) | (ahead[k] % modulus == 0)))
+            begins = F.filter(F.transform(at, lambda _, k: k), cut)
+            ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(at)))
+            long = F.filter(
+                F.arrays_zip(begins.alias("a"), F.slice(ends, 1, F.size(begins)).alias("b")), lambda c: c["b"] - c["a"] >= min_lines)
+            return F.transform(long, lambda c: F.struct(
+                at[c["a"]].alias("start"), (at[c["b"] - 1] - at[c["a"]] + 1).alias("n")))
+
+        behind = _rolling(hashes, base, window, -1)
+        if window == 1:
+            return let(behind, lambda r: part(r, r))
+        return let(behind, lambda r: let(_rolling(hashes, base, window, 1), lambda s: part(r, s)))
 
     def cut(lines):
-        last = F.size(lines) - 1
-        limits = let(_rolling(lines, window), lambda r: F.filter(
-            F.sequence(F.lit(0), last), lambda i: (r[i] % modulus == 0) | (i == last)))
-        return let(limits, lambda ends: F.transform(ends, lambda end, k: one(lines, ends, end, k)))
+        worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(HAS_WORD))
+
+        def seeded(at):
+            code = lambda i: F.conv(F.substring(F.md5(lines[i].cast("binary")), 1, 7), 16, 10).cast("bigint")
+            all_ = F.array(*[F.lit(base).cast("bigint") for base in bases(seeds)])
+            return let(F.transform(at, code), lambda hashes: F.array_distinct(F.flatten(
+                F.transform(all_, lambda base: limits(at, hashes, base)))))
+
+        return let(let(worded, seeded), lambda found: F.transform(found, lambda c: F.struct(
+            c["start"].alias("start"), c["n"].alias("n"),
+            F.xxhash64(F.array_join(F.slice(lines, c["start"] + 1, c["n"]), "\n")).alias("hash"))))
 
     return let(F.split(text, "\n", -1), cut)
 
 
+def _identified(docs: DataFrame, key: str, text: str, who: str, body: str) -> DataFrame:
+    docs = docs.withColumn(body, full_text(docs[f"`{text}`"]))
+    return docs.withColumn(who, F.struct(
+        docs[f"`{key}`"].alias("key"), digest("line", docs[f"`{key}`"], F.md5(F.col(body).cast("binary"))).alias("digest")))
+
+
+def _copies(docs: DataFrame, who: str, body: str, runs: Column) -> DataFrame:
+    """``place``, lines ``n`` and the ``first`` place of every run of lines whose bytes stand at another place too."""
+    runs = docs.select(who, F.explode(runs).alias("w"))
+    runs = settle(runs.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash"))
+    twice = lambda df: df.where(F.col("first") != F.col("last"))
+    hashes = runs.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    hashes = settle(twice(hashes).select(F.col("hash").alias("hash_r")))
+    wanted = runs.join(hashes.hint("merge"), F.col("hash") == F.col("hash_r"), "left_semi")
+    wanted = wanted.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
+        F.collect_set(F.struct("place.start", "n", "hash")).alias("wanted"))
+    wanted = settle(wanted)
+
+    # Only the texts of runs whose hash recurs are compared; whole texts meet their places by a shuffle at every size.
+    seen = docs.select(who, body).join(wanted.hint("merge"), docs[who]["digest"] == wanted[who + "_r"])
+    found = let(F.split(F.col(body), "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(
+        w["start"].alias("start"), w["n"].alias("n"), w["hash"].alias("hash"),
+        F.array_join(F.slice(lines, w["start"] + 1, w["n"]), "\n").alias("piece"))))
+    seen = seen.select(who, F.explode(found).alias("w"))
+    seen = settle(seen.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash", "w.piece"))
+    same = seen.groupBy("hash", "piece").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    same = settle(twice(same).select(F.col("hash").alias("hash_r"), F.col("piece").alias("piece_r"), "first"))
+    return seen.join(same.hint("merge"), (F.col("hash") == F.col("hash_r")) & (F.col("piece") == F.col("piece_r")))
+
+
 def remove_repeated(
     docs: DataFrame,
     *,
     key: str = "doc_id",
     text: str = "text",
     keep: list[str] | None = None,
+    seeds: int = SEEDS,
     window: int = WINDOW,
     modulus: int = MODULUS,
     min_lines: int = MIN_LINES,
 ) -> DataFrame:
     """Drop chunks of several lines that occur elsewhere in the corpus; the first occurrence stays.
 
-    A chunk ends after a line where the rolling hash of the last ``window`` line hashes is a multiple of ``modulus``,
-    so an inserted line moves only the boundaries near it. Chunks with at least ``min_lines`` lines that hold a word
-    are compared: first by hash, then byte by byte. The first occurrence is the one with the smallest key, text digest
-    and line; null keys come first. Rows with the same key and text are one document and get the same result.
-
-    Returns ``keep`` (default: all columns, the text as it is left), ``n_lines``, ``n_chunks``, ``n_removed_chunks``
-    and ``n_removed_lines``, in place of columns of those names. What is left of a text are its other lines, joined by
-    line feeds; a null or empty text stays empty.
+    Each text is cut in ``seeds`` ways. A rolling hash over the hashes of ``window`` lines with a word, its base the
+    seed's, cuts before a line where it is 0 modulo ``modulus`` over that line and those ahead, and after a line where it
+    is 1 over that line and those behind; never between equal lines. So what stands around a passage moves no boundary
+    inside it. With a window of one line and two classes a line either opens or closes a chunk: two lines in a row are a
+    chunk of their own in one chunking of four, whatever is around them, and a repeated pair is missed by all 16 in one
+    case of a hundred. Longer passages go by the union of their chunks. Blank lines belong to a chunk only between two
+    of its lines with a word.
+
+    The different chunks of all chunkings with ``min_lines`` lines with a word are compared: first by hash, then byte by
+    byte. The first occurrence is the one with the smallest key, text digest and line; null keys come first. A line goes
+    if it lies in any chunk that stands earlier, and still stands at an earlier place itself. Rows with the same key and
+    text are one document and get the same result.
+
+    Returns ``keep`` (default: all columns, the text as it is left), ``n_lines``, ``n_removed_chunks`` (different ones,
+    which may overlap) and ``n_removed_lines``, in place of columns of those names. What is left of a text are its other
+    lines, joined by line feeds; a null or empty text stays empty.
     """
-    made = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    made = ("n_lines", "n_removed_chunks", "n_removed_lines")
     keep = [c for c in (keep or docs.columns) if c.lower() not in made]
     who, body, cut, gone = free_names([*docs.columns, *made], "_who", "_body", "_cut", "_gone")
-    docs = docs.withColumn(body, full_text(docs[f"`{text}`"]))
-    docs = docs.withColumn(who, F.struct(
-        docs[f"`{key}`"].alias("key"), digest("line", docs[f"`{key}`"], F.md5(F.col(body).cast("binary"))).alias("digest")))
-
-    pieces = docs.select(who, F.explode(chunks(F.col(body), window=window, modulus=modulus)).alias("c"))
-    pieces = pieces.where(F.col("c.worded") >= min_lines)
-    place = F.struct(F.col(who), F.col("c.start").alias("start"))
-    twice = lambda df: df.where(F.col("first") != F.col("last"))
-    hashes = pieces.select(F.col("c.hash").alias("hash"), place.alias("place"))
-    hashes = hashes.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    hashes = settle(twice(hashes).select("hash"))
-
-    seen = pieces.select(F.col("c.hash").alias("hash"), F.col("c.body").alias("piece"), F.col("c.n").alias("n"), place.alias("place"))
-    seen = settle(seen.join(hashes.withColumnRenamed("hash", "hash_r"), F.col("hash") == F.col("hash_r"), "left_semi"))
-    same = seen.groupBy("hash", "piece").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    same = settle(twice(same).select(F.col("hash").alias("hash_r"), F.col("piece").alias("piece_r"), "first"))
-    removed = seen.join(same, (F.col("hash") == F.col("hash_r")) & (F.col("piece") == F.col("piece_r")))
-    removed = removed.where(F.col("place") != F.col("first"))
-    removed = removed.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
-        F.array_sort(F.collect_set(F.struct(F.col("place.start").alias("start"), "n"))).alias(gone))
-    removed = settle(removed)
+    docs = _identified(docs, key, text, who, body)
+    found = chunks(F.col(body), seeds=seeds, window=window, modulus=modulus, min_lines=min_lines)
+    removed = _copies(docs, who, body, found).where(F.col("place") != F.col("first"))
+    removed = settle(removed.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
+        F.collect_set(F.struct(F.col("place.start").alias("start"), "n")).alias(gone)))
 
     # Texts meet their removed lines by a shuffle at every size: the table of removed lines grows with the corpus.
     passed = docs.select(*[docs[f"`{c}`"] for c in keep if c != text], who, body)
     out = passed.join(removed.hint("merge"), passed[who]["digest"] == removed[who + "_r"], "left")
-    out = out.withColumn(cut, let(F.split(F.col(body), "\n", -1), lambda lines: F.struct(
-        F.size(lines).alias("lines"),
-        F.when(F.col(gone).isNull(), F.col(body)).otherwise(_left(lines, F.col(gone))).alias("text"))))
-    lost = F.coalesce(F.col(gone), F.expr("cast(array() as array<struct<start:int,n:int>>)"))
-    bounds = F.aggregate(lost, F.lit(0), lambda s, g: s + g["n"])
-    number = let(F.split(F.col(body), "\n", -1), lambda lines: let(
-        _rolling(lines, window), lambda r: F.size(F.filter(r, lambda x: x % modulus == 0))
-        + F.when(F.element_at(r, -1) % modulus == 0, 0).otherwise(1)))
+    lost = F.coalesce(F.col(gone), F.expr(_RUNS))
+    out = out.withColumn(cut, let(F.split(F.col(body), "\n", -1), lambda lines: let(_rest(lines, lost), lambda rest: F.struct(
+        F.size(lines).alias("lines"), (F.size(lines) - F.size(rest)).alias("lost"),
+        F.array_join(F.transform(rest, lambda i: lines[i]), "\n").alias("text")))))
     values = [F.col(cut)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in keep]
     return out.select(
-        *values, F.col(cut)["lines"].alias("n_lines"), number.alias("n_chunks"),
-        F.size(lost).alias("n_removed_chunks"), bounds.alias("n_removed_lines"),
+        *values, F.col(cut)["lines"].alias("n_lines"), F.size(lost).alias("n_removed_chunks"),
+        F.col(cut)["lost"].alias("n_removed_lines"),
     )
 
 
-def _left(lines: Column, gone: Column) -> Column:
-    """The lines outside the removed runs, which are in order and do not overlap."""
-    inner = F.aggregate(
-        gone,
-        F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start:int,n:int>>)").alias("runs")),
-        lambda s, g: F.struct(
-            (g["start"] + g["n"]).alias("at"),
-            F.when(g["start"] > s["at"], F.concat(s["runs"], F.array(F.struct(s["at"].alias("start"), (g["start"] - s["at"]).alias("n")))))
-            .otherwise(s["runs"]).alias("runs")),
-        lambda s: F.when(s["at"] < F.size(lines), F.concat(
-            s["runs"], F.array(F.struct(s["at"].alias("start"), (F.size(lines) - s["at"]).alias("n"))))).otherwise(s["runs"]),
-    )
-    return F.array_join(F.flatten(F.transform(inner, lambda r: F.slice(lines, r["start"] + 1, r["n"]))), "\n")
+def _rest(lines: Column, gone: Column) -> Column:
+    """Numbers of the lines outside all removed runs, which may overlap."""
+    inside = F.flatten(F.transform(gone, lambda g: F.sequence(g["start"], g["start"] + g["n"] - 1)))
+    return F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), inside)
 
 
 def windows(text: Column, *, min_lines: int) -> Column:
@@ -170,30 +201,8 @@ def remove_passages(
     made = ("n_lines", "n_removed_runs", "n_removed_lines")
     keep = [c for c in (keep or docs.columns) if c.lower() not in made]
     who, body, cut, gone = free_names([*docs.columns, *made], "_who", "_body", "_cut", "_gone")
-    docs = docs.withColumn(body, full_text(docs[f"`{text}`"]))
-    docs = docs.withColumn(who, F.struct(
-        docs[f"`{key}`"].alias("key"), digest("line", docs[f"`{key}`"], F.md5(F.col(body).cast("binary"))).alias("digest")))
-
-    runs = docs.select(who, F.explode(windows(F.col(body), min_lines=min_lines)).alias("w"))
-    runs = settle(runs.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash"))
-    twice = lambda df: df.where(F.col("first") != F.col("last"))
-    hashes = runs.groupBy("hash").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    hashes = settle(twice(hashes).select(F.col("hash").alias("hash_r")))
-    wanted = runs.join(hashes.hint("merge"), F.col("hash") == F.col("hash_r"), "left_semi")
-    wanted = wanted.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
-        F.collect_set(F.struct("place.start", "n", "hash")).alias("wanted"))
-    wanted = settle(wanted)
-
-    # Only the texts of runs whose hash recurs are compared; whole texts meet their places by a shuffle at every size.
-    seen = docs.select(who, body).join(wanted.hint("merge"), docs[who]["digest"] == wanted[who + "_r"])
-    found = let(F.split(F.col(body), "\n", -1), lambda lines: F.transform("wanted", lambda w: F.struct(
-        w["start"].alias("start"), w["n"].alias("n"), w["hash"].alias("hash"),
-        F.array_join(F.slice(lines, w["start"] + 1, w["n"]), "\n").alias("piece"))))
-    seen = seen.select(who, F.explode(found).alias("w"))
-    seen = settle(seen.select(F.struct(F.col(who), F.col("w.start").alias("start")).alias("place"), "w.n", "w.hash", "w.piece"))
-    same = seen.groupBy("hash", "piece").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    same = settle(twice(same).select(F.col("hash").alias("hash_r"), F.col("piece").alias("piece_r"), "first"))
-    removed = seen.join(same.hint("merge"), (F.col("hash") == F.col("hash_r")) & (F.col("piece") == F.col("piece_r")))
+    docs = _identified(docs, key, text, who, body)
+    removed = _copies(docs, who, body, windows(F.col(body), min_lines=min_lines))
     own = F.col("place")[who]["digest"] == F.col("first")[who]["digest"]
     removed = removed.where(~(own & (F.col("place.start") < F.col("first.start") + F.col("n"))))
     removed = removed.groupBy(F.col("place")[who]["digest"].alias(who + "_r")).agg(
@@ -205,7 +214,7 @@ def remove_passages(
     out = out.withColumn(cut, let(F.split(F.col(body), "\n", -1), lambda lines: F.struct(
         F.size(lines).alias("lines"),
         F.when(F.col(gone).isNull(), F.col(body)).otherwise(_outside(lines, F.col(gone))).alias("text"))))
-    lost = F.coalesce(F.col(gone), F.expr("cast(array() as array<struct<start:int,n:int>>)"))
+    lost = F.coalesce(F.col(gone), F.expr(_RUNS))
     values = [F.col(cut)["text"].alias(c) if c == text else F.col(f"`{c}`") for c in keep]
     return out.select(
         *values, F.col(cut)["lines"].alias("n_lines"), F.size(lost).alias("n_removed_runs"),

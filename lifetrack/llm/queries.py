@@ -157,44 +157,57 @@ def op5_owned_secrets(spark, folder):
 
 # 6: line dedup -----------------------------------------------------------------------------------------------
 
-_POWERS = [pow(line_chunks.BASE, k, line_chunks.PRIME) for k in range(line_chunks.WINDOW)]
-_ROLL = " + ".join(
-    f"coalesce(lag(lh, {k}) OVER (PARTITION BY who ORDER BY i), 0) * {b} % {line_chunks.PRIME}" for k, b in enumerate(_POWERS))
+def _sql_rolling(step: str) -> str:
+    """Horner's rule over the lines of a window, the farthest first."""
+    value = "0"
+    for k in reversed(range(line_chunks.WINDOW)):
+        value = f"(({value} + coalesce({step}(lh, {k}) OVER w, 0)) * base % {line_chunks.PRIME})"
+    return value
 
 
 @query(f"""
 WITH docs AS (
-  SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS body,
-    {sql_digest("line", "doc_id", "md5(coalesce(text, ''))")} AS who FROM documents
+  SELECT doc_id, coalesce(text, '') AS body, {sql_digest("line", "doc_id", "md5(coalesce(text, ''))")} AS who FROM documents
 ), once AS (
-  SELECT who, any_value(doc_id) AS doc_id, any_value(body) AS body FROM docs GROUP BY who
+  SELECT who, any_value(doc_id) AS doc_id, string_split(any_value(body), chr(10)) AS ls FROM docs GROUP BY who
 ), lines AS (
-  SELECT who, doc_id, i, ls[i] AS line, cast('0x' || substr(md5(ls[i]), 1, 7) AS bigint) AS lh
-  FROM (SELECT who, doc_id, string_split(body, chr(10)) AS ls FROM once), LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+  SELECT who, doc_id, i, ls[i] AS line FROM once, LATERAL (SELECT unnest(range(1, len(ls) + 1)) AS i)
+), worded AS (
+  SELECT who, i, cast('0x' || substr(md5(line), 1, 7) AS bigint) AS lh FROM lines
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
 ), rolled AS (
-  SELECT who, doc_id, i, line, ({_ROLL}) % {line_chunks.PRIME} % {line_chunks.MODULUS} = 0 AS cut FROM lines
+  SELECT who, i, lh, base, {_sql_rolling("lag")} AS behind, {_sql_rolling("lead")} AS ahead
+  FROM worded, (SELECT unnest({line_chunks.bases(line_chunks.SEEDS)}) AS base) WINDOW w AS (PARTITION BY who, base ORDER BY i)
+), cuts AS (
+  SELECT who, i, base, lh <> lag(lh) OVER w
+    AND (lag(behind) OVER w % {line_chunks.MODULUS} = 1 OR ahead % {line_chunks.MODULUS} = 0) AS cut
+  FROM rolled WINDOW w AS (PARTITION BY who, base ORDER BY i)
 ), dealt AS (
-  SELECT *, coalesce(sum(cast(cut AS int)) OVER (PARTITION BY who ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c
-  FROM rolled
+  SELECT who, i, base, sum(cast(coalesce(cut, true) AS int)) OVER (PARTITION BY who, base ORDER BY i) AS c FROM cuts
 ), chunks AS (
-  SELECT who, doc_id, c, min(i) AS start, count(*) AS n, string_agg(line, chr(10) ORDER BY i) AS body,
-    count(*) FILTER (regexp_matches(line, '[^\x20\x09-\x0D]')) >= {line_chunks.MIN_LINES} AS worded
-  FROM dealt GROUP BY ALL
+  SELECT DISTINCT who, start, stop FROM (
+    SELECT who, min(i) AS start, max(i) AS stop, count(*) AS n FROM dealt GROUP BY who, base, c)
+  WHERE n >= {line_chunks.MIN_LINES}
 ), marked AS (
-  SELECT *, worded AND row_number() OVER (PARTITION BY body, worded ORDER BY doc_id NULLS FIRST, who, start) > 1 AS gone FROM chunks
+  SELECT who, start, stop,
+    row_number() OVER (PARTITION BY array_to_string(ls[start:stop], chr(10)) ORDER BY doc_id NULLS FIRST, who, start) > 1 AS gone
+  FROM chunks JOIN once USING (who)
+), gone AS (
+  SELECT DISTINCT who, unnest(range(start, stop + 1)) AS i FROM marked WHERE gone
+), counted AS (
+  SELECT who, count(*) AS n FROM marked WHERE gone GROUP BY who
 ), sums AS (
-  SELECT who, sum(n) AS n_lines, count(*) AS n_chunks, count(*) FILTER (gone) AS n_removed_chunks,
-    coalesce(sum(n) FILTER (gone), 0) AS n_removed_lines,
-    coalesce(string_agg(body, chr(10) ORDER BY c) FILTER (NOT gone), '') AS kept
-  FROM marked GROUP BY who
+  SELECT lines.who, count(*) AS n_lines, count(gone.i) AS n_removed_lines,
+    coalesce(string_agg(line, chr(10) ORDER BY lines.i) FILTER (gone.i IS NULL), '') AS kept
+  FROM lines LEFT JOIN gone ON lines.who = gone.who AND lines.i = gone.i GROUP BY lines.who
 )
-SELECT doc_id, cast(n_lines AS bigint) AS n_lines, n_chunks, n_removed_chunks, cast(n_removed_lines AS bigint) AS n_removed_lines,
+SELECT doc_id, n_lines, coalesce(counted.n, 0) AS n_removed_chunks, n_removed_lines,
   strlen(kept) AS kept_bytes, sha256(kept) AS kept_sha256
-FROM docs JOIN sums USING (who)
+FROM docs JOIN sums USING (who) LEFT JOIN counted USING (who)
 """)
 def op6_line_chunks(spark, folder):
     left = line_chunks.remove_repeated(table(spark, folder, "documents"), keep=["doc_id", "text"])
-    counts = ("n_lines", "n_chunks", "n_removed_chunks", "n_removed_lines")
+    counts = ("n_lines", "n_removed_chunks", "n_removed_lines")
     return left.select(
         "doc_id", *[F.col(c).cast("bigint").alias(c) for c in counts],
         F.octet_length("text").cast("bigint").alias("kept_bytes"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"),
