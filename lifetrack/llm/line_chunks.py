@@ -24,36 +24,34 @@ def bases(seeds: int) -> list[int]:
     return [pow(BASE, seed + 1, PRIME) for seed in range(seeds)]
 
 
-def _rolling(hashes: Column, base: Column, window: int, step: int) -> Column:
-    """A polynomial hash of each line's hash and those of the next ``window - 1`` lines, back or ahead; no line is 0."""
+def _rolling(hashes: Column, base: Column, window: int, step: int, modulus: int) -> Column:
+    """Class of each line: a polynomial of its hash and those of the next ``window - 1`` lines, back or ahead; no line is 0."""
 
-    def at(i):
+    def at(code, i):
         value = F.lit(0).cast("bigint")
-        for k in reversed(range(window)):
+        for k in reversed(range(1, window)):
             value = (value + F.coalesce(F.get(hashes, i + step * k), F.lit(0))) * base % PRIME
-        return value
+        return (value + code if window > 1 else code) * base % PRIME % modulus
 
-    return F.transform(hashes, lambda _, i: at(i))
+    return F.transform(hashes, at)
 
 
 def chunks(text: Column, *, seeds: int, window: int, modulus: int, min_lines: int) -> Column:
     """The different chunks of a text in all its chunkings: ``start`` line, lines ``n`` and ``hash``."""
 
-    def limits(at, hashes, base):
+    def limits(hashes, fresh, base):
+        """First line and line after the last of each long chunk, as one number each, which Spark can hash."""
+
         def part(behind, ahead):
-            cut = lambda k: (k == 0) | ((hashes[k] != F.get(hashes, k - 1)) & (
-                (F.get(behind, k - 1) % modulus == 1) | (ahead[k] % modulus == 0)))
-            begins = F.filter(F.transform(at, lambda _, k: k), cut)
-            ends = F.concat(F.slice(begins, 2, F.greatest(F.size(begins) - 1, F.lit(0))), F.array(F.size(at)))
-            long = F.filter(
-                F.arrays_zip(begins.alias("a"), F.slice(ends, 1, F.size(begins)).alias("b")), lambda c: c["b"] - c["a"] >= min_lines)
-            return F.transform(long, lambda c: F.struct(
-                at[c["a"]].alias("start"), (at[c["b"] - 1] - at[c["a"]] + 1).alias("n")))
-
-        behind = _rolling(hashes, base, window, -1)
+            begins = F.filter(fresh, lambda k: (k == 0) | (ahead[k] == 0) | (F.get(behind, k - 1) == 1))
+            return F.filter(let(begins, lambda all_: F.transform(all_, lambda k, j: (
+                F.coalesce(F.get(all_, j + 1), F.size(hashes)).cast("bigint") * (1 << 32) + k))),
+                lambda c: F.shiftright(c, 32) - c.bitwiseAND((1 << 32) - 1) >= min_lines)
+
+        behind = _rolling(hashes, base, window, -1, modulus)
         if window == 1:
             return let(behind, lambda r: part(r, r))
-        return let(behind, lambda r: let(_rolling(hashes, base, window, 1), lambda s: part(r, s)))
+        return let(behind, lambda r: let(_rolling(hashes, base, window, 1, modulus), lambda s: part(r, s)))
 
     def cut(lines):
         worded = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: lines[i].rlike(HAS_WORD))
@@ -61,8 +59,14 @@ def chunks(text: Column, *, seeds: int, window: int, modulus: int, min_lines: in
         def seeded(at):
             code = lambda i: F.conv(F.substring(F.md5(lines[i].cast("binary")), 1, 7), 16, 10).cast("bigint")
             all_ = F.array(*[F.lit(base).cast("bigint") for base in bases(seeds)])
-            return let(F.transform(at, code), lambda hashes: F.array_distinct(F.flatten(
-                F.transform(all_, lambda base: limits(at, hashes, base)))))
+            # No boundary lies between equal lines.
+            fresh = lambda hashes: F.filter(
+                F.transform(at, lambda _, k: k), lambda k: (k == 0) | (hashes[k] != F.get(hashes, k - 1)))
+            found = let(F.transform(at, code), lambda hashes: let(fresh(hashes), lambda k: F.array_distinct(F.flatten(
+                F.transform(all_, lambda base: limits(hashes, k, base))))))
+            last = lambda c: at[F.shiftright(c, 32).cast("int") - 1]
+            first = lambda c: at[c.bitwiseAND((1 << 32) - 1).cast("int")]
+            return F.transform(found, lambda c: F.struct(first(c).alias("start"), (last(c) - first(c) + 1).alias("n")))
 
         return let(let(worded, seeded), lambda found: F.transform(found, lambda c: F.struct(
             c["start"].alias("start"), c["n"].alias("n"),
