@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -55,9 +56,11 @@ def _prefix(data: np.ndarray, powers: _Powers) -> np.ndarray:
     return np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(_BYTE[data] * up[: len(data)])))
 
 
-def _between(prefix: np.ndarray, start, end, powers: _Powers) -> np.ndarray:
-    """Hashes of the substrings from start to end, equal for equal substrings wherever they stand."""
-    return (prefix[end] - prefix[start]) * powers.down[start]
+def _digests(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of a cryptographic digest of each part: unlike the rolling hash, no text can be written to collide."""
+    view = memoryview(data)
+    parts = b"".join(blake2b(view[a:b], digest_size=8).digest() for a, b in zip(begin.tolist(), end.tolist()))
+    return np.frombuffer(parts, dtype=np.uint64)
 
 
 def _sliding(values: np.ndarray, width: int, func, pad) -> np.ndarray:
@@ -73,10 +76,11 @@ def _sliding(values: np.ndarray, width: int, func, pad) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, length: int, anchor: int, powers: _Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors of a text, their hashes, and hashes of the pieces around them.
+    """Places of the anchors of a text, their rolling hashes, and digests of the pieces around them.
 
     An anchor has the smallest hash in some window of ``length`` bytes. Equal windows have equal anchors at the same
-    place, so occurrences of a string meet at an anchor, aligned. A piece reaches as far as such windows do.
+    place, so occurrences of a string meet at an anchor, aligned. A piece reaches as far as such windows do. Different
+    anchors with one rolling hash only meet in vain: digests and bytes of the pieces decide.
     """
     if len(data) < length:
         empty = np.zeros(0, dtype=np.int64)
@@ -89,8 +93,7 @@ def anchors(data: np.ndarray, length: int, anchor: int, powers: _Powers) -> tupl
     side = np.zeros(width - 1, dtype=np.uint64)
     chosen = np.flatnonzero(_sliding(np.concatenate((side, least, side)), width, np.maximum, np.uint64(0)) == hashes)
     begin, end = np.maximum(0, chosen - (length - anchor)), np.minimum(len(data), chosen + length)
-    pieces = _between(prefix, begin, end, powers) + (chosen - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    pieces = _mix(pieces + (end - chosen).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    pieces = _mix(_digests(data, begin, end) + (chosen - begin).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return chosen, hashes[chosen].view(np.int64), pieces.view(np.int64)
 
 
@@ -236,19 +239,17 @@ def _runs(names: list[tuple], found: np.ndarray, length: int, anchor: int) -> pa
 
 
 def _compare_windows(pieces: DataFrame, length: int, anchor: int) -> DataFrame:
-    """The same for anchors with very many different pieces: every window by hash, spread over all tasks."""
+    """The same for anchors with very many different pieces: every window by digest, spread over all tasks."""
     reach = length - anchor
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = _Powers()
         for batch in batches:
             for h, s, times, ahead, piece in zip(*[batch.column(k).to_pylist() for k in range(5)]):
-                prefix = _prefix(np.frombuffer(piece, dtype=np.uint8), powers)
                 begin = np.arange(max(0, len(piece) - length + 1))
                 begin = begin[begin <= ahead]
                 if len(begin):
                     n = len(begin)
-                    window = _mix(_between(prefix, begin, begin + length, powers)).view(np.int64)
+                    window = _digests(np.frombuffer(piece, dtype=np.uint8), begin, begin + length).view(np.int64)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, h)), pa.array(np.full(n, s)), pa.array((begin - ahead + reach).astype(np.int32)),
                          pa.array(window), pa.array(np.full(n, times))], names=["h", "s", "at", "w", "times"])
@@ -302,7 +303,7 @@ def remove_repeats(
     Anchors (the smallest hash in each window) bring the occurrences of a string together at one place each, so
     only the pieces around anchors that occur twice are compared, and equal pieces once. The pieces of many anchors
     form a collection, sorted column by column; see ``repeated_windows``. An anchor with more than ``largest_group``
-    different pieces is not sorted in one task: its windows are counted by hash instead, with the same result.
+    different pieces is not sorted in one task: its windows are counted by digest instead, with the same result.
     All tables joined on the way grow with the corpus, so every join is a shuffle at every size.
 
     Returns ``keep`` (default: all columns), ``n_bytes``, ``spans`` (removed runs of bytes, end exclusive) and
