@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .joins import merge_settled
 from .ordered import Scan, first_by
@@ -20,6 +20,11 @@ def wide_draws(draws: DataFrame, parameters: Iterable[str], by=("model", "chain"
     return wanted.groupBy(*by).agg(*picks)
 
 
+def _over(top: Column, bottom: Column) -> Column:
+    """``top / bottom`` as doubles have it: over zero it is infinite, or NaN for zero itself, and not an error."""
+    return F.when(bottom == 0, top * F.pow(bottom, F.lit(-1.0))).otherwise(top / bottom)
+
+
 def posterior_ratio(draws: DataFrame, part: str, rest: str, by=("model", "chain", "iteration")) -> DataFrame:
     """Per draw: part / (part + rest), the share of variance between entities."""
     both = wide_draws(draws, [part, rest], by)
@@ -29,9 +34,9 @@ def posterior_ratio(draws: DataFrame, part: str, rest: str, by=("model", "chain"
 def posterior_correlation(
     draws: DataFrame, covariance: str, first: str, second: str, by=("model", "chain", "iteration")
 ) -> DataFrame:
-    """Per draw: covariance over the product of both standard deviations."""
+    """Per draw: covariance over the product of both standard deviations; see ``_over`` for a variance of zero."""
     all3 = wide_draws(draws, [covariance, first, second], by)
-    r = F.col(covariance) / (F.sqrt(first) * F.sqrt(second))
+    r = _over(F.col(covariance), F.sqrt(first) * F.sqrt(second))
     return all3.select(*by, r.alias("value"))
 
 

@@ -152,6 +152,24 @@ def test_draw_ratios_and_correlations(spark):
     assert posterior.posterior_mean(posterior.posterior_ratio(draws, "id", "units")).first().mean == 0.325
 
 
+def _draws_over_zero(spark):
+    """Variances of zero: an infinite, a negative infinite and an undefined correlation, and one that stays unknown."""
+    draws = [("a", 1, 2.0, 0.0, 4.0), ("a", 2, 1.0, 1.0, 4.0), ("b", 1, -2.0, 0.0, 4.0), ("c", 1, 0.0, 4.0, 0.0),
+             ("d", 1, None, 0.0, 4.0), ("d", 2, 1.0, 4.0, 4.0)]
+    return spark.createDataFrame(
+        [(m, 1, i, p, v) for m, i, *vs in draws for p, v in zip(("cov", "v1", "v2"), vs)],
+        "model string, chain int, iteration int, parameter string, value double",
+    )
+
+
+def test_correlation_over_a_variance_of_zero(spark):
+    """Was an error of division by zero."""
+    rows = posterior.posterior_correlation(_draws_over_zero(spark), "cov", "v1", "v2").collect()
+    got = {(r.model, r.iteration): r.value for r in rows}
+    assert math.isnan(got.pop(("c", 1)))
+    assert got == {("a", 1): math.inf, ("a", 2): 0.5, ("b", 1): -math.inf, ("d", 1): None, ("d", 2): 0.25}
+
+
 def test_align_repeats(spark):
     responses = spark.createDataFrame([(1, 7.0), (1, 7.0), (2, 3.0)], "entity int, response double")
     assays = spark.createDataFrame([(1, 2, 0.2), (1, 1, 0.1), (3, 1, 0.3)], "entity int, test int, score double")
