@@ -41,6 +41,7 @@ def posterior_correlation(
 
 
 def posterior_mean(derived: DataFrame, by=("model",)) -> DataFrame:
+    """Mean of the known draws; one that is infinite or NaN makes the mean so."""
     return derived.groupBy(*by).agg(F.avg("value").alias("mean"))
 
 

@@ -170,6 +170,13 @@ def test_correlation_over_a_variance_of_zero(spark):
     assert got == {("a", 1): math.inf, ("a", 2): 0.5, ("b", 1): -math.inf, ("d", 1): None, ("d", 2): 0.25}
 
 
+def test_mean_with_a_variance_of_zero(spark):
+    """Was an error of division by zero."""
+    derived = posterior.posterior_correlation(_draws_over_zero(spark), "cov", "v1", "v2")
+    got = {r.model: r.mean for r in posterior.posterior_mean(derived).collect()}
+    assert math.isnan(got.pop("c")) and got == {"a": math.inf, "b": -math.inf, "d": 0.25}
+
+
 def test_align_repeats(spark):
     responses = spark.createDataFrame([(1, 7.0), (1, 7.0), (2, 3.0)], "entity int, response double")
     assays = spark.createDataFrame([(1, 2, 0.2), (1, 1, 0.1), (3, 1, 0.3)], "entity int, test int, score double")
