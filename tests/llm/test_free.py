@@ -64,6 +64,25 @@ def test_repeats_equal_brute_force(spark, largest, length, anchor):
         assert got[i] == want, (i, texts[i])
 
 
+@pytest.mark.parametrize("largest", [10_000, 3, 1])
+def test_texts_are_dealt_out_once_for_both_comparisons(spark, largest):
+    """Anchors of many pieces were given all texts a second time: a shuffle of the corpus for a few anchors."""
+    texts = repeat_texts(40)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    df = docs(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    df = df.mapInArrow(count, df.schema)
+    got = suffixes.remove_repeats(df, length=40, anchor=8, largest_group=largest).collect()
+    assert seen.value == 3 * len(texts)  # sketches, pieces, result
+    got = {r.doc_id: (len(r.spans), sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in got}
+    assert got == dict(enumerate(plain_repeats(texts, 40)))
+
+
 @pytest.mark.parametrize("largest", [10_000, 0])
 def test_written_collisions_lose_nothing(spark, largest):
     """Two orders of the same letters that a polynomial modulo 2 to the 64 cannot tell apart, between equal texts."""
